@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, license_scan, quality_crf, quality_rules, url_filter, warc
+from . import chat, decontaminate, license_scan, near_dup, quality_crf, quality_rules, url_filter, warc
 from .shared import table
 
 # The contract's rules.
@@ -44,6 +44,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filter": op3_url_filter,
         "op4_license_scan": op4_license_scan,
         "op5_warc": op5_warc,
+        "op6_near_dup": op6_near_dup,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_quality_rules": op9_quality_rules,
     }

@@ -68,10 +68,16 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], data
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of batches with at most ``most`` bytes of text, or one row."""
+def field(batch: pa.RecordBatch, column: str) -> pa.Array:
+    """A column, or ``struct.field``."""
+    name, _, inner = column.partition(".")
+    return batch.column(name).field(inner) if inner else batch.column(name)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], *columns: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with at most ``most`` bytes in the given columns (``text``), or one row."""
     for batch in batches:
-        offsets, _ = flat(batch.column(column))
+        offsets = sum(flat(field(batch, c))[0] for c in columns or ("text",))
         at, n = 0, batch.num_rows
         while at < n:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
