@@ -187,22 +187,37 @@ def trained(documents: DataFrame, labels: DataFrame, how: Training = Training())
     return fit(x, np.concatenate([[0], np.cumsum(got["lines"])]), (got["quality"] == 1).to_numpy(), how), share
 
 
+def text_scores(model: tuple[Chain | None, float], texts: pa.Array) -> np.ndarray:
+    """Marginals of good, weighted by the lengths of the lines."""
+    chain, share = model
+    if chain is None:
+        return np.full(len(texts), share)
+    x, length, first = line_features(*flat(texts))
+    total = np.concatenate([[0.0], np.cumsum(length)])
+    good = np.concatenate([[0.0], np.cumsum(length * chain.marginals(x, first))])
+    weight = total[first[1:]] - total[first[:-1]]
+    return np.clip(np.where(weight > 0, (good[first[1:]] - good[first[:-1]]) / np.maximum(weight, 1), share), 0.0, 1.0)
+
+
 def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, how: Training = Training()) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``doc_id, text``."""
     spark = documents.sparkSession
     model = spark.sparkContext.broadcast(trained(documents, labels, how))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain, share = model.value
         for part in pieces(batches):
-            offsets, data = flat(part.column("text"))
-            score = np.full(part.num_rows, share)
-            if chain is not None:
-                x, length, first = line_features(offsets, data)
-                weight = np.add.reduceat(np.append(length, 0), np.minimum(first[:-1], len(length))) * (np.diff(first) > 0)
-                good = np.add.reduceat(np.append(length * chain.marginals(x, first), 0.0), np.minimum(first[:-1], len(length)))
-                score = np.where(weight > 0, good / np.maximum(weight, 1), share)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.clip(score, 0.0, 1.0))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(text_scores(model.value, part.column("text")))], names=["doc_id", "score"])
 
     rows = documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", is_held_out(F.col("doc_id"), how.folds).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def good_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, how: Training = Training()) -> DataFrame:
+    """The rows of ``documents``, all columns, that score ``threshold`` or more."""
+    model = documents.sparkSession.sparkContext.broadcast(trained(documents, labels, how))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches):
+            yield part.filter(pa.array(text_scores(model.value, part.column("text")) >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)
