@@ -11,9 +11,11 @@ band of diagonals that the similarity allows. ``aligned / (a + b - aligned)`` >=
 
 Texts with the same words are one class from the start and only its first row takes part. In a
 bucket of candidates the members are compared with one pivot, not with each other; members that the
-pivot does not reach meet other pivots in further rounds, and what is then still apart in a bucket
-is compared pair by pair. So no link between different texts is lost for the sake of a large group,
-and a group of n near copies takes about n comparisons.
+pivot does not reach meet other pivots in further rounds. What is then still apart in a bucket is
+compared in blocks of a bounded size: shared shingles of all texts outside the largest component
+with all texts of the bucket's neighbourhood are counted at once, and only pairs whose shared
+shingles allow the similarity are aligned. So no link between different texts is lost for the sake
+of a large group, no pairs are written out, and a group of n near copies takes about n alignments.
 
 Defined results
     null and wordless texts have no shingles: such rows are copies of each other; a text of one to
@@ -44,7 +46,8 @@ class OrderMinHash:
     several: int = 4
     bands: int = 20
     similarity: float = 0.8
-    rounds: int = 3
+    rounds: int = 2
+    block_bytes: int = 6 << 20
     seed: int = 11
 
 
@@ -166,21 +169,83 @@ def verified(pairs: DataFrame, texts: DataFrame, how: OrderMinHash) -> DataFrame
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _block_links(rows: list[pa.RecordBatch] | pa.Table, how: OrderMinHash) -> tuple[list[int], list[int]]:
+    """Links between components among the ``probe`` rows and the others of one block."""
+    probe = rows.column("probe").to_numpy()
+    ids, component = rows.column("row").to_numpy(), rows.column("component").to_numpy()
+    grams, bounds, *_ = labelled(rows.column("text"), how.k)
+    n = np.diff(bounds)
+    asked = np.flatnonzero(probe)
+    known = np.concatenate([grams[bounds[i] : bounds[i + 1]] for i in asked]) if len(asked) else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(asked)), n[asked])
+    order = np.argsort(known, kind="stable")
+    known, owner = known[order], owner[order]
+    root = {c: c for c in component.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    a, b = [], []
+    for m in np.flatnonzero(~probe).tolist():
+        mine = grams[bounds[m] : bounds[m + 1]]
+        low, high = np.searchsorted(known, mine, "left"), np.searchsorted(known, mine, "right")
+        count = high - low
+        at = np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count)
+        shared = np.bincount(owner[at], minlength=len(asked))
+        for p in np.flatnonzero(shared >= how.similarity * (n[asked] + n[m] - shared) - 1e-9).tolist():
+            i = int(asked[p])
+            x, y = find(int(component[i])), find(int(component[m]))
+            if x != y and aligned(grams[bounds[i] : bounds[i + 1]], mine, how.similarity) >= how.similarity - 1e-12:
+                root[max(x, y)] = min(x, y)
+                a.append(int(min(ids[i], ids[m])))
+                b.append(int(max(ids[i], ids[m])))
+    return a, b
+
+
+def links_in_blocks(apart: DataFrame, texts: DataFrame, how: OrderMinHash) -> DataFrame:
+    """Links ``a, b`` between components that meet in a bucket: ``bucket, row, component`` of the buckets with several.
+
+    The buckets' neighbourhoods (rows that buckets connect) are cut into blocks of probes, which are
+    the rows outside the largest component, times blocks of all rows; each pair of blocks is a task's
+    group, no larger than two blocks of text.
+    """
+    star = apart.join(apart.groupBy("bucket").agg(F.min("row").alias("hub")), "bucket").select("row", "hub").distinct()
+    near = components(star, "row", "hub").select(F.col("node").alias("row"), F.col("component").alias("around"))
+    rows = staged(apart.select("row", "component").distinct().join(near, "row").join(texts, "row"), "apart-rows")
+    sizes = rows.groupBy("around", "component").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    plan = sizes.groupBy("around").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("bytes").alias("all"), F.max_by("bytes", F.struct("n", "component")).alias("most"))
+    blocks = lambda b: F.greatest(F.lit(1), F.ceil(b / F.lit(how.block_bytes))).cast("int")
+    plan = staged(plan.select("around", "largest", blocks(F.col("all") - F.col("most")).alias("np"), blocks(F.col("all")).alias("nm")), "block-plan")
+    placed = rows.join(plan, "around")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    slot = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    probes = placed.filter("component <> largest").select("around", slot("np").alias("p"), spread("nm").alias("m"), "row", "component", "text", F.lit(True).alias("probe"))
+    others = placed.select("around", spread("np").alias("p"), slot("nm").alias("m"), "row", "component", "text", F.lit(False).alias("probe"))
+
+    def run(group: pa.Table) -> pa.Table:
+        a, b = _block_links(group.combine_chunks(), how)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return probes.unionByName(others).groupBy("around", "p", "m").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(found: DataFrame, how: OrderMinHash = OrderMinHash()) -> DataFrame:
-    """``row, doc, class_row``: of ``sketched`` rows, each with the row that stays of its group."""
-    texts = found.select("row", F.col("doc.text").alias("text"))
+    """``row, doc_id, class_row, class_id`` of ``sketched`` rows: the row that stays of a row's group and its doc_id."""
     classes = staged(found.groupBy("same").agg(F.min("row").alias("row")), "classes")
-    first = found.join(classes.select("row"), "row", "left_semi").filter("n > 0")
+    first = found.filter("n > 0").select("row", "n", "sketch").join(classes.select("row"), "row", "left_semi")
     member = first.select("row", "n", F.posexplode("sketch").alias("band", "value"))
     crowd = member.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("row").alias("pivot")).filter("size > 1").drop("size")
     buckets = staged(member.join(crowd, ["band", "value"]).select("row", "n", F.xxhash64("band", "value").alias("bucket"), "pivot"), "buckets")
+    texts = staged(found.select("row", F.col("doc.text").alias("text")).join(buckets.select("row").distinct(), "row", "left_semi"), "candidate-texts")
     fits = lambda a, b: F.least(a, b) >= how.similarity * F.greatest(a, b)
 
     def pair(x: str, y: str):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
-    pairs = staged(buckets.filter("row <> pivot").select(*pair("row", "pivot")).distinct(), "pairs")
-    tried, links = pairs, staged(verified(pairs, texts, how), "links")
+    tried = staged(buckets.filter("row <> pivot").select(*pair("row", "pivot")).distinct(), "pairs")
+    links = staged(verified(tried, texts, how), "links")
     for turn in range(1, how.rounds + 1):
         group = staged(components(links, "a", "b"), "groups")
         now = buckets.join(group.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
@@ -188,18 +253,15 @@ def near_duplicates(found: DataFrame, how: OrderMinHash = OrderMinHash()) -> Dat
             F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("row", "n", "component"), F.xxhash64("row", F.lit(turn))).alias("p")
         ).filter("low < high")
         now = staged(now.drop("pivot").join(apart.select("bucket", "p"), "bucket"), "apart")
+        if now.isEmpty():
+            break
         if turn < how.rounds:
             pairs = now.filter((F.col("component") != F.col("p.component")) & fits(F.col("n"), F.col("p.n"))).select(*pair("row", "p.row"))
+            pairs = staged(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+            tried = tried.unionByName(pairs)
+            links = staged(links.unionByName(verified(pairs, texts, how)), "links")
         else:
-            x, y = now.drop("p"), now.drop("p").toDF(*[f"{c}_" if c != "bucket" else c for c in now.drop("p").columns])
-            pairs = x.join(y, "bucket").filter((F.col("row") < F.col("row_")) & (F.col("component") != F.col("component_")) & fits(F.col("n"), F.col("n_"))).select(*pair("row", "row_"))
-        pairs = staged(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if turn < how.rounds and now.isEmpty():
-                break
-            continue
-        tried = tried.unionByName(pairs)
-        links = staged(links.unionByName(verified(pairs, texts, how)), "links")
+            links = staged(links.unionByName(links_in_blocks(now.drop("p", "n"), texts, how)), "links")
     group = staged(components(links, "a", "b"), "groups")
     of_class = classes.join(group, classes["row"] == group["node"], "left").select("same", F.coalesce("component", "row").alias("component"))
     rows = found.select("row", "same", F.col("doc.doc_id").alias("doc_id")).join(of_class, "same")
