@@ -55,13 +55,13 @@ def noisy(rng, line, n):
     return line
 
 
-@pytest.mark.parametrize("crowded", [50, 1])
-def test_report_equals_all_pairs(spark, crowded):
+@pytest.mark.parametrize(("crowded", "block"), [(50, 1500), (1, 1500), (0, 3)])
+def test_report_equals_all_pairs(spark, crowded, block):
     rng = random.Random(3)
     base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(8, 45))) for _ in range(12)]
     rows = [(i, "\n".join(noisy(rng, rng.choice(base), rng.randint(0, 4)) for _ in range(rng.randint(0, 5)))) for i in range(40)]
     rows += [(3, rows[3][1]), (None, base[0]), (60, None), (61, "\n\n"), (62, " \n \n"), (63, "y" * 3000 + "\n" + "y" * 3001 + "\n" + "y" * 3003)]
-    how = LineDedup(least_chars=12, crowded=crowded)
+    how = LineDedup(least_chars=12, crowded=crowded, block=block)
     docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, row int").coalesce(1)
     got = [(r.n_equal, r.n_near, r.dropped) for r in line_dedup.dropped_lines(docs.select("row", "doc_id", "text").withColumn("row", docs["row"].cast("long")), how).orderBy("row").collect()]
     assert got == plain(rows, how)

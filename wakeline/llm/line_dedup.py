@@ -8,8 +8,10 @@ Two lines within ``edits`` edits have at least one of ``edits + 1`` even segment
 in common, near its place. So every distinct line of ``least_chars`` or more is indexed by its segments
 (with its length and the segment's number) and probed by those substrings of it that can match a
 segment of a line of its own or a slightly lesser length; equal keys are candidates, verified by a
-banded bit-parallel edit distance. Keys under which many lines meet are refined by a second segment,
-of what is left of a line without the first, which every pair within ``edits`` must share as well.
+banded bit-parallel edit distance. Lines that meet under a crowded key are not paired by the join:
+they are dealt in blocks of bounded size, and each block of indexed lines meets each block of probes
+inside a task, where counts of characters rule out nearly all pairs before the distance is taken.
+Such a block tells which lines have an earlier one, a row for each at most.
 
 Defined results
     null text: one empty line; a null doc_id comes last in the order; repeated rows: later ones lose
@@ -37,7 +39,8 @@ from .text import LEADS, SOLID, Rolling, field, flat, mix, pieces
 class LineDedup:
     edits: int = 2
     least_chars: int = 20
-    crowded: int = 50  # index lines under one key, from which on it is refined
+    crowded: int = 30  # index lines under one key, above which they are compared in blocks
+    block: int = 1500  # lines of either kind in a block
     most_broadcast: int = 500_000  # keys sent to all tasks; more are joined by a shuffle
 
 
@@ -92,53 +95,108 @@ def _cuts(length: np.ndarray, edits: int, probe: bool) -> Iterator[tuple[np.ndar
                 yield (length >= shorter) & (size > 0) & (at >= 0) & (at + size <= length), at, size, i, length - shorter
 
 
-def _keys(lines: Lines, which: np.ndarray, how: LineDedup, probe: bool, crowded: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """``segment key, line key`` rows; with ``crowded`` keys given, the refined rows of just those."""
+def _keys(lines: Lines, which: np.ndarray, how: LineDedup, probe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Segment keys of the lines ``which``, and for each the place of its line there."""
     length, c0 = lines.chars[which], lines.c0[which]
-    k1 = lines.k1[which]
-    out, owner = [], []
+    out, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for ok, at, size, i, indexed in _cuts(length, how.edits, probe):
-        at, size, indexed, c, k = at[ok], size[ok], indexed[ok], c0[ok], k1[ok]
-        bytes_at = lambda place: lines.point[place]
-        key = mix(lines.rolling.of(bytes_at(c + at), bytes_at(c + at + size)) + mix(indexed.astype(np.uint64) * np.uint64(64) + np.uint64(i)))
-        if crowded is None:
-            out.append(key)
-            owner.append(k)
-            continue
-        hot = np.flatnonzero(np.isin(key, crowded))
-        for h in hot.tolist():
-            line = lines.data[bytes_at(c[h]) : bytes_at(c[h] + length[ok][h])].tobytes().decode("utf-8", "replace")
-            rest = line[: at[h]] + line[at[h] + size[h] :]
-            for fine, a, s, j, n in _cuts(np.array([len(rest)]), how.edits, probe):
-                if fine[0]:
-                    piece = rest[int(a[0]) : int(a[0] + s[0])].encode()
-                    inner = Rolling(np.frombuffer(piece, np.uint8)).of(np.array([0]), np.array([len(piece)]))
-                    out.append(mix(inner + mix(key[h : h + 1] + np.uint64(int(n[0]) * 64 + j))))
-                    owner.append(k[h : h + 1])
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, size, indexed, c = at[ok], size[ok], indexed[ok], c0[ok]
+        out.append(mix(lines.rolling.of(lines.point[c + at], lines.point[c + at + size]) + mix(indexed.astype(np.uint64) * np.uint64(64) + np.uint64(i))))
+        owner.append(np.flatnonzero(ok))
     return np.concatenate(out).view(np.int64), np.concatenate(owner)
 
 
-def segment_rows(texts: DataFrame, how: LineDedup, probe: bool, crowded=None) -> DataFrame:
-    """``seg, line`` of all lines long enough; a line that a task meets again is not repeated."""
+def _unmet(lines: Lines, how: LineDedup, met: set[int]) -> np.ndarray:
+    """Lines long enough that the task has not met before."""
+    which = []
+    for x in np.flatnonzero(lines.chars >= how.least_chars).tolist():
+        if (k := int(lines.k1[x])) not in met:
+            met.add(k)
+            which.append(x)
+    return np.array(which, np.int64)
+
+
+def segment_rows(texts: DataFrame, how: LineDedup, probe: bool) -> DataFrame:
+    """``seg, line`` of all lines long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
-        hot = None if crowded is None else np.sort(np.array(crowded.value, np.int64).view(np.uint64))
-        for part in pieces(batches, most=2 << 20):
+        for part in pieces(batches):
             lines = Lines(part.column("text"))
-            which = []
-            for x in np.flatnonzero(lines.chars >= how.least_chars).tolist():
-                if (k := int(lines.k1[x])) not in met:
-                    met.add(k)
-                    which.append(x)
-            seg, line = _keys(lines, np.array(which, np.int64), how, probe, hot)
-            yield pa.RecordBatch.from_arrays([pa.array(seg), pa.array(line)], names=["seg", "line"])
+            which = _unmet(lines, how, met)
+            seg, owner = _keys(lines, which, how, probe)
+            yield pa.RecordBatch.from_arrays([pa.array(seg), pa.array(lines.k1[which][owner])], names=["seg", "line"])
 
     return texts.mapInArrow(run, "seg long, line long")
 
 
+def crowded_rows(texts: DataFrame, how: LineDedup, crowded) -> DataFrame:
+    """``seg, probe, k1, k2, line`` of the lines under the broadcast keys, indexed and probing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        for part in pieces(batches):
+            lines = Lines(part.column("text"))
+            which = _unmet(lines, how, met)
+            data = lines.data.tobytes()
+            for probe in (False, True):
+                seg, owner = _keys(lines, which, how, probe)
+                hot = np.flatnonzero(np.isin(seg, crowded.value))
+                x = which[owner[hot]]
+                said = pa.array([data[b:e] for b, e in zip(lines.begin[x].tolist(), lines.end[x].tolist(), strict=True)], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(seg[hot]), pa.array(np.full(len(hot), probe)), pa.array(lines.k1[x]), pa.array(lines.k2[x]), said], names=["seg", "probe", "k1", "k2", "line"])
+
+    return texts.mapInArrow(run, "seg long, probe boolean, k1 long, k2 long, line string").groupBy("seg", "probe", "k1", "k2").agg(F.first("line").alias("line"))
+
+
+_COUNTERS = 61
+
+
+def _later(block: pa.Table, how: LineDedup) -> np.ndarray:
+    """Which rows of a block have an earlier line within the edits among the rows of the other kind."""
+    probe = block.column("probe").to_numpy()
+    k1, k2 = block.column("k1").to_numpy(), block.column("k2").to_numpy()
+    order = np.lexsort([block.column(c).to_numpy() for c in ("number", "row", "doc", "none")])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    said = block.column("line").to_pylist()
+    size = np.array([len(x) for x in said])
+    counts = np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) % _COUNTERS, minlength=_COUNTERS) for x in said]).astype(np.int32)
+    index, probes = np.flatnonzero(~probe), np.flatnonzero(probe)
+    later = np.zeros(len(said), bool)
+    for some in np.array_split(probes, max(1, len(probes) // 32)):
+        close = np.abs(size[some][:, None] - size[index][None, :]) <= how.edits
+        p, i = np.nonzero(close)
+        p, i = some[p], index[i]
+        for at in np.array_split(np.arange(len(p)), len(p) // 20_000 + 1):
+            x, y = p[at], i[at]
+            ok = (np.abs(counts[x] - counts[y]).sum(axis=1) <= 2 * how.edits) & ((k1[x] != k1[y]) | (k2[x] != k2[y]))
+            ok &= ~(later[np.where(rank[x] > rank[y], x, y)])
+            x, y = x[ok], y[ok]
+            if len(x):
+                near = within([said[a] for a in x.tolist()], [said[b] for b in y.tolist()], how.edits)
+                later[np.where(rank[x] > rank[y], x, y)[near]] = True
+    return later
+
+
+def later_in_crowds(rows: DataFrame, firsts: DataFrame, how: LineDedup) -> DataFrame:
+    """``k1, k2`` of the lines of ``crowded_rows`` that have an earlier one under one of their keys."""
+    rows = rows.join(firsts, ["k1", "k2"]).select("seg", "probe", "k1", "k2", "line", F.col("first.none").cast("int").alias("none"), F.coalesce("first.doc_id", F.lit(0)).alias("doc"), "first.row", "first.number")
+    rows = staged(rows, "crowded-lines")
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.count_if(c) / F.lit(how.block))).cast("int")
+    plan = rows.groupBy("seg").agg(blocks(~F.col("probe")).alias("ni"), blocks(F.col("probe")).alias("np"))
+    placed = rows.join(plan, "seg")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    slot = lambda n: F.pmod(F.xxhash64("k1", "k2"), F.col(n)).cast("int")
+    dealt = placed.filter("not probe").select(slot("ni").alias("i"), spread("np").alias("p"), *rows.columns).unionByName(placed.filter("probe").select(spread("ni").alias("i"), slot("np").alias("p"), *rows.columns))
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        return block.select(["k1", "k2"]).filter(pa.array(_later(block, how)))
+
+    return dealt.groupBy("seg", "i", "p").applyInArrow(run, "k1 long, k2 long").distinct()
+
+
 def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
     """Which pairs are within ``edits`` edits: one bit per diagonal of the band, one word per number of errors."""
     la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
@@ -198,32 +256,40 @@ def _meeting(index: DataFrame, probe: DataFrame) -> DataFrame:
     return index.join(probe.withColumnRenamed("line", "other"), "seg").filter("line <> other").select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct()
 
 
-def near_lines(texts: DataFrame, how: LineDedup) -> DataFrame:
-    """``a1, a2, b1, b2``: keys of all pairs of different lines within ``edits``."""
+def later_lines(texts: DataFrame, firsts: DataFrame, how: LineDedup) -> DataFrame:
+    """``k1, k2`` of the lines that have an earlier one within ``edits``; ``firsts``: where each line stands first."""
     spark = texts.sparkSession
     index, probe = segment_rows(texts, how, False).distinct(), segment_rows(texts, how, True)
-    sizes = staged(index.groupBy("seg").count().filter(F.col("count") > how.crowded).select("seg"), "crowded")
-    n_hot = sizes.count()
-    if n_hot and n_hot <= how.most_broadcast:
-        hot = spark.sparkContext.broadcast([r.seg for r in sizes.collect()])
-        pairs = _meeting(index.join(F.broadcast(sizes), "seg", "left_anti"), probe.join(F.broadcast(sizes), "seg", "left_anti"))
-        pairs = pairs.unionByName(_meeting(segment_rows(texts, how, False, hot).distinct(), segment_rows(texts, how, True, hot))).distinct()
-    else:
-        pairs = _meeting(index, probe)
+    sizes = staged(index.groupBy("seg").count().filter(F.col("count") > how.crowded), "crowded")
+    crowded, many = sizes.count(), how.crowded
+    while crowded > how.most_broadcast:
+        many *= 2
+        crowded = sizes.filter(F.col("count") > many).count()
+    if crowded:
+        sizes = sizes.filter(F.col("count") > many).select("seg")
+        hot = spark.sparkContext.broadcast(np.sort(sizes.toPandas()["seg"].to_numpy()))
+        apart = F.broadcast(sizes)
+        found = later_in_crowds(crowded_rows(texts, how, hot), firsts, how)
+        index, probe = index.join(apart, "seg", "left_anti"), probe.join(apart, "seg", "left_anti")
+    links = near_links(texts, _meeting(index, probe), how)
+    fa = firsts.toDF("a1", "a2", "fa")
+    fb = firsts.toDF("b1", "b2", "fb")
+    later = links.join(fa, ["a1", "a2"]).join(fb, ["b1", "b2"])
+    later = later.select(F.when(F.col("fa") < F.col("fb"), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2"))).otherwise(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2"))).alias("k")).select("k.*")
+    return (later.unionByName(found) if crowded else later).distinct()
+
+
+def near_links(texts: DataFrame, pairs: DataFrame, how: LineDedup) -> DataFrame:
+    """``a1, a2, b1, b2``: keys of those candidate pairs of lines that are within ``edits``."""
     pairs = staged(pairs, "line-pairs")
     keys = staged(pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct(), "line-keys")
     if keys.count() <= how.most_broadcast:
         keys = F.broadcast(keys)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[tuple[int, int]] = set()
         for part in pieces(batches):
             all_lines = Lines(part.column("text"))
-            which = []
-            for x in np.flatnonzero(all_lines.chars >= how.least_chars).tolist():
-                if (k := (int(all_lines.k1[x]), int(all_lines.k2[x]))) not in met:
-                    met.add(k)
-                    which.append(x)
+            which = np.flatnonzero(all_lines.chars >= how.least_chars)
             data = all_lines.data.tobytes()
             words = [data[b:e] for b, e in zip(all_lines.begin[which].tolist(), all_lines.end[which].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(all_lines.k1[which]), pa.array(all_lines.k2[which]), pa.array(words, pa.binary()).cast(pa.string())], names=["k1", "k2", "line"])
@@ -247,12 +313,7 @@ def dropped_lines(numbered: DataFrame, how: LineDedup = LineDedup()) -> DataFram
     lines = line_table(numbered)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "number")
     firsts = staged(lines.filter("number >= 0").groupBy("k1", "k2").agg(F.min(place).alias("first")), "first-lines")
-    near = staged(near_lines(numbered.select("text"), how), "near-lines")
-    fa = firsts.toDF("a1", "a2", "fa")
-    fb = firsts.toDF("b1", "b2", "fb")
-    later = near.join(fa, ["a1", "a2"]).join(fb, ["b1", "b2"])
-    later = later.select(F.when(F.col("fa") < F.col("fb"), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2"))).otherwise(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2"))).alias("k"))
-    later = later.select("k.*").distinct().withColumn("near", F.lit(True))
+    later = later_lines(numbered.select("text"), firsts, how).withColumn("near", F.lit(True))
     fate = staged(firsts.join(later, ["k1", "k2"], "left"), "fates")
     each = lines.filter("number >= 0").drop("lines").join(fate, ["k1", "k2"])
     equal = F.col("first.row").eqNullSafe(F.col("row")) & (F.col("first.number") == F.col("number"))
