@@ -125,9 +125,9 @@ class Index:
                 whole = whole[here[whole + n] - here[whole] >= self.least(n)]
                 for at in np.array_split(whole, max(1, -(-len(whole) * max(n, len(rows)) // 2_000_000))):
                     found += self._verified(at, n, grams, ids, rows, prints, counts, text_of, bounds, size)
-        if not found:
-            return np.zeros((0, 5))
-        rows = np.concatenate(found)
+        rows = np.concatenate([np.zeros((0, 5)), *found])
+        if not len(rows):
+            return rows
         rows = rows[np.lexsort((rows[:, 2], -rows[:, 4], rows[:, 1], rows[:, 0]))]
         return rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])]
 

@@ -74,7 +74,7 @@ def field(batch: pa.RecordBatch, column: str) -> pa.Array:
     return batch.column(name).field(inner) if inner else batch.column(name)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], *columns: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], *columns: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of batches with at most ``most`` bytes in the given columns (``text``), or one row."""
     for batch in batches:
         offsets = sum(flat(field(batch, c))[0] for c in columns or ("text",))
@@ -135,7 +135,7 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     factor = np.uint64(_STEP)
     padded = np.concatenate([words, np.zeros(k, np.uint64)])
     for j in range(k):
-        out = out * factor + np.where(room > j, padded[at + j], np.uint64(0))
+        out = np.where(room > j, out * factor + padded[at + j], out)
     return mix(out), bounds
 
 
