@@ -5,11 +5,13 @@ import random
 import re
 import string
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wakeline.llm import chat, license_scan, url_filter
+from wakeline.llm import chat, license_scan, queries, url_filter
 from wakeline.llm.components import components
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -95,6 +97,10 @@ def test_urls(spark):
         host, path, rule = next(plain_rule(u) for i, u, _ in pages if i == r.page_id)
         assert (r.host, r.path) == (host, path)
         assert (r.rule, r.verdict) == (rule if rule else (None, method[r.page_id]))
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(pages, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"}))
+    said = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.oracle_sql()['op3_url_filter']})").fetchall()
+    assert sorted(map(str, said)) == sorted(str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in got)
     assert url_filter.filter_urls(df.limit(0), url_filter.rule_table(df, RULES)).count() == 0
 
 

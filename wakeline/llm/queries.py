@@ -97,5 +97,40 @@ FROM t GROUP BY conv_id
 """
 
 
+OP3_SQL = r"""
+WITH RECURSIVE rules(verdict, rule) AS (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')),
+cut AS (SELECT verdict, rule, split_part(rule, '/', 1) AS rh, substr(rule, length(split_part(rule, '/', 1)) + 1) AS rp FROM rules),
+base AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT *, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail FROM base),
+page AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN tail = '' THEN '/' ELSE tail END END AS node FROM p),
+tags AS (SELECT host, node, list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical\b'))[1] AS c,
+           list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b'))[1] AS r FROM page),
+hrefs AS (SELECT host, node, regexp_extract(c, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS href FROM tags UNION ALL SELECT host, node, regexp_extract(r, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM tags),
+full_ AS (SELECT node, CASE WHEN h LIKE '//%' THEN 'x:' || h WHEN h LIKE '/%' THEN 'x://' || host || h ELSE h END AS url FROM (SELECT *, replace(href, '&amp;', '&') AS h FROM hrefs) WHERE h <> ''),
+dst AS (SELECT node, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail
+        FROM (SELECT node, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM full_)),
+one AS (SELECT node AS a, host || CASE WHEN tail = '' THEN '/' ELSE tail END AS b FROM dst WHERE host <> '' AND node IS NOT NULL),
+edge AS (SELECT a, b FROM one UNION SELECT b, a FROM one),
+reach AS (SELECT a, a AS b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+place AS (SELECT DISTINCT host, path FROM page WHERE host <> '' UNION SELECT regexp_extract(a, '^([^/?#]*)', 1), regexp_extract(a, '^[^/?#]*([^?#]*)', 1) FROM edge),
+own AS (SELECT host, path, rule, verdict FROM place JOIN cut ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+        QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY length(rule) DESC, verdict) = 1),
+passed AS (SELECT a AS node, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS inherited FROM reach
+           JOIN own ON host = regexp_extract(b, '^([^/?#]*)', 1) AND path = regexp_extract(b, '^[^/?#]*([^?#]*)', 1) GROUP BY a)
+SELECT page_id, page.host, page.path, rule, coalesce(verdict, inherited, 'allow') AS verdict
+FROM page LEFT JOIN own ON page.host = own.host AND page.path = own.path LEFT JOIN passed ON page.node = passed.node
+"""
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+k AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS n, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS keeper FROM p)
+SELECT page_id, n AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
+FROM k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL}
+    return {"op1_chat_format": OP1_SQL, "op3_url_filter": OP3_SQL, "op5_warc": OP5_SQL}
