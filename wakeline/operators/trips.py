@@ -87,18 +87,18 @@ def define_trips_pol(df: DataFrame, min_dur: float = 0.5, max_dur: float = 72.0,
     return out if preserve_all else out.filter("trip_id is not null")
 
 
-def trips_cumulative(df: DataFrame) -> DataFrame:
+def trips_cumulative(df: DataFrame, prefix: int = 5) -> DataFrame:
     """``trip``: for pings at sea the number of pings in harbour before them in the whole table, by vessel and time; 1 in harbour.
 
     Vessels' totals are summed up over blocks of vessels first, so no table-wide window is needed: a
-    vessel's offset is its block's plus that within the block.
+    vessel's offset is its block's plus that within the block. A block is the vessels whose ids begin
+    alike, which keeps their order.
     """
-    inside = df.groupBy("vessel_id").agg(F.sum("SI_HARB").alias("n"))
-    ranged = inside.repartitionByRange("vessel_id").sortWithinPartitions("vessel_id").withColumn("part", F.spark_partition_id())
-    blocks = ranged.groupBy("part").agg(F.sum("n").alias("n"))
+    inside = df.groupBy("vessel_id").agg(F.sum("SI_HARB").alias("n")).withColumn("part", F.substring("vessel_id", 1, prefix))
+    blocks = inside.groupBy("part").agg(F.sum("n").alias("n"))
     before = blocks.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row per block
     inner = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("vessel_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = ranged.withColumn("inner", inner).join(before, "part").select("vessel_id", (F.col("inner") + F.col("base")).alias("_base"))
+    offsets = inside.withColumn("inner", inner).join(before, "part").select("vessel_id", (F.col("inner") + F.col("base")).alias("_base"))
     d = df.withColumn("_own", F.sum("SI_HARB").over(so_far())).join(offsets, "vessel_id")
     return d.withColumn("trip", F.when(F.col("SI_HARB") == 1, F.lit(1)).otherwise(F.col("_base") + F.col("_own")).cast("long")).drop("_own", "_base")
 
