@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .text import ALNUM, LOWER, Rolling, Spans, flat, pieces, shingles
 
 RADIUS, BLOCKS, SPARE = 23, 8, 2
@@ -161,7 +162,7 @@ class Index:
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list, list]]:
     """Item ids and texts, at most about ``block_bytes`` of text at a time."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = lean(benchmark).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // block_bytes)
     for b in range(n):

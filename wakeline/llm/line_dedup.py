@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import staged
+from .shared import lean, staged
 from .text import LEADS, SOLID, Rolling, field, flat, mix, pieces
 
 
@@ -310,7 +310,7 @@ def near_links(texts: DataFrame, pairs: DataFrame, how: LineDedup) -> DataFrame:
 
 def dropped_lines(numbered: DataFrame, how: LineDedup = LineDedup()) -> DataFrame:
     """``row, doc_id, text`` to ``row, doc_id, n_lines, n_equal, n_near, dropped`` (array of line numbers), a row per row."""
-    lines = line_table(numbered)
+    lines = line_table(lean(numbered))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "number")
     firsts = staged(lines.filter("number >= 0").groupBy("k1", "k2").agg(F.min(place).alias("first")), "first-lines")
     later = later_lines(numbered.select("text"), firsts, how).withColumn("near", F.lit(True))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import staged
+from .shared import lean, staged
 from .text import ALNUM, LOWER, Rolling, Spans, field, flat, mix, occurrence, pieces, shingles
 
 
@@ -141,7 +141,7 @@ def _increasing(values: np.ndarray) -> int:
 
 def sketched(documents: DataFrame, how: OrderMinHash = OrderMinHash()) -> DataFrame:
     """``row, doc`` (all columns of the input), ``same`` (hash of the words), ``n`` shingles, ``sketch``; written out."""
-    source = documents.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"))
+    source = lean(documents).select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"))
     schema = T.StructType([*source.schema.fields, T.StructField("same", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import lean, staged
 from .text import flat, pieces
 
 # --- tokens ------------------------------------------------------------------
@@ -272,7 +272,7 @@ def cut_texts(documents: DataFrame, tokenizer: str, window: int, end: int) -> Da
                 names=["doc_id", "start", "length", "ids", "doc_tokens", "task", "nth"],
             )
 
-    return staged(documents.select("doc_id", "text").mapInArrow(run, PIECE), "token-pieces")
+    return staged(lean(documents).select("doc_id", "text").mapInArrow(run, PIECE), "token-pieces")
 
 
 def pack_documents(documents: DataFrame, tokenizer: str, window: int = 1024, end: int = 0) -> DataFrame:

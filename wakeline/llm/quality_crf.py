@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import lean, staged
 from .text import LEADS, LOWER, SOLID, Rolling, Spans, flat, occurrence, pieces
 
 _B = np.arange(256)
@@ -174,7 +174,7 @@ def trained(documents: DataFrame, labels: DataFrame, how: Training = Training())
                 names=["h", "quality", "lines", "x"],
             )
 
-    known = staged(documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(run, "h long, quality int, lines long, x binary"), "training-lines")
+    known = staged(lean(documents).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(run, "h long, quality int, lines long, x binary"), "training-lines")
     size = known.select("h", "lines", "quality").toPandas().sort_values("h")
     if not len(size):
         return None, 1.0

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import lean, staged
 from .text import LEADS, SOLID, Rolling, Spans, flat, occurrence, pieces, shingles, sums
 
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -70,7 +70,7 @@ def rule_stats(documents: DataFrame) -> DataFrame:
             found = text_stats(*flat(part.column("text")))
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(x, pa.int64()) for x in found)], schema=schema)
 
-    return documents.select("doc_id", "text").mapInArrow(run, STATS)
+    return lean(documents).select("doc_id", "text").mapInArrow(run, STATS)
 
 
 def features(words, chars, symbols, lines, repeats) -> np.ndarray:

@@ -35,6 +35,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are small: each task holds one on either side of its Python worker.
+
+    Batches of whole texts are cut smaller in tasks anyway; a lower limit set by the user stays.
+    """
+    key, most = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+    conf = df.sparkSession.conf
+    if int(conf.get(key)) <= 0 or int(conf.get(key)) > most:
+        conf.set(key, str(most))
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m") in ("64m", "67108864", "67108864b"):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch folder that no later step reads."""
     jvm = spark._jvm

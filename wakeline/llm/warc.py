@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from .shared import scratch
+from .shared import lean, scratch
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, headers map<string,string>, payload binary"
 #: Columns that are headers, and so can be judged before a payload is read.
@@ -327,7 +327,7 @@ def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 def write_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     register(pages.sparkSession)
-    deduplicated(pages, least_bytes).write.format("warc").mode("append").save(path)
+    deduplicated(lean(pages), least_bytes).write.format("warc").mode("append").save(path)
 
 
 def _page(col: str):
