@@ -69,7 +69,7 @@ class Tokens:
 
     _kept: dict[str, Tokens] = {}
 
-    def __init__(self, path: str, remembered: int = 500_000):
+    def __init__(self, path: str, remembered: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
