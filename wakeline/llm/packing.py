@@ -69,7 +69,7 @@ class Tokens:
 
     _kept: dict[str, Tokens] = {}
 
-    def __init__(self, path: str, remembered: int = 150_000):
+    def __init__(self, path: str, remembered: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -77,9 +77,10 @@ class Tokens:
         self.remembered, self.known = remembered, {}
 
     @classmethod
-    def of(cls, path: str) -> Tokens:
+    def of(cls, path: str, remembered: int = 500_000) -> Tokens:
         if path not in cls._kept:
             cls._kept[path] = cls(path)
+        cls._kept[path].remembered = remembered
         return cls._kept[path]
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,14 +243,14 @@ def plan(histogram: dict[int, int], window: int, patterns: int = 4096) -> tuple[
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, task long, nth long"
 
 
-def cut_texts(documents: DataFrame, tokenizer: str, window: int, end: int) -> DataFrame:
+def cut_texts(documents: DataFrame, tokenizer: str, window: int, end: int, remembered: int = 500_000) -> DataFrame:
     """Full windows and rests with their ids (two bytes each where the vocabulary allows), written out.
 
     ``nth``: a rest's rank among those of its length that the same ``task`` made.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, task = Tokens.of(tokenizer), TaskContext.get().partitionId()
+        tokens, task = Tokens.of(tokenizer, remembered), TaskContext.get().partitionId()
         wide = np.uint16 if tokens.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         made: dict[int, int] = defaultdict(int)
         for part in pieces(batches):
@@ -275,13 +276,14 @@ def cut_texts(documents: DataFrame, tokenizer: str, window: int, end: int) -> Da
     return staged(lean(documents).select("doc_id", "text").mapInArrow(run, PIECE), "token-pieces")
 
 
-def pack_documents(documents: DataFrame, tokenizer: str, window: int = 1024, end: int = 0) -> DataFrame:
+def pack_documents(documents: DataFrame, tokenizer: str, window: int = 1024, end: int = 0, remembered: int = 500_000) -> DataFrame:
     """``doc_id, start, length, ids array<int>-bytes, doc_tokens, sequence_id, offset``: a row per piece.
 
-    ``ids``: the piece's ids, unsigned little-endian 32-bit.
+    ``ids``: the piece's ids, unsigned little-endian 32-bit. ``remembered``: distinct chunks whose ids a
+    worker keeps; fewer take less memory and more time.
     """
     spark = documents.sparkSession
-    made = cut_texts(documents, tokenizer, window, end)
+    made = cut_texts(documents, tokenizer, window, end, remembered)
     rests = made.filter(F.col("length") < window)
     by_task = staged(rests.groupBy("length", "task").agg(F.count("*").alias("n")), "rest-counts")
     histogram = {int(r.length): int(r.n) for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most window - 1 rows
