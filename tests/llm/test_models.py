@@ -128,6 +128,37 @@ def test_classifier_on_held_out_rows(spark):
     assert quality_crf.score_quality(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_line_share_is_the_largest_that_fits():
+    rng = np.random.default_rng(5)
+    for most in (1, 7, 40, 200, 10_000):
+        lines = rng.integers(1, 60, 20)
+        fits = [c for c in range(1, 61) if np.minimum(lines, c).sum() <= most] or [1]
+        assert np.minimum(lines, quality_crf.line_share(lines, most)).sum() == np.minimum(lines, max(fits)).sum()
+    assert quality_crf.line_share(np.array([5, 10**9]), 100) == 95
+
+
+def test_one_long_text_does_not_end_the_training_draw(spark):
+    rows = good_and_bad(400, 4)
+    drawn = spark.createDataFrame([(i,) for i, *_ in rows], "doc_id long").filter(~quality_crf.is_held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).first()[0]
+    whole = {i: [t] for i, t, _ in rows} | {drawn: ["\n".join(["Many plain words here."] * 3000)]}
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    how = quality_crf.Training(lines=1500)
+    docs = spark.createDataFrame([(i, t) for i, ts in whole.items() for t in ts], "doc_id long, text string")
+    assert quality_crf.trained(docs, labels, how)[0] is not None
+    got = {r.doc_id: r for r in quality_crf.score_quality(docs, labels, how=how).collect()}
+    assert np.mean([got[i].predicted == q for i, _, q in rows if got[i].held_out]) > 0.95
+
+
+def test_repeated_doc_id_trains_once(spark):
+    rows = good_and_bad(200, 6)
+    again = next(i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    more = docs.unionByName(spark.createDataFrame([(again, rows[again][1])] * 300 + [(again, ""), (again, None)], docs.schema))
+    (a, share), (b, other) = quality_crf.trained(docs, labels), quality_crf.trained(more, labels)
+    assert share == other and np.allclose(a.weights, b.weights) and np.allclose(a.pairs, b.pairs)
+
+
 def test_chain_equals_all_label_sequences():
     rng = np.random.default_rng(0)
     chain = quality_crf.Chain(rng.normal(size=3), rng.normal(size=(2, 2)))

@@ -2,13 +2,15 @@
 
 Every line with a word is good (1) or bad (0). Its features are rates of its own characters and
 words and those of the lines beside it; neighbouring labels are tied by transition weights. Training
-gives each line its document's label. A document's score is the mean of its lines' marginal
-probabilities of good, weighted by their lengths; forward-backward passes run over all documents
-of a slice of the input at once.
+gives each line its document's label. Every drawn document takes part: where their lines are more
+than the fit can hold, all give up to the same number, a long one a run of its lines. A document's
+score is the mean of its lines' marginal probabilities of good, weighted by their lengths;
+forward-backward passes run over all documents of a slice of the input at once.
 
 Defined results
     null, empty or wordless text: the training rows' share of good documents; texts are scored
-    whole; a null doc_id is scored, not held out; repeated rows give repeated rows; a document with
+    whole; a null doc_id is scored, not held out; repeated rows give repeated rows; a doc_id trains
+    with one of its rows (of those with a word, the lowest by the text's hash); a document with
     several labels counts with the lowest; without labels of both kinds every score is that share
     (1.0 without any label); an empty table gives no rows; other columns are ignored.
 """
@@ -35,7 +37,7 @@ _OWN = 12  # features of a line itself
 
 @dataclass(frozen=True)
 class Training:
-    """What bounds the fit: at most ``rows`` labelled documents, in hash order, of at most ``lines`` lines in all."""
+    """What bounds the fit: at most ``rows`` labelled documents, in hash order, of at most ``lines`` lines in all (or one of each)."""
 
     rows: int = 4000
     lines: int = 100_000
@@ -160,29 +162,48 @@ def is_held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
+def line_share(lines: np.ndarray, most: int) -> int:
+    """How many lines each text may give so that all together give at most ``most``; one at least."""
+    n = np.sort(lines)
+    if n.sum() <= most:
+        return max(1, int(n.max(initial=0)))
+    share = (most - (np.cumsum(n) - n)) // np.arange(len(n), 0, -1)
+    return max(1, int(share[np.argmax(share < n)]))
+
+
 def trained(documents: DataFrame, labels: DataFrame, how: Training = Training()) -> tuple[Chain | None, float]:
     """The chain and the share of good rows, from labelled rows that are not held out."""
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~is_held_out(F.col("doc_id"), how.folds))
     rows = rows.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     drawn = rows.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(how.rows)
 
+    worded = F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
+    found = lean(documents).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    one = found.groupBy("doc_id", "h", "quality").agg(F.min_by("text", F.struct(~worded, F.xxhash64("text"))).alias("text"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
             x, _, first = line_features(*flat(part.column("text")))
+            n = np.diff(first)
+            held = np.minimum(n, how.lines)
+            begin = first[:-1] + part.column("h").to_numpy() % (n - held + 1)
             yield pa.RecordBatch.from_arrays(
-                [part.column("h"), part.column("quality"), pa.array(np.diff(first), pa.int64()), pa.array([x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())],
+                [part.column("h"), part.column("quality"), pa.array(n, pa.int64()), pa.array([x[a : a + m].tobytes() for a, m in zip(begin, held, strict=True)], pa.binary())],
                 names=["h", "quality", "lines", "x"],
             )
 
-    known = staged(lean(documents).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(run, "h long, quality int, lines long, x binary"), "training-lines")
-    size = known.select("h", "lines", "quality").toPandas().sort_values("h")
+    known = staged(one.select("h", "quality", "text").mapInArrow(run, "h long, quality int, lines long, x binary"), "training-lines")
+    size = known.select("lines", "quality").toPandas()
     if not len(size):
         return None, 1.0
     share = float((size["quality"] == 1).mean())
-    within = size[(size["lines"].cumsum() <= how.lines) & (size["lines"] > 0)]
-    if within["quality"].nunique() < 2:
+    size = size[size["lines"] > 0]
+    if size["quality"].nunique() < 2:
         return None, share
-    got = known.filter((F.col("h") <= int(within["h"].max())) & F.col("lines").between(1, how.lines)).toPandas().sort_values(["h", "lines"], kind="stable")
+    held = F.least("lines", F.lit(how.lines))
+    given = F.least("lines", F.lit(min(line_share(size["lines"].to_numpy(), how.lines), how.lines)))
+    run_of = F.substring("x", (F.pmod("h", held - given + 1) * 8 * N_FEATURES + 1).cast("int"), (given * 8 * N_FEATURES).cast("int"))
+    got = known.filter("lines > 0").select("h", "quality", given.alias("lines"), run_of.alias("x")).toPandas().sort_values("h", kind="stable")
     x = np.concatenate([np.frombuffer(b, np.float64).reshape(-1, N_FEATURES) for b in got["x"]])
     return fit(x, np.concatenate([[0], np.cumsum(got["lines"])]), (got["quality"] == 1).to_numpy(), how), share
 
