@@ -27,6 +27,18 @@ def test_query_agrees_with_sql(spark, name):
     assert got == sorted(tuple(text(v) for v in r) for r in cursor.fetchall())
 
 
+def test_trip_covariates_keep_every_usable_ping(spark):
+    p = queries.QUERIES["f3_dedupe_first"](spark, SF).select("rec_id")
+    usable = queries.QUERIES["pings"](spark, SF).join(p, "rec_id").filter("speed IS NOT NULL AND course <= 360 AND behaviour IS NOT NULL")
+    got = queries.QUERIES["b9_trip_covariates"](spark, SF).collect()
+    assert sorted(r.rec_id for r in got) == sorted(r.rec_id for r in usable.collect())
+    trips = {}
+    for r in got:
+        trips[r.trip_id] = trips.get(r.trip_id, 0) + 1
+    for r in got:
+        assert [r[f"dist_neighbour_{i}"] is not None for i in range(1, 10)] == [i < trips[r.trip_id] for i in range(1, 10)]
+
+
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 

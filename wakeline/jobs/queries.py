@@ -373,7 +373,7 @@ on_once("b5_hmm_step_turn", lambda p: behaviour.hmm_step_turn(p).select("rec_id"
 on_once("b6_binary_clusters", lambda p: behaviour.binary_clusters(p).select("rec_id", "cluster"))
 on_once("b7_model_params_long", lambda p: behaviour.model_params_long(behaviour.mixture_params(p)))
 on_once("b8_knn_distances", lambda p: covariates.knn_distances(p.withColumn("trip_id", F.concat_ws("_", "vessel_id", F.dayofmonth("time_stamp").cast("string")))).select("rec_id", *[f"dist_neighbour_{i}" for i in range(1, 10)]))
-add("b9_trip_covariates", lambda s, d: workflows.features(s, d).select("rec_id", "trip_id", *workflows.FEATURES))
+add("b9_trip_covariates", lambda s, d: workflows.covariate_table(s, d).select("rec_id", "trip_id", *workflows.COVARIATES))
 
 # Models.
 FOLD_SQL = """keys AS (SELECT DISTINCT vessel_id FROM pings), ranked AS (SELECT vessel_id, row_number() OVER (ORDER BY md5(vessel_id || '|1'), vessel_id) - 1 AS r, count(*) OVER () AS n FROM keys),

@@ -33,10 +33,18 @@ def day_trips(spark: SparkSession, sf_dir: str, vmax: float = 25.0) -> DataFrame
 FEATURES = ["speed", "course", "heading_deg", "abs_heading_change", "acceleration", "dist_neighbour_1", "dist_neighbour_2", "dist_neighbour_3"]
 
 
+COVARIATES = [*FEATURES[:5], *[f"dist_neighbour_{i}" for i in range(1, 10)]]
+
+
+def covariate_table(spark: SparkSession, sf_dir: str, k: int = 9) -> DataFrame:
+    """Covariates of all usable pings of each vessel's days; null where a day has too few neighbours."""
+    p = clean.dedupe_time(tables.pings(spark, sf_dir)).withColumn("trip_id", F.concat_ws("_", "vessel_id", F.dayofmonth("time_stamp").cast("string")))
+    return covariates.trip_covariates(p, k)
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Covariates of the pings of each vessel's days that have enough neighbours."""
-    p = clean.dedupe_time(tables.pings(spark, sf_dir)).withColumn("trip_id", F.concat_ws("_", "vessel_id", F.dayofmonth("time_stamp").cast("string")))
-    return clean.complete_cases(covariates.trip_covariates(p, 3), FEATURES)
+    return clean.complete_cases(covariate_table(spark, sf_dir, 3), FEATURES)
 
 
 def behaviour_folds(spark: SparkSession, sf_dir: str, trees: int = 20) -> DataFrame:
