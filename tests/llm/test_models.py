@@ -64,6 +64,26 @@ def test_leaks_equal_all_windows(spark):
     assert decontaminate.find_leaks(frame, bench.limit(0)).count() == 0 and decontaminate.find_leaks(frame.limit(0), bench).count() == 0
 
 
+def test_texts_shorter_than_an_item_are_compared_whole(spark):
+    rng = random.Random(3)
+    items = [(i, " ".join(f"t{rng.randrange(60)}" for _ in range(rng.randint(5, 60)))) for i in range(10)] + [(20, "one two three four"), (21, "a b " * 12)]
+    docs = []
+    for _, item in items:
+        w = words_of(item)
+        docs += [w[1:], w[:-1], w[: len(w) // 2] + w[len(w) // 2 + 1 :], w[: int(len(w) * 0.85)], w[: len(w) * 2 // 3], w[:4]]
+    docs = [(d, " ".join(w)) for d, w in enumerate(docs)]
+    expected = plain_leaks(docs, items)
+    for (d, text), (i, item) in itertools.product(docs, items):
+        a, b = grams(words_of(text)), grams(words_of(item))
+        if len(words_of(text)) < len(words_of(item)) and a and sum((a & b).values()) / sum((a | b).values()) >= 0.8:
+            expected.add((d, i, 0, len(words_of(text)), round(sum((a & b).values()) / sum((a | b).values()), 9)))
+    assert len(expected) > 20
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.start_word, r.n_words, round(r.similarity, 9)) for r in decontaminate.find_leaks(frame, bench).collect()}
+    assert got == expected
+    assert {r.doc_id for r in decontaminate.decontaminated(frame, bench).collect()} == {d for d, _ in docs} - {d for d, *_ in expected}
+
+
 def test_archive_round_trip(spark):
     pages = [(i, f"http://h/{i}", "<p>é" + "x" * (i % 4) * 50) for i in range(40)] + [(50, None, None), (51, "http://a b\r\nX: y", ""), (52, "u", "z" * 300_000), (None, "n", "once"), (53, "u", "once"), (53, "u", "once")]
     df = spark.createDataFrame([(*p, "d") for p in pages], "page_id long, url string, html string, digest string").repartition(3)

@@ -10,6 +10,9 @@ Windows in which too few shingles occur anywhere in the benchmark to reach the s
 item at all are not fingerprinted; that loses none. (At the similarity of 0.8 the expected
 distance is under 10 bits, 23 is more than four deviations off.)
 
+A text of fewer words than an item (but five or more) is compared with it as a whole, by counting the
+shingles that they share; only items of so many shingles that the similarity can be reached count.
+
 Nothing is shuffled: the index goes to every task. It is built from at most ``block_bytes`` of
 benchmark text at a time; a larger benchmark is split by item and its blocks scanned one after
 another.
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import lean
-from .text import ALNUM, LOWER, Rolling, Spans, flat, pieces, shingles
+from .text import ALNUM, LOWER, Rolling, Spans, flat, pieces, shingles, sums
 
 RADIUS, BLOCKS, SPARE = 23, 8, 2
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -84,6 +87,12 @@ class Index:
             prints = np.stack([_fingerprints(_planes(grams[bounds[r] : bounds[r + 1]]).sum(axis=0, keepdims=True))[0] for r in rows])
             counts = [dict(zip(*(x.tolist() for x in np.unique(i, return_counts=True)), strict=True)) for i in ids]
             self.sizes[int(size)] = (rows, prints, counts)
+        # For each shingle the items of k words or more that hold it, and how often.
+        held = [(r, i, c) for size, (rows, _, counts) in self.sizes.items() if size >= k for r, count in zip(rows, counts, strict=True) for i, c in count.items()]
+        held = np.array(held, np.int64).reshape(-1, 3)
+        held = held[np.argsort(held[:, 1], kind="stable")]
+        self.held, self.held_from = held[:, [0, 2]], np.searchsorted(held[:, 1], np.arange(len(self.known) + 1))
+        self.n_grams = np.diff(bounds)
         self.table = np.zeros(1 << 20, bool)
         self.table[self.known & np.uint64(len(self.table) - 1)] = True
 
@@ -126,12 +135,36 @@ class Index:
                 whole = whole[here[whole + n] - here[whole] >= self.least(n)]
                 for at in np.array_split(whole, max(1, -(-len(whole) * max(n, len(rows)) // 2_000_000))):
                     found += self._verified(at, n, grams, ids, rows, prints, counts, text_of, bounds, size)
+            if k == self.k:
+                found += self._shorter(ids, first, bounds)
         rows = np.concatenate([np.zeros((0, 5)), *found])
         if not len(rows):
             return rows
         rows = rows[np.lexsort((rows[:, 2], -rows[:, 4], rows[:, 1], rows[:, 0]))]
         return rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])]
 
+    def _shorter(self, ids: np.ndarray, first: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        """Whole texts on items of more words."""
+        found = []
+        words, n = np.diff(first), np.diff(bounds)
+        enough = sums(ids >= 0, bounds) >= np.ceil(2 * self.similarity / (1 + self.similarity) * n - 1e-9)
+        for t in np.flatnonzero(enough & (words >= self.k) & (words < max(self.sizes))):
+            own, often = np.unique(ids[bounds[t] : bounds[t + 1]], return_counts=True)
+            own, often = own[own >= 0], often[own >= 0]
+            if not len(own):
+                continue
+            held = np.concatenate([self.held[a:b] for a, b in zip(self.held_from[own], self.held_from[own + 1], strict=True)])
+            least = np.minimum(held[:, 1], np.repeat(often, self.held_from[own + 1] - self.held_from[own]))
+            size = self.n_grams[held[:, 0]]
+            longer = (size > n[t]) & (size * self.similarity <= n[t] + 1e-9)
+            item, of = np.unique(held[longer, 0], return_inverse=True)
+            shared = np.bincount(of, least[longer], minlength=len(item))
+            similarity = shared / (n[t] + self.n_grams[item] - shared)
+            near = similarity >= self.similarity - 1e-12
+            m = int(near.sum())
+            found.append(np.stack([np.full(m, t), item[near], np.zeros(m), np.full(m, words[t]), similarity[near]], axis=1).astype(np.float64))
+        return found
+
     def _verified(self, at, n, grams, ids, rows, prints, counts, text_of, bounds, size) -> list[np.ndarray]:
         if not len(at):
             return []
