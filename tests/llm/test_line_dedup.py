@@ -67,6 +67,34 @@ def test_report_equals_all_pairs(spark, crowded, block):
     assert got == plain(rows, how)
 
 
+@pytest.mark.parametrize("crowded", [0, 2])
+def test_crowded_keys_with_unlike_rests(spark, crowded):
+    """Templated lines share a segment and little else; near copies of one line settle; finer keys find the rest."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    head = "posted by the editor on "
+    lines = [head + word(24) + word(24) for _ in range(40)]
+    lines += [noisy(rng, rng.choice(lines), rng.randint(1, 3)) for _ in range(60)]
+    lines += [noisy(rng, lines[0], 1) for _ in range(40)]
+    rng.shuffle(lines)
+    rows = [(i // 2, line) for i, line in enumerate(lines)]
+    how = LineDedup(crowded=crowded, block=7)
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, row long")
+    got = [(r.n_equal, r.n_near, r.dropped) for r in line_dedup.dropped_lines(docs, how).orderBy("row").collect()]
+    assert got == plain(rows, how)
+
+
+def test_a_large_group_of_near_copies(spark):
+    rng = random.Random(7)
+    base = "every reader of this page will find the same line below it, and no other one near"
+    lines = {base: None}
+    while len(lines) < 5000:
+        lines[noisy(rng, base, rng.randint(1, 2))] = None
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    got = line_dedup.line_report(docs.repartition(4)).collect()
+    assert {r.doc_id for r in got if not r.dropped} == {0}
+
+
 def test_texts_keep_what_stays(spark):
     docs = spark.createDataFrame([(1, "one line of words\nanother line", 5, "a"), (2, "one line of words\nown", 5, "b"), (3, "one line of words", 5, "c"), (4, "", 0, "d"), (5, None, None, "e")], "doc_id long, text string, n_chars long, dropped string")
     got = {r.doc_id: (r.text, r.n_chars, r.dropped) for r in line_dedup.without_repeated_lines(docs).collect()}

@@ -8,10 +8,15 @@ Two lines within ``edits`` edits have at least one of ``edits + 1`` even segment
 in common, near its place. So every distinct line of ``least_chars`` or more is indexed by its segments
 (with its length and the segment's number) and probed by those substrings of it that can match a
 segment of a line of its own or a slightly lesser length; equal keys are candidates, verified by a
-banded bit-parallel edit distance. Lines that meet under a crowded key are not paired by the join:
-they are dealt in blocks of bounded size, and each block of indexed lines meets each block of probes
-inside a task, where counts of characters rule out nearly all pairs before the distance is taken.
-Such a block tells which lines have an earlier one, a row for each at most.
+banded bit-parallel edit distance.
+
+A key that more than ``crowded`` lines are indexed by makes no pairs, so a probe meets at most that
+many lines. Its lines are compared with the earliest of them, which settles near copies of one line in
+a row each. For those still open the key is refined: outside the segment that two lines share they
+differ by ``edits`` at most, so the rest of each is cut into segments and probed in the same way.
+Refined keys that are crowded are settled by their earliest line too, and what is open then is
+compared in blocks of bounded size inside tasks, open lines with all, where lengths and counts of
+characters rule out nearly all pairs before the distance is taken.
 
 Defined results
     null text: one empty line; a null doc_id comes last in the order; repeated rows: later ones lose
@@ -39,15 +44,30 @@ from .text import LEADS, SOLID, Rolling, field, flat, mix, pieces
 class LineDedup:
     edits: int = 2
     least_chars: int = 20
-    crowded: int = 30  # index lines under one key, above which they are compared in blocks
-    block: int = 1500  # lines of either kind in a block
+    crowded: int = 8  # indexed lines under one key, above which they are not paired
+    block: int = 1500  # lines on either side of a block
     most_broadcast: int = 500_000  # keys sent to all tasks; more are joined by a shuffle
 
+    def __post_init__(self) -> None:
+        if self.least_chars < 4 * (self.edits + 1):
+            raise ValueError("lines must be four times as long as they have segments")
+
+
+class Strings:
+    """Whole strings as byte and code point ranges with their rolling hash."""
+
+    def __init__(self, texts: pa.Array):
+        offsets, self.data = flat(texts)
+        self.rolling = Rolling(self.data)
+        self.point = np.append(np.flatnonzero(LEADS[self.data]), len(self.data))
+        at = np.searchsorted(self.point, offsets)
+        self.c0, self.chars = at[:-1], np.diff(at)
+
 
 class Lines:
     """The lines of some texts that have a word: text, number, byte and code point ranges, keys."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, whole_key: bool = True):
         offsets, data = flat(texts)
         self.data, n = data, len(offsets) - 1
         breaks = np.flatnonzero(data == 0x0A)
@@ -63,9 +83,9 @@ class Lines:
         self.rolling = Rolling(data)
         key = self.rolling.of(self.begin, self.end)
         self.k1 = key.view(np.int64)
-        # The second half of the key: another function of the same bytes.
-        other = Rolling(np.bitwise_xor(data, 0x5A))
-        self.k2 = mix(other.of(self.begin, self.end) + np.uint64(7)).view(np.int64)
+        if whole_key:  # the second half of the key: another function of the same bytes
+            other = Rolling(np.bitwise_xor(data, 0x5A))
+            self.k2 = mix(other.of(self.begin, self.end) + np.uint64(7)).view(np.int64)
         self.point = np.append(np.flatnonzero(LEADS[data]), len(data))
         self.c0, c1 = np.searchsorted(self.point, self.begin), np.searchsorted(self.point, self.end)
         self.chars = c1 - self.c0
@@ -95,106 +115,117 @@ def _cuts(length: np.ndarray, edits: int, probe: bool) -> Iterator[tuple[np.ndar
                 yield (length >= shorter) & (size > 0) & (at >= 0) & (at + size <= length), at, size, i, length - shorter
 
 
-def _keys(lines: Lines, which: np.ndarray, how: LineDedup, probe: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Segment keys of the lines ``which``, and for each the place of its line there."""
+def _keys(lines: Lines | Strings, which: np.ndarray, how: LineDedup, probe: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each cut the segment keys of the lines ``which``, the places of those lines there, and where in them the cut is."""
     length, c0 = lines.chars[which], lines.c0[which]
-    out, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for ok, at, size, i, indexed in _cuts(length, how.edits, probe):
         at, size, indexed, c = at[ok], size[ok], indexed[ok], c0[ok]
-        out.append(mix(lines.rolling.of(lines.point[c + at], lines.point[c + at + size]) + mix(indexed.astype(np.uint64) * np.uint64(64) + np.uint64(i))))
-        owner.append(np.flatnonzero(ok))
-    return np.concatenate(out).view(np.int64), np.concatenate(owner)
+        key = mix(lines.rolling.of(lines.point[c + at], lines.point[c + at + size]) + mix(indexed.astype(np.uint64) * np.uint64(64) + np.uint64(i)))
+        yield key.view(np.int64), np.flatnonzero(ok), at, size
 
 
-def _unmet(lines: Lines, how: LineDedup, met: set[int]) -> np.ndarray:
-    """Lines long enough that the task has not met before."""
-    which = []
-    for x in np.flatnonzero(lines.chars >= how.least_chars).tolist():
-        if (k := int(lines.k1[x])) not in met:
-            met.add(k)
-            which.append(x)
-    return np.array(which, np.int64)
+class Recent:
+    """Keys that a task has met lately: one to a slot, so its size is fixed."""
 
+    def __init__(self, slots: int = 1 << 18):
+        self.slots = np.zeros(slots, np.int64)
 
-def segment_rows(texts: DataFrame, how: LineDedup, probe: bool) -> DataFrame:
-    """``seg, line`` of all lines long enough."""
+    def fresh(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys that are not known to have been met, each once; they are met then."""
+        _, first = np.unique(keys, return_index=True)
+        at = keys[first] & (len(self.slots) - 1)
+        new = first[self.slots[at] != keys[first]]
+        self.slots[keys[new] & (len(self.slots) - 1)] = keys[new]
+        return np.sort(new)
+
+
+def probe_rows(texts: DataFrame, how: LineDedup) -> DataFrame:
+    """``seg, other`` of all lines long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
+        met = Recent()
         for part in pieces(batches):
-            lines = Lines(part.column("text"))
-            which = _unmet(lines, how, met)
-            seg, owner = _keys(lines, which, how, probe)
-            yield pa.RecordBatch.from_arrays([pa.array(seg), pa.array(lines.k1[which][owner])], names=["seg", "line"])
+            lines = Lines(part.column("text"), whole_key=False)
+            which = np.flatnonzero(lines.chars >= how.least_chars)
+            which = which[met.fresh(lines.k1[which])]
+            for seg, owner, _, _ in _keys(lines, which, how, True):
+                yield pa.RecordBatch.from_arrays([pa.array(seg), pa.array(lines.k1[which[owner]])], names=["seg", "other"])
 
-    return texts.mapInArrow(run, "seg long, line long")
+    return texts.mapInArrow(run, "seg long, other long")
 
 
-def crowded_rows(texts: DataFrame, how: LineDedup, crowded) -> DataFrame:
-    """``seg, probe, k1, k2, line`` of the lines under the broadcast keys, indexed and probing."""
+def rest_rows(crowd: DataFrame, how: LineDedup) -> DataFrame:
+    """``seg, probe, line`` of what is left of ``seg, probe, line, said`` beside the segment that makes the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
-        for part in pieces(batches):
-            lines = Lines(part.column("text"))
-            which = _unmet(lines, how, met)
-            data = lines.data.tobytes()
-            for probe in (False, True):
-                seg, owner = _keys(lines, which, how, probe)
-                hot = np.flatnonzero(np.isin(seg, crowded.value))
-                x = which[owner[hot]]
-                said = pa.array([data[b:e] for b, e in zip(lines.begin[x].tolist(), lines.end[x].tolist(), strict=True)], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(seg[hot]), pa.array(np.full(len(hot), probe)), pa.array(lines.k1[x]), pa.array(lines.k2[x]), said], names=["seg", "probe", "k1", "k2", "line"])
-
-    return texts.mapInArrow(run, "seg long, probe boolean, k1 long, k2 long, line string").groupBy("seg", "probe", "k1", "k2").agg(F.first("line").alias("line"))
+        for part in pieces(batches, "said"):
+            asked, probe = part.column("seg").to_numpy(), part.column("probe").to_numpy(zero_copy_only=False)
+            said, line = part.column("said").to_pylist(), part.column("line").to_numpy()
+            whole = Strings(part.column("said"))
+            for kind in (False, True):
+                which = np.flatnonzero(probe == kind)
+                for seg, owner, at, size in _keys(whole, which, how, kind):
+                    hit = seg == asked[which[owner]]
+                    rows = which[owner[hit]]
+                    if not len(rows):
+                        continue
+                    rest = Strings(pa.array([said[r][:a] + "\n" + said[r][a + n :] for r, a, n in zip(rows.tolist(), at[hit].tolist(), size[hit].tolist(), strict=True)], pa.string()))
+                    for finer, of, _, _ in _keys(rest, np.arange(len(rows)), how, kind):
+                        of = rows[of]
+                        key = mix(finer.view(np.uint64) + mix(asked[of].view(np.uint64))).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(of), kind)), pa.array(line[of])], names=["seg", "probe", "line"])
+
+    return crowd.select("seg", "probe", "line", "said").mapInArrow(run, "seg long, probe boolean, line long").distinct()
 
 
 _COUNTERS = 61
 
 
 def _later(block: pa.Table, how: LineDedup) -> np.ndarray:
-    """Which rows of a block have an earlier line within the edits among the rows of the other kind."""
-    probe = block.column("probe").to_numpy()
+    """Which of the rows that are ``open`` have an earlier line within the edits among all rows of the block."""
+    asks = block.column("open").to_numpy()
     k1, k2 = block.column("k1").to_numpy(), block.column("k2").to_numpy()
     order = np.lexsort([block.column(c).to_numpy() for c in ("number", "row", "doc", "none")])
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    said = block.column("line").to_pylist()
+    said = block.column("said").to_pylist()
     size = np.array([len(x) for x in said])
     counts = np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) % _COUNTERS, minlength=_COUNTERS) for x in said]).astype(np.int32)
-    index, probes = np.flatnonzero(~probe), np.flatnonzero(probe)
     later = np.zeros(len(said), bool)
-    for some in np.array_split(probes, max(1, len(probes) // 32)):
-        close = np.abs(size[some][:, None] - size[index][None, :]) <= how.edits
-        p, i = np.nonzero(close)
-        p, i = some[p], index[i]
+    others = np.flatnonzero(~asks)
+    asked = np.flatnonzero(asks)
+    for some in np.array_split(asked, max(1, len(asked) // 32)):
+        p, i = np.nonzero((np.abs(size[some][:, None] - size[others][None, :]) <= how.edits) & (rank[others][None, :] < rank[some][:, None]))
+        p, i = some[p], others[i]
         for at in np.array_split(np.arange(len(p)), len(p) // 20_000 + 1):
             x, y = p[at], i[at]
-            ok = (np.abs(counts[x] - counts[y]).sum(axis=1) <= 2 * how.edits) & ((k1[x] != k1[y]) | (k2[x] != k2[y]))
-            ok &= ~(later[np.where(rank[x] > rank[y], x, y)])
+            ok = (np.abs(counts[x] - counts[y]).sum(axis=1) <= 2 * how.edits) & ((k1[x] != k1[y]) | (k2[x] != k2[y])) & ~later[x]
             x, y = x[ok], y[ok]
             if len(x):
-                near = within([said[a] for a in x.tolist()], [said[b] for b in y.tolist()], how.edits)
-                later[np.where(rank[x] > rank[y], x, y)[near]] = True
+                later[x[within([said[a] for a in x.tolist()], [said[b] for b in y.tolist()], how.edits)]] = True
     return later
 
 
-def later_in_crowds(rows: DataFrame, firsts: DataFrame, how: LineDedup) -> DataFrame:
-    """``k1, k2`` of the lines of ``crowded_rows`` that have an earlier one under one of their keys."""
-    rows = rows.join(firsts, ["k1", "k2"]).select("seg", "probe", "k1", "k2", "line", F.col("first.none").cast("int").alias("none"), F.coalesce("first.doc_id", F.lit(0)).alias("doc"), "first.row", "first.number")
+_PLACE = ["none", "doc", "row", "number"]
+
+
+def later_in_blocks(rows: DataFrame, how: LineDedup) -> DataFrame:
+    """``k1, k2`` of those of ``seg, k1, k2, said, open`` and their places that are open and have an earlier line under a key."""
     rows = staged(rows, "crowded-lines")
-    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.count_if(c) / F.lit(how.block))).cast("int")
-    plan = rows.groupBy("seg").agg(blocks(~F.col("probe")).alias("ni"), blocks(F.col("probe")).alias("np"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(how.block))).cast("int")
+    plan = rows.groupBy("seg").agg(blocks(F.count_if("open")).alias("no"), blocks(F.count("*")).alias("na"))
     placed = rows.join(plan, "seg")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     slot = lambda n: F.pmod(F.xxhash64("k1", "k2"), F.col(n)).cast("int")
-    dealt = placed.filter("not probe").select(slot("ni").alias("i"), spread("np").alias("p"), *rows.columns).unionByName(placed.filter("probe").select(spread("ni").alias("i"), slot("np").alias("p"), *rows.columns))
+    columns = ["seg", "k1", "k2", "said", *_PLACE]
+    asking = placed.filter("open").select(slot("no").alias("o"), spread("na").alias("a"), *columns, F.lit(True).alias("open"))
+    asked = placed.select(spread("no").alias("o"), slot("na").alias("a"), *columns, F.lit(False).alias("open"))
 
     def run(block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
         return block.select(["k1", "k2"]).filter(pa.array(_later(block, how)))
 
-    return dealt.groupBy("seg", "i", "p").applyInArrow(run, "k1 long, k2 long").distinct()
+    return asking.unionByName(asked).groupBy("seg", "o", "a").applyInArrow(run, "k1 long, k2 long").distinct()
 
 
 def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
@@ -236,9 +267,13 @@ def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
     return out
 
 
-def line_table(numbered: DataFrame) -> DataFrame:
-    """``row, doc_id, number, k1, k2``: a row for each line with a word; for each text one of number -1 with its count of lines."""
-    schema = "row long, doc_id long, number long, k1 long, k2 long, lines long"
+def line_table(numbered: DataFrame, how: LineDedup) -> DataFrame:
+    """``row, doc_id, number, k1, k2, segs``: a row for each line with a word (``segs``: its segments' keys, if it is long enough).
+
+    For each text there is a row of number -1 with its count of ``lines``.
+    """
+    schema = "row long, doc_id long, number long, k1 long, k2 long, lines long, segs array<long>"
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
@@ -246,56 +281,109 @@ def line_table(numbered: DataFrame) -> DataFrame:
             ids, n = part.select(["row", "doc_id"]), part.num_rows
             own = ids.take(pa.array(lines.of))
             none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(np.full(n, -1)), none, none, pa.array(lines.per_text, pa.int64())], names=["row", "doc_id", "number", "k1", "k2", "lines"])
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(lines.number, pa.int64()), pa.array(lines.k1), pa.array(lines.k2), pa.nulls(len(own), pa.int64())], names=["row", "doc_id", "number", "k1", "k2", "lines"])
+            yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(np.full(n, -1)), none, none, pa.array(lines.per_text, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], names=names)
+            long = lines.chars >= how.least_chars
+            segs = np.array([seg for seg, *_ in _keys(lines, np.flatnonzero(long), how, False)], np.int64).reshape(how.edits + 1, -1)
+            bounds = np.concatenate([[0], np.cumsum(long * (how.edits + 1))]).astype(np.int32)
+            segs = pa.ListArray.from_arrays(pa.array(bounds), pa.array(segs.T.ravel()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(lines.number, pa.int64()), pa.array(lines.k1), pa.array(lines.k2), pa.nulls(len(own), pa.int64()), segs], names=names)
 
     return staged(numbered.select("row", "doc_id", "text").mapInArrow(run, schema), "lines")
 
 
-def _meeting(index: DataFrame, probe: DataFrame) -> DataFrame:
-    return index.join(probe.withColumnRenamed("line", "other"), "seg").filter("line <> other").select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct()
+def _pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _met(index: DataFrame, probe: DataFrame, how: LineDedup) -> tuple[DataFrame, DataFrame]:
+    """``a, b`` of the lines that meet under keys that are not crowded, and ``seg, probe, line`` under those that are.
+
+    ``index``: ``seg, line``, ``probe``: ``seg, other``. A crowded key stands on the index side by one
+    row without a line; no key has more than ``crowded`` rows there, so that side is hashed, not sorted.
+    """
+    crowds = staged(index.groupBy("seg").count().filter(F.col("count") > how.crowded).select("seg"), "crowded")
+    few = index.join(crowds, "seg", "left_anti").unionByName(crowds.withColumn("line", F.lit(None).cast("long")))
+    met = staged(probe.join(few.hint("shuffle_hash"), "seg").filter("line is null or line <> other").distinct(), "met")
+    pairs = met.filter("line is not null").select(*_pair("line", "other"))
+    crowd = met.filter("line is null").select("seg", F.lit(True).alias("probe"), F.col("other").alias("line"))
+    return pairs, crowd.unionByName(index.join(crowds, "seg").select("seg", F.lit(False).alias("probe"), "line"))
 
 
 def later_lines(texts: DataFrame, firsts: DataFrame, how: LineDedup) -> DataFrame:
-    """``k1, k2`` of the lines that have an earlier one within ``edits``; ``firsts``: where each line stands first."""
-    spark = texts.sparkSession
-    index, probe = segment_rows(texts, how, False).distinct(), segment_rows(texts, how, True)
-    sizes = staged(index.groupBy("seg").count().filter(F.col("count") > how.crowded), "crowded")
-    crowded, many = sizes.count(), how.crowded
-    while crowded > how.most_broadcast:
-        many *= 2
-        crowded = sizes.filter(F.col("count") > many).count()
-    if crowded:
-        sizes = sizes.filter(F.col("count") > many).select("seg")
-        hot = spark.sparkContext.broadcast(np.sort(sizes.toPandas()["seg"].to_numpy()))
-        apart = F.broadcast(sizes)
-        found = later_in_crowds(crowded_rows(texts, how, hot), firsts, how)
-        index, probe = index.join(apart, "seg", "left_anti"), probe.join(apart, "seg", "left_anti")
-    links = near_links(texts, _meeting(index, probe), how)
-    fa = firsts.toDF("a1", "a2", "fa")
-    fb = firsts.toDF("b1", "b2", "fb")
-    later = links.join(fa, ["a1", "a2"]).join(fb, ["b1", "b2"])
-    later = later.select(F.when(F.col("fa") < F.col("fb"), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2"))).otherwise(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2"))).alias("k")).select("k.*")
-    return (later.unionByName(found) if crowded else later).distinct()
-
-
-def near_links(texts: DataFrame, pairs: DataFrame, how: LineDedup) -> DataFrame:
-    """``a1, a2, b1, b2``: keys of those candidate pairs of lines that are within ``edits``."""
-    pairs = staged(pairs, "line-pairs")
+    """``k1, k2`` of the lines that have an earlier one within ``edits``; ``firsts``: where each line stands first, and its segments."""
+    place = firsts.select("k1", "k2", F.col("first.none").cast("int").alias("none"), F.coalesce("first.doc_id", F.lit(0)).alias("doc"), "first.row", "first.number")
+    order = F.struct(*_PLACE)
+
+    def earliest(crowd: DataFrame) -> DataFrame:
+        """``seg, k1, k2, none, doc, row, number``, and ``e``, the earliest line's k1, of the lines under crowded keys."""
+        rows = crowd.select("seg", F.col("line").alias("k1")).distinct().join(place, "k1")
+        rows = staged(rows, "crowds")
+        return rows.join(rows.groupBy("seg").agg(F.min_by("k1", order).alias("e")), "seg")
+
+    def settled(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """Keys and ``open`` lines: those that no link says are later, and that are not the earliest; keys without any go."""
+        done = links.select("k1", "k2", F.lit(True).alias("done"))
+        rows = rows.join(done, ["k1", "k2"], "left").withColumn("open", F.col("done").isNull() & (F.col("k1") != F.col("e"))).drop("done")
+        return staged(rows.join(rows.filter("open").select("seg").distinct(), "seg", "left_semi"), "open-keys")
+
+    def later(links: DataFrame) -> DataFrame:
+        fa, fb = firsts.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("first").alias("fa")), firsts.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("first").alias("fb"))
+        both = links.join(fa, ["a1", "a2"]).join(fb, ["b1", "b2"])
+        key = F.when(F.col("fa") < F.col("fb"), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2"))).otherwise(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")))
+        return both.select(key.alias("k")).select("k.*").distinct()
+
+    index = firsts.filter("segs is not null").select(F.explode("segs").alias("seg"), F.col("k1").alias("line"))
+    pairs, crowd = _met(index, probe_rows(texts, how), how)
+    crowd = staged(crowd, "crowd")
+    rows = earliest(crowd)
+    stars = lambda rows: rows.filter("k1 <> e").select(*_pair("k1", "e"))
+    pairs = staged(pairs.unionByName(stars(rows)).distinct(), "line-pairs")
+    said = said_by(texts, pairs, how)
+    found = staged(later(near_links(said, pairs, how)), "later")
+
+    rows = settled(rows, found)
+    if rows.isEmpty():
+        return found
+    # Finer keys for what is open under crowded ones.
+    finer = crowd.join(rows.select("seg").distinct(), "seg", "left_semi").join(said.select(F.col("k1").alias("line"), F.col("line").alias("said")), "line")
+    finer = staged(rest_rows(finer, how), "finer-keys")
+    pairs, crowd = _met(finer.filter("not probe").select("seg", "line"), finer.filter("probe").select("seg", F.col("line").alias("other")), how)
+    rows = earliest(crowd)
+    pairs = staged(pairs.unionByName(stars(rows)).distinct(), "line-pairs")
+    found = staged(found.unionByName(later(near_links(said, pairs, how))).distinct(), "later")
+    rows = settled(rows, found)
+    if rows.isEmpty():
+        return found
+    rows = rows.join(said.withColumnRenamed("line", "said"), ["k1", "k2"]).select("seg", "k1", "k2", "said", "open", *_PLACE)
+    return found.unionByName(later_in_blocks(rows, how)).distinct()
+
+
+def said_by(texts: DataFrame, pairs: DataFrame, how: LineDedup) -> DataFrame:
+    """``k1, k2, line`` of the lines that stand in ``pairs``."""
     keys = staged(pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct(), "line-keys")
-    if keys.count() <= how.most_broadcast:
-        keys = F.broadcast(keys)
+    few = keys.count() <= how.most_broadcast
+    wanted = texts.sparkSession.sparkContext.broadcast(np.sort(keys.toPandas()["k1"].to_numpy(np.int64))) if few else None
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Recent()
         for part in pieces(batches):
-            all_lines = Lines(part.column("text"))
-            which = np.flatnonzero(all_lines.chars >= how.least_chars)
-            data = all_lines.data.tobytes()
-            words = [data[b:e] for b, e in zip(all_lines.begin[which].tolist(), all_lines.end[which].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(all_lines.k1[which]), pa.array(all_lines.k2[which]), pa.array(words, pa.binary()).cast(pa.string())], names=["k1", "k2", "line"])
+            lines = Lines(part.column("text"))
+            which = np.flatnonzero(lines.chars >= how.least_chars)
+            if wanted is not None and len(wanted.value):
+                at = np.minimum(np.searchsorted(wanted.value, lines.k1[which]), len(wanted.value) - 1)
+                which = which[wanted.value[at] == lines.k1[which]]
+            which = which[met.fresh(lines.k1[which] ^ lines.k2[which])]
+            data = lines.data.tobytes()
+            words = [data[b:e] for b, e in zip(lines.begin[which].tolist(), lines.end[which].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(lines.k1[which]), pa.array(lines.k2[which]), pa.array(words, pa.binary()).cast(pa.string())], names=["k1", "k2", "line"])
+
+    said = texts.mapInArrow(run, "k1 long, k2 long, line string")
+    said = said if few else said.join(keys, "k1", "left_semi")
+    return staged(said.groupBy("k1", "k2").agg(F.first("line").alias("line")), "candidate-lines")
+
 
-    said = texts.mapInArrow(lines, "k1 long, k2 long, line string").join(keys, "k1", "left_semi").groupBy("k1", "k2").agg(F.first("line").alias("line"))
-    said = staged(said, "candidate-lines")
+def near_links(said: DataFrame, pairs: DataFrame, how: LineDedup) -> DataFrame:
+    """``a1, a2, b1, b2``: keys of those of the pairs ``a, b`` of lines that are within ``edits``."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "la", "lb"):
@@ -310,12 +398,14 @@ def near_links(texts: DataFrame, pairs: DataFrame, how: LineDedup) -> DataFrame:
 
 def dropped_lines(numbered: DataFrame, how: LineDedup = LineDedup()) -> DataFrame:
     """``row, doc_id, text`` to ``row, doc_id, n_lines, n_equal, n_near, dropped`` (array of line numbers), a row per row."""
-    lines = line_table(lean(numbered))
+    lines = line_table(lean(numbered), how)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "number")
-    firsts = staged(lines.filter("number >= 0").groupBy("k1", "k2").agg(F.min(place).alias("first")), "first-lines")
+    long = F.size("segs") > 0
+    firsts = lines.filter("number >= 0").groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first(F.when(long, F.col("segs"))).alias("segs"))
+    firsts = staged(firsts, "first-lines")
     later = later_lines(numbered.select("text"), firsts, how).withColumn("near", F.lit(True))
-    fate = staged(firsts.join(later, ["k1", "k2"], "left"), "fates")
-    each = lines.filter("number >= 0").drop("lines").join(fate, ["k1", "k2"])
+    fate = staged(firsts.drop("segs").join(later, ["k1", "k2"], "left").filter("n > 1 or near").drop("n"), "fates")
+    each = lines.filter("number >= 0").select("row", "doc_id", "number", "k1", "k2").join(fate, ["k1", "k2"])
     equal = F.col("first.row").eqNullSafe(F.col("row")) & (F.col("first.number") == F.col("number"))
     each = each.select("row", "doc_id", "number", (~equal).alias("equal"), (equal & F.col("near").isNotNull()).alias("near"), F.lit(None).cast("long").alias("lines"))
     marks = lines.filter("number < 0").select("row", "doc_id", "number", F.lit(False).alias("equal"), F.lit(False).alias("near"), "lines")
