@@ -3,13 +3,14 @@
 Every text is tokenized whole and ended with an end id, then cut into full windows and one rest. The
 histogram of the rests' lengths (one number per length) is all that the driver plans with: all pairs
 and triples of lengths that fill a window are enumerated, how often to use each is solved by
-non-negative least squares, rounded down and taken from what there is. What is left is packed
-greedily, largest first, and where nothing fits a gap a rest is cut to fill it. So all sequences but
-the last are full.
+non-negative least squares to a stated tolerance, rounded by largest remainders and taken from what
+there is; what is left is solved again. The residual is packed greedily, largest first, and where
+nothing fits a gap a rest is cut to fill it. So all sequences but the last are full.
 
 A rest's place follows from its rank among those of its length, which is its rank within the task that
 made it plus the number of such rests in tasks before: no length's rows ever meet in one task. The
-plan has at most a few rows per length and pattern, whatever the corpus, so it is broadcast.
+plan has at most a few rows per combination (87,893 of them for a window of 1024) and solve, whatever
+the corpus, so it is broadcast.
 
 Defined results
     null or empty text: the end id alone; texts are never shortened; a null doc_id is kept; repeated
@@ -18,6 +19,7 @@ Defined results
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import lean, staged
-from .text import flat, pieces
+from .text import Rolling, flat, pieces
 
 # --- tokens ------------------------------------------------------------------
 
@@ -64,24 +66,96 @@ def chunks(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+class Memo:
+    """Ids of chunks met lately, by 128-bit hashes: a slot for each of ``slots`` keys and a ring of ``room`` ids, so its size is fixed."""
+
+    def __init__(self, slots: int, room: int):
+        self.k1, self.k2 = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.begin, self.size = np.full(slots, -room - 1, np.int64), np.zeros(slots, np.int64)
+        self.ring, self.head = np.zeros(room, np.uint32), 0
+
+    def find(self, k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which chunks are known, and the ids of those in a row with their sizes."""
+        at = (k1 & np.uint64(len(self.k1) - 1)).astype(np.int64)
+        known = (self.k1[at] == k1) & (self.k2[at] == k2) & (self.begin[at] >= self.head - len(self.ring))
+        at = at[known]
+        size = self.size[at]
+        return known, self.ring[(np.arange(size.sum()) + np.repeat(self.begin[at] - np.cumsum(size) + size, size)) % len(self.ring)], size
+
+    def keep(self, k1: np.ndarray, k2: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        some = np.cumsum(size) <= len(self.ring) // 2
+        k1, k2, size = k1[some], k2[some], size[some]
+        ids = ids[: size.sum()]
+        at = (k1 & np.uint64(len(self.k1) - 1)).astype(np.int64)
+        self.ring[(self.head + np.arange(len(ids))) % len(self.ring)] = ids
+        self.k1[at], self.k2[at], self.size[at], self.begin[at] = k1, k2, size, self.head + np.cumsum(size) - size
+        self.head += len(ids)
+
+
 class Tokens:
-    """Ids of texts by a tokenizer file; each distinct chunk is tokenized once while it is remembered."""
+    """Ids of texts by a tokenizer file; each distinct chunk is tokenized once while it is remembered.
 
-    _kept: dict[str, Tokens] = {}
+    Strings of special tokens that stand in a text are ordinary text there.
+    """
+
+    _kept: tuple[tuple, Tokens] | None = None
 
-    def __init__(self, path: str, remembered: int = 500_000):
+    def __init__(self, path: str, slots: int = 1 << 19, room: int = 1 << 22):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.remembered, self.known = remembered, {}
+        self.memo = Memo(slots, room)
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():  # a byte-level vocabulary writes each byte as one character
+            self.bytes_of[i] = len(token)
 
     @classmethod
-    def of(cls, path: str, remembered: int = 500_000) -> Tokens:
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        cls._kept[path].remembered = remembered
-        return cls._kept[path]
+    def of(cls, path: str, run: str = "") -> Tokens:
+        """One for all tasks of a run that a worker does; nothing is remembered from run to run."""
+        if cls._kept is None or cls._kept[0] != (path, run):
+            cls._kept = ((path, run), cls(path))
+        return cls._kept[1]
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        found = [np.array(e.ids, np.uint32) for e in encode(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
+
+    def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks one after the other, and how many each has.
+
+        Chunks that begin with white space and end in what no white space can be are tokenized many in a
+        row, as a text may be split between them; the bytes of the tokens tell where each ends.
+        """
+        offsets, data = flat(words)
+        n = np.diff(offsets)
+        last, lead = data[np.maximum(offsets[1:] - 1, 0)], data[np.maximum(offsets[1:] - 2, 0)]
+        joined = (n > 2) & _SPACE[data[np.minimum(offsets[:-1], len(data) - 1)]] & (_VISIBLE[last] | ((last >= 0x80) & (lead >= 0xC3) & (lead <= 0xDF)))
+        rows = np.flatnonzero(joined)
+        ids, size = [], np.zeros(len(n), np.int64)
+        if len(rows):
+            some = words.take(pa.array(rows)).to_pylist()
+            texts = ["".join(some[i : i + 200]) for i in range(0, len(some), 200)]
+            got, _ = self._encoded(texts)
+            end = np.cumsum(self.bytes_of[got])
+            stop = np.searchsorted(end, np.cumsum(n[rows]))
+            if len(end) and stop[-1] < len(end) and (end[stop] == np.cumsum(n[rows])).all() and stop[-1] == len(end) - 1:
+                size[rows] = np.diff(stop, prepend=-1)
+                ids.append((rows, got))
+            else:
+                joined[:] = False
+        rows = np.flatnonzero(~joined)
+        got, alone = self._encoded(words.take(pa.array(rows)).to_pylist())
+        size[rows] = alone
+        ids.append((rows, got))
+        begin = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.uint32)
+        for rows, got in ids:
+            m = size[rows]
+            out[np.arange(m.sum()) + np.repeat(begin[rows] - np.cumsum(m) + m, m)] = got
+        return out, size
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end``, and their bounds."""
@@ -89,18 +163,18 @@ class Tokens:
         at = chunks(offsets, data)
         count = len(at) - 1 if len(data) else 0
         parts = pa.Array.from_buffers(pa.large_string(), count, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        words = parts.dictionary.to_pylist()
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.remembered:
-            self.known.clear()
-            new = words
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for w, e in zip(new, encode(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.uint32).tobytes()
-        coded = [self.known[w] for w in words]
-        size = np.array([len(c) // 4 for c in coded], np.int64)
-        flat_ids = np.frombuffer(b"".join(coded), np.uint32)
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else np.zeros(0, np.int64)
+        words = parts.dictionary
+        bounds, own = flat(words)
+        k1 = Rolling(own).of(bounds[:-1], bounds[1:])
+        k2 = Rolling(np.bitwise_xor(own, 0x5A)).of(bounds[:-1], bounds[1:])
+        known, old, old_size = self.memo.find(k1, k2)
+        fresh = np.flatnonzero(~known)
+        new, new_size = self._ids(words.take(pa.array(fresh)))
+        self.memo.keep(k1[fresh], k2[fresh], new, new_size)
+        flat_ids = np.concatenate([old, new])
+        size, begin = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        size[known], size[fresh] = old_size, new_size
+        begin[known], begin[fresh] = np.cumsum(old_size) - old_size, len(old) + np.cumsum(new_size) - new_size
         which = parts.indices.to_numpy() if count else np.zeros(0, np.int64)
         sizes = size[which]
         total = np.zeros(count + 1, np.int64)
@@ -124,30 +198,43 @@ def combinations(window: int) -> np.ndarray:
     return np.stack([i[ok], j[ok], k[ok]], axis=1)
 
 
-def least_squares(counts: np.ndarray, combos: np.ndarray, steps: int = 300) -> np.ndarray:
-    """Repeat counts ``x >= 0`` that make the combinations' lengths match ``counts`` best, by accelerated projected gradient."""
+def least_squares(counts: np.ndarray, combos: np.ndarray, tolerance: float = 0.01, steps: int = 600) -> np.ndarray:
+    """Repeat counts ``x >= 0`` that make the combinations' lengths match ``counts`` best, by accelerated projected gradient.
+
+    It ends where no step along the projected gradient would move more than ``tolerance`` of the
+    steepest first one (or after ``steps``).
+    """
     n = len(counts)
     cols = combos.T
+    flat_cols = cols.ravel()
 
     def made(x: np.ndarray) -> np.ndarray:
-        out = sum(np.bincount(c, weights=x, minlength=n) for c in cols)
+        out = np.bincount(flat_cols, weights=np.tile(x, len(cols)), minlength=n)
         out[0] = 0
         return out
 
     def pulled(r: np.ndarray) -> np.ndarray:
         return sum(r[c] for c in cols)
 
+    if not len(combos):
+        return np.zeros(0)
     v = np.ones(len(combos))
     for _ in range(12):
         v = pulled(made(v))
         bound = np.linalg.norm(v)
         v /= bound
+    bound *= 1.05
     x = y = np.zeros(len(combos))
     t = 1.0
     target = counts.astype(np.float64).copy()
     target[0] = 0
+    enough = tolerance * np.abs(pulled(target)).max(initial=0.0) / bound
     for _ in range(steps):
-        new = np.maximum(y - pulled(made(y) - target) / (bound * 1.05), 0)
+        new = np.maximum(y - pulled(made(y) - target) / bound, 0)
+        if np.abs(new - y).max(initial=0.0) <= enough:
+            return new
+        if (y - new) @ (new - x) > 0:  # momentum points uphill: start it anew
+            t = 1.0
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
         x, y, t = new, new + (t - 1) / s * (new - x), s
     return x
@@ -171,8 +258,12 @@ class Slot:
     offset: int
 
 
-def plan(histogram: dict[int, int], window: int, patterns: int = 4096) -> tuple[list[Slot], int]:
-    """Slots for all rests and the number of sequences. ``patterns``: so many combinations are taken, the largest first."""
+def plan(histogram: dict[int, int], window: int, solves: int = 60) -> tuple[list[Slot], int, int]:
+    """Slots for all rests, the number of sequences, and how many rests the least-squares combinations hold.
+
+    The histogram is solved, the repeats are rounded down, then up in order of their remainders as far
+    as there are rests; what is left is solved again, up to ``solves`` times while that places any.
+    """
     counts = np.zeros(window, np.int64)
     for length, n in histogram.items():
         counts[length] = n
@@ -210,14 +301,32 @@ def plan(histogram: dict[int, int], window: int, patterns: int = 4096) -> tuple[
             counts[cut - gap] += times
         sequences += times
 
-    if counts.any():
-        combos = combinations(window)
-        repeats = np.floor(least_squares(counts, combos) + 1e-6).astype(np.int64)
-        for c in np.argsort(-repeats, kind="stable")[:patterns]:
-            sizes, each = np.unique(combos[c][combos[c] > 0], return_counts=True)
-            times = int(min(repeats[c], (counts[sizes] // each).min()))
-            if times > 0:
-                lay([(int(s), int(e)) for s, e in zip(sizes, each, strict=True)], times)
+    combos, rests = combinations(window), int(counts.sum())
+    for _ in range(solves):
+        if not counts.any():
+            break
+        before = counts.sum()
+        # Only combinations that could be laid once more.
+        i, j, k = combos.T
+        some = combos[((i == 0) | (counts[i] > 0)) & (counts[j] > (i == j)) & (counts[k] > (j == k) * (1 + (i == j)))]
+        repeats = least_squares(counts, some)
+        whole = np.floor(repeats + 1e-6).astype(np.int64)
+        part = repeats - whole
+        order = np.argsort(-part, kind="stable")
+        order = order[part[order] >= 0.5 * part.max(initial=0.0)]  # lesser remainders wait for the next solve
+        for up, order in ((0, np.flatnonzero(whole)), (1, order)):
+            for c in order.tolist():
+                i, j, k = some[c].tolist()
+                each: dict[int, int] = {}
+                for size in (i, j, k):
+                    if size:
+                        each[size] = each.get(size, 0) + 1
+                times = min(up or int(whole[c]), *(int(counts[m]) // e for m, e in each.items()))
+                if times > 0:
+                    lay(list(each.items()), times)
+        if counts.sum() == before:
+            break
+    solved = rests - int(counts.sum())
     while counts.any():
         uses: list[tuple[int, int]] = []
         gap, top = window, window - 1
@@ -235,22 +344,24 @@ def plan(histogram: dict[int, int], window: int, patterns: int = 4096) -> tuple[
                 cut = free[-1]
                 times = min(times, int(counts[cut]) // (used.get(cut, 0) + 1))
         lay(uses, times, cut)
-    return slots, sequences
+    return slots, sequences, solved
 
 
 # --- jobs --------------------------------------------------------------------
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, task long, nth long"
+PLACED = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def cut_texts(documents: DataFrame, tokenizer: str, window: int, end: int, remembered: int = 500_000) -> DataFrame:
+def cut_texts(documents: DataFrame, tokenizer: str, window: int, end: int) -> DataFrame:
     """Full windows and rests with their ids (two bytes each where the vocabulary allows), written out.
 
     ``nth``: a rest's rank among those of its length that the same ``task`` made.
     """
+    this = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, task = Tokens.of(tokenizer, remembered), TaskContext.get().partitionId()
+        tokens, task = Tokens.of(tokenizer, this), TaskContext.get().partitionId()
         wide = np.uint16 if tokens.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         made: dict[int, int] = defaultdict(int)
         for part in pieces(batches):
@@ -276,50 +387,70 @@ def cut_texts(documents: DataFrame, tokenizer: str, window: int, end: int, remem
     return staged(lean(documents).select("doc_id", "text").mapInArrow(run, PIECE), "token-pieces")
 
 
-def pack_documents(documents: DataFrame, tokenizer: str, window: int = 1024, end: int = 0, remembered: int = 500_000) -> DataFrame:
-    """``doc_id, start, length, ids array<int>-bytes, doc_tokens, sequence_id, offset``: a row per piece.
-
-    ``ids``: the piece's ids, unsigned little-endian 32-bit. ``remembered``: distinct chunks whose ids a
-    worker keeps; fewer take less memory and more time.
+class Table:
+    """Slots as sorted arrays: layers, in each of which the slots of a length cover no rank twice."""
+
+    def __init__(self, slots: list[Slot]):
+        layers: list[list[Slot]] = []
+        for slot in sorted(slots, key=lambda s: (s.length, s.low)):
+            for layer in layers:
+                if layer[-1].length < slot.length or layer[-1].high <= slot.low:
+                    layer.append(slot)
+                    break
+            else:
+                layers.append([slot])
+        self.layers = [np.array([(s.length, s.low, s.high, s.cut_at, s.size, s.begins, s.each, s.sequence, s.offset) for s in layer], np.int64).T for layer in layers]
+
+    def of(self, length: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """For each layer: which rests have a slot there, ``cut_at``, ``size``, the sequence and the offset in it."""
+        for lengths, low, high, cut_at, size, begins, each, sequence, offset in self.layers:
+            key = lengths << 40 | low
+            at = np.searchsorted(key, length << 40 | rank, "right") - 1
+            hit = np.flatnonzero((at >= 0) & (lengths[at] == length) & (rank < high[at]))
+            at = at[hit]
+            x = begins[at] + rank[hit] - low[at]
+            yield hit, cut_at[at], size[at], sequence[at] + x // each[at], offset[at] + x % each[at] * size[at]
+
+
+def _sliced(batch: pa.RecordBatch, rows: np.ndarray, cut_at: np.ndarray, size: np.ndarray, sequence: np.ndarray, offset: np.ndarray) -> pa.RecordBatch:
+    """Pieces of the batch's rows from ``cut_at`` on, their ids 32 bits wide."""
+    part = batch.take(pa.array(rows))
+    ids = part.column("ids").to_pylist()
+    out = [np.frombuffer(b, np.uint16 if len(b) == 2 * w else np.uint32)[a : a + s].astype("<u4").tobytes() for b, w, a, s in zip(ids, part.column("length").to_pylist(), cut_at.tolist(), size.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [part.column("doc_id"), pa.array(part.column("start").to_numpy() + cut_at), pa.array(size), pa.array(out, pa.binary()), part.column("doc_tokens"), pa.array(sequence), pa.array(offset)],
+        names=[f.split()[0] for f in PLACED.split(", ")],
+    )
+
+
+def pack_documents(documents: DataFrame, tokenizer: str, window: int = 1024, end: int = 0) -> DataFrame:
+    """``doc_id, start, length, ids, doc_tokens, sequence_id, offset``: a row per piece.
+
+    ``ids``: the piece's ids, unsigned little-endian 32-bit.
     """
-    spark = documents.sparkSession
-    made = cut_texts(documents, tokenizer, window, end, remembered)
+    made = cut_texts(documents, tokenizer, window, end)
     rests = made.filter(F.col("length") < window)
     by_task = staged(rests.groupBy("length", "task").agg(F.count("*").alias("n")), "rest-counts")
     histogram = {int(r.length): int(r.n) for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most window - 1 rows
-    slots, sequences = plan(histogram, window)
+    slots, sequences, _ = plan(histogram, window)
+    table = documents.sparkSession.sparkContext.broadcast(Table(slots))
     before = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     bases = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    columns = "s_length long, low long, high long, cut_at long, size long, begins long, each long, sequence long, s_offset long"
-    rows = [(s.length, s.low, s.high, s.cut_at, s.size, s.begins, s.each, s.sequence, s.offset) for s in slots]
-    table = F.broadcast(spark.createDataFrame(rows, columns))
-    rank = F.col("base") + F.col("nth")
-    placed = rests.join(bases, ["length", "task"]).withColumn("rank", rank)
-    placed = placed.join(table, (F.col("length") == F.col("s_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    x = F.col("begins") + F.col("rank") - F.col("low")
-    placed = placed.select(
-        "doc_id", "start", "ids", "doc_tokens", (F.col("length")).alias("whole"), "cut_at", "size",
-        (F.col("sequence") + F.floor(x / F.col("each"))).cast("long").alias("sequence_id"), (F.col("s_offset") + x % F.col("each") * F.col("size")).cast("long").alias("offset"),
-    )
-    full = made.filter(F.col("length") == window).select(
-        "doc_id", "start", "ids", "doc_tokens", F.col("length").alias("whole"), F.lit(0).cast("long").alias("cut_at"), F.col("length").alias("size"),
-        (F.lit(sequences) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
-    )
-
-    def slice_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ranked = rests.join(bases, ["length", "task"]).select("doc_id", "start", "length", "ids", "doc_tokens", (F.col("base") + F.col("nth")).alias("place"))
+    full = made.filter(F.col("length") == window).select("doc_id", "start", "length", "ids", "doc_tokens", (F.lit(sequences) + F.monotonically_increasing_id()).alias("place"))
+
+    def place_rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, size, whole = (batch.column(c).to_numpy() for c in ("cut_at", "size", "whole"))
-            out = []
-            for b, a, s, w in zip(batch.column("ids").to_pylist(), at.tolist(), size.tolist(), whole.tolist(), strict=True):
-                ids = np.frombuffer(b, np.uint16 if len(b) == 2 * w else np.uint32)
-                out.append(ids[a : a + s].astype("<u4").tobytes())
-            start = batch.column("start").to_numpy() + at
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(start), batch.column("size"), pa.array(out, pa.binary()), batch.column("doc_tokens"), batch.column("sequence_id"), batch.column("offset")],
-                names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-            )
+            length, rank = batch.column("length").to_numpy(), batch.column("place").to_numpy()
+            for found in table.value.of(length, rank):
+                yield _sliced(batch, *found)
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            yield _sliced(batch, np.arange(n), np.zeros(n, np.int64), batch.column("length").to_numpy(), batch.column("place").to_numpy(), np.zeros(n, np.int64))
 
-    return placed.unionByName(full).mapInArrow(slice_ids, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return ranked.mapInArrow(place_rests, PLACED).unionByName(full.mapInArrow(widen, PLACED))
 
 
 def packing_digests(packed: DataFrame) -> DataFrame:
