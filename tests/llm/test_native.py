@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+from urllib.parse import urljoin
 
 import duckdb
 import pandas as pd
@@ -42,6 +43,34 @@ def test_parts_become_placeholders(spark):
     assert r.formatted == "<|im_start|>user\nsee <\\pimage|>: <|image|><|audio|>end<|document|><|im_end|>\n" + 2 * "<|im_start|>assistant\n<|im_end|>\n"
     assert [tuple(a) for a in r.attachments] == [(0, "image", "a.png", 4), (0, "audio", "b.wav", 38), (0, "document", None, 0)] and r.attachment_tokens == 42
     assert [s.length for s in r.loss_spans] == [0, 0]
+    said = [[(p.kind, p.text, p.ref, p.tokens) for p in turn] for turn in chat.read_chats(chat.format_chats(df)).first().parts]
+    assert said == [[("text", "see <|image|>: ", None, None), ("image", None, "a.png", 4), ("audio", None, "b.wav", 38), ("text", "end", None, None), ("document", None, None, 0)], [], []]
+
+
+def test_parts_read_back_as_they_were(spark):
+    rng = random.Random(8)
+    rows, expected = [], {}
+    for c in range(60):
+        for t in range(rng.randint(1, 4)):
+            parts, want = [], []
+            for _ in range(rng.randint(0, 5)):
+                kind = rng.choice(["text", None, "image", "audio", "document", "video", ""])
+                text = rng.choice(SAYINGS)
+                ref = rng.choice([None, "r|>1", "<|x|>"])
+                parts.append((kind, text, ref, 30, 30, 2.0, 3))
+                if kind not in ("text", None):
+                    want.append([kind, None, ref, {"image": 4, "audio": 50, "document": 768}.get(kind, 0)])
+                if kind in ("text", None, "video", "") and text:
+                    if want and want[-1][0] == "text":
+                        want[-1][1] += text
+                    else:
+                        want.append(["text", text, None, None])
+            rows.append((c, t, "user", parts))
+            expected[c, t] = [tuple(w) for w in want]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    for r in chat.read_chats(chat.format_chats(df)).collect():
+        for t, turn in enumerate(r.parts):
+            assert [tuple(p) for p in turn] == expected[r.conv_id, t]
 
 
 def plain_components(edges):
@@ -104,6 +133,62 @@ def test_urls(spark):
     assert url_filter.filter_urls(df.limit(0), url_filter.rule_table(df, RULES)).count() == 0
 
 
+def test_linked_pages_equal_a_plain_walk(spark):
+    """Thousands of linked pages: every kind of target, several tags, base addresses; the query, its SQL and a plain walk agree."""
+    rng = random.Random(12)
+    hosts = [f"h{i}.{rng.choice(['org', 'info', 'example.com', 'net', 'com'])}" for i in range(700)]
+    paths = ["", "/", "/en/1", "/es/a/b", "/fr/", "/a/b/c?x=1", "/a/./b/../c", "/p.html"]
+    urls = [f"{rng.choice(['http', 'HTTPS'])}://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(3000)]
+    targets = ["page.html", "../x", "./", "..", "?id=3", "#top", "/root/../r?a=../b", "//{h}/en/", "mailto:a@b", "https://{h}/es/x?a&amp;b", "https://{h}", "a/b/../../c", "", "http://{h}/a/../b#f"]
+    pages = []
+    for i, url in enumerate(urls):
+        html = ""
+        if rng.random() < 0.2:
+            html += f'<head><base href="{rng.choice(["/base/dir/", "http://" + rng.choice(hosts) + "/b/", "sub/"])}">'
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            to = rng.choice(targets).replace("{h}", rng.choice(hosts))
+            html += rng.choice([f'<link rel="canonical" href="{to}">', f"<LINK href='{to}' rel=canonical >", f'<meta http-equiv="refresh" content="0; url={to}">', f'<link rel="next" href="{to}">'])
+        pages.append((i, url if rng.random() < 0.95 else rng.choice([None, "no scheme", ""]), html or None))
+
+    def node(url):
+        if not url or "://" not in url:
+            return None
+        rest = url.split("://", 1)[1].split("#")[0]
+        host = re.match(r"[^/?#]*", rest)[0]
+        return host.translate(LOWER) + (rest[len(host) :] or "/") if host else None
+
+    edges, own = [], {}
+    for _, url, html in pages:
+        base = re.search(r'<base href="([^"]+)"', html or "")
+        base = urljoin(url, base[1]) if base and node(url) else url
+        for tag in re.findall(r"<(?:link|LINK|meta)[^>]*>", html or ""):
+            if "canonical" in tag or "refresh" in tag:
+                href = re.search(r"(?:href=|; url=)[\"']?([^\"'\s>]+)", tag)
+                if href and node(base):
+                    a, b = node(url), node(urljoin(base, href[1].replace("&amp;", "&")))
+                    if a and b:
+                        edges.append((a, b))
+    root = plain_components(edges)
+    for n in root:
+        if rule := plain_rule("x://" + n)[2]:
+            own.setdefault(root[n], set()).add(rule[1])
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = url_filter.filter_urls(df, url_filter.rule_table(df, RULES)).collect()
+    assert len(edges) > 1000 and len(got) == len(pages)
+    passed = 0
+    for r in got:
+        host, path, rule = plain_rule(pages[r.page_id][1])
+        said = own.get(root.get(node(pages[r.page_id][1])), set())
+        passed += not rule and bool(said)
+        assert (r.host, r.path, r.rule) == (host, path, rule[0] if rule else None)
+        assert r.verdict == (rule[1] if rule else "allow" if "allow" in said or not said else "block")
+    assert passed > 100
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(pages, columns=["page_id", "url", "html"]))
+    said = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.oracle_sql()['op3_url_filter']})").fetchall()
+    assert sorted(map(str, said)) == sorted(str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in got)
+
+
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 
@@ -128,6 +213,11 @@ def test_licenses(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == plain_scan(text)
         assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1
     by = {texts[r.doc_id]: r.labels for r in got if r.doc_id is not None}
+    mit, header = (t.words for t in license_scan.TEMPLATES if len(t.words.split()) in (87, 29) and t.label in ("mit", "apache-2"))
+    more = [f"Copyright. {mit.upper()}. End", mit.replace("without restriction", "free without any restriction"), " ".join(mit.split()[:50]), header.replace("2 0", "2 1"), header + " and more", "all rights reserved " * 4000]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(6)] == ["mit", "mit", "", "", "apache-2", "all-rights-reserved"] and got[0].score == 1.0
+    assert [(s.begins, s.length) for s in got[0].spans] == [(1, len(mit.split()))] and len(got[5].spans) == 4000
     assert by[texts[-5]] == "gpl-3" and by[texts[-4]] == "gpl-3" and by[texts[-6]] == "apache-2"
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 

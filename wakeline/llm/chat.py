@@ -2,12 +2,14 @@
 
 A turn holds an array of parts, each a struct ``kind, text, ref, width, height, seconds, pages``.
 Every part is visited in order: text is escaped, an image, audio or document part becomes a
-placeholder, and its reference and expanded token count go to ``attachments``. All of it is
-column expressions; the one shuffle brings the turns of a conversation together.
+placeholder, and its reference and expanded token count go to ``attachments``. Reading back gives
+the parts again: what is escaped is text, what is not is a placeholder. All of it is column
+expressions; the one shuffle brings the turns of a conversation together.
 
 Defined results
-    null or empty parts, null text, null role: empty strings; a null turn sorts first; a null
-    conv_id is a conversation of its own; turns that tie are ordered by role, then content;
+    null or empty parts, null text, null role: empty strings; a part of null kind is text, one of any
+    other unknown kind an attachment without tokens (placeholder ``<|attachment|>``, its kind and ref
+    kept, its text put after it); a null turn sorts first; a null conv_id is a conversation of its own; turns that tie are ordered by role, then content;
     repeated rows are turns of their own; an empty table gives no rows; columns of other names
     are ignored.
 """
@@ -65,9 +67,14 @@ def text_parts(text: Column) -> Column:
     )
 
 
+def _attached(part: Column) -> Column:
+    return F.coalesce(part["kind"] != "text", F.lit(False))
+
+
 def _rendered(part: Column) -> Column:
-    attached = part["kind"].isin("image", "audio", "document")
-    return F.when(attached, F.concat(F.lit("<|"), part["kind"], F.lit("|>"))).otherwise(escape_text(F.coalesce(part["text"], F.lit(""))))
+    said = escape_text(F.coalesce(part["text"], F.lit("")))
+    known = part["kind"].isin("image", "audio", "document")
+    return F.when(known, F.concat(F.lit("<|"), part["kind"], F.lit("|>"))).when(_attached(part), F.concat(F.lit("<|attachment|>"), said)).otherwise(said)
 
 
 def _expanded(part: Column, t: ChatTemplate) -> Column:
@@ -75,7 +82,8 @@ def _expanded(part: Column, t: ChatTemplate) -> Column:
     return (
         F.when(part["kind"] == "image", side("width") * side("height"))
         .when(part["kind"] == "audio", F.ceil(F.coalesce(part["seconds"], F.lit(0.0)) * t.audio_tokens_per_second))
-        .otherwise(F.coalesce(part["pages"], F.lit(0)) * t.document_tokens_per_page)
+        .when(part["kind"] == "document", F.coalesce(part["pages"], F.lit(0)) * t.document_tokens_per_page)
+        .otherwise(0)
         .cast("long")
     )
 
@@ -93,7 +101,7 @@ def format_chats(turns: DataFrame, template: ChatTemplate = ChatTemplate()) -> D
         "head": F.concat(F.lit(t.start), escape_role(F.col("role")), F.lit("\n")),
         "body": F.array_join(F.transform("parts", _rendered), ""),
         "found": F.transform(
-            F.filter("parts", lambda p: p["kind"].isin("image", "audio", "document")),
+            F.filter("parts", _attached),
             lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), _expanded(p, t).alias("tokens")),
         ),
     })
@@ -117,7 +125,11 @@ def format_chats(turns: DataFrame, template: ChatTemplate = ChatTemplate()) -> D
 
 
 def read_chats(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
-    """Turns and trained texts, parsed from ``formatted`` and ``loss_spans`` alone."""
+    """Turns and trained texts, parsed from ``formatted`` and ``loss_spans`` alone.
+
+    With ``attachments`` there is ``parts`` too: for each turn its parts ``kind, text, ref, tokens``,
+    neighbouring texts as one and empty ones left out.
+    """
     t = template
     ended = "".join(f"\\{c}" if c in "|<>" else c for c in t.end) + "\n"
     pieces = F.split("formatted", ended)
@@ -125,6 +137,19 @@ def read_chats(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) ->
         unescape_role(F.substring_index(F.substr(p, F.lit(len(t.start) + 1)), "\n", 1)).alias("role"),
         unescape_text(F.substr(p, F.instr(p, "\n") + 1)).alias("text"),
     )
+    if "attachments" in formatted.columns:
+        # A turn's body is cut before each placeholder: text, then a placeholder's name and what follows it.
+        part = lambda kind, text, ref, tokens: F.struct(kind.alias("kind"), text.alias("text"), ref.alias("ref"), tokens.alias("tokens"))
+        said = lambda text: part(F.lit("text"), unescape_text(text), F.lit(None).cast("string"), F.lit(None).cast("long"))
+
+        def parts(piece: Column, i: Column) -> Column:
+            own = F.filter("attachments", lambda a: a["position"] == i)
+            cuts = F.split(F.substr(piece, F.instr(piece, "\n") + 1), r"<\|")
+            put = lambda c, j: F.array(part(F.get(own, j)["kind"], F.lit(None).cast("string"), F.get(own, j)["ref"], F.get(own, j)["tokens"]), said(F.substr(c, F.instr(c, "|>") + 2)))
+            each = F.transform(cuts, lambda c, j: F.when(j == 0, F.array(said(c))).otherwise(put(c, j - 1)))
+            return F.filter(F.flatten(each), lambda p: (p["kind"] != "text") | (p["text"] != ""))
+
+        formatted = formatted.withColumn("parts", F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), parts))
     return formatted.withColumns({
         "turns": F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), turn),
         "loss_texts": F.transform("loss_spans", lambda s: unescape_text(F.substr("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int")))),

@@ -1,10 +1,11 @@
 """Benchmark decontamination by SimHash over windows of the items' own sizes.
 
 A window of as many words as an item has (every start in every text) gets the 64-bit SimHash of its
-five-word shingles. Items are indexed by the eight bytes of their fingerprints: by the pigeonhole
-principle two fingerprints within ``RADIUS`` = 23 bits agree up to 2 bits in at least one byte, so a
-table of each byte's near values finds all of them. What is found is verified: the weighted Jaccard
-similarity of window and item, shingles counted as often as they occur.
+five-word shingles. Items of a size are indexed by the eight bytes of their fingerprints: by the
+pigeonhole principle two fingerprints within ``RADIUS`` = 23 bits agree up to 2 bits in at least one
+byte, so eight tables that list for each byte value the items near it find all of them. A window looks
+up its eight bytes, what it meets is judged by the whole distance, and what is within the radius is
+verified: the weighted Jaccard similarity of window and item, shingles counted as often as they occur.
 
 Windows in which too few shingles occur anywhere in the benchmark to reach the similarity with any
 item at all are not fingerprinted; that loses none. (At the similarity of 0.8 the expected
@@ -13,9 +14,9 @@ distance is under 10 bits, 23 is more than four deviations off.)
 A text of fewer words than an item (but five or more) is compared with it as a whole, by counting the
 shingles that they share; only items of so many shingles that the similarity can be reached count.
 
-Nothing is shuffled: the index goes to every task. It is built from at most ``block_bytes`` of
-benchmark text at a time; a larger benchmark is split by item and its blocks scanned one after
-another.
+Nothing of the documents is shuffled: the index goes to every task. It is built from at most about
+``block_bytes`` of benchmark text at a time; a larger benchmark is split by item, written out once by
+block, and the documents meet its blocks one after another.
 
 Defined results
     null or wordless texts and items match nothing; an item of fewer than five words matches where
@@ -33,13 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean
+from .shared import lean, scratch
 from .text import ALNUM, LOWER, Rolling, Spans, flat, pieces, shingles, sums
 
 RADIUS, BLOCKS, SPARE = 23, 8, 2
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: Which byte values are within SPARE bits of each other.
-_NEAR = _POP[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= SPARE
+_NEAR = np.bitwise_count(np.arange(256)[:, None] ^ np.arange(256)[None, :]) <= SPARE
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +71,32 @@ def _ranks(ids: np.ndarray) -> np.ndarray:
     return rank
 
 
+class Tables:
+    """Fingerprints by each of their bytes: for every byte value the rows whose byte is within SPARE bits of it."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = np.ascontiguousarray(prints).view("<u8").ravel()
+        self.begin, self.rows = [], []
+        for b in range(BLOCKS):
+            value, row = np.nonzero(_NEAR[:, prints[:, b]])
+            self.begin.append(np.searchsorted(value, np.arange(257)))
+            self.rows.append(row.astype(np.int32))
+
+    def within(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of an asked fingerprint and a row that are within RADIUS bits, each once."""
+        whole, n = np.ascontiguousarray(asked).view("<u8").ravel(), len(self.prints)
+        found = []
+        for b in range(BLOCKS):
+            low = self.begin[b][asked[:, b]]
+            count = self.begin[b][asked[:, b].astype(np.int64) + 1] - low
+            who = np.repeat(np.arange(len(asked)), count)
+            row = self.rows[b][np.arange(len(who)) + np.repeat(low - np.cumsum(count) + count, count)]
+            near = np.bitwise_count(whole[who] ^ self.prints[row]) <= RADIUS
+            found.append(who[near] * n + row[near])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // n, pairs % n
+
+
 class Index:
     """Items by their size in words; picklable, so it can be broadcast."""
 
@@ -80,15 +106,14 @@ class Index:
         n = np.diff(first)
         grams, bounds = shingles(words, first, k)
         self.known = np.unique(grams)  # every shingle of the benchmark; its place is its id
-        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, list]] = {}
+        self.sizes: dict[int, tuple[np.ndarray, Tables, list]] = {}
         for size in np.unique(n[n > 0]):
             rows = np.flatnonzero(n == size)
             ids = np.stack([np.searchsorted(self.known, grams[bounds[r] : bounds[r + 1]]) for r in rows])
             prints = np.stack([_fingerprints(_planes(grams[bounds[r] : bounds[r + 1]]).sum(axis=0, keepdims=True))[0] for r in rows])
-            counts = [dict(zip(*(x.tolist() for x in np.unique(i, return_counts=True)), strict=True)) for i in ids]
-            self.sizes[int(size)] = (rows, prints, counts)
+            self.sizes[int(size)] = (rows, Tables(prints), [np.unique(i, return_counts=True) for i in ids])
         # For each shingle the items of k words or more that hold it, and how often.
-        held = [(r, i, c) for size, (rows, _, counts) in self.sizes.items() if size >= k for r, count in zip(rows, counts, strict=True) for i, c in count.items()]
+        held = [(r, i, c) for size, (rows, _, counts) in self.sizes.items() if size >= k for r, count in zip(rows, counts, strict=True) for i, c in zip(*count, strict=True)]
         held = np.array(held, np.int64).reshape(-1, 3)
         held = held[np.argsort(held[:, 1], kind="stable")]
         self.held, self.held_from = held[:, [0, 2]], np.searchsorted(held[:, 1], np.arange(len(self.known) + 1))
@@ -126,7 +151,7 @@ class Index:
             longest = max(size for size in self.sizes if min(self.k, size) == k) - k + 1
             ahead = np.minimum(np.arange(len(ids)) + longest, bounds[1:][text_of])
             starts = np.flatnonzero(here[ahead] > here[:-1])
-            for size, (rows, prints, counts) in self.sizes.items():
+            for size, (rows, tables, counts) in self.sizes.items():
                 n = size - k + 1
                 if min(self.k, size) != k:
                     continue
@@ -134,7 +159,7 @@ class Index:
                 whole = whole[np.diff(first)[text_of[whole]] >= size]
                 whole = whole[here[whole + n] - here[whole] >= self.least(n)]
                 for at in np.array_split(whole, max(1, -(-len(whole) * max(n, len(rows)) // 2_000_000))):
-                    found += self._verified(at, n, grams, ids, rows, prints, counts, text_of, bounds, size)
+                    found += self._verified(at, n, grams, ids, rows, tables, counts, text_of, bounds, size)
             if k == self.k:
                 found += self._shorter(ids, first, bounds)
         rows = np.concatenate([np.zeros((0, 5)), *found])
@@ -165,27 +190,23 @@ class Index:
             found.append(np.stack([np.full(m, t), item[near], np.zeros(m), np.full(m, words[t]), similarity[near]], axis=1).astype(np.float64))
         return found
 
-    def _verified(self, at, n, grams, ids, rows, prints, counts, text_of, bounds, size) -> list[np.ndarray]:
+    def _verified(self, at, n, grams, ids, rows, tables, counts, text_of, bounds, size) -> list[np.ndarray]:
         if not len(at):
             return []
         inside = at[:, None] + np.arange(n)[None, :]
         total = np.zeros((len(at), 64), np.int32)
         for j in range(n):
             total += _planes(grams[inside[:, j]])
-        own = _fingerprints(total)
-        near = np.zeros((len(at), len(rows)), bool)
-        for b in range(BLOCKS):
-            near |= _NEAR[prints[:, b]].T[own[:, b]]
-        window, item = np.nonzero(near)
-        apart = _POP[own[window] ^ prints[item]].sum(axis=1)
-        window, item = window[apart <= RADIUS], item[apart <= RADIUS]
+        window, item = tables.within(_fingerprints(total))
+        order = np.argsort(item, kind="stable")
+        window, item = window[order], item[order]
         found = []
-        for i in np.unique(item):
-            w = window[item == i]
+        for i, w in zip(*np.unique(item, return_index=True), strict=True) if len(item) else ():
+            w = window[w : w + np.searchsorted(item[w:], i, "right")]
             block = ids[inside[w]]
-            most = np.zeros(len(self.known) + 1, np.int64)
-            most[list(counts[i])] = list(counts[i].values())
-            shared = (_ranks(block) < most[block]).sum(axis=1)
+            held, often = counts[i]
+            place = np.minimum(np.searchsorted(held, block), len(held) - 1)
+            shared = (_ranks(block) < np.where(held[place] == block, often[place], 0)).sum(axis=1)
             similarity = shared / (2 * n - shared)
             w, similarity = w[similarity >= self.similarity - 1e-12], similarity[similarity >= self.similarity - 1e-12]
             s = at[w]
@@ -198,8 +219,12 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list, list
     items = lean(benchmark).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // block_bytes)
+    if n > 1:
+        path = scratch(items.sparkSession, "benchmark-blocks")
+        items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")).write.partitionBy("block").parquet(path)
+        items = items.sparkSession.read.parquet(path)
     for b in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
+        rows = (items.filter(F.col("block") == b) if n > 1 else items).select("item_id", "text").collect()
         yield [r.item_id for r in rows], [r.text for r in rows]
 
 

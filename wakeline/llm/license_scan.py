@@ -3,7 +3,12 @@
 All word k-grams of a text are hashed; those that occur in a template are joined to the template's
 positions, and each match votes for the diagonal ``text position - template position``. Votes on
 neighbouring diagonals (words put in or left out) are merged, and the span below a merged diagonal
-is verified: a phrase word for word, a template by edit similarity.
+is verified by which of the template's words stand in it at their place: all of them, word for word,
+for a phrase; for a template as many as the similarity asks, of the longer of template and span, and
+each of its numbers, as versions must agree.
+
+A match is a row of four numbers: no text is shuffled, and a text that repeats a phrase, or a long
+template, takes no more than its matches.
 
 Defined results
     null or wordless text: no words, no labels, score 0; texts are scanned whole; a null doc_id is
@@ -37,18 +42,33 @@ PHRASES = (
     Template("cc-by-nc", "cc by nc", True),
 )
 
-# Openings of well-known licences, matched approximately.
+# Texts and openings of well-known licences, matched approximately.
 TEMPLATES = (
     Template("mit", "released under the mit license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    Template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     Template("apache-2", "licensed under the apache license version 2 0"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that"),
+    Template("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    Template(
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice "
+        "this list of conditions and the following disclaimer",
+    ),
     Template("gpl-3", "licensed under the gnu general public license version 3"),
     Template("gpl-2", "licensed under the gnu general public license version 2"),
+    Template("gpl-3", "it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    Template("gpl-2", "it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    Template("lgpl-3", "it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     Template("cc-by-nc", "licensed under cc by nc 4 0"),
     Template("cc-by-sa", "licensed under cc by sa 4 0"),
     Template("cc-by", "licensed under a creative commons attribution 4 0 international license"),
     Template("mpl-2", "subject to the terms of the mozilla public license version 2 0"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain"),
     Template("all-rights-reserved", "all rights reserved"),
 )
 
@@ -63,11 +83,12 @@ def _gram(words: Column, i: Column, k: int) -> Column:
 
 
 def template_grams(like: DataFrame, templates: tuple[Template, ...], k: int) -> DataFrame:
-    """``template, label, exact, n, text, tpos, gram``: as many rows as the templates have words."""
-    spark = like.sparkSession
-    rows = [(i, t.label, t.exact, len(t.words.split()), t.words) for i, t in enumerate(templates)]
-    base = spark.createDataFrame(rows, "template int, label string, exact boolean, n int, words string").coalesce(1)
-    base = base.withColumn("w", F.split("words", " "))
+    """``template, label, exact, n, numbers, tpos, gram``: as many rows as the templates have words."""
+    rows = []
+    for i, t in enumerate(templates):
+        words = t.words.split()
+        rows.append((i, t.label, t.exact, len(words), [j for j, w in enumerate(words) if w.isdigit()], words))
+    base = like.sparkSession.createDataFrame(rows, "template int, label string, exact boolean, n int, numbers array<int>, w array<string>").coalesce(1)
     return base.withColumn("tpos", F.explode(F.sequence(F.lit(0), F.col("n") - k))).withColumn("gram", _gram(F.col("w"), F.col("tpos"), k)).drop("w")
 
 
@@ -92,35 +113,28 @@ def scan_licenses(
     """
     grams = template_grams(documents, phrases + templates, k)
     known = sorted({r.gram for r in grams.select("gram").collect()})  # of the fixed templates
-    reach = max(len(t.words.split()) for t in phrases + templates) + slack
     docs = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("w"))
     docs = docs.withColumn("n_words", F.size("w").cast("long"))
     places = F.when(F.size("w") >= k, F.filter(F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.struct(i.alias("pos"), _gram(F.col("w"), i, k).alias("gram"))), lambda p: p["gram"].isin(known)))
-    near = lambda p: F.greatest(p["pos"] - reach, F.lit(0))
-    hits = F.transform(places, lambda p: F.struct(p["pos"].alias("pos"), p["gram"].alias("gram"), near(p).alias("from"), F.slice("w", near(p) + 1, 2 * reach + k).alias("around")))
-    hit = docs.select("row", "doc_id", "n_words", F.explode_outer(hits).alias("h")).select("row", "doc_id", "n_words", "h.*")
+    hit = docs.select("row", "doc_id", "n_words", F.explode_outer(places).alias("h")).select("row", "doc_id", "n_words", "h.*")
+    kept = ("doc_id", "n_words", "label", "exact", "n", "numbers")
     voted = (
         hit.repartition("row")
         .join(F.broadcast(grams), "gram", "left")
         .groupBy("row", "template", (F.col("pos") - F.col("tpos")).alias("diagonal"))
-        .agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("n").alias("n"),
-            F.first("words").alias("words"), F.count("tpos").alias("votes"), F.min_by(F.struct("from", "around"), "pos").alias("view"),
-        )
+        .agg(*[F.first(c).alias(c) for c in kept], F.collect_set("tpos").alias("at"))
     )
     by = W.partitionBy("row", "template").orderBy("diagonal")
     voted = voted.withColumn("new", F.when(F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(by) > slack) | F.lag("diagonal").over(by).isNull(), 1).otherwise(0))
     voted = voted.withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
     merged = voted.groupBy("row", "template", "run").agg(
-        *[F.first(c).alias(c) for c in ("doc_id", "n_words", "label", "exact", "n", "words")],
-        F.min("diagonal").alias("start"), F.max("diagonal").alias("stop"), F.sum("votes").alias("votes"), F.min_by("view", "diagonal").alias("view"),
+        *[F.first(c).alias(c) for c in kept], F.sum(F.size("at")).alias("votes"), F.flatten(F.collect_list("at")).alias("at"),
+        F.min(F.col("diagonal") + F.array_min("at")).alias("begins"), (F.max(F.col("diagonal") + F.array_max("at")) + k).alias("ends"),
     )
-    begins = F.greatest("start", F.lit(0))
-    span = F.slice("view.around", begins - F.col("view.from") + 1, (F.col("stop") - begins + F.col("n")).cast("int"))
-    text = F.array_join(span, " ")
-    numbers = lambda c: F.trim(F.regexp_replace(c, "[^0-9]+", " "))  # noqa: E731  versions must agree
-    alike = 1 - F.levenshtein(text, "words") / F.greatest(F.length(text), F.length("words"))
-    merged = merged.withColumns({"begins": begins.cast("long"), "length": F.size(span).cast("long"), "similarity": F.when(F.col("exact"), (text == F.col("words")).cast("double")).otherwise(F.when(numbers(text) == numbers(F.col("words")), alike).otherwise(0.0))})
+    held = F.array_distinct(F.flatten(F.transform("at", lambda t: F.sequence(t, t + k - 1))))
+    merged = merged.withColumns({"held": held, "begins": F.col("begins").cast("long"), "length": (F.col("ends") - F.col("begins")).cast("long")})
+    alike = F.when(F.forall("numbers", lambda i: F.array_contains("held", i)), F.size("held") / F.greatest("n", "length")).otherwise(0.0)
+    merged = merged.withColumn("similarity", F.when(F.col("exact"), (F.size("held") == F.col("n")).cast("double")).otherwise(alike))
     verified = F.col("template").isNotNull() & (F.col("votes") >= F.ceil((F.col("n") - k + 1) * F.lit(least_votes))) & (F.col("similarity") >= F.when(F.col("exact"), 1.0).otherwise(least_similarity))
     base = verified & F.col("exact")
     return (

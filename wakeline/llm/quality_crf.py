@@ -1,11 +1,17 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line with a word is good (1) or bad (0). Its features are rates of its own characters and
-words and those of the lines beside it; neighbouring labels are tied by transition weights. Training
-gives each line its document's label. Every drawn document takes part: where their lines are more
-than the fit can hold, all give up to the same number, a long one a run of its lines. A document's
-score is the mean of its lines' marginal probabilities of good, weighted by their lengths;
-forward-backward passes run over all documents of a slice of the input at once.
+words and those of the lines beside it; neighbouring labels are tied by transition weights. Only
+documents are labelled, lines are not: a document's label says that the share of good lines, weighted
+by their lengths, is at least ``good_share`` or at most ``bad_share``. The fit starts with every line
+labelled as its document, then takes turns (expectation-maximisation): the chain's own marginals,
+pulled no further than each document's share asks, are the labels that it is fitted to next. So a
+bad footer in a good document is learnt as bad.
+
+Every drawn document takes part: a long one gives a run of its lines, and where all together are more
+than the fit can hold, all give up to the same number. A document's score is the mean of its lines'
+marginal probabilities of good, weighted by their lengths; forward-backward passes run over all
+documents of a slice of the input at once.
 
 Defined results
     null, empty or wordless text: the training rows' share of good documents; texts are scored
@@ -37,11 +43,16 @@ _OWN = 12  # features of a line itself
 
 @dataclass(frozen=True)
 class Training:
-    """What bounds the fit: at most ``rows`` labelled documents, in hash order, of at most ``lines`` lines in all (or one of each)."""
+    """What bounds the fit: at most ``rows`` labelled documents, in hash order, of at most ``lines`` lines in all (or one of each) and ``run`` of each."""
 
     rows: int = 4000
     lines: int = 100_000
-    steps: int = 250
+    run: int = 500
+    steps: int = 160
+    turns: int = 3
+    turn_steps: int = 30
+    good_share: float = 0.8
+    bad_share: float = 0.2
     rate: float = 0.08
     ridge: float = 1e-4
     folds: int = 5
@@ -105,10 +116,10 @@ class Chain:
     def __init__(self, weights: np.ndarray, pairs: np.ndarray):
         self.weights, self.pairs = weights, pairs
 
-    def passes(self, x: np.ndarray, first: np.ndarray):
+    def passes(self, x: np.ndarray, first: np.ndarray, pull: np.ndarray | float = 0.0):
         """Log forward and backward sums, all texts in step: at step t only those with more than t lines."""
         unary = np.zeros((len(x), 2))
-        unary[:, 1] = x @ self.weights
+        unary[:, 1] = x @ self.weights + pull
         forward, backward = unary.copy(), np.zeros_like(unary)
         n = np.diff(first)
         order = np.argsort(-n, kind="stable")
@@ -124,37 +135,72 @@ class Chain:
             backward[at] = np.logaddexp(to[:, :1] + self.pairs[:, 0], to[:, 1:] + self.pairs[:, 1])
         return unary, forward, backward
 
-    def marginals(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        _, forward, backward = self.passes(x, first)
+    def marginals(self, x: np.ndarray, first: np.ndarray, pull: np.ndarray | float = 0.0) -> np.ndarray:
+        _, forward, backward = self.passes(x, first, pull)
         log = forward + backward
         return 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
 
-
-def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, how: Training) -> Chain:
-    """Maximises the mean log-likelihood per text by Adam steps."""
-    theta = np.zeros(N_FEATURES + 4)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    y = np.repeat(label, np.diff(first)).astype(float)
-    inner = np.ones(len(x), bool)
-    inner[first[:-1][np.diff(first) > 0]] = False
-    inner = np.flatnonzero(inner)
-    last = np.repeat(first[1:] - 1, np.diff(first))
-    texts = max(len(label), 1)
-    seen = np.zeros((2, 2))
-    for i in (0, 1):
-        seen[i, i] = (y[inner] == i).sum()
-    for step in range(1, how.steps + 1):
-        chain = Chain(theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2))
-        unary, forward, backward = chain.passes(x, first)
+    def expected(self, x: np.ndarray, first: np.ndarray, pull: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Each line's probability of good, and how often each pair of labels is expected."""
+        unary, forward, backward = self.passes(x, first, pull)
+        n = np.diff(first)
+        last = np.repeat(first[1:] - 1, n)
         total = np.logaddexp(forward[last, 0], forward[last, 1])
-        p = np.exp(forward[:, 1] + backward[:, 1] - total)
-        expected = np.zeros((2, 2))
+        inner = np.ones(len(x), bool)
+        inner[first[:-1][n > 0]] = False
+        inner = np.flatnonzero(inner)
+        pairs = np.zeros((2, 2))
         for i in (0, 1):
             for j in (0, 1):
-                expected[i, j] = np.exp(forward[inner - 1, i] + chain.pairs[i, j] + unary[inner, j] + backward[inner, j] - total[inner]).sum()
-        gradient = np.concatenate([x.T @ (y - p), (seen - expected).ravel()]) / texts - how.ridge * theta
-        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
-        theta = theta + how.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                pairs[i, j] = np.exp(forward[inner - 1, i] + self.pairs[i, j] + unary[inner, j] + backward[inner, j] - total[inner]).sum()
+        return np.exp(forward[:, 1] + backward[:, 1] - total), pairs
+
+
+class Lines:
+    """Training lines: features, lengths, the first line of each text and whether the text is good."""
+
+    def __init__(self, x: np.ndarray, length: np.ndarray, first: np.ndarray, good: np.ndarray):
+        self.x, self.first, self.good = x, first, good
+        self.n, self.of = np.diff(first), np.repeat(np.arange(len(good)), np.diff(first))
+        whole = np.bincount(self.of, length, len(good))
+        self.share_of = length / np.maximum(whole, 1)[self.of]
+
+    def share(self, p: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, p * self.share_of, len(self.good))
+
+    def as_documents(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every line labelled as its text: labels and pairs."""
+        pairs = np.maximum(self.n - 1, 0)
+        return self.good[self.of].astype(float), np.diag([pairs[~self.good].sum(), pairs[self.good].sum()]).astype(float)
+
+    def pulled(self, chain: Chain, how: Training) -> tuple[np.ndarray, np.ndarray]:
+        """The chain's labels and pairs under the least pull that gives each text its share."""
+        weight = self.share_of * self.n[self.of]
+        sign = np.where(self.good, 1.0, -1.0)
+        low, high = np.zeros(len(self.good)), np.full(len(self.good), 40.0)
+        kept = lambda p: np.where(self.good, self.share(p) >= how.good_share, self.share(p) <= how.bad_share)
+        high[kept(chain.marginals(self.x, self.first))] = 0.0
+        for _ in range(10 if high.any() else 0):
+            middle = (low + high) / 2
+            enough = kept(chain.marginals(self.x, self.first, (sign * middle)[self.of] * weight))
+            high, low = np.where(enough, middle, high), np.where(enough, low, middle)
+        return chain.expected(self.x, self.first, (sign * high)[self.of] * weight)
+
+
+def fit(lines: Lines, how: Training) -> Chain:
+    """Maximises the mean log-likelihood per text by Adam steps: of the documents' labels first, then of the lines' own."""
+    theta = np.zeros(N_FEATURES + 4)
+    texts = max(len(lines.good), 1)
+    for turn in range(how.turns + 1):
+        chain = Chain(theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2))
+        label, seen = lines.pulled(chain, how) if turn else lines.as_documents()
+        m, v = np.zeros_like(theta), np.zeros_like(theta)
+        for step in range(1, (how.turn_steps if turn else how.steps) + 1):
+            chain = Chain(theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2))
+            p, pairs = chain.expected(lines.x, lines.first)
+            gradient = np.concatenate([lines.x.T @ (label - p), (seen - pairs).ravel()]) / texts - how.ridge * theta
+            m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
+            theta = theta + how.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Chain(theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2))
 
 
@@ -183,12 +229,13 @@ def trained(documents: DataFrame, labels: DataFrame, how: Training = Training())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
-            x, _, first = line_features(*flat(part.column("text")))
+            x, length, first = line_features(*flat(part.column("text")))
+            x = np.concatenate([x, length[:, None]], axis=1)
             n = np.diff(first)
-            held = np.minimum(n, how.lines)
+            held = np.minimum(n, how.run)
             begin = first[:-1] + part.column("h").to_numpy() % (n - held + 1)
             yield pa.RecordBatch.from_arrays(
-                [part.column("h"), part.column("quality"), pa.array(n, pa.int64()), pa.array([x[a : a + m].tobytes() for a, m in zip(begin, held, strict=True)], pa.binary())],
+                [part.column("h"), part.column("quality"), pa.array(held, pa.int64()), pa.array([x[a : a + m].tobytes() for a, m in zip(begin, held, strict=True)], pa.binary())],
                 names=["h", "quality", "lines", "x"],
             )
 
@@ -200,12 +247,13 @@ def trained(documents: DataFrame, labels: DataFrame, how: Training = Training())
     size = size[size["lines"] > 0]
     if size["quality"].nunique() < 2:
         return None, share
-    held = F.least("lines", F.lit(how.lines))
-    given = F.least("lines", F.lit(min(line_share(size["lines"].to_numpy(), how.lines), how.lines)))
-    run_of = F.substring("x", (F.pmod("h", held - given + 1) * 8 * N_FEATURES + 1).cast("int"), (given * 8 * N_FEATURES).cast("int"))
+    wide = N_FEATURES + 1
+    given = F.least("lines", F.lit(line_share(size["lines"].to_numpy(), how.lines)))
+    run_of = F.substring("x", (F.pmod("h", F.col("lines") - given + 1) * 8 * wide + 1).cast("int"), (given * 8 * wide).cast("int"))
     got = known.filter("lines > 0").select("h", "quality", given.alias("lines"), run_of.alias("x")).toPandas().sort_values("h", kind="stable")
-    x = np.concatenate([np.frombuffer(b, np.float64).reshape(-1, N_FEATURES) for b in got["x"]])
-    return fit(x, np.concatenate([[0], np.cumsum(got["lines"])]), (got["quality"] == 1).to_numpy(), how), share
+    x = np.concatenate([np.frombuffer(b, np.float64).reshape(-1, wide) for b in got["x"]])
+    first = np.concatenate([[0], np.cumsum(got["lines"])])
+    return fit(Lines(x[:, :-1], x[:, -1], first, (got["quality"] == 1).to_numpy()), how), share
 
 
 def text_scores(model: tuple[Chain | None, float], texts: pa.Array) -> np.ndarray:

@@ -97,19 +97,21 @@ FROM t GROUP BY conv_id
 """
 
 
-OP3_SQL = r"""
+_OP3_SQL = r"""
 WITH RECURSIVE rules(verdict, rule) AS (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')),
 cut AS (SELECT verdict, rule, split_part(rule, '/', 1) AS rh, substr(rule, length(split_part(rule, '/', 1)) + 1) AS rp FROM rules),
-base AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+base AS (SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT *, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail FROM base),
 page AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN tail = '' THEN '/' ELSE tail END END AS node FROM p),
-tags AS (SELECT host, node, list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical\b'))[1] AS c,
-           list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b'))[1] AS r FROM page),
-hrefs AS (SELECT host, node, regexp_extract(c, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS href FROM tags UNION ALL SELECT host, node, regexp_extract(r, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM tags),
-full_ AS (SELECT node, CASE WHEN h LIKE '//%' THEN 'x:' || h WHEN h LIKE '/%' THEN 'x://' || host || h ELSE h END AS url FROM (SELECT *, replace(href, '&amp;', '&') AS h FROM hrefs) WHERE h <> ''),
+tags AS (SELECT url, node, coalesce(replace(regexp_extract(html, '(?is)<base\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1), '&amp;', '&'), '') AS base,
+           list_concat(
+             list_transform(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical\b')), lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+             list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')), lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1))) AS hrefs FROM page),
+links AS (SELECT *, replace(unnest(hrefs), '&amp;', '&') AS href FROM tags),
+on_base AS (SELECT node, href, coalesce(CASE WHEN base <> '' THEN resolved(url, base) END, url) AS url FROM links WHERE href <> ''),
 dst AS (SELECT node, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail
-        FROM (SELECT node, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM full_)),
+        FROM (SELECT node, CASE WHEN instr(full_, '://') > 0 THEN substr(full_, instr(full_, '://') + 3) ELSE '' END AS rest FROM (SELECT node, resolved(url, href) AS full_ FROM on_base))),
 one AS (SELECT node AS a, host || CASE WHEN tail = '' THEN '/' ELSE tail END AS b FROM dst WHERE host <> '' AND node IS NOT NULL),
 edge AS (SELECT a, b FROM one UNION SELECT b, a FROM one),
 reach AS (SELECT a, a AS b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
@@ -122,6 +124,23 @@ SELECT page_id, page.host, page.path, rule, coalesce(verdict, inherited, 'allow'
 FROM page LEFT JOIN own ON page.host = own.host AND page.path = own.path LEFT JOIN passed ON page.node = passed.node
 """
 
+
+def _resolved(url: str, href: str) -> str:
+    """SQL for the absolute URL of a link, without the page's scheme."""
+    rest = f"(CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) ELSE '' END)"
+    host, path = f"regexp_extract({rest}, '^([^/?#]*)', 1)", f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
+    folder = f"regexp_extract({path}, '^(.*/)', 1)"
+    full = f"(CASE WHEN {href} LIKE '/%' THEN {href} WHEN {href} LIKE '?%' THEN {path} || {href} ELSE (CASE WHEN {folder} = '' THEN '/' ELSE {folder} END) || {href} END)"
+    way = f"regexp_extract({full}, '^([^?#]*)', 1)"
+    parts = f"list_transform(string_split({way}, '/'), lambda s: [s])"
+    fold = f"list_reduce({parts}, lambda done, s: CASE WHEN s = ['.'] THEN done WHEN s = ['..'] THEN done[1:greatest(len(done) - 1, 1)] ELSE list_concat(done, s) END)"
+    dotless = f"array_to_string(CASE WHEN regexp_matches({way}, '(^|/)\\.\\.?$') THEN list_concat({fold}, ['']) ELSE {fold} END, '/')"
+    whole = f"'x://' || {host} || CASE WHEN {way} = '' THEN '' ELSE {dotless} END || substr({full}, length({way}) + 1)"
+    return f"(CASE WHEN regexp_matches({href}, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN {href} WHEN {href} LIKE '//%' THEN 'x:' || {href} WHEN {href} LIKE '#%' THEN {url} WHEN {host} <> '' THEN {whole} END)"
+
+
+OP3_SQL = _OP3_SQL.replace("resolved(url, base)", _resolved("url", "base")).replace("resolved(url, href)", _resolved("url", "href"))
+
 OP5_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 k AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS n, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS keeper FROM p)

@@ -1,38 +1,15 @@
-"""Where intermediate tables go, and a few column helpers that all operators use."""
+"""Intermediate tables, Arrow batches and a few column helpers that all operators use."""
 
 from __future__ import annotations
 
 import string
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch, staged
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share.
-
-    Only where that setting is absent (a session on one machine, as in tests) a temporary
-    folder is made and set as the session's checkpoint folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        kept = spark.sparkContext.getCheckpointDir()
-        if not kept:
-            kept = tempfile.mkdtemp(prefix="spark-wakeline-")
-            spark.sparkContext.setCheckpointDir(kept)
-        base = kept
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+__all__ = ["lean", "lower_ascii", "scratch", "staged", "table"]
 
 
 def lean(df: DataFrame) -> DataFrame:
@@ -49,13 +26,6 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a scratch folder that no later step reads."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def lower_ascii(col: Column) -> Column:
     """A-Z only; other letters stay as they are, whatever the locale."""
     return F.translate(col, string.ascii_uppercase, string.ascii_lowercase)

@@ -4,16 +4,18 @@ A node is a URL without scheme and fragment, its host in lower case. Pages whose
 share a verdict; ``<link rel="canonical">`` and ``<meta http-equiv="refresh">`` in a page, and any
 redirect table given, are edges. A page that no rule fits takes its component's verdict: allow if
 an allow rule fits any node of it, else block if a block rule does, else allow. Explicit rules are
-never overruled.
+never overruled. All such tags of a page count; relative targets are resolved against the page's URL
+or its ``<base href>``, dot segments removed.
 
 Defined results
     a null URL or one without ``://``: empty host and path, no node, so allow; null html: no links;
-    rows repeat as often as in the input; a null page_id is kept; an empty table gives no rows.
+    rows repeat as often as in the input; a null page_id is kept; an empty table gives no rows; pages
+    without a host, however many, are spread over the tasks of the joins; texts are searched whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,16 +61,45 @@ def judged(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return fits.groupBy("host", "path").agg(best.alias("best")).select("host", "path", "best.rule", "best.verdict")
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _dotless(path: Column) -> Column:
+    """A path from ``/`` on, without ``.`` and ``..`` segments."""
+    step = lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.array_append(done, s))
+    kept = lambda parts: F.aggregate(parts, F.array().cast("array<string>"), step)
+    return _let(F.split(path, "/"), lambda parts: F.array_join(F.concat(kept(parts), F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/"))
+
+
+def resolved(url: Column, href: Column) -> Column:
+    """The absolute URL of a link; without the page's scheme, which no node has."""
+
+    def at(p: Column) -> Column:
+        folder = F.regexp_extract(p["path"], r"(?s)^(.*/)", 1)
+        rest = F.when(F.startswith(href, F.lit("/")), href).when(F.startswith(href, F.lit("?")), F.concat(p["path"], href)).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), href))
+        cut = lambda r: _let(F.regexp_extract(r, r"(?s)^([^?#]*)", 1), lambda path: F.concat(F.when(path == "", "").otherwise(_dotless(path)), F.substr(r, F.length(path) + 1)))
+        return F.when(p["host"] != "", F.concat(F.lit("x://"), p["host"], _let(rest, cut)))
+
+    parts = F.struct(host_of(url).alias("host"), path_of(url).alias("path"))
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href).when(F.startswith(href, F.lit("//")), F.concat(F.lit("x:"), href))
+        .when(F.startswith(href, F.lit("#")), url).otherwise(_let(parts, at))
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """``src, dst`` nodes of canonical and refresh links; protocol- and root-relative ones are resolved."""
-    tag = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-    refresh = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)"
-    found = pages.filter(F.col("html").rlike("(?i)canonical|http-equiv")).select(
-        "url", F.explode(F.array(F.regexp_extract("html", tag, 1), F.regexp_extract("html", refresh, 1))).alias("href")
-    )
-    href = F.replace("href", F.lit("&amp;"), F.lit("&"))
-    full = F.when(F.startswith(href, F.lit("//")), F.concat(F.lit("x:"), href)).when(F.startswith(href, F.lit("/")), F.concat(F.lit("x://"), host_of(F.col("url")), href)).otherwise(href)
-    return found.filter("href <> ''").select(node_of(F.col("url")).alias("src"), node_of(full).alias("dst")).na.drop()
+    """``src, dst`` nodes of all canonical and refresh links."""
+    value = r"\s*=\s*[\"']?([^\"'\s>]+)"
+    tag = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref" + value
+    refresh = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl" + value
+    plain = lambda c: F.replace(c, F.lit("&amp;"), F.lit("&"))
+    all_of = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
+    found = pages.filter(F.col("html").rlike("(?i)canonical|http-equiv")).select("url", plain(F.regexp_extract("html", r"(?is)<base\b[^>]*?\bhref" + value, 1)).alias("base"), F.explode(F.concat(all_of(tag), all_of(refresh))).alias("href"))
+    base = F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(resolved(F.col("url"), F.col("base")), F.col("url")))
+    dst = _let(base, lambda b: _let(plain(F.col("href")), lambda href: _let(resolved(b, href), node_of)))
+    return staged(found.select(node_of(F.col("url")).alias("src"), dst.alias("dst")), "page-links").na.drop()
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
@@ -88,8 +119,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
     verdicts = nodes.join(own, ["host", "path"]).groupBy("component").agg(F.max(F.col("verdict") == "allow").alias("ok"))
     passed_on = member.join(verdicts, "component").select("node", F.when(F.col("ok"), "allow").otherwise("block").alias("inherited"))
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
+    # No host and no node looks like this, so rows without them match nothing in any task.
+    nowhere = F.concat(F.lit("\n"), F.pmod(F.xxhash64("page_id"), F.lit(1 << 16)).cast("string"))
+    rows = rows.withColumns({"at_host": F.when(F.col("host") == "", nowhere).otherwise(F.col("host")), "at_node": F.coalesce("node", nowhere)})
     return (
-        rows.join(own, ["host", "path"], "left")
-        .join(passed_on, "node", "left")
+        rows.join(own.withColumnRenamed("host", "at_host"), ["at_host", "path"], "left")
+        .join(passed_on.withColumnRenamed("node", "at_node"), "at_node", "left")
         .select("page_id", "host", "path", "rule", F.coalesce("verdict", "inherited", F.lit("allow")).alias("verdict"))
     )

@@ -6,24 +6,29 @@ filters that were pushed down, and steps over the rest of an unwanted record wit
 Files without that field, and plain ``.warc`` files, are read too.
 
 Paths may be of any file system that pyarrow opens by URI. Tasks write under names of their own
-below ``_temporary``; files of the attempts that count are moved into place at commit.
+below ``_temporary``; files of the attempts that count are moved into place at commit, many at once.
+Files are read through a buffer, so the small reads of headers are few requests. A file is never
+split: archives of about a gigabyte, as is usual, make even partitions.
 
 Defined results
     null html: an empty payload; null url: no target URI; a null page_id is written as such and
     never referred to; page rows that repeat are records of their own, those with the largest
     page_id of equal payloads all responses; an empty table gives no records; line breaks and other
-    control characters in a URL are percent-encoded; payloads are whole.
+    control characters in a URL are percent-encoded; payloads are whole. A foreign record without a
+    Content-Length ends where its gzip member does or, uncompressed, where the next record begins.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import posixpath
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -32,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from .shared import lean, scratch
+from .shared import lean, scratch, staged
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, headers map<string,string>, payload binary"
 #: Columns that are headers, and so can be judged before a payload is read.
@@ -130,9 +135,22 @@ def _payload(headers: dict[str, str], block: bytes) -> bytes:
     return block
 
 
-def records(file, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+def _length(headers: dict[str, str]) -> int | None:
+    n = headers.get("content-length", "")
+    return int(n) if n.isascii() and n.isdigit() else None
+
+
+def _up_to_next(file, at: int) -> bytes:
+    """What stands before the next uncompressed record."""
+    file.seek(at)
+    found = bytearray()
+    while (cut := found.find(b"\r\n\r\nWARC/")) < 0 and (more := file.read(1 << 12)):
+        found += more
+    return bytes(found[:cut] if cut >= 0 else found).rstrip(b"\r\n")
+
+
+def records(file, size: int, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """Headers and payload of each record that ``wanted(headers)`` accepts."""
-    size = file.size()
     while file.tell() < size:
         at = file.tell()
         zipped = file.read(2) == b"\x1f\x8b"
@@ -143,8 +161,9 @@ def records(file, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], byte
                 pass
             headers = _parsed(bytes(part.out[:cut]))
             if wanted(headers) and payloads:
-                n = int(headers.get("content-length", 0))
-                yield headers, _payload(headers, part.rest()[cut + 4 : cut + 4 + n])
+                block = part.rest()[cut + 4 :]
+                n = _length(headers)
+                yield headers, _payload(headers, block.removesuffix(b"\r\n\r\n") if n is None else block[:n])
             else:
                 part.skip()
                 if wanted(headers):
@@ -156,15 +175,17 @@ def records(file, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], byte
                     return
                 head += more
             headers = _parsed(bytes(head[:cut]).lstrip(b"\r\n"))
-            n = int(headers.get("content-length", 0))
-            ends = at + cut + 4 + n
+            n, begin = _length(headers), at + cut + 4
+            block = None
+            if n is None:
+                block = _up_to_next(file, begin)
+                n = len(block)
+            elif wanted(headers) and payloads:
+                file.seek(begin)
+                block = file.read(n)
             if wanted(headers):
-                block = None
-                if payloads:
-                    file.seek(at + cut + 4)
-                    block = _payload(headers, file.read(n))
-                yield headers, block
-            file.seek(ends)
+                yield headers, _payload(headers, block) if payloads else None
+            file.seek(begin + n)
             while file.tell() < size and file.read(1) in (b"\r", b"\n"):
                 pass
             if file.tell() < size:
@@ -177,6 +198,7 @@ class WarcReader(DataSourceReader):
         self.payloads = options.get("payloads", "true").lower() == "true"
         self.bytes = int(options.get("partitionbytes", 64 << 20))
         self.rows, self.filled = int(options.get("batchrows", 256)), int(options.get("batchbytes", 8 << 20))
+        self.buffer = int(options.get("bufferbytes", 1 << 18))
         self.accepted: list[tuple[str, frozenset]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -209,8 +231,8 @@ class WarcReader(DataSourceReader):
         wanted = lambda h: all(h.get(k) in values for k, values in self.accepted)
         rows, filled = [], 0
         for path in partition.paths if partition else ():
-            with fs.open_input_file(path) as file:
-                for headers, payload in records(file, wanted, self.payloads):
+            with fs.open_input_file(path) as raw:
+                for headers, payload in records(io.BufferedReader(raw, self.buffer), raw.size(), wanted, self.payloads):
                     rows.append([*(headers.get(k) for k in HEADERS.values()), list(headers.items()), payload])
                     filled += len(payload or b"")
                     if len(rows) >= self.rows or filled >= self.filled:
@@ -238,7 +260,7 @@ class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"].rstrip("/")
         self.date = options.get("date", "1970-01-01T00:00:00Z")
-        self.level, self.most = int(options.get("level", 3)), int(options.get("filebytes", 64 << 20))
+        self.level, self.most = int(options.get("level", 3)), int(options.get("filebytes", 1 << 30))
         self.job = uuid.uuid4().hex
 
     def _record(self, page_id, url, payload: bytes, refers_to) -> bytes:
@@ -275,9 +297,9 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, path = _opened(self.path)
-        for m in messages:
-            for name in m.files if m else ():
-                fs.move(posixpath.join(path, "_temporary", self.job, name), posixpath.join(path, name))
+        names = [name for m in messages if m for name in m.files]
+        with ThreadPoolExecutor(32) as movers:
+            list(movers.map(lambda name: fs.move(posixpath.join(path, "_temporary", self.job, name), posixpath.join(path, name)), names))
         self._clear(fs, path)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -290,7 +312,7 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcDataSource(DataSource):
-    """``spark.read.format("warc")``; options: path, payloads (false: never decoded), partitionBytes, batchRows, batchBytes; to write: date, level, fileBytes."""
+    """``spark.read.format("warc")``; options: path, payloads (false: never decoded), partitionBytes, batchRows, batchBytes, bufferBytes; to write: date, level, fileBytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -314,13 +336,18 @@ def register(spark: SparkSession) -> None:
 # --- jobs ------------------------------------------------------------------
 
 
-def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def deduplicated(pages: DataFrame, least_bytes: int = 0, most_broadcast: int = 1_000_000) -> DataFrame:
     """``page_id, url, payload, refers_to``: the page to refer to, null for a response.
 
-    Only digests that occur twice or more are joined back, so without repeats no payload is moved.
+    Digests that occur twice or more are counted on narrow rows and written out. If they are at most
+    ``most_broadcast`` (under 100 MB in a task) they go to every task and no payload is moved; more
+    are joined by a shuffle, in which a digest of very many pages is split as a skewed one.
     """
-    rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
-    again = rows.filter(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
+    again = rows.filter(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
+    again = staged(again.filter("n > 1").select("digest", "keeper"), "repeated-payloads")
+    again = F.broadcast(again) if again.count() <= most_broadcast else again.hint("merge")
     refers = F.when((F.octet_length("payload") >= least_bytes) & F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
     return rows.join(again, "digest", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
 
