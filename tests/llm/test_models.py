@@ -10,10 +10,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from wakeline.llm import decontaminate, quality_crf, quality_rules, warc
+from wakeline.llm.text import flat
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -97,6 +99,8 @@ def test_archive_round_trip(spark):
         first = keeper[h or ""] == (-1 if i is None else i)
         expected[i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if first else "revisit", None if first else keeper[h or ""]] += 1
     assert Counter(tuple(r) for r in got) == expected
+    moved = warc.deduplicated(df, most_broadcast=0)
+    assert {tuple(r) for r in moved.collect()} == {tuple(r) for r in warc.deduplicated(df).collect()}
     least = warc.archive_round_trip(df, least_bytes=60).collect()
     assert all(r.record_type == "response" for r in least if r.payload_bytes < 60) and any(r.record_type == "revisit" for r in least)
     assert warc.archive_round_trip(df.limit(0)).count() == 0
@@ -119,6 +123,28 @@ def test_archives_of_others(spark, tmp_path):
     assert len(only) == 3 and all(r.payload is None for r in only)
 
 
+def test_records_without_a_length(spark, tmp_path):
+    import gzip
+
+    part = lambda name, block: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <{name}>\r\n\r\n".encode() + block + b"\r\n\r\n"
+    whole = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<c>")], b"three")
+    (tmp_path / "one.warc").write_bytes(part("a", b"one\r\n\r\nline") + part("b", b"") + whole + part("d", b"x" * 9000))
+    (tmp_path / "two.warc.gz").write_bytes(gzip.compress(part("e", b"five")) + gzip.compress(whole))
+    (tmp_path / "three.warc").write_bytes(b"")
+    warc.register(spark)
+    for payloads in ("true", "false"):
+        df = spark.read.format("warc").option("payloads", payloads).option("bufferBytes", 64).load(f"file://{tmp_path}")
+        got = sorted((r.record_id, r.payload and bytes(r.payload)) for r in df.collect())
+        said = {"<a>": b"one\r\n\r\nline", "<b>": b"", "<c>": b"three", "<d>": b"x" * 9000, "<e>": b"five"}
+        assert got == sorted((i, (said[i] or b"") if payloads == "true" else None) for i in ["<a>", "<b>", "<c>", "<c>", "<d>", "<e>"])
+
+
+def test_repeated_ids_do_not_fill_the_forests_sample(spark):
+    stats = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), *[F.when(F.col("id") % 3 > 0, F.lit(40 + i)).otherwise(F.col("id") * (i + 2) % 97 + 10).alias(c) for i, c in enumerate(["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])])
+    got = quality_rules.scored(stats, trees=20, sample_rows=500).groupBy("doc_id").agg(F.max("anomaly").alias("a")).collect()
+    assert len({round(r.a, 6) for r in got}) > 60
+
+
 def good_and_bad(n, seed, every=3):
     rng = random.Random(seed)
     out = []
@@ -148,6 +174,38 @@ def test_classifier_on_held_out_rows(spark):
     assert quality_crf.score_quality(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_lines_of_both_kinds_are_told_apart():
+    """Only documents are labelled, many hold some lines of the other kind."""
+    rng = random.Random(1)
+    words = lambda: ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(4, 20))]
+    kinds = {False: lambda: " ".join(w + rng.choice(["###", "$$$", ""]) for w in words()), True: lambda: " ".join(words()).capitalize() + "."}
+    texts, good = [], []
+    for i in range(400):
+        good.append(i % 3 > 0)
+        texts.append("\n".join([kinds[good[-1]]() for _ in range(rng.randint(3, 8))] + [kinds[not good[-1]]() for _ in range(rng.random() < 0.4)]))
+    chain = quality_crf.fit(quality_crf.Lines(*quality_crf.line_features(*flat(pa.array(texts))), np.array(good)), quality_crf.Training())
+    truth = [[True] * 5 + [False] * 4, [True] * 6 + [False], [False] * 5 + [True], [True, False] * 6, [True], [False]]
+    x, _, first = quality_crf.line_features(*flat(pa.array(["\n".join(kinds[k]() for k in lines) for lines in truth])))
+    p = chain.marginals(x, first)
+    assert ((p > 0.5) == np.concatenate(truth)).mean() >= 0.95
+    for lines, a, b in zip(truth[:4], first[:-1], first[1:], strict=False):
+        assert p[a:b].min() < 0.4 and p[a:b].max() > 0.6 and len(lines) == b - a
+
+
+def test_pulled_labels_give_each_document_its_share():
+    rng = np.random.default_rng(2)
+    n = rng.integers(1, 7, 50)
+    lines = quality_crf.Lines(rng.normal(size=(n.sum(), quality_crf.N_FEATURES)), rng.integers(1, 90, n.sum()), np.concatenate([[0], np.cumsum(n)]), rng.random(50) < 0.5)
+    chain, how = quality_crf.Chain(rng.normal(size=quality_crf.N_FEATURES), rng.normal(size=(2, 2))), quality_crf.Training()
+    label, pairs = lines.pulled(chain, how)
+    share = lines.share(label)
+    assert (share[lines.good] >= how.good_share - 1e-9).all() and (share[~lines.good] <= how.bad_share + 1e-9).all()
+    assert np.isclose(pairs.sum(), (n - 1).sum())
+    free = lines.share(chain.marginals(lines.x, lines.first))
+    kept = np.where(lines.good, free >= how.good_share, free <= how.bad_share)
+    assert kept.any() and np.allclose(share[kept], free[kept])
+
+
 def test_line_share_is_the_largest_that_fits():
     rng = np.random.default_rng(5)
     for most in (1, 7, 40, 200, 10_000):
@@ -212,7 +270,7 @@ def test_forest_scores_equal_plain_walks():
 
 
 def test_rules_keep_good_documents(spark):
-    rows = good_and_bad(600, 2, every=25)  # a forest isolates what is rare
+    rows = good_and_bad(600, 2, every=7)  # as many bad ones as the given labels have
     docs = spark.createDataFrame([(i, t, True) for i, t, _ in rows] + [(None, None, True), (700, "a b c d e " * 30, True)], "doc_id long, text string, kept boolean")
     labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
     got = {r.doc_id: r for r in quality_rules.judge_quality(docs, labels).collect()}

@@ -48,6 +48,7 @@ class OrderMinHash:
     similarity: float = 0.8
     rounds: int = 2
     block_bytes: int = 6 << 20
+    block_rows: int = 512
     seed: int = 11
 
 
@@ -209,15 +210,15 @@ def links_in_blocks(apart: DataFrame, texts: DataFrame, how: OrderMinHash) -> Da
 
     The buckets' neighbourhoods (rows that buckets connect) are cut into blocks of probes, which are
     the rows outside the largest component, times blocks of all rows; each pair of blocks is a task's
-    group, no larger than two blocks of text.
+    group, no larger than two blocks in text and in rows.
     """
     star = apart.join(apart.groupBy("bucket").agg(F.min("row").alias("hub")), "bucket").select("row", "hub").distinct()
     near = components(star, "row", "hub").select(F.col("node").alias("row"), F.col("component").alias("around"))
     rows = staged(apart.select("row", "component").distinct().join(near, "row").join(texts, "row"), "apart-rows")
     sizes = rows.groupBy("around", "component").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    plan = sizes.groupBy("around").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("bytes").alias("all"), F.max_by("bytes", F.struct("n", "component")).alias("most"))
-    blocks = lambda b: F.greatest(F.lit(1), F.ceil(b / F.lit(how.block_bytes))).cast("int")
-    plan = staged(plan.select("around", "largest", blocks(F.col("all") - F.col("most")).alias("np"), blocks(F.col("all")).alias("nm")), "block-plan")
+    plan = sizes.groupBy("around").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("bytes").alias("all"), F.max_by("bytes", F.struct("n", "component")).alias("most"), F.sum("n").alias("rows"), F.max("n").alias("inner"))
+    blocks = lambda b, n: F.greatest(F.lit(1), F.ceil(b / F.lit(how.block_bytes)), F.ceil(n / F.lit(how.block_rows))).cast("int")
+    plan = staged(plan.select("around", "largest", blocks(F.col("all") - F.col("most"), F.col("rows") - F.col("inner")).alias("np"), blocks(F.col("all"), F.col("rows")).alias("nm")), "block-plan")
     placed = rows.join(plan, "around")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     slot = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")

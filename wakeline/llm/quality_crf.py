@@ -3,10 +3,10 @@
 Every line with a word is good (1) or bad (0). Its features are rates of its own characters and
 words and those of the lines beside it; neighbouring labels are tied by transition weights. Only
 documents are labelled, lines are not: a document's label says that the share of good lines, weighted
-by their lengths, is at least ``good_share`` or at most ``bad_share``. The fit starts with every line
-labelled as its document, then takes turns (expectation-maximisation): the chain's own marginals,
-pulled no further than each document's share asks, are the labels that it is fitted to next. So a
-bad footer in a good document is learnt as bad.
+by their lengths, is at least ``good_share`` or at most ``bad_share``. The fit starts without the
+chain, with every line by itself labelled as its document, then takes turns (expectation-maximisation):
+its own marginals, pulled no further than each document's share asks, are the labels that the whole
+chain is fitted to next. So a bad footer in a good document is learnt as bad.
 
 Every drawn document takes part: a long one gives a run of its lines, and where all together are more
 than the fit can hold, all give up to the same number. A document's score is the mean of its lines'
@@ -48,7 +48,7 @@ class Training:
     rows: int = 4000
     lines: int = 100_000
     run: int = 500
-    steps: int = 160
+    steps: int = 120
     turns: int = 3
     turn_steps: int = 30
     good_share: float = 0.8
@@ -188,17 +188,19 @@ class Lines:
 
 
 def fit(lines: Lines, how: Training) -> Chain:
-    """Maximises the mean log-likelihood per text by Adam steps: of the documents' labels first, then of the lines' own."""
+    """Maximises the mean log-likelihood per text by Adam steps: of the documents' labels by lines alone first, then of the lines' own."""
     theta = np.zeros(N_FEATURES + 4)
+    alone = np.isin(np.arange(len(theta)), [*range(_OWN), N_FEATURES - 1])  # a line's own features and the constant
     texts = max(len(lines.good), 1)
     for turn in range(how.turns + 1):
         chain = Chain(theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2))
         label, seen = lines.pulled(chain, how) if turn else lines.as_documents()
         m, v = np.zeros_like(theta), np.zeros_like(theta)
-        for step in range(1, (how.turn_steps if turn else how.steps) + 1):
+        for step in range(1, (how.steps if turn < 2 else how.turn_steps) + 1):
             chain = Chain(theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2))
             p, pairs = chain.expected(lines.x, lines.first)
             gradient = np.concatenate([lines.x.T @ (label - p), (seen - pairs).ravel()]) / texts - how.ridge * theta
+            gradient = gradient if turn else gradient * alone
             m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
             theta = theta + how.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Chain(theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2))
