@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,12 +157,133 @@ def test_neighbours_equal_plain_ones(spark):
 def test_mixture_and_states():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(1, 0.3, 300), rng.normal(4, 0.5, 300), rng.normal(8, 0.6, 300)])
-    weight, mu, _ = behaviour.normal_mixture(x, (1, 4, 8), (1, 1, 1))
-    assert np.allclose(mu, [1, 4, 8], atol=0.15) and np.allclose(weight, 1 / 3, atol=0.05)
+    weight, mu, _ = behaviour.normal_mixtures(x[:, None], np.ones((900, 1)), (1, 4, 8), (1, 1, 1))
+    assert np.allclose(mu, [[1, 4, 8]], atol=0.15) and np.allclose(weight, 1 / 3, atol=0.05)
     truth = np.repeat([1, 2, 3, 1, 3], 60)
     step = rng.gamma(25, np.array([0, 20, 150, 300])[truth] / 25)
-    states = behaviour.hidden_markov(step, None, (20, 150, 300), (5, 30, 60))[0]
-    assert (states == truth).mean() > 0.95
+    turn = np.where(truth == 3, rng.normal(0, 0.2, 300), rng.uniform(-3.1, 3.1, 300))
+    # A shorter track beside it: each is fitted as if alone.
+    both, on = np.full((300, 2), np.nan), np.ones((300, 2), bool)
+    both[:, 0], both[:200, 1], on[200:, 1] = step, step[:200] * 2, False
+    start = (np.array([[20.0, 150, 300], [40, 300, 600]]), np.array([[5.0, 30, 60], [10, 60, 120]]))
+    states, chains = behaviour.hidden_markov(both, None, on, *start)
+    assert (states[:, 0] == truth).mean() > 0.95 and (states[:200, 1] == truth[:200]).mean() > 0.95
+    one, alone = behaviour.hidden_markov(both[:200, 1:], None, on[:200, 1:], start[0][1:], start[1][1:])
+    assert (one[:, 0] == states[:200, 1]).all() and np.allclose(alone.mean[0], chains.mean[1]) and np.allclose(alone.move[0], chains.move[1])
+    turned, chains = behaviour.hidden_markov(step[:, None], turn[:, None], on[:, :1], start[0][:1], start[1][:1], behaviour.TURN_MEAN, behaviour.KAPPA)
+    assert (turned[:, 0] == truth).mean() > 0.95 and chains.kappa[0].argmax() == 2 and abs(chains.turn_mean[0, 2]) < 0.1
+
+
+def test_vessels_stay_whole_across_batches():
+    ids = ["a"] * 5 + ["b"] * 1 + [None] * 3 + ["c"] * 40 + ["d"] * 2
+    table = pa.table({"vessel_id": ids, "n": range(len(ids))})
+    got = [(t["vessel_id"].to_pylist(), b.tolist(), t["n"].to_pylist()) for t, b in behaviour.whole_vessels(iter(table.to_batches(max_chunksize=4)), 6)]
+    assert [i for x, _, _ in got for i in x] == ids and [n for *_, ns in got for n in ns] == list(range(len(ids)))
+    assert [[x[a] for a in b[:-1]] for x, b, _ in got] == [["a"], ["b", None], ["c", "d"]] or sum(len(b) - 1 for _, b, _ in got) == 5
+
+
+def test_behaviour_of_tracks(spark):
+    rng = random.Random(4)
+    rows, n = [], 0
+    for v, few in (("A", 0), ("B", 0), ("C", 4)):
+        lon = 0.0
+        for i in range(few or 200):
+            lon += rng.gauss((0.0002, 0.0015, 0.003)[i // 70], 0.00005)
+            rows.append((n, v, at(i), lon, 0.0))
+            n += 1
+    df = frame(spark, rows, "rec_id long, vessel_id string, time_stamp timestamp, lon double, lat double").repartition(3)
+    got = {r.rec_id: r for r in behaviour.hmm_step(df).collect()}
+    assert len(got) == n and all(got[i].state is None for i in range(400, n))
+    for first in (0, 200):
+        assert sum(got[first + i].state == i // 70 + 1 for i in range(200)) > 190
+    assert sum(r.state is not None for r in behaviour.hmm_step_turn(df).collect()) == 400
+    params = {(r.vessel_id, r.par): r.value for r in behaviour.hmm_params(df).collect()}
+    assert len(params) == 2 * 24 and 15 < params["A", "step_mean_1"] < 30 and 280 < params["B", "step_mean_3"] < 380
+    for v in "AB":
+        assert abs(sum(params[v, f"gamma_2_{j}"] for j in (1, 2, 3)) - 1) < 1e-6
+    clusters = behaviour.binary_clusters(df).collect()
+    assert len(clusters) == n and {r.cluster for r in clusters if r.vessel_id == "C"} == {None} and {r.cluster for r in clusters} <= {None, 1, 2, 3, 4} and len({r.cluster for r in clusters}) > 2
+    speeds = {r.vessel_id: r for r in behaviour.gaussian_speed(df).collect()}
+    modes = behaviour.mixture_params(df).filter("mode = 1").collect()
+    assert {r.vessel_id for r in modes} == {"A", "B", "C"}
+    for r in modes:
+        assert speeds[r.vessel_id].upper == pytest.approx(r.mu + 1.96 * r.sigma)
+
+
+def circle(cx, cy, r, sides, wobble=0.0):
+    turn = np.linspace(0, 2 * np.pi, sides, endpoint=False)
+    reach = r * (1 + wobble * np.sin(turn * 37))
+    ring = [(float(x), float(y)) for x, y in zip(cx + reach * np.cos(turn), cy + reach * np.sin(turn), strict=True)]
+    return [*ring, ring[0]]
+
+
+def plain_inside(x, y, ring):
+    inside = False
+    for (x1, y1), (x2, y2) in zip(ring[:-1], ring[1:], strict=True):
+        if (x2 - x1) * (y - y1) == (y2 - y1) * (x - x1) and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+            return True
+        if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+            inside = not inside
+    return inside
+
+
+def test_points_in_rings_of_any_shape(spark):
+    rings = [circle(10, 55, 0.7, 500, 0.2), circle(11.5, 55, 0.031, 7), [(9.0, 54.0), (9.3, 54.0), (9.3, 54.3), (9.2, 54.3), (9.2, 54.1), (9.1, 54.1), (9.1, 54.3), (9.0, 54.3), (9.0, 54.0)], circle(10.1, 55.1, 0.3, 40)]
+    rng = random.Random(6)
+    points = [(rng.uniform(8.9, 11.6), rng.uniform(53.9, 55.9)) for _ in range(3000)] + [(9.0 + i / 20, 54.0 + j / 20) for i in range(8) for j in range(8)] + [rings[0][3], rings[3][0]]
+    polys = frame(spark, [([{"lon": a, "lat": b} for a, b in r],) for r in rings] + [(None,)], "ring array<struct<lon:double,lat:double>>")
+    df = pings(spark, [("V", i, *p) for i, p in enumerate(points)])
+    assert values(joins.add_harbours(df, polys.unionByName(polys)), "SI_HARB") == [int(any(plain_inside(x, y, r) for r in rings)) for x, y in points]
+    dry = joins.remove_land(df.limit(800), frame(spark, [([{"lon": a, "lat": b} for a, b in rings[3]],)], polys.schema), 32, 3000.0)
+    utm = lambda p: tuple(p)
+    x, y = geo.to_utm(F.col("lon"), F.col("lat"), 32)
+    planar = [utm(r) for r in frame(spark, rings[3], "lon double, lat double").select(x, y).collect()]
+    at_sea = set()
+    for i, (px, py) in enumerate(frame(spark, points[:800], "lon double, lat double").select(x, y).collect()):
+        a, b = np.array(planar[:-1]), np.array(planar[1:])
+        t = np.clip((((px, py) - a) * (b - a)).sum(axis=1) / ((b - a) ** 2).sum(axis=1), 0, 1)[:, None]
+        if not plain_inside(px, py, planar) and np.hypot(*((px, py) - a - t * (b - a)).T).min() > 3000:
+            at_sea.add(i)
+    assert {r.rec_id for r in dry.collect()} == at_sea and 0 < len(at_sea) < 800
+
+
+def test_a_coast_of_very_many_sides_is_spread_over_cells(spark):
+    ring = circle(10, 55, 3.0, 100_000, 0.1)
+    polys = spark.createDataFrame([([{"x": a, "y": b} for a, b in ring],)], "ring array<struct<x:double,y:double>>")
+    held = joins.ring_cells(polys, 0.1).agg(F.count("*").alias("cells"), F.sum(F.aggregate("shapes", F.lit(0), lambda n, r: n + F.size(r["sides"]))).alias("sides"), F.max(F.aggregate("shapes", F.lit(0), lambda n, r: n + F.size(r["sides"]))).alias("most")).first()
+    assert held.cells < 4000 and held.sides < 120_000 and held.most < 2000
+
+
+def test_downsampling_of_one_long_track(spark):
+    """About linear: the frames do not look at the rest of the track for each ping."""
+    import time
+
+    def took(n):
+        df = spark.range(n).select(F.col("id").alias("rec_id"), F.lit("V").alias("vessel_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 7).alias("time_stamp"))
+        began = time.time()
+        joins.downsample_ais_timestep(df, "min", 1).write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    took(20_000)
+    assert took(160_000) < 8 * max(took(20_000), 1.0)
+
+
+def test_pings_and_models_are_written_and_read(spark, tmp_path):
+    df = pings(spark, [("V", 0, 0, 50), ("W", 600_000, 3, 50), ("V", -1, 2, 51)]).withColumns({"speed": F.lit(1.5), "course": F.lit(None).cast("double"), "gear": F.lit("net"), "behaviour": F.lit("Fishing")})
+    tables.write_pings(df, f"{tmp_path}/pings")
+    back = tables.read_pings(spark, f"{tmp_path}/pings")
+    key = lambda d: sorted(map(tuple, d.select(*df.columns).collect()))
+    assert key(back) == key(df) and {p.name for p in (tmp_path / "pings").glob("year=*")} == {"year=2023", "year=2024", "year=2025"}
+    for name, sep in (("a.csv", ","), ("b.txt", "\t")):
+        df.coalesce(1).write.option("header", True).option("sep", sep).csv(f"{tmp_path}/{name}")
+        assert key(tables.read_pings(spark, f"{tmp_path}/{name}", sep=sep)) == key(df)
+    guessed = tables.read_pings(spark, f"{tmp_path}/a.csv", schema=None)
+    assert dict(guessed.dtypes)["lon"] == "double" and dict(guessed.dtypes)["rec_id"] == "int"
+    rows = spark.range(60).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("behaviour"), (F.col("id") % 2 + F.rand(1) / 2).alias("u"), F.rand(2).alias("v"))
+    model = ml.train_forest(rows, ["u", "v"], trees=5)
+    tables.save_model(model, f"{tmp_path}/model")
+    again = tables.load_model(f"{tmp_path}/model")
+    assert ml.predict(again, rows).select("predicted").collect() == ml.predict(model, rows).select("predicted").collect()
 
 
 def test_dedupe_and_checks(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,24 +118,36 @@ def edges(ring: Column) -> Column:
     return F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
-def in_ring(x: Column, y: Column, ring: Column, fx: str = "lon", fy: str = "lat") -> Column:
-    """Inside by crossing parity, or on a side."""
+#: Where in a grid cell its middle is taken: off what round coordinates hit.
+MIDDLE = 0.5 + 1e-4 * math.pi
+
+
+def in_cell_ring(x: Column, y: Column, cx: Column, cy: Column, size: float, ring: Column) -> Column:
+    """Inside a ring, or on a side, by the ring's ``sides`` in the point's grid cell and whether the cell's middle is ``inside``.
+
+    On the way from the point up or down to the middle's height, then across to the middle, every side
+    that is crossed changes from inside to outside or back.
+    """
+    mx, my = (cx + MIDDLE) * size, (cy + MIDDLE) * size
 
     def crosses(e: Column) -> Column:
-        x1, y1, x2, y2 = e["a"][fx], e["a"][fy], e["b"][fx], e["b"][fy]
-        return ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1)
+        x1, y1, x2, y2 = e["x1"], e["y1"], e["x2"], e["y2"]
+        up = y1 + (y2 - y1) * (x - x1) / F.nullif(x2 - x1, F.lit(0.0))
+        across = x1 + (x2 - x1) * (my - y1) / F.nullif(y2 - y1, F.lit(0.0))
+        first = ((x1 > x) != (x2 > x)) & ((up < y) != (up < my))
+        then = ((y1 > my) != (y2 > my)) & ((across < x) != (across < mx))
+        return F.coalesce(first, F.lit(False)) != F.coalesce(then, F.lit(False))
 
     def touches(e: Column) -> Column:
-        x1, y1, x2, y2 = e["a"][fx], e["a"][fy], e["b"][fx], e["b"][fy]
+        x1, y1, x2, y2 = e["x1"], e["y1"], e["x2"], e["y2"]
         return ((x2 - x1) * (y - y1) == (y2 - y1) * (x - x1)) & x.between(F.least(x1, x2), F.greatest(x1, x2)) & y.between(F.least(y1, y2), F.greatest(y1, y2))
 
-    side = edges(ring)
-    return F.exists(side, touches) | (F.size(F.filter(side, crosses)) % 2 == 1)
+    return F.exists(ring["sides"], touches) | (ring["inside"] != (F.size(F.filter(ring["sides"], crosses)) % 2 == 1))
 
 
 def segment_distance(x: Column, y: Column, e: Column) -> Column:
-    """Planar distance from a point to a side with fields x, y."""
-    x1, y1, x2, y2 = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
+    """Planar distance from a point to a side ``x1, y1, x2, y2``."""
+    x1, y1, x2, y2 = e["x1"], e["y1"], e["x2"], e["y2"]
     dx, dy = x2 - x1, y2 - y1
     t = F.coalesce(((x - x1) * dx + (y - y1) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))

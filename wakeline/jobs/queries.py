@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import behaviour, clean, covariates, interpolate, joins, ml, quality, track, trips
 from ..sources import tables
-from ..sources.scratch import checkpointed
+from ..sources.scratch import staged
 from . import workflows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -399,12 +399,12 @@ on_pings("m9_split_train_test", lambda p: ml.split_train_test(p).select("rec_id"
 
 
 def _importance(spark: SparkSession, d: str) -> DataFrame:
-    f = checkpointed(workflows.features(spark, d))
+    f = staged(workflows.features(spark, d))
     return ml.feature_importance(ml.train_forest(f, workflows.FEATURES, trees=20), workflows.FEATURES, f)
 
 
 def _lda(spark: SparkSession, d: str, quadratic: bool) -> DataFrame:
-    f = checkpointed(workflows.features(spark, d))
+    f = staged(workflows.features(spark, d))
     return ml.predict_discriminant(ml.train_discriminant(f, workflows.FEATURES, quadratic=quadratic), f, workflows.FEATURES).select("rec_id", "behaviour", "predicted")
 
 
@@ -413,7 +413,7 @@ def _tuned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _other(spark: SparkSession, d: str) -> DataFrame:
-    f = checkpointed(workflows.features(spark, d))
+    f = staged(workflows.features(spark, d))
     return ml.predict(ml.train_other(f, workflows.FEATURES, kind="bagged", folds=2, trees=10), f).select("rec_id", "behaviour", "predicted")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import to_utm
 from ..operators import clean, covariates, interpolate, joins, ml, track, trips
 from ..sources import tables
-from ..sources.scratch import checkpointed
+from ..sources.scratch import staged
 
 ZONE = 32
 
@@ -49,5 +49,5 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def behaviour_folds(spark: SparkSession, sf_dir: str, trees: int = 20) -> DataFrame:
     """Accuracy and kappa of forest, LDA and QDA over trip folds."""
-    done = ml.cross_validate(checkpointed(features(spark, sf_dir)), FEATURES, trees=trees)
+    done = ml.cross_validate(staged(features(spark, sf_dir)), FEATURES, trees=trees)
     return ml.overall(ml.confusion(done, by=["model"]), ["model"])

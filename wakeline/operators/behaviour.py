@@ -1,20 +1,25 @@
 """Fishing or not from speed: thresholds, mixtures, hidden Markov models and clusters, fitted per vessel.
 
-The fits are small iterations on one vessel's pings, sent to tasks as just the columns they need.
+The fits are small iterations on one vessel's pings. A task takes its vessels' rows in track order and
+fits many vessels at once, as arrays with a column per vessel; rows pass through whole, so nothing is
+joined back. Fits end when the log-likelihood changes by under ``STOP``, or after ``PASSES``.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geo import ms2kn
 from ..functions.order import micros, track
+from ..sources.scratch import staged
 from .track import step_turn
 
 STOP, PASSES = 1e-8, 1000
@@ -24,23 +29,57 @@ def classify_speed(df: DataFrame, lo: float = 1.0, hi: float = 5.0) -> DataFrame
     return df.withColumn("fishing", F.when(F.col("speed").isNotNull(), F.col("speed").between(lo, hi)))
 
 
-def normal_mixture(x: np.ndarray, mu, sigma) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """EM with equal weights at the start: weights, means, deviations."""
-    mu, sigma = np.array(mu, float), np.array(sigma, float)
-    weight, last = np.full(len(mu), 1 / len(mu)), -np.inf
-    for _ in range(PASSES):
-        z = (x[:, None] - mu) / sigma
-        dens = weight * np.exp(-z * z / 2) / (sigma * math.sqrt(2 * math.pi)) + 1e-300
-        total = dens.sum(axis=1)
-        share = dens / total[:, None]
-        n = share.sum(axis=0) + 1e-12
-        weight, mu = n / len(x), (share * x[:, None]).sum(axis=0) / n
-        sigma = np.maximum(np.sqrt((share * (x[:, None] - mu) ** 2).sum(axis=0) / n), 1e-3)
-        fit = float(np.log(total).sum())
-        if abs(fit - last) < STOP:
-            break
-        last = fit
-    return weight, mu, sigma
+# --- vessels side by side ----------------------------------------------------
+
+
+def _bounds(ids: pa.ChunkedArray) -> np.ndarray:
+    """Where runs of equal ids begin, and the number of rows."""
+    codes = pc.fill_null(ids.combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1, [len(codes)]]) if len(codes) else np.zeros(1, np.int64)
+
+
+def whole_vessels(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about ``rows`` rows that hold all rows of their vessels, with the vessels' bounds."""
+    waiting, n, most = [], 0, rows
+    for batch in batches:
+        waiting.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            table = pa.Table.from_batches(waiting)
+            bounds = _bounds(table["vessel_id"])
+            if len(bounds) > 2:  # the last vessel may go on
+                yield table.slice(0, bounds[-2]), bounds[:-1]
+                table = table.slice(bounds[-2])
+            waiting, n = table.to_batches(), table.num_rows
+            most = max(rows, 2 * n)
+    if n:
+        table = pa.Table.from_batches(waiting)
+        yield table, _bounds(table["vessel_id"])
+
+
+def like_lengths(n: np.ndarray) -> Iterator[np.ndarray]:
+    """Vessels in groups, in each of which none has more than twice the rows of another."""
+    kind = np.floor(np.log2(np.maximum(n, 1))).astype(int)
+    for k in np.unique(kind):
+        yield np.flatnonzero(kind == k)
+
+
+def padded(values: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A column for each vessel, nan below its end."""
+    out = np.full((int(n.max(initial=0)), len(n)), np.nan)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    out[at, np.repeat(np.arange(len(n)), n)] = values[at + np.repeat(begin, n)]
+    return out
+
+
+def _fitted(d: DataFrame, fit: Callable[[pa.Table, np.ndarray], pa.Table], schema: T.StructType, rows: int = 50_000) -> DataFrame:
+    """``fit(table, bounds)`` on all vessels' rows in track order. ``d`` is partitioned by vessel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_vessels(batches, rows):
+            yield from fit(table, bounds).to_batches()
+
+    return d.sortWithinPartitions("vessel_id", "time_stamp", "rec_id").mapInArrow(run, schema)
 
 
 def _steps(df: DataFrame) -> DataFrame:
@@ -52,172 +91,309 @@ def _steps(df: DataFrame) -> DataFrame:
     return d.withColumn("step_speed", ms2kn(F.try_divide(F.col("step") * 1000, F.col("dura"))))
 
 
-def _per_vessel(d: DataFrame, cols: list[str], fit, out: str) -> DataFrame:
-    """``fit`` on each vessel's rows in order, by the named columns; its columns are joined back by rec_id."""
-    need = d.select("vessel_id", "time_stamp", "rec_id", *cols)
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].combine_chunks().cast(pa.float64()).to_numpy(zero_copy_only=False)
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        return fit(rows.sort_values(["time_stamp", "rec_id"], kind="stable").reset_index(drop=True))
 
-    return need.groupBy("vessel_id").applyInPandas(one, out)
+# --- mixtures ----------------------------------------------------------------
 
 
-def gaussian_speed(df: DataFrame, mu=(1.0, 4.0, 8.0), sigma=(1.0, 1.0, 1.0), cs: float = 1.96) -> DataFrame:
-    """Pings with ``step, angle, dura, step_speed`` and the thresholds ``lower, upper``: the first mode's mean and cs deviations."""
-    d = _steps(df)
-    limits = mixture_params(df, mu, sigma).filter("mode = 1").select("vessel_id", (F.col("mu") - cs * F.col("sigma")).alias("lower"), (F.col("mu") + cs * F.col("sigma")).alias("upper"))
-    return d.join(limits, "vessel_id", "left")
+def normal_mixtures(x: np.ndarray, often: np.ndarray, mu, sigma) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """EM for each column's values, counted ``often``, with equal weights at the start: weights, means, deviations, a row for each."""
+    v = x.shape[1]
+    mu, sigma = (np.broadcast_to(np.array(a, float), (v, np.shape(a)[-1])).copy() for a in (mu, sigma))
+    weight, last = np.full(mu.shape, 1 / mu.shape[1]), np.full(v, -np.inf)
+    x = np.where(often > 0, x, 0.0)
+    live = np.arange(v)
+    for _ in range(PASSES):
+        if not len(live):
+            break
+        value, count = x[:, live, None], often[:, live]
+        z = (value - mu[live]) / sigma[live]
+        log = np.log(weight[live]) - z * z / 2 - np.log(sigma[live] * math.sqrt(2 * math.pi))
+        top = log.max(axis=2)
+        share = np.exp(log - top[:, :, None])
+        total = share.sum(axis=2)
+        share *= (count / total)[:, :, None]
+        n = share.sum(axis=0) + 1e-12
+        weight[live], mu[live] = n / n.sum(axis=1, keepdims=True), (share * value).sum(axis=0) / n
+        sigma[live] = np.maximum(np.sqrt((share * (value - mu[live]) ** 2).sum(axis=0) / n), 1e-3)
+        fit = (count * (np.log(total) + top)).sum(axis=0)
+        going = np.abs(fit - last[live]) >= STOP
+        last[live] = fit
+        live = live[going]
+    return weight, mu, sigma
+
 
+_MODES = T.StructType([T.StructField("vessel_id", T.StringType()), T.StructField("mode", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("lambda", "mu", "sigma")]])
 
-def mixture_params(df: DataFrame, mu=(1.0, 4.0, 8.0), sigma=(1.0, 1.0, 1.0)) -> DataFrame:
+
+def _mixtures_of(steps: DataFrame, mu, sigma, unit: float) -> DataFrame:
+    """Speeds are counted by vessel first, in steps of ``unit`` knots, so a vessel's fit is no larger for more pings."""
+    counted = steps.filter("step_speed is not null").groupBy("vessel_id", F.round(F.col("step_speed") / unit).alias("value")).agg(F.count("*").alias("n"))
+    each = counted.groupBy("vessel_id").agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("values"), F.sum("n").alias("n")).filter(F.col("n") >= len(mu))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("values")
+            value, n = held.flatten().field("value").to_numpy() * unit, held.flatten().field("n").to_numpy().astype(float)
+            size = held.value_lengths().to_numpy()
+            begin = np.cumsum(size) - size
+            for some in like_lengths(size):
+                found = normal_mixtures(padded(value, begin[some], size[some]), np.nan_to_num(padded(n, begin[some], size[some])), mu, sigma)
+                order = np.argsort(found[1], axis=1, kind="stable")
+                ids = batch.column("vessel_id").take(pa.array(np.repeat(some, len(mu))))
+                modes = pa.array(np.tile(np.arange(1, len(mu) + 1), len(some)), pa.int32())
+                yield pa.RecordBatch.from_arrays([ids, modes, *(pa.array(np.take_along_axis(a, order, 1).ravel()) for a in found)], names=_MODES.names)
+
+    return each.select("vessel_id", "values").mapInArrow(run, _MODES)
+
+
+def mixture_params(df: DataFrame, mu=(1.0, 4.0, 8.0), sigma=(1.0, 1.0, 1.0), unit: float = 0.001) -> DataFrame:
     """``vessel_id, mode, lambda, mu, sigma`` of the mixture of each vessel's step speeds; modes by mean."""
+    return _mixtures_of(_steps(df), mu, sigma, unit)
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows["step_speed"].dropna().to_numpy(float)
-        if len(x) < len(mu):
-            return pd.DataFrame({"vessel_id": [], "mode": [], "lambda": [], "mu": [], "sigma": []})
-        weight, m, s = normal_mixture(x, mu, sigma)
-        order = np.argsort(m, kind="stable")
-        return pd.DataFrame({"vessel_id": rows["vessel_id"].iloc[0], "mode": np.arange(1, len(m) + 1), "lambda": weight[order], "mu": m[order], "sigma": s[order]})
 
-    return _per_vessel(_steps(df), ["step_speed"], fit, "vessel_id string, mode int, lambda double, mu double, sigma double")
+def gaussian_speed(df: DataFrame, mu=(1.0, 4.0, 8.0), sigma=(1.0, 1.0, 1.0), cs: float = 1.96, unit: float = 0.001) -> DataFrame:
+    """Pings with ``step, angle, dura, step_speed`` and the thresholds ``lower, upper``: the first mode's mean and cs deviations."""
+    d = staged(_steps(df), "steps")
+    limits = _mixtures_of(d, mu, sigma, unit).filter("mode = 1").select("vessel_id", (F.col("mu") - cs * F.col("sigma")).alias("lower"), (F.col("mu") + cs * F.col("sigma")).alias("upper"))
+    return d.join(limits, "vessel_id", "left")
+
+
+# --- hidden Markov models ----------------------------------------------------
 
 
 def _log_gamma_density(x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
     shape, rate = (mean / sd) ** 2, mean / sd**2
-    norm = np.array([math.lgamma(s) for s in shape])
-    x = np.maximum(x, 1e-9)[:, None]
+    norm = np.vectorize(math.lgamma, otypes=[float])(shape)
+    x = np.maximum(x, 1e-9)[:, :, None]
     return shape * np.log(rate) - norm + (shape - 1) * np.log(x) - rate * x
 
 
 def _log_wrapped_cauchy(angle: np.ndarray, mean: np.ndarray, kappa: np.ndarray) -> np.ndarray:
-    known = ~np.isnan(angle)
-    a = np.where(known, angle, 0.0)[:, None]
+    a = np.nan_to_num(angle)[:, :, None]
     out = np.log((1 - kappa**2) / (2 * math.pi * (1 + kappa**2 - 2 * kappa * np.cos(a - mean))))
-    return np.where(known[:, None], out, 0.0)
+    return np.where(np.isnan(angle)[:, :, None], 0.0, out)
 
 
-def hidden_markov(step: np.ndarray, angle: np.ndarray | None, mean, sd, turn_mean=None, kappa=None, passes: int = 60):
-    """Forward-backward passes with moments weighted by the state probabilities as the M step; then the best path."""
-    mean, sd = np.array(mean, float), np.array(sd, float)
-    k, n = len(mean), len(step)
-    turn_mean = None if turn_mean is None else np.array(turn_mean, float)
-    kappa = None if kappa is None else np.array(kappa, float)
-    move, first, last = np.full((k, k), 0.1 / (k - 1)) + np.eye(k) * (0.9 - 0.1 / (k - 1)), np.full(k, 1 / k), -np.inf
+class Chains:
+    """Hidden Markov models of several vessels: a row for each in every parameter."""
 
-    def emission() -> np.ndarray:
-        out = _log_gamma_density(step, mean, sd)
-        return out if angle is None else out + _log_wrapped_cauchy(angle, turn_mean, kappa)
+    def __init__(self, mean: np.ndarray, sd: np.ndarray, turn_mean=None, kappa=None):
+        v, k = mean.shape
+        self.mean, self.sd = mean.copy(), sd.copy()
+        self.turn_mean = None if turn_mean is None else np.tile(np.array(turn_mean, float), (v, 1))
+        self.kappa = None if kappa is None else np.tile(np.array(kappa, float), (v, 1))
+        self.first = np.full((v, k), 1 / k)
+        self.move = np.tile(np.full((k, k), 0.1 / (k - 1)) + np.eye(k) * (0.9 - 0.1 / (k - 1)), (v, 1, 1))
 
-    for _ in range(passes):
-        log = emission()
-        top = log.max(axis=1, keepdims=True)
+    def emission(self, step: np.ndarray, angle: np.ndarray | None, of) -> np.ndarray:
+        out = _log_gamma_density(step, self.mean[of], self.sd[of])
+        return out if angle is None else out + _log_wrapped_cauchy(angle, self.turn_mean[of], self.kappa[of])
+
+    def passed(self, step: np.ndarray, angle: np.ndarray | None, on: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """One forward-backward pass and the moments that follow, for the vessels ``of``; their log-likelihoods."""
+        log = self.emission(step, angle, of)
+        top = log.max(axis=2, keepdims=True)
         p = np.exp(log - top) + 1e-300
-        forward, backward, scale = np.empty((n, k)), np.ones((n, k)), np.empty(n)
-        for t in range(n):
-            f = (first if t == 0 else forward[t - 1] @ move) * p[t]
-            scale[t] = f.sum()
-            forward[t] = f / scale[t]
-        for t in range(n - 2, -1, -1):
-            backward[t] = move @ (p[t + 1] * backward[t + 1]) / scale[t + 1]
+        move, long = self.move[of], len(step)
+        forward, backward, scale = np.zeros_like(p), np.ones_like(p), np.ones(step.shape)
+        for t in range(long):
+            f = (self.first[of] if t == 0 else (forward[t - 1][:, :, None] * move).sum(axis=1)) * p[t]
+            scale[t] = np.where(on[t], f.sum(axis=1), 1.0)
+            forward[t] = np.where(on[t][:, None], f / scale[t][:, None], 0.0)
+        for t in range(long - 2, -1, -1):
+            b = (move * (p[t + 1] * backward[t + 1])[:, None, :]).sum(axis=2) / scale[t + 1][:, None]
+            backward[t] = np.where(on[t + 1][:, None], b, 1.0)
         state = forward * backward
-        state /= state.sum(axis=1, keepdims=True)
-        pair = np.einsum("ti,ij,tj->ij", forward[:-1], move, p[1:] * backward[1:] / scale[1:, None]) * 1.0 + 1e-9
-        move, first = pair / pair.sum(axis=1, keepdims=True), state[0]
-        weight = state.sum(axis=0) + 1e-9
-        mean = np.maximum((state * step[:, None]).sum(axis=0) / weight, 1e-6)
-        sd = np.maximum(np.sqrt((state * (step[:, None] - mean) ** 2).sum(axis=0) / weight), 1e-6 + 1e-3 * mean)
+        state /= np.maximum(state.sum(axis=2, keepdims=True), 1e-300)
+        ahead = np.where(on[1:, :, None], p[1:] * backward[1:] / scale[1:, :, None], 0.0)
+        pair = np.einsum("tvi,tvj->vij", forward[:-1], ahead) * move + 1e-9
+        self.move[of], self.first[of] = pair / pair.sum(axis=2, keepdims=True), state[0]
+        n = state.sum(axis=0) + 1e-9
+        mean = np.maximum((state * step[:, :, None]).sum(axis=0) / n, 1e-6)
+        self.mean[of] = mean
+        self.sd[of] = np.maximum(np.sqrt((state * (step[:, :, None] - mean) ** 2).sum(axis=0) / n), 1e-6 + 1e-3 * mean)
         if angle is not None:
-            known = ~np.isnan(angle)
-            turn = (state[known] * np.exp(1j * angle[known])[:, None]).sum(axis=0) / (state[known].sum(axis=0) + 1e-9)
-            turn_mean, kappa = np.angle(turn), np.clip(np.abs(turn), 1e-3, 0.99)
-        fit = float((np.log(scale) + top[:, 0]).sum())
-        if abs(fit - last) < STOP:
+            known = np.where(np.isnan(angle)[:, :, None], 0.0, state)
+            turn = (known * np.exp(1j * np.nan_to_num(angle))[:, :, None]).sum(axis=0) / (known.sum(axis=0) + 1e-9)
+            self.turn_mean[of], self.kappa[of] = np.angle(turn), np.clip(np.abs(turn), 1e-3, 0.99)
+        return np.where(on, np.log(scale) + top[:, :, 0], 0.0).sum(axis=0)
+
+    def paths(self, step: np.ndarray, angle: np.ndarray | None, on: np.ndarray) -> np.ndarray:
+        """Each vessel's best path; below its end its last state."""
+        v = np.arange(step.shape[1])
+        log, log_move = self.emission(step, angle, v), np.log(self.move + 1e-300)
+        best, back = np.log(self.first + 1e-300) + log[0], np.zeros((*step.shape, self.mean.shape[1]), np.int8)
+        back[:] = np.arange(self.mean.shape[1])
+        for t in range(1, len(step)):
+            from_ = best[:, :, None] + log_move
+            back[t] = np.where(on[t][:, None], from_.argmax(axis=1), back[t])
+            best = np.where(on[t][:, None], from_.max(axis=1) + log[t], best)
+        path = np.empty(step.shape, np.int64)
+        path[-1] = best.argmax(axis=1)
+        for t in range(len(step) - 1, 0, -1):
+            path[t - 1] = back[t, v, path[t]]
+        return path
+
+
+def hidden_markov(step: np.ndarray, angle: np.ndarray | None, on: np.ndarray, mean: np.ndarray, sd: np.ndarray, turn_mean=None, kappa=None) -> tuple[np.ndarray, Chains]:
+    """States 1 to k by mean, for the columns of ``step`` where ``on``, and the fitted chains in that order.
+
+    Forward-backward passes with moments weighted by the state probabilities as the M step; then the best path.
+    """
+    chains = Chains(mean, sd, turn_mean, kappa)
+    step = np.where(on, step, 1.0)
+    last, live = np.full(step.shape[1], -np.inf), np.arange(step.shape[1])
+    for _ in range(PASSES):
+        if not len(live):
             break
-        last = fit
-    log, log_move = emission(), np.log(move + 1e-300)
-    best, back = np.log(first + 1e-300) + log[0], np.zeros((n, k), int)
-    for t in range(1, n):
-        from_ = best[:, None] + log_move
-        back[t] = from_.argmax(axis=0)
-        best = from_.max(axis=0) + log[t]
-    path = np.empty(n, int)
-    path[-1] = best.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    rank = np.empty(k, int)
-    rank[np.argsort(mean, kind="stable")] = np.arange(1, k + 1)
-    return rank[path], mean, sd, move, turn_mean, kappa, rank
+        fit = chains.passed(step[:, live], None if angle is None else angle[:, live], on[:, live], live)
+        going = np.abs(fit - last[live]) >= STOP
+        last[live] = fit
+        live = live[going]
+    path = chains.paths(step, angle, on)
+    order = np.argsort(chains.mean, axis=1, kind="stable")
+    rank = np.argsort(order, axis=1, kind="stable")
+    states = rank[np.arange(step.shape[1])[None, :], path] + 1
+    for name in ("mean", "sd", "first", "turn_mean", "kappa"):
+        if (a := getattr(chains, name)) is not None:
+            setattr(chains, name, np.take_along_axis(a, order, 1))
+    chains.move = np.take_along_axis(np.take_along_axis(chains.move, order[:, :, None], 1), order[:, None, :], 2)
+    return states, chains
+
+
+def _start(x: np.ndarray, mu, sigma) -> tuple[np.ndarray, np.ndarray]:
+    """Means and deviations from a mixture started at ``mu, sigma``, the second deviation less a quarter, the third and two.
+
+    A vessel whose steps are of another size, so that the mixture leaves a mode with under a thousandth of
+    them, starts again with both scaled to its mean and deviation.
+    """
+    often = (~np.isnan(x)).astype(float)
+    weight, m, s = normal_mixtures(x, often, mu, sigma)
+    poor = np.flatnonzero(weight.min(axis=1) < 1e-3)
+    if len(poor):
+        up = np.maximum(1e-3, np.nanmean(x[:, poor], axis=0) / np.mean(mu))[:, None]
+        wide = np.maximum(1e-3, np.nanstd(x[:, poor], axis=0) / np.mean(sigma) / 2)[:, None]
+        _, m[poor], s[poor] = normal_mixtures(x[:, poor], often[:, poor], np.array(mu) * up, np.array(sigma) * wide)
+    order = np.argsort(m, axis=1, kind="stable")
+    m, s = np.maximum(np.take_along_axis(m, order, 1), 1.0), np.take_along_axis(s, order, 1)
+    return m, np.maximum(s * np.array([1, 0.75, 1]) + np.array([0, 0, 2.0]), 1.0)
+
+
+def _chains_of(table: pa.Table, bounds: np.ndarray, mu, sigma, turns) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Chains]]:
+    """For groups of vessels with enough known steps: which they are, the rows of their steps, the states there and the chains."""
+    metres, angle = _column(table, "step") * 1000, _column(table, "angle")
+    known = np.flatnonzero(~np.isnan(metres))
+    begin = np.searchsorted(known, bounds[:-1])
+    n = np.searchsorted(known, bounds[1:]) - begin
+    enough = np.flatnonzero(n >= 3 * len(mu))
+    for some in like_lengths(n[enough]):
+        some = enough[some]
+        x = padded(metres[known], begin[some], n[some])
+        on = np.arange(len(x))[:, None] < n[some][None, :]
+        states, chains = hidden_markov(x, padded(angle[known], begin[some], n[some]) if turns else None, on, *_start(x, mu, sigma), *(turns or (None, None)))
+        rows = known[np.concatenate([np.arange(a, a + m) for a, m in zip(begin[some], n[some], strict=True)])]
+        yield some, rows, states.T[on.T], chains
 
 
 def _hmm(df: DataFrame, mu, sigma, turns) -> DataFrame:
-    d = _steps(df)
+    d = _steps(df.repartition("vessel_id"))
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        metres = rows["step"].to_numpy(float) * 1000
-        known = ~np.isnan(metres)
-        states = np.full(len(rows), np.nan)
-        if known.sum() >= 3 * len(mu):
-            x = metres[known]
-            _, m, s = normal_mixture(x, np.array(mu) * max(1.0, x.mean() / np.mean(mu)), np.array(sigma) * max(1.0, x.std() / np.mean(sigma) / 2))
-            order = np.argsort(m, kind="stable")
-            m, s = np.maximum(m[order], 1.0), s[order] * np.array([1, 0.75, 1]) + np.array([0, 0, 2.0])
-            angle = rows["angle"].to_numpy(float)[known] if turns else None
-            states[known] = hidden_markov(x, angle, m, np.maximum(s, 1.0), *(turns or (None, None)))[0]
-        return pd.DataFrame({"rec_id": rows["rec_id"], "state": pd.Series(states).astype("Int64")})
+    def fit(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+        states = np.zeros(table.num_rows, np.int64)
+        for _, rows, found, _ in _chains_of(table, bounds, mu, sigma, turns):
+            states[rows] = found
+        return table.append_column("state", pa.array(states, mask=states == 0))
 
-    states = _per_vessel(d, ["step", "angle"], fit, "rec_id long, state long")
-    return d.join(states, "rec_id", "left")
+    return _fitted(d, fit, T.StructType([*d.schema.fields, T.StructField("state", T.LongType())]))
 
 
 def hmm_step(df: DataFrame, mu=(20.0, 150.0, 300.0), sigma=(20.0, 20.0, 20.0)) -> DataFrame:
-    """``state`` 1 to 3 by mean step, from a gamma model of steps started at a mixture fit."""
+    """``state`` 1 to 3 by mean step, from a gamma model of steps in metres started at a mixture fit; null for vessels of under nine steps."""
     return _hmm(df, mu, sigma, None)
 
 
-def hmm_step_turn(df: DataFrame, mu=(20.0, 150.0, 300.0), sigma=(20.0, 20.0, 20.0), turn_mean=(math.pi, math.pi / 2, 0.0), kappa=(0.1, 0.2, 0.8)) -> DataFrame:
+TURN_MEAN, KAPPA = (math.pi, math.pi / 2, 0.0), (0.1, 0.2, 0.8)
+
+
+def hmm_step_turn(df: DataFrame, mu=(20.0, 150.0, 300.0), sigma=(20.0, 20.0, 20.0), turn_mean=TURN_MEAN, kappa=KAPPA) -> DataFrame:
     """As ``hmm_step``, with turning angles by a wrapped Cauchy distribution."""
     return _hmm(df, mu, sigma, (turn_mean, kappa))
 
 
-def _binary_fit(x: np.ndarray) -> np.ndarray:
-    """Four bivariate normal clusters, started from the low and high halves of both variables; 1: low-low to 4: high-high."""
-    cut = np.median(x, axis=0)
-    label = (x[:, 0] > cut[0]) * 2 + (x[:, 1] > cut[1]) * 1
-    share = np.eye(4)[label] * 0.9 + 0.025
-    last = -np.inf
-    for _ in range(200):
-        n = share.sum(axis=0)
-        mean = share.T @ x / n[:, None]
-        log = np.empty((len(x), 4))
-        for c in range(4):
-            d = x - mean[c]
-            cov = (share[:, c, None] * d).T @ d / n[c] + np.eye(2) * 1e-6 * (x.var(axis=0).mean() + 1e-9) + np.eye(2) * 1e-12
-            solved = np.linalg.solve(cov, d.T).T
-            log[:, c] = math.log(n[c] / len(x)) - 0.5 * (d * solved).sum(axis=1) - 0.5 * np.linalg.slogdet(cov)[1]
-        top = log.max(axis=1, keepdims=True)
-        total = np.exp(log - top).sum(axis=1, keepdims=True)
-        share = np.exp(log - top) / total
-        fit = float((np.log(total) + top).sum())
-        if abs(fit - last) < STOP:
+_PARAMS = T.StructType([T.StructField("vessel_id", T.StringType()), T.StructField("par", T.StringType()), T.StructField("value", T.DoubleType())])
+
+
+def hmm_params(df: DataFrame, mu=(20.0, 150.0, 300.0), sigma=(20.0, 20.0, 20.0), turns=(TURN_MEAN, KAPPA)) -> DataFrame:
+    """The fitted hidden Markov model as ``vessel_id, par, value`` rows: steps, turns (if any), transitions and start, states by mean step."""
+
+    def fit(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+        parts = []
+        for some, _, _, c in _chains_of(table, bounds, mu, sigma, turns):
+            k = c.mean.shape[1]
+            named = [("step_mean", c.mean), ("step_sd", c.sd), *([("angle_mean", c.turn_mean), ("angle_kappa", c.kappa)] if turns else []), ("delta", c.first)]
+            names = [f"{name}_{i + 1}" for name, _ in named for i in range(k)] + [f"gamma_{i + 1}_{j + 1}" for i in range(k) for j in range(k)]
+            values = np.concatenate([*(a for _, a in named), c.move.reshape(len(some), -1)], axis=1)
+            ids = table["vessel_id"].take(pa.array(np.repeat(bounds[some], len(names))))
+            parts.append(pa.table([ids, pa.array(names * len(some)), pa.array(values.ravel())], names=_PARAMS.names))
+        return pa.concat_tables(parts) if parts else pa.table([pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.float64())], names=_PARAMS.names)
+
+    d = _steps(df.repartition("vessel_id")).select("vessel_id", "time_stamp", "rec_id", "step", "angle")
+    return _fitted(d, fit, _PARAMS)
+
+
+# --- clusters ----------------------------------------------------------------
+
+
+def binary_fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Four bivariate normal clusters of each column, started from the low and high halves of both variables; 1: low-low to 4: high-high."""
+    on = ~np.isnan(x)
+    label = (x > np.nanmedian(x, axis=0)) * 2 + (y > np.nanmedian(y, axis=0)) * 1
+    share = np.where(on[:, :, None], np.eye(4)[label] * 0.9 + 0.025, 0.0)
+    ridge = 1e-6 * ((np.nanvar(x, axis=0) + np.nanvar(y, axis=0)) / 2 + 1e-9) + 1e-12
+    x, y = np.nan_to_num(x), np.nan_to_num(y)
+    last, live = np.full(x.shape[1], -np.inf), np.arange(x.shape[1])
+    for _ in range(PASSES):
+        if not len(live):
             break
-        last = fit
-    return share.argmax(axis=1) + 1
+        s, u, v, here = share[:, live], x[:, live, None], y[:, live, None], on[:, live]
+        n = s.sum(axis=0) + 1e-12
+        mu, mv = (s * u).sum(axis=0) / n, (s * v).sum(axis=0) / n
+        du, dv = u - mu, v - mv
+        a, c = ((s * d * d).sum(axis=0) / n + ridge[live, None] for d in (du, dv))
+        b = (s * du * dv).sum(axis=0) / n
+        det = np.maximum(a * c - b * b, 1e-300)
+        log = np.log(n / n.sum(axis=1, keepdims=True)) - 0.5 * (c * du * du - 2 * b * du * dv + a * dv * dv) / det - 0.5 * np.log(det)
+        top = log.max(axis=2, keepdims=True)
+        total = np.exp(log - top).sum(axis=2, keepdims=True)
+        share[:, live] = np.where(here[:, :, None], np.exp(log - top) / total, 0.0)
+        fit = np.where(here, (np.log(total) + top)[:, :, 0], 0.0).sum(axis=0)
+        going = np.abs(fit - last[live]) >= STOP
+        last[live] = fit
+        live = live[going]
+    return share.argmax(axis=2) + 1
 
 
 def binary_clusters(df: DataFrame) -> DataFrame:
-    """``cluster`` 1 to 4 of (speed, absolute turn) for each vessel's pings that have both."""
-    d = _steps(df)
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([rows["step_speed"].to_numpy(float), np.abs(rows["angle"].to_numpy(float))], axis=1)
-        known = ~np.isnan(x).any(axis=1)
-        out = np.full(len(rows), np.nan)
-        if known.sum() >= 8:
-            out[known] = _binary_fit(x[known])
-        return pd.DataFrame({"rec_id": rows["rec_id"], "cluster": pd.Series(out).astype("Int64")})
-
-    return d.join(_per_vessel(d, ["step_speed", "angle"], fit, "rec_id long, cluster long"), "rec_id", "left")
+    """``cluster`` 1 to 4 of (speed, absolute turn) for each vessel's pings that have both; null for vessels with under eight."""
+    d = _steps(df.repartition("vessel_id"))
+
+    def fit(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+        speed, turn = _column(table, "step_speed"), np.abs(_column(table, "angle"))
+        known = np.flatnonzero(~np.isnan(speed + turn))
+        begin = np.searchsorted(known, bounds[:-1])
+        n = np.searchsorted(known, bounds[1:]) - begin
+        enough, out = np.flatnonzero(n >= 8), np.zeros(table.num_rows, np.int64)
+        for some in like_lengths(n[enough]):
+            some = enough[some]
+            x, y = (padded(c[known], begin[some], n[some]) for c in (speed, turn))
+            rows = known[np.concatenate([np.arange(a, a + m) for a, m in zip(begin[some], n[some], strict=True)])]
+            out[rows] = binary_fits(x, y).T[~np.isnan(x).T]
+        return table.append_column("cluster", pa.array(out, mask=out == 0))
+
+    return _fitted(d, fit, T.StructType([*d.schema.fields, T.StructField("cluster", T.LongType())]))
 
 
 def model_params_long(params: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geo import edges, haversine_m, in_ring, segment_distance, to_utm
+from ..functions.geo import MIDDLE, edges, haversine_m, in_cell_ring, segment_distance, to_utm
 from ..functions.order import micros, track
 
 CELL_DEGREES = 0.1
@@ -29,20 +29,49 @@ def _by_cell(shapes: DataFrame, low: list[Column], high: list[Column], size: flo
     return cells.select("shape", "cx", span(F.col("lo"), F.col("hi")).alias("cy")).groupBy("cx", "cy").agg(F.collect_list("shape").alias("shapes"))
 
 
-def _ends(ring: Column, field: str) -> tuple[Column, Column]:
-    values = F.transform(ring, lambda p: p[field])
-    return F.array_min(values), F.array_max(values)
+def ring_cells(polys: DataFrame, size: float, buffer: float = 0.0) -> DataFrame:
+    """``cx, cy, shapes``: a row per grid cell that a ``ring`` of x, y points, or its buffer, reaches.
+
+    For each ring there a cell holds the ring's sides that come near it and whether the cell's middle is
+    inside. So a ring of very many sides is spread over its cells, each side in those it passes, and
+    a point is judged by its own cell alone. Equal rings are one.
+    """
+    number = lambda v: _cell(v, size)
+    span = lambda a, b: F.explode(F.sequence(number(a), number(b)))
+    low, high = lambda a: F.least(f"{a}1", f"{a}2"), lambda a: F.greatest(f"{a}1", f"{a}2")
+    near = buffer + size * 1e-9
+    sides = polys.select("ring").distinct().select(F.xxhash64("ring").alias("shape"), edges(F.col("ring")).alias("sides")).select("shape", F.explode("sides").alias("e"))
+    sides = sides.select("shape", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
+
+    # A side in each column of cells, then in the cells that its part over the column passes.
+    over = sides.withColumn("cx", span(low("x") - near, high("x") + near))
+    at = lambda x: F.coalesce(F.col("y1") + (F.col("y2") - F.col("y1")) * (x - F.col("x1")) / F.nullif(F.col("x2") - F.col("x1"), F.lit(0.0)), F.col("y1"))
+    ends = at(F.greatest(low("x"), F.col("cx") * size - near)), at(F.least(high("x"), (F.col("cx") + 1) * size + near))
+    upright = F.col("x1") == F.col("x2")
+    bottom, top = F.when(upright, low("y")).otherwise(F.least(*ends)), F.when(upright, high("y")).otherwise(F.greatest(*ends))
+    passed = over.withColumn("cy", span(bottom - near, top + near)).select("shape", "cx", "cy", F.struct("x1", "y1", "x2", "y2").alias("side"), F.lit(False).alias("inside"))
+
+    # Where a ring crosses the middle line of a row of cells: inside is what lies between odd and even crossings.
+    middle = lambda c: (F.col(c) + MIDDLE) * size
+    rows = sides.withColumn("cy", span(low("y"), high("y"))).filter((F.col("y1") > middle("cy")) != (F.col("y2") > middle("cy")))
+    crossed = F.col("x1") + (F.col("x2") - F.col("x1")) * (middle("cy") - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
+    rows = rows.groupBy("shape", "cy").agg(F.array_sort(F.collect_list(crossed)).alias("xs")).filter("size(xs) > 1")
+    rows = rows.select("shape", "cy", "xs", F.explode(F.expr("sequence(0, cast(size(xs) div 2 as int) - 1)")).alias("i")).select("shape", "cy", F.col("xs")[2 * F.col("i")].alias("a"), F.col("xs")[2 * F.col("i") + 1].alias("b"))
+    inner = rows.withColumn("cx", span(F.col("a"), F.col("b"))).filter((F.col("a") < middle("cx")) & (middle("cx") <= F.col("b")))
+    inner = inner.select("shape", "cx", "cy", F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double>").alias("side"), F.lit(True).alias("inside"))
+
+    each = passed.unionByName(inner).groupBy("shape", "cx", "cy").agg(F.collect_list("side").alias("sides"), F.max("inside").alias("inside"))
+    return each.groupBy("cx", "cy").agg(F.collect_list(F.struct("sides", "inside")).alias("shapes"))
 
 
 def add_harbours(df: DataFrame, polys: DataFrame) -> DataFrame:
     """``SI_HARB``: 1 inside or on the border of a polygon, else 0; one row per ping.
 
-    A ping meets one row, that of its grid cell with the rings there, so overlaps multiply nothing.
+    A ping meets one row, that of its grid cell with the sides there, so overlaps multiply nothing.
     """
-    (x0, x1), (y0, y1) = _ends(F.col("ring"), "lon"), _ends(F.col("ring"), "lat")
-    cells = _by_cell(polys, [x0, y0], [x1, y1], CELL_DEGREES, F.col("ring"))
-    at = df.withColumns({"cx": _cell(F.col("lon"), CELL_DEGREES), "cy": _cell(F.col("lat"), CELL_DEGREES)}).join(cells, ["cx", "cy"], "left")
-    inside = F.exists("shapes", lambda r: in_ring(F.col("lon"), F.col("lat"), r))
+    planar = polys.select(F.transform("ring", lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y"))).alias("ring"))
+    at = df.withColumns({"cx": _cell(F.col("lon"), CELL_DEGREES), "cy": _cell(F.col("lat"), CELL_DEGREES)}).join(ring_cells(planar, CELL_DEGREES), ["cx", "cy"], "left")
+    inside = F.exists("shapes", lambda r: in_cell_ring(F.col("lon"), F.col("lat"), F.col("cx"), F.col("cy"), CELL_DEGREES, r))
     return at.withColumn("SI_HARB", F.coalesce(inside, F.lit(False)).cast("int")).drop("cx", "cy", "shapes")
 
 
@@ -57,13 +86,12 @@ def near_harbour(df: DataFrame, points: DataFrame, dist_m: float) -> DataFrame:
 
 def remove_land(df: DataFrame, coast: DataFrame, zone: int, buffer_m: float = 10.0) -> DataFrame:
     """Pings that are neither in a coast polygon nor within the buffer of its sides, in planar UTM."""
-    planar = coast.withColumn("ring", F.transform("ring", lambda p: F.struct(*[c.alias(n) for c, n in zip(to_utm(p["lon"], p["lat"], zone), "xy", strict=True)])))
-    (x0, x1), (y0, y1) = _ends(F.col("ring"), "x"), _ends(F.col("ring"), "y")
-    cells = _by_cell(planar, [x0 - buffer_m, y0 - buffer_m], [x1 + buffer_m, y1 + buffer_m], CELL_METRES, F.col("ring"))
+    planar = coast.select(F.transform("ring", lambda p: F.struct(*[c.alias(n) for c, n in zip(to_utm(p["lon"], p["lat"], zone), "xy", strict=True)])).alias("ring"))
     x, y = to_utm(F.col("lon"), F.col("lat"), zone)
-    at = df.withColumns({"_x": x, "_y": y}).withColumns({"cx": _cell(F.col("_x"), CELL_METRES), "cy": _cell(F.col("_y"), CELL_METRES)}).join(cells, ["cx", "cy"], "left")
+    at = df.withColumns({"_x": x, "_y": y}).withColumns({"cx": _cell(F.col("_x"), CELL_METRES), "cy": _cell(F.col("_y"), CELL_METRES)})
+    at = at.join(ring_cells(planar, CELL_METRES, buffer_m), ["cx", "cy"], "left")
     px, py = F.col("_x"), F.col("_y")
-    ashore = F.exists("shapes", lambda r: in_ring(px, py, r, "x", "y") | F.exists(edges(r), lambda e: segment_distance(px, py, e) <= buffer_m))
+    ashore = F.exists("shapes", lambda r: in_cell_ring(px, py, F.col("cx"), F.col("cy"), CELL_METRES, r) | F.exists(r["sides"], lambda e: segment_distance(px, py, e) <= buffer_m))
     return at.filter(~F.coalesce(ashore, F.lit(False))).drop("_x", "_y", "cx", "cy", "shapes")
 
 
@@ -111,10 +139,11 @@ def downsample_ais_timestep(df: DataFrame, unit: str = "min", length: int = 1) -
     first, last = F.min("_t").over(whole), F.max("_t").over(whole)
     half_up = lambda v: 2 * one * F.floor((2 * v + one) / F.lit(2 * one)).cast("long")
     df = df.withColumns({"_start": half_up(first), "_end": half_up(last), "_same": F.lag("_t").over(by).eqNullSafe(F.col("_t"))})
-    # The neighbours at other times.
+    # The neighbours at other times: of equal times the first knows the one before, the last the one after.
+    back = W.partitionBy("vessel_id").orderBy(F.desc("time_stamp"), F.desc("rec_id"))
     earlier = F.last(F.when(~F.col("_same"), F.col("_before")), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0))
-    later = F.min("_t").over(W.partitionBy("vessel_id").orderBy("_t").rangeBetween(1, W.unboundedFollowing))
-    df = df.withColumn("_before", F.lag("_t").over(by)).withColumn("_before", earlier).withColumn("_next", later)
+    later = F.last(F.when(F.col("_next") != F.col("_t"), F.col("_next")), ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, 0))
+    df = df.withColumns({"_before": F.lag("_t").over(by), "_next": F.lead("_t").over(by)}).withColumn("_before", earlier).withColumn("_next", later)
     floor_div = lambda a: F.floor(a / F.lit(float(step))).cast("long")
     low = F.when(F.col("_before").isNull(), F.lit(-1)).otherwise(F.greatest(F.lit(-1), floor_div(F.col("_before") + F.col("_t") - F.col("_start"))))
     high = F.when(F.col("_next").isNull(), F.col("_end")).otherwise(F.least(F.col("_end"), F.col("_t") + F.col("_next")))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.scratch import checkpointed
+from ..sources.scratch import staged
 
 
 def _stages(features: list[str], label: str, scale: bool = False) -> list:
@@ -50,7 +50,7 @@ def tune_forest(df: DataFrame, features: list[str], label: str = "behaviour", ke
 
     ``rows`` bounds what each fit sees (rows by hash), as tuning needs no more.
     """
-    part = checkpointed(trip_folds(df.orderBy(F.md5(F.concat_ws("|", F.col("rec_id").cast("string"), F.lit(str(seed))))).limit(rows), 4, key, seed))
+    part = staged(trip_folds(df.orderBy(F.md5(F.concat_ws("|", F.col("rec_id").cast("string"), F.lit(str(seed))))).limit(rows), 4, key, seed))
     train, test = part.filter("fold <> 1"), part.filter("fold = 1")
 
     def error(node: int, mtry: int) -> float:
@@ -131,7 +131,7 @@ def trip_folds(df: DataFrame, k: int = 5, key: str = "trip_id", seed: int = 1) -
 
 def cross_validate(df: DataFrame, features: list[str], label: str = "behaviour", key: str = "trip_id", k: int = 5, trees: int = 100, seed: int = 1) -> DataFrame:
     """Every ping as predicted by models that saw no ping of its fold: ``model`` forest, lda or qda."""
-    d = checkpointed(trip_folds(df, k, key, seed))
+    d = staged(trip_folds(df, k, key, seed))
     out = None
     for fold in range(1, k + 1):
         train, test = d.filter(F.col("fold") != fold), d.filter(F.col("fold") == fold)

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 PINGS = "rec_id long, vessel_id string, time_stamp timestamp, lon double, lat double, speed double, course double, gear string, behaviour string"
 
 
-def read_pings(spark: SparkSession, path: str, schema: str = PINGS) -> DataFrame:
-    """Parquet, or delimited text with a header where the path ends in .csv or .txt."""
-    if path.rstrip("/").endswith((".csv", ".txt")):
-        return spark.read.schema(schema).option("header", True).csv(path)
-    return spark.read.schema(schema).parquet(path)
+def read_pings(spark: SparkSession, path: str, schema: str | None = PINGS, sep: str = ",") -> DataFrame:
+    """Parquet, or text with a header and ``sep`` between values where the path ends in .csv, .tsv or .txt; without a schema types are inferred."""
+    text = path.rstrip("/").endswith((".csv", ".tsv", ".txt"))
+    reader = spark.read.schema(schema) if schema else spark.read.option("inferSchema", True)
+    return reader.option("header", True).option("sep", sep).csv(path) if text else reader.parquet(path)
 
 
 def parse_time(text: Column, fmt: str = "yyyy-MM-dd HH:mm:ss[.SSS]") -> Column:
