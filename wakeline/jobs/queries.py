@@ -40,7 +40,7 @@ def add(name: str, run: Query, sql: str | None = None, more: str = "") -> None:
     """``sql``: a SELECT over pings, once (deduplicated) and flagged (with SI_HARB); ``more``: further CTEs."""
     QUERIES[name] = run
     if sql:
-        SQL[name] = f"WITH {PINGS_SQL}{', ' + more if more else ''} {sql}"
+        SQL[name] = f"WITH RECURSIVE {PINGS_SQL}{', ' + more if more else ''} {sql}"
 
 
 def on_pings(name: str, f: Callable[[DataFrame], DataFrame], sql: str | None = None, more: str = "") -> None:
@@ -72,15 +72,21 @@ def course_to(a: str, b: str, c: str, d: str) -> str:
     return f"(({deg} % 360.0e0 + 360.0e0) % 360.0e0)"
 
 
-def utm_sql(lon: str, lat: str, zone: int) -> tuple[str, str]:
+def mercator_sql(lon: str, lat: str, lon0: str) -> tuple[str, str]:
+    """Metres east of ``lon0`` and north of the equator, at scale 1."""
     radius, e, alpha, _, _ = geo._series()
     s = f"sin(radians({lat}))"
     t = f"sinh(atanh({s}) - {e!r} * atanh({e!r} * {s}))"
-    d = f"radians({lon} - {geo._meridian(zone)!r})"
+    d = f"radians({lon} - {lon0})"
     xi, eta = f"atan2({t}, cos({d}))", f"atanh(sin({d}) / sqrt(1 + {t} * {t}))"
     x = " + ".join([eta, *[f"{a!r} * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})" for j, a in enumerate(alpha, 1)]])
     y = " + ".join([xi, *[f"{a!r} * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})" for j, a in enumerate(alpha, 1)]])
-    return f"({geo.UTM_SCALE * radius!r} * ({x}) + 500000.0e0)", f"({geo.UTM_SCALE * radius!r} * ({y}))"
+    return f"({radius!r} * ({x}))", f"({radius!r} * ({y}))"
+
+
+def utm_sql(lon: str, lat: str, zone: int) -> tuple[str, str]:
+    x, y = mercator_sql(lon, lat, repr(geo._meridian(zone)))
+    return f"({geo.UTM_SCALE!r} * {x} + 500000.0e0)", f"({geo.UTM_SCALE!r} * {y})"
 
 
 # Sources and scalar functions.
@@ -173,7 +179,17 @@ def _projected(p: DataFrame) -> DataFrame:
     return trips.trips_by_day(p.withColumns({"x": x, "y": y}))
 
 
-on_pings("f13_remove_fast_steps", lambda p: clean.remove_fast_steps(_projected(clean.dedupe_time(p)), vmax=6.0).select("rec_id", "burst"))
+def slow_sql(source: str, vmax: float) -> str:
+    """``slow``: rows of ``source`` (burst, rec_id, us, x, y) left when fast steps go again and again."""
+    return f"""thinned AS (SELECT burst, rec_id, us, x, y, 0 AS pass FROM {source} UNION ALL
+  SELECT burst, rec_id, us, x, y, pass + 1 FROM (SELECT *, bool_or(fast) OVER (PARTITION BY burst) AS again FROM
+    (SELECT *, coalesce(sqrt(pow(lead(x) OVER w - x, 2) + pow(lead(y) OVER w - y, 2)) / ((lead(us) OVER w - us) / 1e6) * 1.94384449e0 > {vmax!r}, false) AS fast
+     FROM thinned WINDOW w AS (PARTITION BY burst ORDER BY us, rec_id))) WHERE again AND NOT fast),
+slow AS (SELECT * FROM thinned QUALIFY pass = max(pass) OVER (PARTITION BY burst))"""
+
+
+DAYS_SQL = f"p AS (SELECT *, {_x} AS x, {_y} AS y, vessel_id || ' ' || CAST(CAST(time_stamp AS DATE) AS VARCHAR) AS burst FROM once)"
+on_pings("f13_remove_fast_steps", lambda p: clean.remove_fast_steps(_projected(clean.dedupe_time(p)), vmax=6.0).select("rec_id", "burst"), "SELECT rec_id, burst FROM slow", f"{DAYS_SQL}, {slow_sql('p', 6.0)}")
 on_pings("f14_filter_part", lambda p: clean.filter_part(p, day=2), f"SELECT {COLUMNS} FROM pings WHERE day(time_stamp) = 2")
 
 # Joins.
@@ -188,27 +204,45 @@ add(
     lambda s, d: joins.near_harbour(tables.pings(s, d), tables.harbours(s, d).select(((F.col("ring")[0]["lon"] + F.col("ring")[2]["lon"]) / 2).alias("lon"), ((F.col("ring")[0]["lat"] + F.col("ring")[2]["lat"]) / 2).alias("lat")), 6000.0).select("rec_id"),
     f"SELECT rec_id FROM pings WHERE EXISTS (SELECT 1 FROM harb WHERE {metres('lon', 'lat', 'x', 'y')} <= 6000)",
 )
-add("j4_remove_land", lambda s, d: joins.remove_land(tables.pings(s, d), tables.coast(s, d), workflows.ZONE, 500.0).select("rec_id"), "SELECT rec_id FROM p EXCEPT SELECT rec_id FROM land", more=f"""
-p AS (SELECT rec_id, {_x} AS x, {_y} AS y, lon, lat FROM pings),
+def land_sql(pings: str, buffer: float) -> str:
+    """``land``: rec_id of rows of ``pings`` in a coast square or within the buffer of its sides."""
+    return f"""planed AS (SELECT rec_id, {_x} AS x, {_y} AS y, lon, lat FROM {pings}),
 corner AS (SELECT n_nationkey AS k, i, 10 + n_nationkey % 5 - 0.2e0 + sx * 0.03e0 AS lon, 55 + (n_nationkey // 5) * 0.8e0 + sy * 0.03e0 AS lat
   FROM nation, (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1), (4, -1, -1)) v(i, sx, sy)),
 planar AS (SELECT k, i, {_x} AS x, {_y} AS y FROM corner),
 side AS (SELECT a.k, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM planar a JOIN planar b ON a.k = b.k AND b.i = a.i + 1),
-pair AS (SELECT rec_id, k, x, y, x1, y1, x2, y2, greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM p, side),
+pair AS (SELECT rec_id, k, x, y, x1, y1, x2, y2, greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM planed, side),
 land AS (SELECT rec_id FROM pair GROUP BY rec_id, k
-  HAVING min(sqrt(pow(x - x1 - t * (x2 - x1), 2) + pow(y - y1 - t * (y2 - y1), 2))) <= 500 OR sum(CASE WHEN ((y1 > y) <> (y2 > y)) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END) % 2 = 1)
-""")
+  HAVING min(sqrt(pow(x - x1 - t * (x2 - x1), 2) + pow(y - y1 - t * (y2 - y1), 2))) <= {buffer} OR sum(CASE WHEN ((y1 > y) <> (y2 > y)) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END) % 2 = 1)"""
+
+
+add("j4_remove_land", lambda s, d: joins.remove_land(tables.pings(s, d), tables.coast(s, d), workflows.ZONE, 500.0).select("rec_id"), "SELECT rec_id FROM planed EXCEPT SELECT rec_id FROM land", land_sql("pings", 500))
 on_flagged("j5_remove_harbour", lambda f: joins.remove_harbour(f).select("rec_id"), 'SELECT rec_id FROM flagged WHERE "SI_HARB" = 0')
 
-TRIPS_SQL = """
-lagged AS (SELECT *, lag("SI_HARB") OVER w AS prev FROM flagged WINDOW w AS (PARTITION BY vessel_id ORDER BY time_stamp, rec_id)),
-dep AS (SELECT *, sum(CASE WHEN "SI_HARB" = 0 AND coalesce(prev, 1) = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY vessel_id ORDER BY time_stamp, rec_id ROWS UNBOUNDED PRECEDING) AS n,
+
+
+def trips_sql(source: str, min_dur: float) -> str:
+    """``trip``: rows of ``source`` in whole trips; ``schedule``: the trips."""
+    return f"""lagged AS (SELECT *, lag("SI_HARB") OVER w AS prev FROM {source} WINDOW w AS (PARTITION BY vessel_id ORDER BY us, rec_id)),
+dep AS (SELECT *, sum(CASE WHEN "SI_HARB" = 0 AND coalesce(prev, 1) = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY vessel_id ORDER BY us, rec_id ROWS UNBOUNDED PRECEDING) AS n,
   coalesce(bool_or("SI_HARB" <> prev) OVER (PARTITION BY vessel_id), false) AS moves FROM lagged),
 labelled AS (SELECT *, CASE WHEN moves AND ("SI_HARB" = 0 OR coalesce(prev, 1) = 0) THEN n END AS k FROM dep),
 timed AS (SELECT *, (max(us) OVER (PARTITION BY vessel_id, k) - min(us) OVER (PARTITION BY vessel_id, k)) / 3.6e9 AS hours FROM labelled),
-trip AS (SELECT *, vessel_id || '_' || k AS trip_id FROM timed WHERE k IS NOT NULL AND hours > 0.5),
-schedule AS (SELECT vessel_id, trip_id, min(time_stamp) AS depart, max(time_stamp) AS "return", round((max(us) - min(us)) / 1e6 / 3600, 6) AS duration_hrs FROM trip GROUP BY 1, 2)
-"""
+trip AS (SELECT *, vessel_id || '_' || k AS trip_id FROM timed WHERE k IS NOT NULL AND hours > {min_dur}),
+schedule AS (SELECT vessel_id, trip_id, min(time_stamp) AS depart, max(time_stamp) AS "return", round((max(us) - min(us)) / 1e6 / 3600, 6) AS duration_hrs FROM trip GROUP BY 1, 2)"""
+
+
+def split_sql(min_dur: float, max_dur: float) -> str:
+    """``leaf``: the parts ``name`` of ``trip``, from a to b, cut at their longest gaps; those of under ``min_dur`` left out."""
+    return f"""gap AS (SELECT trip_id, us, us - lag(us) OVER (PARTITION BY trip_id ORDER BY us, rec_id) AS g, lag(us) OVER (PARTITION BY trip_id ORDER BY us, rec_id) AS prior FROM trip),
+part AS (SELECT vessel_id, trip_id AS root, trip_id AS name, min(us) AS a, max(us) AS b FROM trip GROUP BY 1, 2 UNION ALL
+  SELECT vessel_id, root, name || '_' || side, CASE WHEN side = 1 THEN a ELSE cut END, CASE WHEN side = 1 THEN prior ELSE b END FROM
+    (SELECT vessel_id, root, name, a, b, first(us ORDER BY g DESC, us) AS cut, first(prior ORDER BY g DESC, us) AS prior, max(g) AS g
+     FROM part JOIN gap ON trip_id = root AND us > a AND us <= b WHERE (b - a) / 3.6e9 > {max_dur} GROUP BY ALL), (VALUES (1), (2)) v(side) WHERE g >= 180000000),
+leaf AS (SELECT * FROM part p WHERE (b - a) / 3.6e9 > {min_dur} AND NOT EXISTS (SELECT 1 FROM part c WHERE c.name = p.name || '_1'))"""
+
+
+TRIPS_SQL = trips_sql("flagged", 0.5)
 
 
 def _whole_trips(f: DataFrame) -> DataFrame:
@@ -296,7 +330,10 @@ on_once(
     f"x AS (SELECT *, CASE WHEN {arc_km(*PREV)} * 1000 > 5000 THEN 1 ELSE 0 END AS c {WINDOW})",
 )
 on_flagged("t4_define_trips", lambda f: _whole_trips(f).select("rec_id", "trip_id"), "SELECT rec_id, trip_id FROM trip", TRIPS_SQL)
-on_flagged("t4_split_trips", lambda f: trips.define_trips_pol(f, 0.5, 4.0, preserve_all=True).select("rec_id", "trip_id"))
+on_flagged(
+    "t4_split_trips", lambda f: trips.define_trips_pol(f.select("rec_id", "vessel_id", "time_stamp", "SI_HARB"), 0.5, 4.0, preserve_all=True).select("rec_id", "trip_id"),
+    "SELECT rec_id, name AS trip_id FROM flagged LEFT JOIN (SELECT rec_id, name FROM trip JOIN leaf ON trip_id = root AND us BETWEEN a AND b) USING (rec_id)", f"{TRIPS_SQL}, {split_sql(0.5, 4.0)}",
+)
 CUMULATIVE_SQL = 'cumul AS (SELECT *, CASE WHEN "SI_HARB" = 1 THEN 1 ELSE CAST(sum("SI_HARB") OVER (ORDER BY vessel_id, time_stamp, rec_id ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS t FROM flagged)'
 on_flagged("t5_trips_cumulative", lambda f: trips.trips_cumulative(f).select("rec_id", "trip"), "SELECT rec_id, CAST(t AS BIGINT) AS trip FROM cumul", CUMULATIVE_SQL)
 on_flagged(
@@ -310,7 +347,7 @@ on_once(
     "a2_trip_duration_filter", lambda p: trips.trip_duration_filter(trips.trips_by_gap(p)).select("rec_id", "vessel_trip", "duration_min"),
     "SELECT rec_id, vessel_trip, duration_min FROM (SELECT *, round_even((max(us) OVER (PARTITION BY vessel_trip) - min(us) OVER (PARTITION BY vessel_trip)) / 6e7, 0) AS duration_min FROM gaps) WHERE duration_min > 99", GAP_SQL,
 )
-STEPS_SQL = f"""p AS (SELECT *, {_x} AS x, {_y} AS y, vessel_id || ' ' || CAST(CAST(time_stamp AS DATE) AS VARCHAR) AS burst FROM once),
+STEPS_SQL = f"""{DAYS_SQL},
 steps AS (SELECT *, sqrt(pow(lead(x) OVER w - x, 2) + pow(lead(y) OVER w - y, 2)) AS dist, (lead(us) OVER w - us) / 1e6 AS dt FROM p WINDOW w AS (PARTITION BY burst ORDER BY time_stamp, rec_id)),
 totals AS (SELECT burst, sum(dist) AS d, sum(dt / 3600) AS h, count(DISTINCT CAST(time_stamp AS DATE)) AS n_days FROM steps GROUP BY burst)"""
 on_once(
@@ -368,12 +405,42 @@ on_pings("u1_union_fill", lambda p: interpolate.union_fill(p.select("rec_id", "l
 on_pings("b1_classify_speed", lambda p: behaviour.classify_speed(p).select("rec_id", "fishing"), "SELECT rec_id, CASE WHEN speed IS NOT NULL THEN speed BETWEEN 1 AND 5 END AS fishing FROM pings")
 on_once("b2_gaussian_speed", lambda p: behaviour.gaussian_speed(p).select("rec_id", "step", "angle", "dura", "step_speed", "lower", "upper"))
 on_once("b3_mixture_params", behaviour.mixture_params)
-on_once("b4_hmm_step", lambda p: behaviour.hmm_step(p).select("rec_id", "state"))
-on_once("b5_hmm_step_turn", lambda p: behaviour.hmm_step_turn(p).select("rec_id", "state"))
-on_once("b6_binary_clusters", lambda p: behaviour.binary_clusters(p).select("rec_id", "cluster"))
+on_once("b4_hmm_step", lambda p: behaviour.hmm_step(p.select("rec_id", "vessel_id", "time_stamp", "lon", "lat")).select("rec_id", "state"))
+on_once("b5_hmm_step_turn", lambda p: behaviour.hmm_step_turn(p.select("rec_id", "vessel_id", "time_stamp", "lon", "lat")).select("rec_id", "state"))
+on_once("b6_binary_clusters", lambda p: behaviour.binary_clusters(p.select("rec_id", "vessel_id", "time_stamp", "lon", "lat")).select("rec_id", "cluster"))
 on_once("b7_model_params_long", lambda p: behaviour.model_params_long(behaviour.mixture_params(p)))
-on_once("b8_knn_distances", lambda p: covariates.knn_distances(p.withColumn("trip_id", F.concat_ws("_", "vessel_id", F.dayofmonth("time_stamp").cast("string")))).select("rec_id", *[f"dist_neighbour_{i}" for i in range(1, 10)]))
-add("b9_trip_covariates", lambda s, d: workflows.covariate_table(s, d).select("rec_id", "trip_id", *workflows.COVARIATES))
+on_once("b7_hmm_params", behaviour.hmm_params)
+
+
+def near_sql(source: str, k: int) -> str:
+    """``near``: rec_id and the distances ``d`` to the k nearest rows of the trip, in metres around the middle of its bounding box; ``placed``: x, y there."""
+    x, y = mercator_sql("lon", "lat", "lon0")
+    _, y0 = mercator_sql("lon0", "lat0", "lon0")
+    return f"""boxed AS (SELECT *, (min(lon) OVER w + max(lon) OVER w) / 2 AS lon0, (min(lat) OVER w + max(lat) OVER w) / 2 AS lat0 FROM {source} WINDOW w AS (PARTITION BY trip_id)),
+placed AS (SELECT *, {x} AS x, {y} - {y0} AS y FROM boxed),
+near AS (SELECT a.rec_id, list_sort(list(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) FILTER (b.rec_id IS NOT NULL))[1:{k}] AS d FROM placed a LEFT JOIN placed b ON a.trip_id = b.trip_id AND a.rec_id <> b.rec_id GROUP BY 1)"""
+
+
+NEAR = [f"dist_neighbour_{i}" for i in range(1, 10)]
+NEAR_SQL = ", ".join(f"round(d[{i}] + 1e-9, 3) AS {c}" for i, c in enumerate(NEAR, 1))
+BY_DAY_SQL = "daily AS (SELECT *, vessel_id || '_' || day(time_stamp) AS trip_id FROM once)"
+
+
+def _by_day(p: DataFrame) -> DataFrame:
+    return p.withColumn("trip_id", F.concat_ws("_", "vessel_id", F.dayofmonth("time_stamp").cast("string")))
+
+
+_lx, _ly = mercator_sql("lon", "lat", "lon0")
+on_once("x7_local_projection", lambda p: rounded(covariates.local_projection(_by_day(p)).select("rec_id", "x", "y"), "x", "y", digits=3, nudge=1e-9), "SELECT rec_id, round(x + 1e-9, 3) AS x, round(y + 1e-9, 3) AS y FROM placed", f"{BY_DAY_SQL}, {near_sql('daily', 9)}")
+on_once("b8_knn_distances", lambda p: rounded(covariates.knn_distances(_by_day(p)).select("rec_id", *NEAR), *NEAR, digits=3, nudge=1e-9), f"SELECT rec_id, {NEAR_SQL} FROM near", f"{BY_DAY_SQL}, {near_sql('daily', 9)}")
+USABLE_SQL = f"""{BY_DAY_SQL},
+usable AS (SELECT * REPLACE (CASE WHEN course <= 360 THEN course END AS course) FROM daily WHERE speed IS NOT NULL AND course <= 360 AND behaviour IS NOT NULL),
+felt AS (SELECT *, coalesce({course_to("lag(lon) OVER w", "lag(lat) OVER w", "lon", "lat")}, 0.0e0) AS heading_deg, CASE WHEN lag(us) OVER w IS NULL THEN 1.0e0 ELSE abs(course - lag(course) OVER w) END AS abs_heading_change,
+  CASE WHEN lag(us) OVER w IS NULL THEN 0.0e0 ELSE speed * (1852.0e0 / 3600) / nullif((us - lag(us) OVER w) / 1e6, 0) END AS acceleration FROM usable WINDOW w AS (PARTITION BY trip_id ORDER BY time_stamp, rec_id))"""
+add(
+    "b9_trip_covariates", lambda s, d: rounded(workflows.covariate_table(s, d).select("rec_id", "trip_id", *workflows.COVARIATES), *workflows.COVARIATES, digits=3, nudge=1e-9),
+    f"SELECT rec_id, trip_id, {', '.join(f'round({c} + 1e-9, 3) AS {c}' for c in workflows.COVARIATES[:5])}, {NEAR_SQL} FROM felt JOIN near USING (rec_id)", f"{USABLE_SQL}, {near_sql('usable', 9)}",
+)
 
 # Models.
 FOLD_SQL = """keys AS (SELECT DISTINCT vessel_id FROM pings), ranked AS (SELECT vessel_id, row_number() OVER (ORDER BY md5(vessel_id || '|1'), vessel_id) - 1 AS r, count(*) OVER () AS n FROM keys),
@@ -395,38 +462,80 @@ on_pings(
     (SELECT max(a) FROM (SELECT count(*) / (SELECT count(*) FROM k)::DOUBLE AS a FROM k GROUP BY behaviour)) AS most)""",
     GUESS_SQL + ", k AS (SELECT * FROM guess WHERE behaviour IS NOT NULL)",
 )
-on_pings("m9_split_train_test", lambda p: ml.split_train_test(p).select("rec_id", "part"))
+on_pings(
+    "m9_split_train_test", lambda p: ml.split_train_test(p).select("rec_id", "part"),
+    f"SELECT rec_id, CASE WHEN CAST('0x' || substr(md5(rec_id || '|1'), 1, 8) AS BIGINT) < {int(0.7 * (1 << 32))} THEN 'train' ELSE 'test' END AS part FROM pings",
+)
+
+
+def discriminant_sql(features: list[str], quadratic: bool) -> str:
+    """``best``: the class of the highest discriminant score of each row of ``felt`` with enough neighbours, by Cholesky factors of the covariances."""
+    n = range(len(features))
+    pairs = [(i, j) for i in n for j in range(i + 1)]
+    mean = ", ".join(f"avg(f{i}) AS m{i}" for i in n)
+    own = ", ".join(f"covar_samp(f{i}, f{j}) AS c{i}_{j}" for i, j in pairs)
+    pooled = ", ".join(f"sum((n - 1) * c{i}_{j}) OVER () / sum(n - 1) OVER () AS c{i}_{j}" for i, j in pairs)
+    steps, last = [], "cov"
+    for j in n:  # a column of the factor after the other
+        square = " - ".join([f"c{j}_{j} + 1e-9", *[f"l{j}_{k} * l{j}_{k}" for k in range(j)]])
+        below = "".join(f", (" + " - ".join([f"c{i}_{j}", *[f"l{i}_{k} * l{j}_{k}" for k in range(j)]]) + f") / sqrt({square}) AS l{i}_{j}" for i in n if i > j)
+        steps.append(f"chol{j} AS (SELECT *, sqrt({square}) AS l{j}_{j}{below} FROM {last})")
+        last = f"chol{j}"
+    solved, at = [], "pairs_"
+    for i in n:
+        rest = " - ".join([f"f{i} - m{i}", *[f"l{i}_{k} * z{k}" for k in range(i)]])
+        solved.append(f"solve{i} AS (SELECT *, ({rest}) / l{i}_{i} AS z{i} FROM {at})")
+        at = f"solve{i}"
+    named = ", ".join(f"{f} AS f{i}" for i, f in enumerate(features))
+    score = "ln(n * 1.0e0 / total) - " + " - ".join([f"ln(l{i}_{i})" for i in n]) + " - 0.5e0 * (" + " + ".join(f"z{i} * z{i}" for i in n) + ")"
+    return f"""known AS (SELECT rec_id, behaviour, {named} FROM (SELECT felt.*, d[1] AS dist_neighbour_1, d[2] AS dist_neighbour_2, d[3] AS dist_neighbour_3 FROM felt JOIN near USING (rec_id)) WHERE {" AND ".join(f"{f} IS NOT NULL" for f in features)}),
+class AS (SELECT behaviour AS label, count(*) AS n, {mean}, {own} FROM known GROUP BY 1),
+cov AS (SELECT label, n, sum(n) OVER () AS total, {", ".join(f"m{i}" for i in n)}, {pooled if not quadratic else ", ".join(f"c{i}_{j}" for i, j in pairs)} FROM class),
+{", ".join(steps)},
+pairs_ AS (SELECT * FROM known, {last}),
+{", ".join(solved)},
+best AS (SELECT rec_id, behaviour, arg_max(label, {score}) AS predicted FROM {at} GROUP BY 1, 2)"""
 
 
 def _importance(spark: SparkSession, d: str) -> DataFrame:
     f = staged(workflows.features(spark, d))
-    return ml.feature_importance(ml.train_forest(f, workflows.FEATURES, trees=20), workflows.FEATURES, f)
+    return ml.feature_importance(ml.train_forest(f, workflows.FEATURES), workflows.FEATURES, f)
 
 
-def _lda(spark: SparkSession, d: str, quadratic: bool) -> DataFrame:
+def _discriminant(spark: SparkSession, d: str, quadratic: bool) -> DataFrame:
     f = staged(workflows.features(spark, d))
     return ml.predict_discriminant(ml.train_discriminant(f, workflows.FEATURES, quadratic=quadratic), f, workflows.FEATURES).select("rec_id", "behaviour", "predicted")
 
 
-def _tuned(spark: SparkSession, d: str) -> DataFrame:
-    return ml.tune_forest(workflows.features(spark, d), workflows.FEATURES, trees=10, nodes=(1, 5), tries=(2, 4))
-
-
 def _other(spark: SparkSession, d: str) -> DataFrame:
     f = staged(workflows.features(spark, d))
-    return ml.predict(ml.train_other(f, workflows.FEATURES, kind="bagged", folds=2, trees=10), f).select("rec_id", "behaviour", "predicted")
+    return ml.predict(ml.train_other(f, workflows.FEATURES, kind="bagged"), f).select("rec_id", "behaviour", "predicted")
 
 
 add("m1_m2_forest_importance", _importance)
-add("m3_tune_forest", _tuned)
-add("m4_lda", lambda s, d: _lda(s, d, False))
-add("m4_qda", lambda s, d: _lda(s, d, True))
+add("m3_tune_forest", lambda s, d: ml.tune_forest(workflows.features(s, d), workflows.FEATURES))
+for _name, _q in (("m4_lda", False), ("m4_qda", True)):
+    add(_name, lambda s, d, q=_q: _discriminant(s, d, q), "SELECT rec_id, behaviour, predicted FROM best", f"{USABLE_SQL}, {near_sql('usable', 3)}, {discriminant_sql(workflows.FEATURES, _q)}")
 add("m6_cross_validate", workflows.behaviour_folds)
 add("m10_other_models", _other)
 
 # Whole workloads.
-add("harbour_trips", workflows.harbour_trips)
-add("day_trips", workflows.day_trips)
+FILLED_SQL = """filled AS (SELECT vessel_id, us, time_stamp, rec_id, "SI_HARB" FROM s UNION ALL
+  SELECT vessel_id, us + CAST(round((us2 - us) * t) AS BIGINT), make_timestamp(us + CAST(round((us2 - us) * t) AS BIGINT)), NULL, 0 FROM ti)"""
+add(
+    "harbour_trips", workflows.harbour_trips,
+    """SELECT vessel_id, name AS trip_id, make_timestamp(a) AS depart, make_timestamp(b) AS "return", round((b - a) / 1e6 / 3600, 6) AS duration_hrs FROM leaf""",
+    f"{GAPS_SQL}, {FILLED_SQL}, {trips_sql('filled', 0.8)}, {split_sql(0.8, 8.0)}",
+)
+add(
+    "day_trips", lambda s, d: rounded(workflows.day_trips(s, d), "dist_travelled", "time_travelled", digits=2, nudge=1e-9),
+    """SELECT burst, round(sum(dist) + 1e-9, 2) AS dist_travelled, round(sum(dt / 3600) + 1e-9, 2) AS time_travelled, count(DISTINCT CAST(make_timestamp(us) AS DATE)) AS n_days FROM
+    (SELECT *, sqrt(pow(lead(x) OVER w - x, 2) + pow(lead(y) OVER w - y, 2)) AS dist, (lead(us) OVER w - us) / 1e6 AS dt FROM slow WINDOW w AS (PARTITION BY burst ORDER BY us, rec_id)) GROUP BY 1 HAVING coalesce(sum(dt / 3600), 0) >= 1""",
+    f"""inside AS (SELECT * FROM once WHERE lat > 54 AND lat < 60 AND lon > 9 AND lon < 16),
+spots AS (SELECT * FROM inside QUALIFY row_number() OVER (PARTITION BY vessel_id, lon, lat ORDER BY time_stamp, rec_id) = 1), {land_sql("spots", 10)},
+wet AS (SELECT *, {_x} AS x, {_y} AS y, vessel_id || ' ' || CAST(CAST(time_stamp AS DATE) AS VARCHAR) AS burst FROM spots WHERE rec_id NOT IN (SELECT rec_id FROM land)), {slow_sql("wet", 25.0)}""",
+)
+add("model_comparison", lambda s, d: ml.compare_models(staged(workflows.features(s, d)), workflows.FEATURES))
 
 
 def queries() -> dict[str, Query]:

@@ -14,20 +14,22 @@ ZONE = 32
 
 
 def harbour_trips(spark: SparkSession, sf_dir: str, min_dur: float = 0.8, max_dur: float = 8.0) -> DataFrame:
-    """Dedupe, flag harbour, fill gaps, cut trips, schedule: one exchange on the vessel and what the fill adds."""
-    p = clean.dedupe_time(tables.pings(spark, sf_dir))
+    """Dedupe, flag harbour, fill gaps, cut trips, schedule: one exchange on the vessel, and one scan of the pings."""
+    p = clean.dedupe_time(tables.pings(spark, sf_dir).repartition("vessel_id"))
     filled = interpolate.interpolate_ais(joins.add_harbours(p, tables.harbours(spark, sf_dir)))
-    return trips.trip_schedule(trips.define_trips_pol(filled, min_dur, max_dur))
+    needed = filled.select("vessel_id", "time_stamp", "rec_id", "SI_HARB")
+    return trips.trip_schedule(trips.define_trips_pol(needed, min_dur, max_dur))
 
 
-def day_trips(spark: SparkSession, sf_dir: str, vmax: float = 25.0) -> DataFrame:
-    """Registry, extent, dedupe, land, bursts by day, fast steps out, short bursts out, summary."""
+def day_trips(spark: SparkSession, sf_dir: str, vmax: float = 25.0, hours: float = 1.0) -> DataFrame:
+    """Registry, extent, dedupe, land, bursts by day, fast steps out, summary of bursts that are not short."""
     t, trip, device = tables.registry(spark, sf_dir)
-    d = clean.filter_extent(joins.attach_registry(t, trip, device), 54, 60, 9, 16)
+    d = clean.filter_extent(joins.attach_registry(t, trip, device), 54, 60, 9, 16).repartition("vessel_id")
     d = joins.remove_land(clean.dedupe_position(clean.dedupe_time(d)), tables.coast(spark, sf_dir), ZONE)
     x, y = to_utm(F.col("lon"), F.col("lat"), ZONE)
-    d = clean.remove_fast_steps(trips.trips_by_day(d.withColumns({"x": x, "y": y})), "burst", vmax)
-    return trips.trip_summary(trips.drop_short_trips(track.ltraj_steps(d)))
+    d = trips.trips_by_day(d.withColumns({"x": x, "y": y})).select("rec_id", "time_stamp", "burst", "x", "y")
+    travelled = trips.trip_summary(track.ltraj_steps(clean.remove_fast_steps(d, "burst", vmax)))
+    return travelled.filter(F.coalesce(F.col("time_travelled"), F.lit(0.0)) >= hours)
 
 
 FEATURES = ["speed", "course", "heading_deg", "abs_heading_change", "acceleration", "dist_neighbour_1", "dist_neighbour_2", "dist_neighbour_3"]
@@ -47,7 +49,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.complete_cases(covariate_table(spark, sf_dir, 3), FEATURES)
 
 
-def behaviour_folds(spark: SparkSession, sf_dir: str, trees: int = 20) -> DataFrame:
+def behaviour_folds(spark: SparkSession, sf_dir: str, trees: int = 100) -> DataFrame:
     """Accuracy and kappa of forest, LDA and QDA over trip folds."""
     done = ml.cross_validate(staged(features(spark, sf_dir)), FEATURES, trees=trees)
     return ml.overall(ml.confusion(done, by=["model"]), ["model"])

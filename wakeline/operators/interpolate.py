@@ -41,9 +41,9 @@ def interpolate_ais(df: DataFrame, min_gap: float = 2.0, max_gap: float = 120.0,
     d = d.withColumn("speed", F.when(F.col("_fill"), F.coalesce("speed", whole)).otherwise(F.col("speed"))).withColumn("_speed", F.coalesce("_speed", whole))
     own = [c for c in d.columns if not c.startswith("_")]
 
-    points = d.filter("_fill").withColumn("_n", F.ceil("_gap")).filter("_n > 2")
-    points = points.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n") - 2)))
-    t = F.col("_i") / (F.col("_n") - 1)
+    n = F.ceil("_gap")
+    d = d.withColumn("_i", F.explode(F.when(F.col("_fill") & (n > 2), F.sequence(F.lit(0).cast("long"), n - 2)).otherwise(F.array(F.lit(0).cast("long")))))
+    t = F.col("_i") / (n - 1)
     scale = F.col("_gap") / 150.0
     start, end = F.radians("course"), F.radians("course" if heading_adjustment == 1 else "_course")
     reach = lambda v: scale * v / 17.5
@@ -51,10 +51,9 @@ def interpolate_ais(df: DataFrame, min_gap: float = 2.0, max_gap: float = 120.0,
     line = lambda a, b: a + (b - a) * t
     lon = _hermite(t, F.col("lon"), F.col("_lon"), F.sin(start) * reach(F.col("speed")), F.sin(end) * reach(F.col("_speed")))
     lat = _hermite(t, F.col("lat"), F.col("_lat"), F.cos(start) * reach(F.col("speed")) * lon_lat_ratio(F.col("lat")), F.cos(end) * reach(F.col("_speed")) * lon_lat_ratio(F.col("_lat")))
-    made = F.timestamp_micros((F.col("_t") + F.round(F.col("_gap") * F.lit(6e7) * t)).cast("long")).cast(df.schema["time_stamp"].dataType)
-    new = points.select(
-        "vessel_id", made.alias("time_stamp"), F.when(curved, lon).otherwise(line(F.col("lon"), F.col("_lon"))).alias("lon"),
-        F.when(curved, lat).otherwise(line(F.col("lat"), F.col("_lat"))).alias("lat"), line(F.col("speed"), F.col("_speed")).alias("speed"),
-        F.lit("INT").alias("source"), F.lit(0).alias("SI_HARB"),
-    )
-    return union_fill(d.select(*own), new)
+    made = {
+        "vessel_id": F.col("vessel_id"), "time_stamp": F.timestamp_micros((F.col("_t") + F.round(F.col("_gap") * F.lit(6e7) * t)).cast("long")).cast(df.schema["time_stamp"].dataType),
+        "lon": F.when(curved, lon).otherwise(line(F.col("lon"), F.col("_lon"))), "lat": F.when(curved, lat).otherwise(line(F.col("lat"), F.col("_lat"))),
+        "speed": line(F.col("speed"), F.col("_speed")), "source": F.lit("INT"), "SI_HARB": F.lit(0),
+    }
+    return d.select(*[F.when(F.col("_i") == 0, F.col(c)).otherwise(made.get(c, F.lit(None))).alias(c) for c in own])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -45,28 +47,55 @@ def feature_importance(model: PipelineModel, features: list[str], like: DataFram
     return like.sparkSession.createDataFrame(list(zip(features, values, strict=True)), "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def tune_forest(df: DataFrame, features: list[str], label: str = "behaviour", key: str = "trip_id", rows: int = 10_000, trees: int = 50, nodes=(1, 5, 20), tries=(2, 4, 6), seed: int = 1) -> DataFrame:
-    """``min_node, mtry, error, predicted_error``: errors on held-out trips over a coarse grid, then around its best, and a surrogate forest's estimate for the full grid, the least first.
+def _spread(low: float, high: float, n: int) -> list[int]:
+    """Up to ``n`` whole numbers evenly from ``low`` to ``high``."""
+    return sorted({max(1, round(v)) for v in np.linspace(low, max(low, high), n)})
 
+
+def _at_once(jobs: list[tuple], run, threads: int) -> list:
+    """Independent fits, several in flight, as their stages are short."""
+    with ThreadPool(threads) as pool:
+        return pool.starmap(run, jobs)
+
+
+def tune_forest(df: DataFrame, features: list[str], label: str = "behaviour", key: str = "trip_id", rows: int = 10_000, trees: int = 50, n: int = 5, seed: int = 1, threads: int = 8) -> DataFrame:
+    """``min_node, mtry, error, predicted_error`` over the full grid, the least predicted error first.
+
+    Two designs of ``n`` by ``n`` are tried: least node sizes up to a third of the rows and numbers of
+    features up to all (and their root); then between the two best sizes and among the three best
+    numbers. A forest fitted to all errors (of held-out trips) predicts those of the full grid.
     ``rows`` bounds what each fit sees (rows by hash), as tuning needs no more.
     """
-    part = staged(trip_folds(df.orderBy(F.md5(F.concat_ws("|", F.col("rec_id").cast("string"), F.lit(str(seed))))).limit(rows), 4, key, seed))
-    train, test = part.filter("fold <> 1"), part.filter("fold = 1")
+    part = staged(trip_folds(df.orderBy(F.md5(F.concat_ws("|", F.col("rec_id").cast("string"), F.lit(str(seed))))).limit(rows), 4, key, seed), "tuning-rows")
+    train, test = part.filter("fold <> 1").persist(), part.filter("fold = 1").persist()
+    most = max(1, part.count() // 3)
 
     def error(node: int, mtry: int) -> float:
         done = predict(train_forest(train, features, label, trees, node, mtry, seed), test)
         return float(done.agg(F.avg((F.col("predicted") != F.col(label)).cast("double"))).first()[0] or 0.0)
 
-    found = {(n, m): error(n, m) for n in nodes for m in tries if m <= len(features)}
-    (n0, m0), _ = min(found.items(), key=lambda x: x[1])
-    for n, m in ((n0 + 2, m0), (n0, min(m0 + 1, len(features)))):
-        if (n, m) not in found:
-            found[n, m] = error(n, m)
+    found: dict[tuple[int, int], float] = {}
+
+    def tried(nodes: list[int], tries: list[int]) -> None:
+        design = [(a, m) for a in nodes for m in tries if (a, m) not in found]
+        found.update(zip(design, _at_once(design, error, threads), strict=True))
+
+    def best(which: int, k: int) -> list[int]:
+        mean: dict[int, list[float]] = {}
+        for c, e in found.items():
+            mean.setdefault(c[which], []).append(e)
+        return sorted(mean, key=lambda v: (sum(mean[v]) / len(mean[v]), v))[:k]
+
+    tried(_spread(1, most, n), sorted({*_spread(1, len(features), n), max(1, math.isqrt(len(features)))}))
+    nodes, tries = best(0, 2), best(1, 3)
+    tried(_spread(min(nodes) + 1, max(nodes) - 1, n), _spread(min(tries), max(tries), n))
+    train.unpersist()
+    test.unpersist()
     spark = df.sparkSession
-    seen = spark.createDataFrame([(float(n), float(m), e) for (n, m), e in found.items()], "min_node double, mtry double, error double")
+    seen = spark.createDataFrame([(float(a), float(m), e) for (a, m), e in found.items()], "min_node double, mtry double, error double")
     shape = VectorAssembler(inputCols=["min_node", "mtry"], outputCol="features")
-    surrogate = RandomForestRegressor(labelCol="error", numTrees=50, minInstancesPerNode=1, seed=seed).fit(shape.transform(seen))
-    grid = spark.createDataFrame([(float(n), float(m)) for n in range(1, max(nodes) + 1) for m in range(1, len(features) + 1)], "min_node double, mtry double")
+    surrogate = RandomForestRegressor(labelCol="error", numTrees=100, minInstancesPerNode=1, seed=seed).fit(shape.transform(seen))
+    grid = spark.range(1, most + 1).select(F.col("id").cast("double").alias("min_node"), F.explode(F.array(*[F.lit(float(m)) for m in range(1, len(features) + 1)])).alias("mtry"))
     guessed = surrogate.transform(shape.transform(grid)).withColumnRenamed("prediction", "predicted_error").drop("features")
     return guessed.join(seen, ["min_node", "mtry"], "left").orderBy("predicted_error", "min_node", "mtry")
 
@@ -168,20 +197,29 @@ def overall(conf: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
 
 
 def split_train_test(df: DataFrame, share: float = 0.7, seed: int = 1) -> DataFrame:
-    """``part`` train or test by a seeded hash of rec_id, the same for a row each time."""
-    h = F.pmod(F.xxhash64(F.col("rec_id"), F.lit(seed)), F.lit(1_000_000))
-    return df.withColumn("part", F.when(h < int(share * 1_000_000), "train").otherwise("test"))
+    """``part`` train or test by a seeded hash of rec_id, the same for a row each time and on any engine."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("rec_id").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    return df.withColumn("part", F.when(h < int(share * (1 << 32)), "train").otherwise("test"))
 
 
-def train_other(df: DataFrame, features: list[str], label: str = "behaviour", kind: str = "forest", folds: int = 10, trees: int = 50, seed: int = 1):
+def train_other(df: DataFrame, features: list[str], label: str = "behaviour", kind: str = "forest", folds: int = 10, trees: int = 50, seed: int = 1, threads: int = 8) -> PipelineModel:
     """Centred and scaled features; forest, boosted or bagged trees, chosen by cross-validation over tree depth."""
+    prepared = Pipeline(stages=_stages(features, label, scale=True)).fit(df)
+    data = prepared.transform(df).select("label", "features").persist()
     if kind == "boosted":
-        model = OneVsRest(classifier=GBTClassifier(maxIter=20, seed=seed))
-        grid = [{}]
+        one = GBTClassifier(maxIter=20, seed=seed)
+        model, grid = (one if len(prepared.stages[0].labels) == 2 else OneVsRest(classifier=one)), [{}]
     else:
         model = RandomForestClassifier(numTrees=trees, featureSubsetStrategy="all" if kind == "bagged" else "auto", seed=seed)
         grid = ParamGridBuilder().addGrid(model.maxDepth, [5, 10]).build()
-    prepared = Pipeline(stages=_stages(features, label, scale=True)).fit(df)
-    data = prepared.transform(df)
-    chosen = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=folds, seed=seed).fit(data)
+    chosen = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=folds, seed=seed, parallelism=threads).fit(data)
+    data.unpersist()
     return PipelineModel([*prepared.stages, chosen.bestModel])
+
+
+def compare_models(df: DataFrame, features: list[str], label: str = "behaviour", kinds: tuple[str, ...] = ("forest", "boosted", "bagged"), share: float = 0.7, folds: int = 10, trees: int = 50, seed: int = 1) -> DataFrame:
+    """``model, accuracy, kappa, no_information_rate``: each kind trained on ``share`` of the pings, by folds, and judged on the rest."""
+    parts = split_train_test(df, share, seed)
+    train, test = parts.filter("part = 'train'").drop("part"), parts.filter("part = 'test'").drop("part")
+    said = [predict(train_other(train, features, label, kind, folds, trees, seed), test).select(label, "predicted", F.lit(kind).alias("model")) for kind in kinds]
+    return overall(confusion(reduce(DataFrame.unionByName, said), label, ["model"]), ["model"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import arcdist, trip_key
 from ..functions.order import micros, seconds_between, so_far, track
+from ..sources.scratch import staged
 
 
 def trips_by_day(df: DataFrame) -> DataFrame:
@@ -63,7 +64,9 @@ def define_trips_pol(df: DataFrame, min_dur: float = 0.5, max_dur: float = 72.0,
     end of the track ends one too. Ids count a vessel's departures, before trips of up to ``min_dur``
     hours are dropped. Longer ones than ``max_dur`` are cut at their longest gap (if that has
     ``least_gap_min`` minutes), and their parts again. A vessel that never changes state has no trip.
-    ``preserve_all`` keeps the other pings, without a trip.
+    ``preserve_all`` keeps the other pings, without a trip. With ``split_trips`` the labelled pings are
+    written out once, as those of long trips take another way than the rest: give it no more columns
+    than are needed.
     """
     w = track()
     vessel = W.partitionBy("vessel_id")
@@ -80,23 +83,24 @@ def define_trips_pol(df: DataFrame, min_dur: float = 0.5, max_dur: float = 72.0,
     if not split_trips:
         out = d.select(*columns)
     else:
-        long = F.col("trip_id").isNotNull() & (F.col("_hours") > max_dur)
-        rest = d.filter(~long).select(*columns)
-        cut = d.filter(long).select(*columns)
+        d = staged(d.select(*columns, F.coalesce(F.col("trip_id").isNotNull() & (F.col("_hours") > max_dur), F.lit(False)).alias("_long")), "trips")
+        rest = d.filter("not _long").select(*columns)
+        cut = d.filter("_long").select(*columns)
         out = rest.unionByName(cut.groupBy("trip_id").applyInPandas(lambda rows: _split(rows, min_dur, max_dur, least_gap_min), cut.schema))
     return out if preserve_all else out.filter("trip_id is not null")
 
 
-def trips_cumulative(df: DataFrame, prefix: int = 5) -> DataFrame:
+def trips_cumulative(df: DataFrame, blocks: int = 200) -> DataFrame:
     """``trip``: for pings at sea the number of pings in harbour before them in the whole table, by vessel and time; 1 in harbour.
 
     Vessels' totals are summed up over blocks of vessels first, so no table-wide window is needed: a
-    vessel's offset is its block's plus that within the block. A block is the vessels whose ids begin
-    alike, which keeps their order.
+    vessel's offset is its block's plus that within the block. A block is a range of vessels of about
+    equal size, whatever their ids look like.
     """
-    inside = df.groupBy("vessel_id").agg(F.sum("SI_HARB").alias("n")).withColumn("part", F.substring("vessel_id", 1, prefix))
-    blocks = inside.groupBy("part").agg(F.sum("n").alias("n"))
-    before = blocks.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row per block
+    inside = df.groupBy("vessel_id").agg(F.sum("SI_HARB").alias("n"))
+    inside = staged(inside.repartitionByRange(blocks, "vessel_id").withColumn("part", F.spark_partition_id()), "vessel-totals")
+    parts = inside.groupBy("part").agg(F.sum("n").alias("n"))
+    before = parts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row per block
     inner = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("vessel_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = inside.withColumn("inner", inner).join(before, "part").select("vessel_id", (F.col("inner") + F.col("base")).alias("_base"))
     d = df.withColumn("_own", F.sum("SI_HARB").over(so_far())).join(offsets, "vessel_id")
@@ -129,8 +133,9 @@ def trip_summary(df: DataFrame, burst: str = "burst") -> DataFrame:
 
 
 def drop_short_trips(df: DataFrame, hours: float = 1.0, burst: str = "burst") -> DataFrame:
-    short = trip_summary(df, burst).filter(F.coalesce(F.col("time_travelled"), F.lit(0.0)) < hours)
-    return df.join(short.select(burst), burst, "left_anti")
+    """Pings of bursts of that many hours or more, by a sum over the burst."""
+    travelled = F.coalesce(F.sum(F.col("dt") / 3600).over(W.partitionBy(burst)), F.lit(0.0))
+    return df.withColumn("_hours", travelled).filter(F.col("_hours") >= hours).drop("_hours")
 
 
 def trip_lines(df: DataFrame, key: str = "vessel_trip") -> DataFrame:
