@@ -4,10 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from wakeline.jobs import queries
+from wakeline.jobs import queries, workflows
+from wakeline.operators import ml
+from wakeline.sources.scratch import staged
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["pings", "x_scalars", "q7_histogram", "f3_dedupe_first", "j2_add_harbours", "j4_remove_land", "j8_downsample", "w4_rb_define_trips", "w6_step_turn", "t4_define_trips", "t5_trips_cumulative", "a1_trip_schedule", "g1_interpolate", "m5_trip_folds", "m8_overall"]
+QUICK = ["pings", "x_scalars", "q7_histogram", "f3_dedupe_first", "j2_add_harbours", "j4_remove_land", "j8_downsample", "w4_rb_define_trips", "w6_step_turn", "t4_define_trips", "t5_trips_cumulative", "a1_trip_schedule", "g1_interpolate", "m5_trip_folds", "m8_overall", "t4_split_trips", "f13_remove_fast_steps", "x7_local_projection", "b8_knn_distances", "b9_trip_covariates", "m4_lda", "m4_qda", "m9_split_train_test", "harbour_trips", "day_trips"]
 
 
 def text(v):
@@ -39,6 +41,27 @@ def test_trip_covariates_keep_every_usable_ping(spark):
         assert [r[f"dist_neighbour_{i}"] is not None for i in range(1, 10)] == [i < trips[r.trip_id] for i in range(1, 10)]
 
 
+def test_a_track_is_scanned_and_exchanged_once(spark):
+    """Filling gaps unions nothing; splitting trips reads the pings once, before it stages them."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    filled = queries.QUERIES["g1_interpolate"](spark, SF)
+    assert plan(filled).count("Relation [event_id") == 1
+    assert filled._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(vessel_id") <= 2
+    cut = plan(queries.QUERIES["harbour_trips"](spark, SF))
+    assert cut.count("Relation") == 2 and "event_id" not in cut and "user_id" not in cut
+
+
+def test_models_are_compared_and_tuned(spark):
+    f = staged(workflows.features(spark, SF))
+    got = {r.model: r for r in ml.compare_models(f, workflows.FEATURES, folds=2, trees=5).collect()}
+    assert set(got) == {"forest", "boosted", "bagged"} and all(r.accuracy > r.no_information_rate and r.kappa > 0.5 for r in got.values())
+    tuned = ml.tune_forest(f, workflows.FEATURES, trees=3, n=3).collect()
+    n = f.count()
+    assert len(tuned) == (n // 3) * len(workflows.FEATURES) and 9 <= sum(r.error is not None for r in tuned) <= 25
+    best = min(r.error for r in tuned if r.error is not None)
+    assert tuned[0].predicted_error <= tuned[-1].predicted_error and tuned[0].predicted_error < best + 0.2
+
+
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 

@@ -98,7 +98,7 @@ def trips_cumulative(df: DataFrame, blocks: int = 200) -> DataFrame:
     equal size, whatever their ids look like.
     """
     inside = df.groupBy("vessel_id").agg(F.sum("SI_HARB").alias("n"))
-    inside = staged(inside.repartitionByRange(blocks, "vessel_id").withColumn("part", F.spark_partition_id()), "vessel-totals")
+    inside = staged(inside.repartitionByRange(blocks, "vessel_id").withColumn("part", F.spark_partition_id()), "vessel-totals", narrow=True)
     parts = inside.groupBy("part").agg(F.sum("n").alias("n"))
     before = parts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row per block
     inner = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("vessel_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
