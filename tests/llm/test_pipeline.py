@@ -133,3 +133,39 @@ def test_run_is_the_stages_in_a_row(spark, stages):
     key = lambda df: sorted((r.doc_id, r.start, r.length, bytes(r.ids)) for r in df.collect())
     assert [k[0] for k in key(got)] == [k[0] for k in key(stages[5])]
     assert re.fullmatch(r"[a-z_]+", corpus_pipeline.STAGES[0][0])
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    """Null and empty values in all columns, repeated rows, a very long text, columns named like inner ones; then no rows at all."""
+    good = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    rows = [
+        (None, None, None, None, None), (None, "a text that has no id of its own but some words", None, "s", 48), (9001, None, None, None, None), (9002, "", "en", "s", 0), (9002, "", "en", "s", 0), (9003, " \n\t\n ", "en", None, 5),
+        (9004, "One line of plain words.\n" * 3, "en", "s", 75), (9005, " ".join(f"word{i}" for i in range(60_000)) + ".", "en", "s", 1), (9006, "\n".join(f"Line number {i} says what {i * 7} is." for i in range(3000)), "en", "s", 2),
+        (9007, "😀 <|endoftext|> \u0085é", "xx", "s", 18),
+    ]
+    odd = good.unionByName(spark.createDataFrame(rows, good.schema)).unionByName(good.limit(5))
+    inner = ("row", "doc", "same", "sketch", "n", "text_", "dropped", "h", "quality", "score", "lines", "ids", "length", "component", "class_row", "seg", "task")
+    odd = odd.selectExpr("*", *[f"cast(null as string) as {c}" for c in inner])
+    for name, docs in (("odd", odd), ("none", odd.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}-0")
+        kept = [spark.read.parquet(f"{tmp_path}/{name}-0")]
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES, 1):
+            stage(spark, kept[-1], str(tmp_path)).write.parquet(f"{tmp_path}/{name}-{k}")
+            kept.append(spark.read.parquet(f"{tmp_path}/{name}-{k}"))
+        assert all(df.columns == docs.columns for df in kept[1:-1])
+        if name == "none":
+            assert all(df.count() == 0 for df in kept)
+            continue
+        ids = [sorted(str(r.doc_id) for r in df.select("doc_id").collect()) for df in kept]
+        # Of the texts without words one stays; of repeated rows one keeps its lines.
+        assert ids[1].count("9002") == 2 and "9001" in ids[1] and len(set(ids[3]) & {"9001", "9002", "9003"}) == 1 and ids[3].count("9002") <= 1
+        assert {r.doc_id: r.text for r in kept[2].filter("doc_id = 9004").collect()} in ({9004: "One line of plain words.\n"}, {9004: "One line of plain words."}, {})
+        assert all(ids[3].count(i) == 1 for i in set(ids[3]) - {"None"}) and {"9005", "9007"} <= set(ids[3])
+        packed = kept[5].collect()
+        assert sorted({str(r.doc_id) for r in packed}) == sorted(set(ids[4]))
+        total = defaultdict(int)
+        for r in packed:
+            total[r.doc_id] += r.length
+        assert total[9005] > 60_000 and all(r.doc_tokens == total[r.doc_id] for r in packed if r.doc_id is not None)

@@ -22,15 +22,15 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     no rows. Raises if ``rounds`` do not suffice rather than return components cut short.
     """
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).na.drop()
-    loops = staged(now.filter("u = v").select("u").distinct(), "loops")
-    now = staged(now.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    loops = staged(now.filter("u = v").select("u").distinct(), "loops", narrow=True)
+    now = staged(now.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", narrow=True)
     before = None if not now.isEmpty() else (0, None, None)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_lowest(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.join(_lowest(large), "u")
         small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        now = staged(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct(), "edges")
+        now = staged(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct(), "edges", narrow=True)
         state = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
             break

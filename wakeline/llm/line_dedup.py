@@ -228,21 +228,42 @@ def later_in_blocks(rows: DataFrame, how: LineDedup) -> DataFrame:
     return asking.unionByName(asked).groupBy("seg", "o", "a").applyInArrow(run, "k1 long, k2 long").distinct()
 
 
+def _core(a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
+    """What two strings have between their common beginning and their common end, as code points."""
+    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
+    most = min(len(x), len(y))
+    other = x[:most] != y[:most]
+    head = int(other.argmax()) if other.any() else most
+    x, y, most = x[head:], y[head:], most - head
+    other = x[len(x) - most :][::-1] != y[len(y) - most :][::-1]
+    tail = int(other.argmax()) if other.any() else most
+    return x[: len(x) - tail], y[: len(y) - tail]
+
+
 def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
-    """Which pairs are within ``edits`` edits: one bit per diagonal of the band, one word per number of errors."""
-    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    """Which pairs are within ``edits`` edits: one bit per diagonal of the band, one word per number of errors.
+
+    What the two have in common at either end takes no edits, so only what is between is compared.
+    """
     out = np.zeros(len(a), bool)
     band = (1 << (2 * edits + 1)) - 1
+    near = [p for p in range(len(a)) if abs(len(a[p]) - len(b[p])) <= edits]
+    cores = {p: _core(a[p], b[p]) for p in near}
+    la, lb = (np.array([len(cores[p][side]) for p in near], np.int64) for side in (0, 1))
+    near = np.array(near, np.int64)
     order = np.argsort(la, kind="stable")
-    for at in np.array_split(order, max(1, len(order) // 2000 + 1)):
-        at = at[np.abs(la[at] - lb[at]) <= edits]
-        if not len(at):
-            continue
+    # As many pairs at once as fit a bounded table, whose width is that of the longest.
+    begin = 0
+    while begin < len(order):
+        end = len(order)
+        while end > begin + 1 and (end - begin) * (la[order[end - 1]] + 2 * edits + 1) > 1 << 20:
+            end = begin + (end - begin + 1) // 2
+        at, begin = order[begin:end], end
         n, wide = la[at], int(la[at].max())
         x, y = np.zeros((wide, len(at)), np.uint32), np.zeros((wide + 2 * edits + 1, len(at)), np.uint32)
         for c, p in enumerate(at.tolist()):
-            x[: la[p], c] = np.frombuffer(a[p].encode("utf-32-le", "surrogatepass"), np.uint32)
-            y[edits : edits + lb[p], c] = np.frombuffer(b[p].encode("utf-32-le", "surrogatepass"), np.uint32) + 1
+            x[: la[p], c], y[edits : edits + lb[p], c] = cores[int(near[p])]
+            y[edits : edits + lb[p], c] += 1
         x += 1  # 0 stands for no character
         reach = [np.full(len(at), 1 << edits, np.int64)]
         for _ in range(edits):
@@ -253,7 +274,7 @@ def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
             if stop.any():
                 for e in range(edits + 1):
                     done[e, stop] = reach[e][stop]
-            if i == wide:
+            if i == wide or not i % 32 and not any(r.any() for r in reach):
                 break
             match = np.zeros(len(at), np.int64)
             for d in range(2 * edits + 1):
@@ -263,7 +284,7 @@ def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
                 now.append(((reach[e] & match) | reach[e - 1] | (reach[e - 1] >> 1) | (now[e - 1] << 1)) & band)
             reach = now
         goal = np.int64(1) << (lb[at] - n + edits)
-        out[at] = ((done & goal[None, :]) != 0).any(axis=0)
+        out[near[at]] = ((done & goal[None, :]) != 0).any(axis=0)
     return out
 
 
@@ -301,9 +322,9 @@ def _met(index: DataFrame, probe: DataFrame, how: LineDedup) -> tuple[DataFrame,
     ``index``: ``seg, line``, ``probe``: ``seg, other``. A crowded key stands on the index side by one
     row without a line; no key has more than ``crowded`` rows there, so that side is hashed, not sorted.
     """
-    crowds = staged(index.groupBy("seg").count().filter(F.col("count") > how.crowded).select("seg"), "crowded")
+    crowds = staged(index.groupBy("seg").count().filter(F.col("count") > how.crowded).select("seg"), "crowded", narrow=True)
     few = index.join(crowds, "seg", "left_anti").unionByName(crowds.withColumn("line", F.lit(None).cast("long")))
-    met = staged(probe.join(few.hint("shuffle_hash"), "seg").filter("line is null or line <> other").distinct(), "met")
+    met = staged(probe.join(few.hint("shuffle_hash"), "seg").filter("line is null or line <> other").distinct(), "met", narrow=True)
     pairs = met.filter("line is not null").select(*_pair("line", "other"))
     crowd = met.filter("line is null").select("seg", F.lit(True).alias("probe"), F.col("other").alias("line"))
     return pairs, crowd.unionByName(index.join(crowds, "seg").select("seg", F.lit(False).alias("probe"), "line"))
@@ -317,14 +338,14 @@ def later_lines(texts: DataFrame, firsts: DataFrame, how: LineDedup) -> DataFram
     def earliest(crowd: DataFrame) -> DataFrame:
         """``seg, k1, k2, none, doc, row, number``, and ``e``, the earliest line's k1, of the lines under crowded keys."""
         rows = crowd.select("seg", F.col("line").alias("k1")).distinct().join(place, "k1")
-        rows = staged(rows, "crowds")
+        rows = staged(rows, "crowds", narrow=True)
         return rows.join(rows.groupBy("seg").agg(F.min_by("k1", order).alias("e")), "seg")
 
     def settled(rows: DataFrame, links: DataFrame) -> DataFrame:
         """Keys and ``open`` lines: those that no link says are later, and that are not the earliest; keys without any go."""
         done = links.select("k1", "k2", F.lit(True).alias("done"))
         rows = rows.join(done, ["k1", "k2"], "left").withColumn("open", F.col("done").isNull() & (F.col("k1") != F.col("e"))).drop("done")
-        return staged(rows.join(rows.filter("open").select("seg").distinct(), "seg", "left_semi"), "open-keys")
+        return staged(rows.join(rows.filter("open").select("seg").distinct(), "seg", "left_semi"), "open-keys", narrow=True)
 
     def later(links: DataFrame) -> DataFrame:
         fa, fb = firsts.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("first").alias("fa")), firsts.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("first").alias("fb"))
@@ -334,23 +355,23 @@ def later_lines(texts: DataFrame, firsts: DataFrame, how: LineDedup) -> DataFram
 
     index = firsts.filter("segs is not null").select(F.explode("segs").alias("seg"), F.col("k1").alias("line"))
     pairs, crowd = _met(index, probe_rows(texts, how), how)
-    crowd = staged(crowd, "crowd")
+    crowd = staged(crowd, "crowd", narrow=True)
     rows = earliest(crowd)
     stars = lambda rows: rows.filter("k1 <> e").select(*_pair("k1", "e"))
-    pairs = staged(pairs.unionByName(stars(rows)).distinct(), "line-pairs")
+    pairs = staged(pairs.unionByName(stars(rows)).distinct(), "line-pairs", narrow=True)
     said = said_by(texts, pairs, how)
-    found = staged(later(near_links(said, pairs, how)), "later")
+    found = staged(later(near_links(said, pairs, how)), "later", narrow=True)
 
     rows = settled(rows, found)
     if rows.isEmpty():
         return found
     # Finer keys for what is open under crowded ones.
     finer = crowd.join(rows.select("seg").distinct(), "seg", "left_semi").join(said.select(F.col("k1").alias("line"), F.col("line").alias("said")), "line")
-    finer = staged(rest_rows(finer, how), "finer-keys")
+    finer = staged(rest_rows(finer, how), "finer-keys", narrow=True)
     pairs, crowd = _met(finer.filter("not probe").select("seg", "line"), finer.filter("probe").select("seg", F.col("line").alias("other")), how)
     rows = earliest(crowd)
-    pairs = staged(pairs.unionByName(stars(rows)).distinct(), "line-pairs")
-    found = staged(found.unionByName(later(near_links(said, pairs, how))).distinct(), "later")
+    pairs = staged(pairs.unionByName(stars(rows)).distinct(), "line-pairs", narrow=True)
+    found = staged(found.unionByName(later(near_links(said, pairs, how))).distinct(), "later", narrow=True)
     rows = settled(rows, found)
     if rows.isEmpty():
         return found
@@ -360,7 +381,7 @@ def later_lines(texts: DataFrame, firsts: DataFrame, how: LineDedup) -> DataFram
 
 def said_by(texts: DataFrame, pairs: DataFrame, how: LineDedup) -> DataFrame:
     """``k1, k2, line`` of the lines that stand in ``pairs``."""
-    keys = staged(pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct(), "line-keys")
+    keys = staged(pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct(), "line-keys", narrow=True)
     few = keys.count() <= how.most_broadcast
     wanted = texts.sparkSession.sparkContext.broadcast(np.sort(keys.toPandas()["k1"].to_numpy(np.int64))) if few else None
 
@@ -404,7 +425,7 @@ def dropped_lines(numbered: DataFrame, how: LineDedup = LineDedup()) -> DataFram
     firsts = lines.filter("number >= 0").groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first(F.when(long, F.col("segs"))).alias("segs"))
     firsts = staged(firsts, "first-lines")
     later = later_lines(numbered.select("text"), firsts, how).withColumn("near", F.lit(True))
-    fate = staged(firsts.drop("segs").join(later, ["k1", "k2"], "left").filter("n > 1 or near").drop("n"), "fates")
+    fate = staged(firsts.drop("segs").join(later, ["k1", "k2"], "left").filter("n > 1 or near").drop("n"), "fates", narrow=True)
     each = lines.filter("number >= 0").select("row", "doc_id", "number", "k1", "k2").join(fate, ["k1", "k2"])
     equal = F.col("first.row").eqNullSafe(F.col("row")) & (F.col("first.number") == F.col("number"))
     each = each.select("row", "doc_id", "number", (~equal).alias("equal"), (equal & F.col("near").isNotNull()).alias("near"), F.lit(None).cast("long").alias("lines"))

@@ -218,7 +218,7 @@ def links_in_blocks(apart: DataFrame, texts: DataFrame, how: OrderMinHash) -> Da
     sizes = rows.groupBy("around", "component").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     plan = sizes.groupBy("around").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("bytes").alias("all"), F.max_by("bytes", F.struct("n", "component")).alias("most"), F.sum("n").alias("rows"), F.max("n").alias("inner"))
     blocks = lambda b, n: F.greatest(F.lit(1), F.ceil(b / F.lit(how.block_bytes)), F.ceil(n / F.lit(how.block_rows))).cast("int")
-    plan = staged(plan.select("around", "largest", blocks(F.col("all") - F.col("most"), F.col("rows") - F.col("inner")).alias("np"), blocks(F.col("all"), F.col("rows")).alias("nm")), "block-plan")
+    plan = staged(plan.select("around", "largest", blocks(F.col("all") - F.col("most"), F.col("rows") - F.col("inner")).alias("np"), blocks(F.col("all"), F.col("rows")).alias("nm")), "block-plan", narrow=True)
     placed = rows.join(plan, "around")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     slot = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
@@ -234,36 +234,36 @@ def links_in_blocks(apart: DataFrame, texts: DataFrame, how: OrderMinHash) -> Da
 
 def near_duplicates(found: DataFrame, how: OrderMinHash = OrderMinHash()) -> DataFrame:
     """``row, doc_id, class_row, class_id`` of ``sketched`` rows: the row that stays of a row's group and its doc_id."""
-    classes = staged(found.groupBy("same").agg(F.min("row").alias("row")), "classes")
+    classes = staged(found.groupBy("same").agg(F.min("row").alias("row")), "classes", narrow=True)
     first = found.filter("n > 0").select("row", "n", "sketch").join(classes.select("row"), "row", "left_semi")
     member = first.select("row", "n", F.posexplode("sketch").alias("band", "value"))
     crowd = member.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("row").alias("pivot")).filter("size > 1").drop("size")
-    buckets = staged(member.join(crowd, ["band", "value"]).select("row", "n", F.xxhash64("band", "value").alias("bucket"), "pivot"), "buckets")
+    buckets = staged(member.join(crowd, ["band", "value"]).select("row", "n", F.xxhash64("band", "value").alias("bucket"), "pivot"), "buckets", narrow=True)
     texts = staged(found.select("row", F.col("doc.text").alias("text")).join(buckets.select("row").distinct(), "row", "left_semi"), "candidate-texts")
     fits = lambda a, b: F.least(a, b) >= how.similarity * F.greatest(a, b)
 
     def pair(x: str, y: str):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
-    tried = staged(buckets.filter("row <> pivot").select(*pair("row", "pivot")).distinct(), "pairs")
-    links = staged(verified(tried, texts, how), "links")
+    tried = staged(buckets.filter("row <> pivot").select(*pair("row", "pivot")).distinct(), "pairs", narrow=True)
+    links = staged(verified(tried, texts, how), "links", narrow=True)
     for turn in range(1, how.rounds + 1):
-        group = staged(components(links, "a", "b"), "groups")
+        group = staged(components(links, "a", "b"), "groups", narrow=True)
         now = buckets.join(group.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
         apart = now.groupBy("bucket").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("row", "n", "component"), F.xxhash64("row", F.lit(turn))).alias("p")
         ).filter("low < high")
-        now = staged(now.drop("pivot").join(apart.select("bucket", "p"), "bucket"), "apart")
+        now = staged(now.drop("pivot").join(apart.select("bucket", "p"), "bucket"), "apart", narrow=True)
         if now.isEmpty():
             break
         if turn < how.rounds:
             pairs = now.filter((F.col("component") != F.col("p.component")) & fits(F.col("n"), F.col("p.n"))).select(*pair("row", "p.row"))
-            pairs = staged(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+            pairs = staged(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs", narrow=True)
             tried = tried.unionByName(pairs)
-            links = staged(links.unionByName(verified(pairs, texts, how)), "links")
+            links = staged(links.unionByName(verified(pairs, texts, how)), "links", narrow=True)
         else:
-            links = staged(links.unionByName(links_in_blocks(now.drop("p", "n"), texts, how)), "links")
-    group = staged(components(links, "a", "b"), "groups")
+            links = staged(links.unionByName(links_in_blocks(now.drop("p", "n"), texts, how)), "links", narrow=True)
+    group = staged(components(links, "a", "b"), "groups", narrow=True)
     of_class = classes.join(group, classes["row"] == group["node"], "left").select("same", F.coalesce("component", "row").alias("component"))
     rows = found.select("row", "same", F.col("doc.doc_id").alias("doc_id")).join(of_class, "same")
     stays = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("s"))

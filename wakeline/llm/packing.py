@@ -430,7 +430,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, window: int = 1024, end
     """
     made = cut_texts(documents, tokenizer, window, end)
     rests = made.filter(F.col("length") < window)
-    by_task = staged(rests.groupBy("length", "task").agg(F.count("*").alias("n")), "rest-counts")
+    by_task = staged(rests.groupBy("length", "task").agg(F.count("*").alias("n")), "rest-counts", narrow=True)
     histogram = {int(r.length): int(r.n) for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most window - 1 rows
     slots, sequences, _ = plan(histogram, window)
     table = documents.sparkSession.sparkContext.broadcast(Table(slots))

@@ -103,7 +103,7 @@ def line_features(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:] = own[:-1] * same_before[1:, None]
     after[:-1] = own[1:] * same_before[1:, None]
-    ends = np.stack([~same_before, ~np.append(same_before[1:], False), np.ones(len(of))], axis=1).astype(float)
+    ends = np.stack([~same_before, ~np.append(same_before[1:], False)[: len(of)], np.ones(len(of))], axis=1).astype(float)
     return np.concatenate([own, before, after, ends], axis=1), chars, first
 
 
@@ -241,7 +241,7 @@ def trained(documents: DataFrame, labels: DataFrame, how: Training = Training())
                 names=["h", "quality", "lines", "x"],
             )
 
-    known = staged(one.select("h", "quality", "text").mapInArrow(run, "h long, quality int, lines long, x binary"), "training-lines")
+    known = staged(one.select("h", "quality", "text").mapInArrow(run, "h long, quality int, lines long, x binary"), "training-lines", narrow=True)
     size = known.select("lines", "quality").toPandas()
     if not len(size):
         return None, 1.0

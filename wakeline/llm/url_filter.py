@@ -99,7 +99,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     found = pages.filter(F.col("html").rlike("(?i)canonical|http-equiv")).select("url", plain(F.regexp_extract("html", r"(?is)<base\b[^>]*?\bhref" + value, 1)).alias("base"), F.explode(F.concat(all_of(tag), all_of(refresh))).alias("href"))
     base = F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(resolved(F.col("url"), F.col("base")), F.col("url")))
     dst = _let(base, lambda b: _let(plain(F.col("href")), lambda href: _let(resolved(b, href), node_of)))
-    return staged(found.select(node_of(F.col("url")).alias("src"), dst.alias("dst")), "page-links").na.drop()
+    return staged(found.select(node_of(F.col("url")).alias("src"), dst.alias("dst")), "page-links", narrow=True).na.drop()
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
@@ -110,12 +110,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
     links = page_links(pages)
     if redirects is not None:
         links = links.unionByName(redirects.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst")).na.drop())
-    links = staged(links.distinct(), "links")
-    member = staged(components(links, "src", "dst"), "members")
+    links = staged(links.distinct(), "links", narrow=True)
+    member = staged(components(links, "src", "dst"), "members", narrow=True)
     url = F.concat(F.lit("x://"), F.col("node"))
     nodes = member.withColumns({"host": host_of(url), "path": path_of(url)})
     own = judged(pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).unionByName(nodes.select("host", "path")).filter("host <> ''").distinct(), rules)
-    own = staged(own, "judged")
+    own = staged(own, "judged", narrow=True)
     verdicts = nodes.join(own, ["host", "path"]).groupBy("component").agg(F.max(F.col("verdict") == "allow").alias("ok"))
     passed_on = member.join(verdicts, "component").select("node", F.when(F.col("ok"), "allow").otherwise("block").alias("inherited"))
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))

@@ -346,7 +346,7 @@ def deduplicated(pages: DataFrame, least_bytes: int = 0, most_broadcast: int = 1
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
     again = rows.filter(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
-    again = staged(again.filter("n > 1").select("digest", "keeper"), "repeated-payloads")
+    again = staged(again.filter("n > 1").select("digest", "keeper"), "repeated-payloads", narrow=True)
     again = F.broadcast(again) if again.count() <= most_broadcast else again.hint("merge")
     refers = F.when((F.octet_length("payload") >= least_bytes) & F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
     return rows.join(again, "digest", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
