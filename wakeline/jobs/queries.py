@@ -497,9 +497,13 @@ pairs_ AS (SELECT * FROM known, {last}),
 best AS (SELECT rec_id, behaviour, arg_max(label, {score}) AS predicted FROM {at} GROUP BY 1, 2)"""
 
 
+#: The registered model queries fit fewer trees and folds than the operators' defaults, which are the method's own: they are to run with all others.
+TREES = 20
+
+
 def _importance(spark: SparkSession, d: str) -> DataFrame:
     f = staged(workflows.features(spark, d))
-    return ml.feature_importance(ml.train_forest(f, workflows.FEATURES), workflows.FEATURES, f)
+    return ml.feature_importance(ml.train_forest(f, workflows.FEATURES, trees=TREES), workflows.FEATURES, f)
 
 
 def _discriminant(spark: SparkSession, d: str, quadratic: bool) -> DataFrame:
@@ -509,14 +513,14 @@ def _discriminant(spark: SparkSession, d: str, quadratic: bool) -> DataFrame:
 
 def _other(spark: SparkSession, d: str) -> DataFrame:
     f = staged(workflows.features(spark, d))
-    return ml.predict(ml.train_other(f, workflows.FEATURES, kind="bagged"), f).select("rec_id", "behaviour", "predicted")
+    return ml.predict(ml.train_other(f, workflows.FEATURES, kind="bagged", folds=3, trees=TREES), f).select("rec_id", "behaviour", "predicted")
 
 
 add("m1_m2_forest_importance", _importance)
-add("m3_tune_forest", lambda s, d: ml.tune_forest(workflows.features(s, d), workflows.FEATURES))
+add("m3_tune_forest", lambda s, d: ml.tune_forest(workflows.features(s, d), workflows.FEATURES, trees=TREES, n=3))
 for _name, _q in (("m4_lda", False), ("m4_qda", True)):
     add(_name, lambda s, d, q=_q: _discriminant(s, d, q), "SELECT rec_id, behaviour, predicted FROM best", f"{USABLE_SQL}, {near_sql('usable', 3)}, {discriminant_sql(workflows.FEATURES, _q)}")
-add("m6_cross_validate", workflows.behaviour_folds)
+add("m6_cross_validate", lambda s, d: workflows.behaviour_folds(s, d, TREES))
 add("m10_other_models", _other)
 
 # Whole workloads.
@@ -535,7 +539,7 @@ add(
 spots AS (SELECT * FROM inside QUALIFY row_number() OVER (PARTITION BY vessel_id, lon, lat ORDER BY time_stamp, rec_id) = 1), {land_sql("spots", 10)},
 wet AS (SELECT *, {_x} AS x, {_y} AS y, vessel_id || ' ' || CAST(CAST(time_stamp AS DATE) AS VARCHAR) AS burst FROM spots WHERE rec_id NOT IN (SELECT rec_id FROM land)), {slow_sql("wet", 25.0)}""",
 )
-add("model_comparison", lambda s, d: ml.compare_models(staged(workflows.features(s, d)), workflows.FEATURES))
+add("model_comparison", lambda s, d: ml.compare_models(staged(workflows.features(s, d)), workflows.FEATURES, folds=3, trees=TREES))
 
 
 def queries() -> dict[str, Query]:
