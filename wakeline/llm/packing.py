@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -95,7 +96,7 @@ class Memo:
 class Tokens:
     """Ids of texts by a tokenizer file; each distinct chunk is tokenized once while it is remembered.
 
-    Strings of special tokens that stand in a text are ordinary text there.
+    Texts that hold the string of a special token are tokenized whole, as the tokenizer does it.
     """
 
     _kept: tuple[tuple, Tokens] | None = None
@@ -104,7 +105,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.memo = Memo(slots, room)
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
@@ -159,6 +160,18 @@ class Tokens:
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end``, and their bounds."""
+        marked = np.zeros(len(texts), bool)
+        for s in self.special:
+            marked |= pc.fill_null(pc.match_substring(texts, s), False).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._in_chunks(texts, end)
+        ids, bounds = self._in_chunks(pc.if_else(pa.array(marked), pa.scalar("", texts.type), texts), end)
+        parts, rows = np.split(ids, bounds[1:-1]), np.flatnonzero(marked)
+        for r, e in zip(rows.tolist(), self.tokenizer.encode_batch(texts.take(pa.array(rows)).to_pylist(), add_special_tokens=False), strict=True):
+            parts[r] = np.array([*e.ids, end], np.uint32)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def _in_chunks(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         offsets, data = flat(texts)
         at = chunks(offsets, data)
         count = len(at) - 1 if len(data) else 0
