@@ -29,13 +29,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str = "table", narrow: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors.
 
-    ``narrow``: a table of a few numbers a row, which is written by twice as many tasks as there are cores
-    rather than by one for each of many nearly empty partitions.
+    ``narrow``: a table of a few numbers a row, which is written by a sixteenth of the shuffle's partitions
+    (but by two tasks for each core at least) rather than by one task and file for each, most nearly empty.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     schema = df.schema
-    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+    (df.coalesce(tasks) if narrow else df).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
