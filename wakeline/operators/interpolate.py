@@ -41,16 +41,22 @@ def interpolate_ais(df: DataFrame, min_gap: float = 2.0, max_gap: float = 120.0,
     d = d.withColumn("speed", F.when(F.col("_fill"), F.coalesce("speed", whole)).otherwise(F.col("speed"))).withColumn("_speed", F.coalesce("_speed", whole))
     own = [c for c in d.columns if not c.startswith("_")]
 
-    n = F.ceil("_gap")
-    d = d.withColumn("_i", F.explode(F.when(F.col("_fill") & (n > 2), F.sequence(F.lit(0).cast("long"), n - 2)).otherwise(F.array(F.lit(0).cast("long")))))
-    t = F.col("_i") / (n - 1)
+    # What holds for a whole gap is computed before its points are made.
     scale = F.col("_gap") / 150.0
     start, end = F.radians("course"), F.radians("course" if heading_adjustment == 1 else "_course")
     reach = lambda v: scale * v / 17.5
-    curved = F.col("course").isNotNull() & F.col("_course").isNotNull()
+    d = d.withColumns({
+        "_n": F.ceil("_gap"), "_curved": F.col("course").isNotNull() & F.col("_course").isNotNull(),
+        "_xa": F.sin(start) * reach(F.col("speed")), "_xb": F.sin(end) * reach(F.col("_speed")),
+        "_ya": F.cos(start) * reach(F.col("speed")) * lon_lat_ratio(F.col("lat")), "_yb": F.cos(end) * reach(F.col("_speed")) * lon_lat_ratio(F.col("_lat")),
+    })
+    d = d.withColumn("_i", F.explode(F.when(F.col("_fill") & (F.col("_n") > 2), F.sequence(F.lit(0).cast("long"), F.col("_n") - 2)).otherwise(F.array(F.lit(0).cast("long")))))
+    d = d.withColumn("_u", F.try_divide("_i", F.col("_n") - 1))
+    t = F.col("_u")
     line = lambda a, b: a + (b - a) * t
-    lon = _hermite(t, F.col("lon"), F.col("_lon"), F.sin(start) * reach(F.col("speed")), F.sin(end) * reach(F.col("_speed")))
-    lat = _hermite(t, F.col("lat"), F.col("_lat"), F.cos(start) * reach(F.col("speed")) * lon_lat_ratio(F.col("lat")), F.cos(end) * reach(F.col("_speed")) * lon_lat_ratio(F.col("_lat")))
+    lon = _hermite(t, F.col("lon"), F.col("_lon"), F.col("_xa"), F.col("_xb"))
+    lat = _hermite(t, F.col("lat"), F.col("_lat"), F.col("_ya"), F.col("_yb"))
+    curved = F.col("_curved")
     made = {
         "vessel_id": F.col("vessel_id"), "time_stamp": F.timestamp_micros((F.col("_t") + F.round(F.col("_gap") * F.lit(6e7) * t)).cast("long")).cast(df.schema["time_stamp"].dataType),
         "lon": F.when(curved, lon).otherwise(line(F.col("lon"), F.col("_lon"))), "lat": F.when(curved, lat).otherwise(line(F.col("lat"), F.col("_lat"))),
