@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, license_scan, line_dedup, near_dup, packing, quality_crf, quality_rules, url_filter, warc
+from . import chat, decontaminate, license_scan, line_dedup, near_dup, packing, pii, quality_crf, quality_rules, token_align, url_filter, vector_codes, warc
 from .shared import table
 
 # The contract's rules.
@@ -66,6 +66,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_digests(pii.find_personal(table(spark, sf_dir, "documents")))
+
+
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_align.link_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_digests(*vector_codes.compressed(table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -78,6 +92,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_quality_rules": op9_quality_rules,
         "op10_line_dedup": op10_line_dedup,
+        "op11_pii": op11_pii,
+        "op12_token_align": op12_token_align,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
@@ -151,5 +168,30 @@ FROM k
 """
 
 
+def _op13_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Codebooks unrolled round by round; every part is compared with every entry."""
+    assign = """a{r} AS MATERIALIZED (SELECT row, part, v, arg_min(e, (d, e)) AS e, min(d) AS d
+             FROM (SELECT p.row, p.part, p.v, b.e, CAST(list_sum(list_transform(list_zip(p.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS BIGINT) AS d FROM p JOIN b{r} b ON p.part = b.part)
+             GROUP BY row, part, v)"""
+    update = """s{r} AS (SELECT part, e, list(m ORDER BY i) AS v FROM
+                (SELECT part, e, i, CAST(((t - ((t % n) + n) % n) // n) AS BIGINT) AS m FROM
+                  (SELECT part, e, i, sum(x) AS t, count(*) AS n FROM (SELECT part, e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{q}) GROUP BY part, e, i)) GROUP BY part, e),
+             b{r} AS MATERIALIZED (SELECT b.part, b.e, coalesce(s.v, b.v) AS v FROM b{q} b LEFT JOIN s{r} s ON b.part = s.part AND b.e = s.e)"""
+    steps = [assign.format(r=0)]
+    for r in range(1, rounds + 1):
+        steps += [update.format(r=r, q=r - 1), assign.format(r=r)]
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, w) AS row, vec_id, label, w FROM
+       (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+        WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))))),
+p AS MATERIALIZED (SELECT row, part, w[part * (len(w) // {parts}) + 1 : (part + 1) * (len(w) // {parts})] AS v FROM k, (SELECT unnest(range({parts})) AS part)),
+b0 AS MATERIALIZED (SELECT part, row - 1 AS e, v FROM p WHERE row <= {entries}),
+{", ".join(steps)},
+book AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) AS h FROM b{rounds}),
+done AS (SELECT row, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY row)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM done JOIN k USING (row), book
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op3_url_filter": OP3_SQL, "op5_warc": OP5_SQL}
+    return {"op1_chat_format": OP1_SQL, "op3_url_filter": OP3_SQL, "op5_warc": OP5_SQL, "op13_vector_codes": _op13_sql()}
