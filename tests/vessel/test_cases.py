@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,57 @@ def test_harbour_trips(spark):
     assert values(cumulative.filter("SI_HARB = 0"), "trip") == [1, 1, 2, 3, 3]
 
 
+def plain_parts(times, name, max_dur, least):
+    """Name of each ping's part, cut at the longest gap again and again."""
+    if (times[-1] - times[0]) / 3600 > max_dur and len(times) > 1:
+        gaps = np.diff(times)
+        if gaps.max() / 60 >= least:
+            at = int(gaps.argmax()) + 1
+            return plain_parts(times[:at], name + "_1", max_dur, least) + plain_parts(times[at:], name + "_2", max_dur, least)
+    return [(name, (times[-1] - times[0]) / 3600)] * len(times)
+
+
+def test_split_trips_equal_plain_ones(spark):
+    draw, rows, want = random.Random(8), [], []
+    for v in range(60):
+        sec, harb = 0, draw.randint(0, 1)
+        track = []
+        for _ in range(draw.choice([1, 2, 5, 60, 300])):
+            sec += draw.choice([0, 60, 60, 179, 180, 600, 600, 3600])
+            harb = harb if draw.random() < 0.97 else 1 - harb
+            track.append((len(rows), f"V{v}" if v else None, T0 + dt.timedelta(seconds=sec), harb, sec))
+            rows.append(track[-1][:4])
+        trip, n, open_ = [], 0, False
+        for i, r in enumerate(track):
+            if r[3] == 0 and (i == 0 or track[i - 1][3] == 1):
+                n, open_ = n + 1, True
+            if open_:
+                trip.append((n, r))
+            if r[3] == 1:
+                open_ = False
+        if len({r[3] for r in track}) < 2:
+            continue
+        for k in range(1, n + 1):
+            of = [r for m, r in trip if m == k]
+            times = [r[4] for r in of]
+            if (times[-1] - times[0]) / 3600 <= 0.5:
+                continue
+            for r, (name, hours) in zip(of, plain_parts(times, f"V{v}_{k}" if v else f"{k}", 2.0, 3.0), strict=True):
+                if hours > 0.5:
+                    want.append((r[0], name))
+    df = frame(spark, rows, "rec_id long, vessel_id string, time_stamp timestamp, SI_HARB int").withColumn("extra", F.lit("x"))
+    for size in (10, 100_000):
+        got = trips.define_trips_pol(df, 0.5, 2.0, rows=size)
+        assert sorted(values(got, "rec_id", "trip_id")) == sorted(want) and got.columns == [*df.columns, "trip_id"]
+        every = values(trips.define_trips_pol(df, 0.5, 2.0, preserve_all=True, rows=size), "rec_id", "trip_id")
+        assert len(every) == len(rows) and sorted(r for r in every if r[1]) == sorted(want)
+        assert Counter(map(tuple, trips.with_hours(trips.trip_intervals(df, 0.5, 2.0, rows=size)).collect())) == Counter(map(tuple, trips.trip_schedule(got).collect()))
+    assert len({n for _, n in want}) > 100 and max(n.count("_") for _, n in want) > 5
+    plan = trips.define_trips_pol(df, 0.5, 2.0)._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and plan.count("Exchange hashpartitioning") <= 2 * plan.count("== ")
+    assert trips.trip_intervals(df.limit(0)).count() == trips.define_trips_pol(df.limit(0)).count() == 0
+
+
 def test_gap_trips_and_downsampling(spark):
     rows = [(0, "V", T0), (1, "V", T0 + dt.timedelta(seconds=10799)), (2, "V", T0 + dt.timedelta(seconds=21599))]
     df = frame(spark, rows, "rec_id long, vessel_id string, time_stamp timestamp")
@@ -126,6 +178,27 @@ def test_fast_steps(spark):
     assert values(clean.remove_fast_steps(df), "rec_id") == [0, 3, 4]
 
 
+def test_fast_steps_of_many_bursts_equal_plain_passes(spark):
+    draw, rows, want = random.Random(4), [], set()
+    for b in range(80):
+        sec, burst = 0, []
+        for _ in range(draw.choice([1, 2, 3, 40, 200])):
+            sec += draw.choice([0, 1, 10, 10, 60])
+            burst.append((len(rows), f"V{b % 7}", at(sec), draw.choice([0.0, 50.0, draw.uniform(0, 2000)]), draw.uniform(0, 100), f"b{b}" if b else None))
+            rows.append(burst[-1])
+        while len(burst) > 1:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                step = [np.float64(np.hypot(q[3] - p[3], q[4] - p[4])) / np.float64((q[2] - p[2]).total_seconds()) * 1.94384449 for p, q in zip(burst, burst[1:], strict=False)]
+            if not any(s > 25 for s in step):
+                break
+            burst = [r for r, s in zip(burst, [*step, 0], strict=True) if not s > 25]
+        want |= {r[0] for r in burst}
+    df = frame(spark, rows, "rec_id long, vessel_id string, time_stamp timestamp, x double, y double, burst string")
+    for size in (7, 100_000):
+        assert set(values(clean.remove_fast_steps(df, rows=size), "rec_id")) == want
+    assert clean.remove_fast_steps(df.limit(0)).count() == 0 and 100 < len(want) < len(rows) - 100
+
+
 def test_rings(spark):
     square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]
     polys = frame(spark, [(1, [{"lon": a, "lat": b} for a, b in square]), (2, [{"lon": a + 0.5, "lat": b} for a, b in square])], "harbour_id long, ring array<struct<lon:double,lat:double>>")

@@ -18,7 +18,7 @@ def harbour_trips(spark: SparkSession, sf_dir: str, min_dur: float = 0.8, max_du
     p = clean.dedupe_time(tables.pings(spark, sf_dir).repartition("vessel_id"))
     filled = interpolate.interpolate_ais(joins.add_harbours(p, tables.harbours(spark, sf_dir)))
     needed = filled.select("vessel_id", "time_stamp", "rec_id", "SI_HARB")
-    return trips.trip_schedule(trips.define_trips_pol(needed, min_dur, max_dur))
+    return trips.with_hours(trips.trip_intervals(needed, min_dur, max_dur))
 
 
 def day_trips(spark: SparkSession, sf_dir: str, vmax: float = 25.0, hours: float = 1.0) -> DataFrame:

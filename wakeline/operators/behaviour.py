@@ -12,13 +12,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geo import ms2kn
 from ..functions.order import micros, track
+from ..functions.runs import whole_groups
 from ..sources.scratch import staged
 from .track import step_turn
 
@@ -32,29 +32,9 @@ def classify_speed(df: DataFrame, lo: float = 1.0, hi: float = 5.0) -> DataFrame
 # --- vessels side by side ----------------------------------------------------
 
 
-def _bounds(ids: pa.ChunkedArray) -> np.ndarray:
-    """Where runs of equal ids begin, and the number of rows."""
-    codes = pc.fill_null(ids.combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
-    return np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1, [len(codes)]]) if len(codes) else np.zeros(1, np.int64)
-
-
 def whole_vessels(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of about ``rows`` rows that hold all rows of their vessels, with the vessels' bounds."""
-    waiting, n, most = [], 0, rows
-    for batch in batches:
-        waiting.append(batch)
-        n += batch.num_rows
-        if n >= most:
-            table = pa.Table.from_batches(waiting)
-            bounds = _bounds(table["vessel_id"])
-            if len(bounds) > 2:  # the last vessel may go on
-                yield table.slice(0, bounds[-2]), bounds[:-1]
-                table = table.slice(bounds[-2])
-            waiting, n = table.to_batches(), table.num_rows
-            most = max(rows, 2 * n)
-    if n:
-        table = pa.Table.from_batches(waiting)
-        yield table, _bounds(table["vessel_id"])
+    return whole_groups(batches, rows, "vessel_id")
 
 
 def like_lengths(n: np.ndarray) -> Iterator[np.ndarray]:

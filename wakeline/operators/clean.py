@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import KNOTS_PER_MS
+from ..functions.runs import whole_groups
 
 
 def filter_extent(df: DataFrame, lat_min: float, lat_max: float, lon_min: float, lon_max: float) -> DataFrame:
@@ -84,27 +86,47 @@ def filter_part(df: DataFrame, vessel: str | None = None, trip: str | None = Non
     return df
 
 
-def _slow_enough(sec: np.ndarray, x: np.ndarray, y: np.ndarray, vmax: float) -> np.ndarray:
-    """Which pings stay when those whose step to the next is too fast go, again and again."""
-    stay = np.arange(len(sec))
-    while len(stay) > 1:
-        dt = np.diff(sec[stay])
-        dist = np.hypot(np.diff(x[stay]), np.diff(y[stay]))
+def slow_enough(sec: np.ndarray, x: np.ndarray, y: np.ndarray, bounds: np.ndarray, vmax: float) -> np.ndarray:
+    """Which pings stay when those whose step to the next of their burst is too fast go, again and again.
+
+    All bursts (``bounds``) are passed over at once. After the first pass only the pings before removed
+    ones are tested again, so the work is the number of pings and of removals, whatever the passes.
+    """
+    n = len(sec)
+    stays = np.ones(n, bool)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    filled = np.diff(bounds) > 0
+    after[bounds[1:][filled] - 1], before[bounds[:-1][filled]] = -1, -1
+    at = np.flatnonzero(after >= 0)
+    while len(at):
+        to = after[at]
+        dt, dist = sec[to] - sec[at], np.hypot(x[to] - x[at], y[to] - y[at])
         with np.errstate(divide="ignore", invalid="ignore"):
-            fast = dist / dt * KNOTS_PER_MS > vmax
-        if not fast.any():
+            gone = at[dist / dt * KNOTS_PER_MS > vmax]
+        if not len(gone):
             break
-        stay = stay[np.append(~fast, True)]
-    return stay
-
-
-def remove_fast_steps(df: DataFrame, burst: str = "burst", vmax: float = 25.0) -> DataFrame:
-    """Drops pings from which the step to the next one of the burst is faster than vmax knots, until none is. Needs x, y in metres."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["time_stamp", "rec_id"], kind="stable")
-        sec = rows["time_stamp"].to_numpy().astype("datetime64[us]").astype(np.int64) / 1e6
-        return rows.iloc[_slow_enough(sec, rows["x"].to_numpy(float), rows["y"].to_numpy(float), vmax)]
-
-
-    return df.groupBy(burst).applyInPandas(one, df.schema)
+        stays[gone] = False
+        # Removed pings in a row: the one before the first is now followed by the one after the last.
+        breaks = after[gone[:-1]] != gone[1:]
+        left, right = before[gone[np.append(True, breaks)]], after[gone[np.append(breaks, True)]]
+        has = left >= 0
+        before[right] = left
+        after[left[has]] = right[has]
+        at = left[has]
+    return stays
+
+
+def remove_fast_steps(df: DataFrame, burst: str = "burst", vmax: float = 25.0, rows: int = 100_000) -> DataFrame:
+    """Drops pings from which the step to the next one of the burst is faster than vmax knots, until none is. Needs x, y in metres.
+
+    A task streams its bursts in order and tests some ``rows`` pings of many bursts at once; a burst (a
+    vessel's day) must fit a task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, found in whole_groups(batches, rows, burst):
+            sec = table["time_stamp"].combine_chunks().cast(pa.timestamp("us")).cast(pa.int64()).to_numpy() / 1e6
+            x, y = (table[c].combine_chunks().cast(pa.float64()).to_numpy(zero_copy_only=False) for c in "xy")
+            yield from table.filter(pa.array(slow_enough(sec, x, y, found, vmax))).to_batches()
+
+    return df.repartition(burst).sortWithinPartitions(burst, "time_stamp", "rec_id").mapInArrow(run, df.schema)
