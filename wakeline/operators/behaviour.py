@@ -20,9 +20,12 @@ from ..functions.geo import ms2kn
 from ..functions.order import micros, track
 from ..functions.runs import whole_groups
 from ..sources.scratch import staged
+from . import long_tracks
+from .chains import PASSES, STOP, Chains, hidden_markov
 from .track import step_turn
 
-STOP, PASSES = 1e-8, 1000
+#: Pings of a vessel up to which its hidden Markov model is fitted in one task.
+MOST = 200_000
 
 
 def classify_speed(df: DataFrame, lo: float = 1.0, hi: float = 5.0) -> DataFrame:
@@ -144,125 +147,27 @@ def gaussian_speed(df: DataFrame, mu=(1.0, 4.0, 8.0), sigma=(1.0, 1.0, 1.0), cs:
 # --- hidden Markov models ----------------------------------------------------
 
 
-def _log_gamma_density(x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
-    shape, rate = (mean / sd) ** 2, mean / sd**2
-    norm = np.vectorize(math.lgamma, otypes=[float])(shape)
-    x = np.maximum(x, 1e-9)[:, :, None]
-    return shape * np.log(rate) - norm + (shape - 1) * np.log(x) - rate * x
-
-
-def _log_wrapped_cauchy(angle: np.ndarray, mean: np.ndarray, kappa: np.ndarray) -> np.ndarray:
-    a = np.nan_to_num(angle)[:, :, None]
-    out = np.log((1 - kappa**2) / (2 * math.pi * (1 + kappa**2 - 2 * kappa * np.cos(a - mean))))
-    return np.where(np.isnan(angle)[:, :, None], 0.0, out)
-
-
-class Chains:
-    """Hidden Markov models of several vessels: a row for each in every parameter."""
-
-    def __init__(self, mean: np.ndarray, sd: np.ndarray, turn_mean=None, kappa=None):
-        v, k = mean.shape
-        self.mean, self.sd = mean.copy(), sd.copy()
-        self.turn_mean = None if turn_mean is None else np.tile(np.array(turn_mean, float), (v, 1))
-        self.kappa = None if kappa is None else np.tile(np.array(kappa, float), (v, 1))
-        self.first = np.full((v, k), 1 / k)
-        self.move = np.tile(np.full((k, k), 0.1 / (k - 1)) + np.eye(k) * (0.9 - 0.1 / (k - 1)), (v, 1, 1))
-
-    def emission(self, step: np.ndarray, angle: np.ndarray | None, of) -> np.ndarray:
-        out = _log_gamma_density(step, self.mean[of], self.sd[of])
-        return out if angle is None else out + _log_wrapped_cauchy(angle, self.turn_mean[of], self.kappa[of])
-
-    def passed(self, step: np.ndarray, angle: np.ndarray | None, on: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """One forward-backward pass and the moments that follow, for the vessels ``of``; their log-likelihoods."""
-        log = self.emission(step, angle, of)
-        top = log.max(axis=2, keepdims=True)
-        p = np.exp(log - top) + 1e-300
-        move, long = self.move[of], len(step)
-        forward, backward, scale = np.zeros_like(p), np.ones_like(p), np.ones(step.shape)
-        for t in range(long):
-            f = (self.first[of] if t == 0 else (forward[t - 1][:, :, None] * move).sum(axis=1)) * p[t]
-            scale[t] = np.where(on[t], f.sum(axis=1), 1.0)
-            forward[t] = np.where(on[t][:, None], f / scale[t][:, None], 0.0)
-        for t in range(long - 2, -1, -1):
-            b = (move * (p[t + 1] * backward[t + 1])[:, None, :]).sum(axis=2) / scale[t + 1][:, None]
-            backward[t] = np.where(on[t + 1][:, None], b, 1.0)
-        state = forward * backward
-        state /= np.maximum(state.sum(axis=2, keepdims=True), 1e-300)
-        ahead = np.where(on[1:, :, None], p[1:] * backward[1:] / scale[1:, :, None], 0.0)
-        pair = np.einsum("tvi,tvj->vij", forward[:-1], ahead) * move + 1e-9
-        self.move[of], self.first[of] = pair / pair.sum(axis=2, keepdims=True), state[0]
-        n = state.sum(axis=0) + 1e-9
-        mean = np.maximum((state * step[:, :, None]).sum(axis=0) / n, 1e-6)
-        self.mean[of] = mean
-        self.sd[of] = np.maximum(np.sqrt((state * (step[:, :, None] - mean) ** 2).sum(axis=0) / n), 1e-6 + 1e-3 * mean)
-        if angle is not None:
-            known = np.where(np.isnan(angle)[:, :, None], 0.0, state)
-            turn = (known * np.exp(1j * np.nan_to_num(angle))[:, :, None]).sum(axis=0) / (known.sum(axis=0) + 1e-9)
-            self.turn_mean[of], self.kappa[of] = np.angle(turn), np.clip(np.abs(turn), 1e-3, 0.99)
-        return np.where(on, np.log(scale) + top[:, :, 0], 0.0).sum(axis=0)
-
-    def paths(self, step: np.ndarray, angle: np.ndarray | None, on: np.ndarray) -> np.ndarray:
-        """Each vessel's best path; below its end its last state."""
-        v = np.arange(step.shape[1])
-        log, log_move = self.emission(step, angle, v), np.log(self.move + 1e-300)
-        best, back = np.log(self.first + 1e-300) + log[0], np.zeros((*step.shape, self.mean.shape[1]), np.int8)
-        back[:] = np.arange(self.mean.shape[1])
-        for t in range(1, len(step)):
-            from_ = best[:, :, None] + log_move
-            back[t] = np.where(on[t][:, None], from_.argmax(axis=1), back[t])
-            best = np.where(on[t][:, None], from_.max(axis=1) + log[t], best)
-        path = np.empty(step.shape, np.int64)
-        path[-1] = best.argmax(axis=1)
-        for t in range(len(step) - 1, 0, -1):
-            path[t - 1] = back[t, v, path[t]]
-        return path
-
-
-def hidden_markov(step: np.ndarray, angle: np.ndarray | None, on: np.ndarray, mean: np.ndarray, sd: np.ndarray, turn_mean=None, kappa=None) -> tuple[np.ndarray, Chains]:
-    """States 1 to k by mean, for the columns of ``step`` where ``on``, and the fitted chains in that order.
-
-    Forward-backward passes with moments weighted by the state probabilities as the M step; then the best path.
-    """
-    chains = Chains(mean, sd, turn_mean, kappa)
-    step = np.where(on, step, 1.0)
-    last, live = np.full(step.shape[1], -np.inf), np.arange(step.shape[1])
-    for _ in range(PASSES):
-        if not len(live):
-            break
-        fit = chains.passed(step[:, live], None if angle is None else angle[:, live], on[:, live], live)
-        going = np.abs(fit - last[live]) >= STOP
-        last[live] = fit
-        live = live[going]
-    path = chains.paths(step, angle, on)
-    order = np.argsort(chains.mean, axis=1, kind="stable")
-    rank = np.argsort(order, axis=1, kind="stable")
-    states = rank[np.arange(step.shape[1])[None, :], path] + 1
-    for name in ("mean", "sd", "first", "turn_mean", "kappa"):
-        if (a := getattr(chains, name)) is not None:
-            setattr(chains, name, np.take_along_axis(a, order, 1))
-    chains.move = np.take_along_axis(np.take_along_axis(chains.move, order[:, :, None], 1), order[:, None, :], 2)
-    return states, chains
-
-
-def _start(x: np.ndarray, mu, sigma) -> tuple[np.ndarray, np.ndarray]:
-    """Means and deviations from a mixture started at ``mu, sigma``, the second deviation less a quarter, the third and two.
+def _start(x: np.ndarray, often: np.ndarray, mu, sigma) -> tuple[np.ndarray, np.ndarray]:
+    """Means and deviations from a mixture of values counted ``often``, started at ``mu, sigma``, the second deviation less a quarter, the third and two.
 
     A vessel whose steps are of another size, so that the mixture leaves a mode with under a thousandth of
     them, starts again with both scaled to its mean and deviation.
     """
-    often = (~np.isnan(x)).astype(float)
     weight, m, s = normal_mixtures(x, often, mu, sigma)
     poor = np.flatnonzero(weight.min(axis=1) < 1e-3)
     if len(poor):
-        up = np.maximum(1e-3, np.nanmean(x[:, poor], axis=0) / np.mean(mu))[:, None]
-        wide = np.maximum(1e-3, np.nanstd(x[:, poor], axis=0) / np.mean(sigma) / 2)[:, None]
+        value, n = np.where(often[:, poor] > 0, x[:, poor], 0.0), often[:, poor].sum(axis=0)
+        mean = (value * often[:, poor]).sum(axis=0) / n
+        deviation = np.sqrt(((value - mean) ** 2 * often[:, poor]).sum(axis=0) / n)
+        up = np.maximum(1e-3, mean / np.mean(mu))[:, None]
+        wide = np.maximum(1e-3, deviation / np.mean(sigma) / 2)[:, None]
         _, m[poor], s[poor] = normal_mixtures(x[:, poor], often[:, poor], np.array(mu) * up, np.array(sigma) * wide)
     order = np.argsort(m, axis=1, kind="stable")
     m, s = np.maximum(np.take_along_axis(m, order, 1), 1.0), np.take_along_axis(s, order, 1)
     return m, np.maximum(s * np.array([1, 0.75, 1]) + np.array([0, 0, 2.0]), 1.0)
 
 
-def _chains_of(table: pa.Table, bounds: np.ndarray, mu, sigma, turns) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Chains]]:
+def _chains_of(table: pa.Table, bounds: np.ndarray, mu, sigma, turns, passes: int = PASSES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Chains]]:
     """For groups of vessels with enough known steps: which they are, the rows of their steps, the states there and the chains."""
     metres, angle = _column(table, "step") * 1000, _column(table, "angle")
     known = np.flatnonzero(~np.isnan(metres))
@@ -273,55 +178,108 @@ def _chains_of(table: pa.Table, bounds: np.ndarray, mu, sigma, turns) -> Iterato
         some = enough[some]
         x = padded(metres[known], begin[some], n[some])
         on = np.arange(len(x))[:, None] < n[some][None, :]
-        states, chains = hidden_markov(x, padded(angle[known], begin[some], n[some]) if turns else None, on, *_start(x, mu, sigma), *(turns or (None, None)))
+        states, chains = hidden_markov(x, padded(angle[known], begin[some], n[some]) if turns else None, on, *_start(x, on.astype(float), mu, sigma), *(turns or (None, None)), passes=passes)
         rows = known[np.concatenate([np.arange(a, a + m) for a, m in zip(begin[some], n[some], strict=True)])]
         yield some, rows, states.T[on.T], chains
 
 
-def _hmm(df: DataFrame, mu, sigma, turns) -> DataFrame:
-    d = _steps(df.repartition("vessel_id"))
+def _long_vessels(df: DataFrame, most: int) -> DataFrame | None:
+    """Vessels of more than ``most`` pings, if there are any: a table with a row for each."""
+    long = staged(df.filter("vessel_id is not null").groupBy("vessel_id").count().filter(F.col("count") > most).select("vessel_id"), "long-vessels", narrow=True)
+    return None if long.isEmpty() else long
+
+
+def _long_fits(steps: DataFrame, mu, sigma, turns, passes: int = PASSES) -> tuple[DataFrame, DataFrame]:
+    """Chunks of the vessels' tracks, and ``vessel_id, theta`` of the models fitted on them, started at steps counted by 0.1 m."""
+    chunks = staged(long_tracks.chunked(steps), "chunks")
+    counted = chunks.select("vessel_id", F.explode("step").alias("step")).groupBy("vessel_id", F.round(F.col("step") * 10).alias("value")).agg(F.count("*").alias("n"))
+    each = counted.groupBy("vessel_id").agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("values"))
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held = batch.column("values").slice(i, 1).flatten()
+                value, n = (held.field(f).to_numpy(zero_copy_only=False).astype(float)[:, None] for f in ("value", "n"))
+                theta = Chains(*_start(value / 10, n, mu, sigma), *(turns or (None, None))).packed()
+                yield pa.RecordBatch.from_arrays([batch.column("vessel_id").slice(i, 1), pa.array(theta.tolist(), pa.list_(pa.float64()))], names=["vessel_id", "theta"])
+
+    start = staged(each.mapInArrow(begin, "vessel_id string, theta array<double>"), "models", narrow=True)
+    return chunks, long_tracks.fitted(chunks, start, len(mu), bool(turns), passes)
+
+
+def _hmm(df: DataFrame, mu, sigma, turns, most: int, passes: int = PASSES) -> DataFrame:
+    known = df.filter("vessel_id is not null")
+    long = _long_vessels(known, most)
+    short = known if long is None else known.join(long, "vessel_id", "left_anti").select(*df.columns)
+    d = _steps(short.repartition("vessel_id"))
 
     def fit(table: pa.Table, bounds: np.ndarray) -> pa.Table:
         states = np.zeros(table.num_rows, np.int64)
-        for _, rows, found, _ in _chains_of(table, bounds, mu, sigma, turns):
+        for _, rows, found, _ in _chains_of(table, bounds, mu, sigma, turns, passes):
             states[rows] = found
         return table.append_column("state", pa.array(states, mask=states == 0))
 
-    return _fitted(d, fit, T.StructType([*d.schema.fields, T.StructField("state", T.LongType())]))
+    out = _fitted(d, fit, T.StructType([*d.schema.fields, T.StructField("state", T.LongType())]))
+    if long is not None:
+        steps = _steps(known.join(long, "vessel_id", "left_semi").select(*df.columns))
+        chunks, theta = _long_fits(steps, mu, sigma, turns, passes)
+        paths = long_tracks.best_paths(chunks, theta, len(mu), bool(turns))
+        out = out.unionByName(long_tracks.with_states(chunks, paths, d.columns)).unionByName(steps.filter("step is null"), allowMissingColumns=True)
+    return out.unionByName(df.filter("vessel_id is null"), allowMissingColumns=True)
+
 
+def hmm_step(df: DataFrame, mu=(20.0, 150.0, 300.0), sigma=(20.0, 20.0, 20.0), most: int = MOST) -> DataFrame:
+    """``state`` 1 to 3 by mean step, from a gamma model of steps in metres started at a mixture fit; null for vessels of under nine steps and for pings of none.
 
-def hmm_step(df: DataFrame, mu=(20.0, 150.0, 300.0), sigma=(20.0, 20.0, 20.0)) -> DataFrame:
-    """``state`` 1 to 3 by mean step, from a gamma model of steps in metres started at a mixture fit; null for vessels of under nine steps."""
-    return _hmm(df, mu, sigma, None)
+    Vessels of more than ``most`` pings are fitted in chunks by all tasks (see ``long_tracks``), others many at a time in one.
+    """
+    return _hmm(df, mu, sigma, None, most)
 
 
 TURN_MEAN, KAPPA = (math.pi, math.pi / 2, 0.0), (0.1, 0.2, 0.8)
 
 
-def hmm_step_turn(df: DataFrame, mu=(20.0, 150.0, 300.0), sigma=(20.0, 20.0, 20.0), turn_mean=TURN_MEAN, kappa=KAPPA) -> DataFrame:
+def hmm_step_turn(df: DataFrame, mu=(20.0, 150.0, 300.0), sigma=(20.0, 20.0, 20.0), turn_mean=TURN_MEAN, kappa=KAPPA, most: int = MOST) -> DataFrame:
     """As ``hmm_step``, with turning angles by a wrapped Cauchy distribution."""
-    return _hmm(df, mu, sigma, (turn_mean, kappa))
+    return _hmm(df, mu, sigma, (turn_mean, kappa), most)
 
 
 _PARAMS = T.StructType([T.StructField("vessel_id", T.StringType()), T.StructField("par", T.StringType()), T.StructField("value", T.DoubleType())])
 
 
-def hmm_params(df: DataFrame, mu=(20.0, 150.0, 300.0), sigma=(20.0, 20.0, 20.0), turns=(TURN_MEAN, KAPPA)) -> DataFrame:
+def _params_of(ids: pa.Array, c: Chains) -> pa.Table:
+    """``vessel_id, par, value`` rows of chains whose states are in order."""
+    k, turns = c.mean.shape[1], c.kappa is not None
+    named = [("step_mean", c.mean), ("step_sd", c.sd), *([("angle_mean", c.turn_mean), ("angle_kappa", c.kappa)] if turns else []), ("delta", c.first)]
+    names = [f"{name}_{i + 1}" for name, _ in named for i in range(k)] + [f"gamma_{i + 1}_{j + 1}" for i in range(k) for j in range(k)]
+    values = np.concatenate([*(a for _, a in named), c.move.reshape(len(ids), -1)], axis=1)
+    return pa.table([ids.take(pa.array(np.repeat(np.arange(len(ids)), len(names)))), pa.array(names * len(ids)), pa.array(values.ravel())], names=_PARAMS.names)
+
+
+def hmm_params(df: DataFrame, mu=(20.0, 150.0, 300.0), sigma=(20.0, 20.0, 20.0), turns=(TURN_MEAN, KAPPA), most: int = MOST, passes: int = PASSES) -> DataFrame:
     """The fitted hidden Markov model as ``vessel_id, par, value`` rows: steps, turns (if any), transitions and start, states by mean step."""
+    known = df.filter("vessel_id is not null")
+    long = _long_vessels(known, most)
 
     def fit(table: pa.Table, bounds: np.ndarray) -> pa.Table:
-        parts = []
-        for some, _, _, c in _chains_of(table, bounds, mu, sigma, turns):
-            k = c.mean.shape[1]
-            named = [("step_mean", c.mean), ("step_sd", c.sd), *([("angle_mean", c.turn_mean), ("angle_kappa", c.kappa)] if turns else []), ("delta", c.first)]
-            names = [f"{name}_{i + 1}" for name, _ in named for i in range(k)] + [f"gamma_{i + 1}_{j + 1}" for i in range(k) for j in range(k)]
-            values = np.concatenate([*(a for _, a in named), c.move.reshape(len(some), -1)], axis=1)
-            ids = table["vessel_id"].take(pa.array(np.repeat(bounds[some], len(names))))
-            parts.append(pa.table([ids, pa.array(names * len(some)), pa.array(values.ravel())], names=_PARAMS.names))
+        ids = table["vessel_id"].combine_chunks()
+        parts = [_params_of(ids.take(pa.array(bounds[some])), c) for some, _, _, c in _chains_of(table, bounds, mu, sigma, turns, passes)]
         return pa.concat_tables(parts) if parts else pa.table([pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.float64())], names=_PARAMS.names)
 
-    d = _steps(df.repartition("vessel_id")).select("vessel_id", "time_stamp", "rec_id", "step", "angle")
-    return _fitted(d, fit, _PARAMS)
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                c = Chains.unpacked(np.array(batch.column("theta").to_pylist()), len(mu))
+                c.by_mean()
+                yield from _params_of(batch.column("vessel_id"), c).to_batches()
+
+    short = known if long is None else known.join(long, "vessel_id", "left_anti")
+    wanted = ("vessel_id", "time_stamp", "rec_id", "step", "angle")
+    out = _fitted(_steps(short.repartition("vessel_id")).select(*wanted), fit, _PARAMS)
+    if long is not None:
+        _, theta = _long_fits(_steps(known.join(long, "vessel_id", "left_semi")).select(*wanted), mu, sigma, turns, passes)
+        out = out.unionByName(theta.mapInArrow(named, _PARAMS))
+    return out
 
 
 # --- clusters ----------------------------------------------------------------
