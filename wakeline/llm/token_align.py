@@ -22,8 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ from .shared import lean, staged
 from .text import Rolling, flat, pieces
 
 BLOCK = 1 << 20
+#: Bytes of texts that a task aligns at once; a longer text is one piece.
+PIECE = 1 << 19
 HOT_SHARE = 65_536
 
 
@@ -110,7 +113,7 @@ class PieceTokens:
         found = self.model.encode([c[1:] for c in chunks], num_threads=1)
         found = [[self.space] if c == " " and self.in_chunks else ids for c, ids in zip(chunks, found, strict=True)]
         size = np.array([len(x) for x in found], np.int64)
-        return np.fromiter((i for x in found for i in x), np.uint32, int(size.sum())), size
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts one after the other, and how many each has."""
@@ -119,9 +122,10 @@ class PieceTokens:
             return ids.astype(np.int64), size
         offsets, data = flat(texts)
         space = data == 0x20
-        cut = space.copy()
-        cut[1:] &= ~space[:-1]
-        at = np.unique(np.concatenate([np.flatnonzero(cut), offsets]))
+        cut = np.append(space, True)
+        cut[1:-1] &= ~space[:-1]
+        cut[offsets] = True
+        at = np.flatnonzero(cut)
         count = len(at) - 1
         parts = pa.Array.from_buffers(pa.large_string(), max(count, 0), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         bounds, own = flat(parts.dictionary)
@@ -236,15 +240,20 @@ def alignments(documents: DataFrame, path_a: str, path_b: str, overlaps: bool =
 
     ``overlaps``: also the places of tokens that share bytes, in order, and how many bytes they share.
     """
+    return lean(documents).select("doc_id", "text").mapInArrow(_aligner(path_a, path_b, overlaps), f"{ALIGNED}, {OVERLAPS}" if overlaps else ALIGNED)
+
+
+def _aligner(path_a: str, path_b: str, overlaps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of ``doc_id, text`` to batches of ``alignments``, a few texts at a time."""
     names = [f.split()[0] for f in (f"{ALIGNED}, {OVERLAPS}" if overlaps else ALIGNED).split(", ")]
     run_id = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = ByteTokens.of(path_a, run_id), PieceTokens.of(path_b, run_id)
-        for part in pieces(batches):
+        for part in pieces(batches, most=PIECE):
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *_alignment(part.column("text"), a, b, overlaps)], names=names)
 
-    return lean(documents).select("doc_id", "text").mapInArrow(run, f"{ALIGNED}, {OVERLAPS}" if overlaps else ALIGNED)
+    return run
 
 
 def _items(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -305,25 +314,29 @@ def _digest(batch: pa.RecordBatch, first: int, table: tuple[np.ndarray, np.ndarr
     return [rows, batch.column("doc_id"), pa.array(n_a), pa.array(n_b), pa.array(n_cuts), pa.array(n_cuts), pa.array(hashes, pa.string()), pairs], first + len(n_cuts)
 
 
-def _digested(aligned: DataFrame) -> DataFrame:
-    """Columns ``DIGESTS`` and ``pairs``, a text's links counted by pair (B's id times 2^32 plus A's). ``row`` is its own for every row."""
+def _digested(documents: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """Columns ``DIGESTS`` and ``pairs``, a text's links counted by pair (B's id times 2^32 plus A's). ``row`` is its own for every row.
+
+    A worker derives them from its alignments as they are made, so ids never leave it.
+    """
     names = [*(f.split()[0] for f in DIGESTS.split(", ")), "pairs"]
+    aligned = _aligner(path_a, path_b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, table = TaskContext.get().partitionId() << 33, _digits(0)
-        for batch in batches:
+        for batch in aligned(batches):
             most = max((pc.max(batch.column(c).flatten()).as_py() or 0) for c in ("a_ids", "b_ids"))
             if most >= len(table[1]):
                 table = _digits(2 * most)
             columns, at = _digest(batch, at, table)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return aligned.select(*(f.split()[0] for f in ALIGNED.split(", "))).mapInArrow(run, DIGESTS + ", pairs array<struct<pair: long, n: long>>")
+    return lean(documents).select("doc_id", "text").mapInArrow(run, DIGESTS + ", pairs array<struct<pair: long, n: long>>")
 
 
 def link_digests(documents: DataFrame, path_a: str, path_b: str, hot_share: int = HOT_SHARE) -> DataFrame:
     """Counts, group digests and corpus-wide link counts, a row per row of ``doc_id, text``."""
-    done = staged(_digested(alignments(documents, path_a, path_b)), "aligned")
+    done = staged(_digested(documents, path_a, path_b), "aligned")
     links = done.select("row", F.explode("pairs").alias("link")).select("row", "link.pair", "link.n")
     count = links.groupBy("pair").agg(F.sum("n").alias("count"))
     of_b = F.shiftright("pair", 32)
