@@ -327,6 +327,86 @@ def test_a_coast_of_very_many_sides_is_spread_over_cells(spark):
     assert held.cells < 4000 and held.sides < 120_000 and held.most < 2000
 
 
+def crossings(x, y, rings):
+    """Whether an odd number of rings goes round the point, or it is on one."""
+    odd = False
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring[:-1], ring[1:], strict=True):
+            if (x2 - x1) * (y - y1) == (y2 - y1) * (x - x1) and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+                return True
+            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                odd = not odd
+    return odd
+
+
+RINGS = "id int, rings array<array<struct<lon: double, lat: double>>>"
+
+
+def test_lakes_islands_and_parts(spark):
+    draw = random.Random(6)
+    # A coast with a lake, an island in it, a second part; another that overlaps the first one's lake.
+    shapes = [[circle(10, 55, 1.0, 300, 0.1), circle(10.1, 55.1, 0.5, 200, 0.05), circle(10.1, 55.1, 0.2, 50), circle(12.5, 55, 0.3, 40)], [circle(10.4, 55.2, 0.15, 30)]]
+    polys = spark.createDataFrame([(i, rings) for i, rings in enumerate(shapes)], RINGS)
+    spots = [(draw.uniform(8.5, 13), draw.uniform(53.5, 56.5)) for _ in range(3000)] + [shapes[0][1][7], shapes[0][2][3], (10.1, 55.1), (10.1, 55.45)]
+    df = frame(spark, [(i, x, y) for i, (x, y) in enumerate(spots)], "rec_id long, lon double, lat double")
+    want = [any(crossings(x, y, rings) for rings in shapes) for x, y in spots]
+    assert values(joins.add_harbours(df, polys), "SI_HARB") == [int(w) for w in want] and 0.1 < np.mean(want) < 0.6
+    # At sea: neither on land nor within 500 m of a side, both in metres.
+    e, n = geo.to_utm(F.col("lon"), F.col("lat"), 32)
+    metres = lambda points: [tuple(r) for r in frame(spark, points, "lon double, lat double").select(e, n).collect()]
+    flat = [[metres(ring) for ring in rings] for rings in shapes]
+    sides = np.array([(*a, *b) for rings in flat for ring in rings for a, b in zip(ring[:-1], ring[1:], strict=True)])
+    dx, dy = sides[:, 2] - sides[:, 0], sides[:, 3] - sides[:, 1]
+    sea = []
+    for i, (x, y) in enumerate(metres(spots)):
+        t = np.clip(((x - sides[:, 0]) * dx + (y - sides[:, 1]) * dy) / np.maximum(dx * dx + dy * dy, 1e-9), 0, 1)
+        near = np.hypot(x - sides[:, 0] - t * dx, y - sides[:, 1] - t * dy).min()
+        if near > 500 and not any(crossings(x, y, rings) for rings in flat):
+            sea.append(i)
+    assert values(joins.remove_land(df, polys, 32, 500.0), "rec_id") == sea and 0.3 < len(sea) / len(spots) < 0.9
+
+
+def test_a_cover_grows_with_the_length_of_the_coast(spark):
+    rows = []
+    for side in (400, 800, 1600):
+        square = [(3.0, 5.0), (3.0 + side, 5.0), (3.0 + side, 5.0 + side), (3.0, 5.0 + side), (3.0, 5.0)]
+        coast = spark.createDataFrame([([[{"x": x, "y": y} for x, y in square]],)], "rings array<array<struct<x: double, y: double>>>")
+        regions, blocks, cells = joins.cover(coast, 1.0, 0.0, 8)
+        rows.append([regions.count(), blocks.count(), cells.count()])
+        found = cells.select(F.explode("shapes").alias("s"))
+        assert found.filter("size(s.sides) > 0").count() >= 4 * side
+        # What lies inside: cells of blocks and regions that lie inside whole are left out, and no others.
+        inner = found.filter("s.inside and size(s.sides) = 0").count()
+        assert abs(rows[-1][0] * 64**2 + rows[-1][1] * 8**2 + inner - side**2) <= 8 * side
+    assert sum(rows[2]) < 4.5 * sum(rows[0]) and sum(rows[2]) < 0.1 * 1600**2
+
+
+def test_interval_join_equals_all_pairs(spark):
+    draw = random.Random(9)
+    trip_rows = []
+    for i in range(300):
+        begin = draw.uniform(0, 50_000)
+        trip_rows.append((draw.choice(["A", "B", None]), at(begin), at(begin + draw.choice([0, 5, 10, 40, 200, 3000, 40_000])), f"t{i}"))
+    trip_rows += trip_rows[:3] + [("C", at(0), at(10**7), "long"), ("A", at(9), at(5), "none")]  # repeats; longer than the greatest block; ends before it begins
+    ping_rows = [(i, draw.choice(["A", "B", "C", "D", None]), at(draw.uniform(-10, 60_000))) for i in range(800)]
+    ping_rows += [(1000 + i, t[0], t[1 + i % 2]) for i, t in enumerate(trip_rows)]  # on both ends
+    p = frame(spark, ping_rows, "rec_id long, vessel_id string, time_stamp timestamp")
+    t = frame(spark, trip_rows, "vessel_id string, depart timestamp, return timestamp, trip_id string")
+    want = Counter((r[0], x[3]) for r in ping_rows for x in trip_rows if r[1] is not None and r[1] == x[0] and x[1] <= r[2] <= x[2])
+    for levels in (1, 3, 12):
+        got = joins.assign_trips(p, t, levels)
+        assert Counter((r.rec_id, r.trip_id) for r in got.collect()) == want
+    assert got.columns == ["vessel_id", "rec_id", "time_stamp", "depart", "return", "trip_id"]
+
+
+def test_interval_join_meets_few_trips(spark):
+    n = 1000
+    t = frame(spark, [("A", at(600 * i), at(600 * i + 500), f"t{i}") for i in range(n)], "vessel_id string, depart timestamp, return timestamp, trip_id string")
+    p = frame(spark, [(i, "A", at(15 * i)) for i in range(40 * n)], "rec_id long, vessel_id string, time_stamp timestamp")
+    rows = joins.assign_trips(p, t).count()
+    assert rows == sum(15 * i % 600 <= 500 for i in range(40 * n)) and joins._met(p, t, 12).count() < 3 * rows
+
+
 def test_downsampling_of_one_long_track(spark):
     """About linear: the frames do not look at the rest of the track for each ping."""
     import time
