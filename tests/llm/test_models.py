@@ -61,8 +61,14 @@ def test_leaks_equal_all_windows(spark):
     for block in (32 << 20, 300):
         got = {(r.doc_id, r.item_id, r.start_word, r.n_words, round(r.similarity, 9)) for r in decontaminate.find_leaks(frame, bench, block_bytes=block).collect()}
         assert got == expected
-    clean = {r.doc_id for r in decontaminate.decontaminated(frame, bench).collect()}
-    assert clean == {d for d, _ in docs} - {d for d, *_ in expected}
+    clean = {d for d, _ in docs} - {d for d, *_ in expected}
+    assert {r.doc_id for r in decontaminate.decontaminated(frame, bench).collect()} == clean
+    in_blocks = decontaminate.decontaminated(frame, bench, block_bytes=100)
+    assert in_blocks.columns == frame.columns and {r.doc_id for r in in_blocks.collect()} == clean
+    # Many blocks, but no Python node above another.
+    plan = [line for line in in_blocks._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in line]
+    assert len(plan) > 5 and len({len(line) - len(line.lstrip(" +:-|")) for line in plan}) == 1
+    assert decontaminate.decontaminated(frame, bench.limit(0), block_bytes=100).count() == len(docs) and decontaminate.decontaminated(frame.limit(0), bench, block_bytes=100).count() == 0
     assert decontaminate.find_leaks(frame, bench.limit(0)).count() == 0 and decontaminate.find_leaks(frame.limit(0), bench).count() == 0
 
 
@@ -283,6 +289,40 @@ def test_rules_keep_good_documents(spark):
     assert quality_rules.judge_quality(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_rules_without_anything_to_tell_apart(spark):
+    plain = " ".join(f"word{i} of" for i in range(40))
+    some = " ".join(f"x{i}" for i in range(25))
+    long = " ".join(f"word{i}" for i in range(400_000))
+    labels = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, quality int")
+    for rows, labelled in (
+        ([(1, plain)], [(9, 1)]), ([(1, plain)] * 5, [(9, 1)]), ([(1, plain)], [(1, 0)]), ([(1, plain), (2, plain)], [(1, 1), (2, 0)]),
+        ([(i, plain) for i in range(9)], [(0, 1), (1, 0), (2, 0)]), ([(1, plain), (2, some), (3, long)], [(9, 0)]),
+    ):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = quality_rules.judge_quality(docs, labels(*labelled)).collect()
+        assert len(got) == len(rows) and all(r.kept and not r.base_failed for r in got)
+    assert max(r.n_words for r in got) == 400_000
+    got = quality_rules.judge_quality(docs, labels(*labelled).limit(0)).collect()
+    assert all(r.kept for r in got)
+
+
+def test_registered_leaks_equal_all_windows(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    held = {i: set(grams(words_of(x))) for i, x in items}
+    near = []  # pairs that share enough different shingles; others can't reach the similarity
+    for d, t in docs:
+        here = set(grams(words_of(t)))
+        near += [((d, t), (i, x)) for i, x in items if held[i] and len(here & held[i]) >= 0.5 * len(held[i])]
+    want = set().union(*(plain_leaks([d], [i]) for d, i in near))
+    got = {(r.doc_id, r.item_id, r.start_word, r.n_words, round(r.similarity, 9)) for r in entry.queries()["op2_decontaminate"](spark, sf).collect()}
+    shorter = {r for r in got if r[3] < len(words_of(dict(items)[r[1]]))}  # texts shorter than the item
+    assert got - shorter == want and want and all(dict(docs)[r[0]] and len(words_of(dict(docs)[r[0]])) == r[3] for r in shorter)
+
+
 @pytest.mark.parametrize("name", ["op2_decontaminate", "op5_warc", "op9_quality_rules"])
 def test_queries_cover_whole_tables(spark, name):
     import __spark_entry__ as entry

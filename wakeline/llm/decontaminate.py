@@ -27,6 +27,7 @@ Defined results
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean, scratch
+from .shared import lean, scratch, staged
 from .text import ALNUM, LOWER, Rolling, Spans, flat, pieces, shingles, sums
 
 RADIUS, BLOCKS, SPARE = 23, 8, 2
@@ -255,15 +256,38 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, k: int = 5, similarit
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float = 0.8, block_bytes: int = 32 << 20) -> DataFrame:
-    """The rows of ``documents``, all columns, that hold no item."""
-    for _, texts in _blocks(benchmark, block_bytes):
-        index = documents.sparkSession.sparkContext.broadcast(Index(texts, k, similarity))
+    """The rows of ``documents``, all columns, that hold no item.
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+    With one block of benchmark rows pass through the worker that judges them. With several the documents
+    are written once with a row number; each block names the rows that hold an item of it, side by side, and those
+    go by one anti join. So no task runs more than one Python worker, however many blocks there are.
+    """
+    spark = documents.sparkSession
+    indexes = [spark.sparkContext.broadcast(Index(texts, k, similarity)) for _, texts in _blocks(benchmark, block_bytes)]
+
+    def hit(part: pa.RecordBatch, index) -> np.ndarray:
+        found = np.zeros(part.num_rows, bool)
+        found[index.value.matches(part.column("text"))[:, 0].astype(np.int64)] = True
+        return found
+
+    if len(indexes) < 2:
+        for index in indexes:
+
+            def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+                for part in pieces(batches):
+                    yield part.filter(pa.array(~hit(part, index)))
+
+            documents = lean(documents).mapInArrow(run, documents.schema)
+        return documents
+    row = f"row_{uuid.uuid4().hex}"
+    rows = staged(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    leaks = None
+    for index in indexes:
+
+        def marked(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for part in pieces(batches):
-                clean = np.ones(part.num_rows, bool)
-                clean[index.value.matches(part.column("text"))[:, 0].astype(np.int64)] = False
-                yield part.filter(pa.array(clean))
+                yield part.select([row]).filter(pa.array(hit(part, index)))
 
-        documents = documents.mapInArrow(run, documents.schema)
-    return documents
+        found = lean(rows).select(row, "text").mapInArrow(marked, f"`{row}` long")
+        leaks = found if leaks is None else leaks.unionByName(found)
+    return rows.join(leaks, row, "left_anti").drop(row)

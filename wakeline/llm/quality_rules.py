@@ -10,8 +10,9 @@ the one with the largest share of bad ones caught less that of good ones lost.
 Defined results
     null or wordless text: all statistics 0, fails the base rules; texts are read whole; a null
     doc_id is kept but has no label; repeated rows give repeated rows; a document with several
-    labels counts with the lowest; without labelled rows nothing is anomalous; an empty table gives
-    no rows; other columns are ignored.
+    labels counts with the lowest; rows of equal statistics are judged alike, and a score at the threshold
+    goes; without labelled rows of both kinds, or where no threshold parts them (one row, or equal rows
+    only), nothing is anomalous; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -149,18 +150,18 @@ def base_failed():
 
 
 def calibrated(rows: DataFrame, labels: DataFrame, most_good_lost: float = 0.02, bins: int = 2000) -> float:
-    """The score that parts labelled rows best and loses no more than that share of the good ones."""
+    """The score that parts labelled rows best and loses no more than that share of the good ones (the lowest of equal ones); infinite where none does."""
     quality = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = rows.filter(~base_failed()).join(quality, "doc_id").groupBy(F.floor(F.col("anomaly") * bins).alias("bin"), "quality").count().toPandas()
     good, bad = np.zeros(bins + 1), np.zeros(bins + 1)
     for b, q, n in counts.dropna().itertuples(index=False):
         (good if q == 1 else bad)[int(b)] += n
     if not good.sum() or not bad.sum():
-        return 1.0
+        return float("inf")
     lost = good[::-1].cumsum()[::-1] / good.sum()
     caught = bad[::-1].cumsum()[::-1] / bad.sum()
     gain = np.where(lost <= most_good_lost, caught - lost, -1.0)
-    return float(np.argmax(gain)) / bins if gain.max() > 0 else 1.0
+    return float(np.argmax(gain)) / bins if gain.max() > 0 else float("inf")
 
 
 def judge_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
