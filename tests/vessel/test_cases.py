@@ -222,11 +222,54 @@ def test_neighbours_equal_plain_ones(spark):
     x, y = rng.normal(size=37), rng.normal(size=37)
     d = np.hypot(x[:, None] - x, y[:, None] - y)
     np.fill_diagonal(d, np.inf)
-    assert np.allclose(covariates.nearest(x, y, 5, chunk=8), np.sort(d, axis=1)[:, :5])
+    once = np.ones(37, np.int64)
+    assert np.allclose(covariates.nearest(x, y, once, 5, chunk=8), np.sort(d, axis=1)[:, :5])
+    assert np.allclose(covariates.nearest(x[:30], y[:30], once[:30], 5, (x[30:], y[30:])), np.sort(d[30:, :30], axis=1)[:, :5])
+    assert np.isnan(covariates.nearest(x[:2], y[:2], once[:2], 3)[:, 1:]).all() and np.isnan(covariates.nearest(x[:0], y[:0], once[:0], 2, (x, y))).all()
+    # Positions that stand for several pings.
+    often = rng.integers(1, 4, 37)
+    every = np.repeat(np.arange(37), often)
+    d = np.hypot(x[every][:, None] - x[every], y[every][:, None] - y[every])
+    np.fill_diagonal(d, np.inf)
+    first = np.searchsorted(every, np.arange(37))
+    assert np.allclose(covariates.nearest(x, y, often, 6), np.sort(d, axis=1)[first, :6])
     few = covariates.knn_distances(pings(spark, [("V", 0, 10, 55), ("V", 1, 10, 55.001)]).withColumn("trip_id", F.lit("t")), 3).first()
     assert few.dist_neighbour_1 == pytest.approx(111.3, abs=0.5) and few.dist_neighbour_2 is None
 
 
+def test_neighbours_in_tiles_equal_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for trip, n in (("a", 1500), ("b", 300), ("c", 30), ("d", 3), (None, 5)):
+        walk = np.cumsum(rng.normal(0, 0.0005, (n, 2)), axis=0) + [10, 55]
+        walk[: n // 3] = walk[0]  # moored
+        walk[n // 2 : n // 2 + n // 10, 0] = walk[n // 2, 0]  # due north
+        rows += [(trip, float(x), float(y)) for x, y in walk]
+    rows += [("a", None, 55.0), ("a", 11.5, 54.0), ("a", 11.5, 54.0)]
+    df = frame(spark, [(i, *r, "s") for i, r in enumerate(rows)], "rec_id long, trip_id string, lon double, lat double, _m string").repartition(3)
+    flat = {r.rec_id: (r.trip_id, r.x, r.y) for r in covariates.local_projection(df).collect()}
+    want = {}
+    for trip in "abcd":
+        ids = np.array([i for i, (t, x, _) in flat.items() if t == trip and x is not None])
+        x, y = (np.array([flat[i][j] for i in ids]) for j in (1, 2))
+        d = np.hypot(x[:, None] - x, y[:, None] - y)
+        np.fill_diagonal(d, np.inf)
+        want |= dict(zip(ids.tolist(), np.sort(d, axis=1)[:, :4].tolist(), strict=True))
+    for tile in (40, 2000):
+        got = covariates.knn_distances(df, 4, tile=tile)
+        assert got.columns == [*df.columns, *(f"dist_neighbour_{i}" for i in range(1, 5))]
+        got = {r.rec_id: [r[f"dist_neighbour_{i}"] for i in range(1, 5)] for r in got.collect()}
+        assert len(got) == len(rows)
+        for i, d in got.items():
+            expected = [None if v == np.inf else v for v in want.get(i, [])] + [None] * (4 - len(want.get(i, [])))
+            assert d == [None if v is None else pytest.approx(v, abs=1e-9) for v in expected]
+    spots = df.filter("lon is not null and trip_id = 'a'").groupBy("trip_id", F.col("lon").alias("x"), F.col("lat").alias("y")).agg(F.count("*").alias("_m"))
+    tiles = covariates._cut(covariates._cut(spots, ["trip_id"], "x", "_strip", F.ceil(F.sqrt(F.col("_n") / 40))), ["trip_id", "_strip"], "y", "_tile", F.ceil(F.col("_n") / 40))
+    sizes = [r["count"] for r in tiles.groupBy("trip_id", "_strip", "_tile").count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 120
+    assert covariates.knn_distances(df.limit(0)).count() == 0
+
+
 def test_mixture_and_states():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(1, 0.3, 300), rng.normal(4, 0.5, 300), rng.normal(8, 0.6, 300)])
