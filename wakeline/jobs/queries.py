@@ -438,8 +438,8 @@ usable AS (SELECT * REPLACE (CASE WHEN course <= 360 THEN course END AS course)
 felt AS (SELECT *, coalesce({course_to("lag(lon) OVER w", "lag(lat) OVER w", "lon", "lat")}, 0.0e0) AS heading_deg, CASE WHEN lag(us) OVER w IS NULL THEN 1.0e0 ELSE abs(course - lag(course) OVER w) END AS abs_heading_change,
   CASE WHEN lag(us) OVER w IS NULL THEN 0.0e0 ELSE speed * (1852.0e0 / 3600) / nullif((us - lag(us) OVER w) / 1e6, 0) END AS acceleration FROM usable WINDOW w AS (PARTITION BY trip_id ORDER BY time_stamp, rec_id))"""
 add(
-    "b9_trip_covariates", lambda s, d: rounded(workflows.covariate_table(s, d).select("rec_id", "trip_id", *workflows.COVARIATES), *workflows.COVARIATES, digits=3, nudge=1e-9),
-    f"SELECT rec_id, trip_id, {', '.join(f'round({c} + 1e-9, 3) AS {c}' for c in workflows.COVARIATES[:5])}, {NEAR_SQL} FROM felt JOIN near USING (rec_id)", f"{USABLE_SQL}, {near_sql('usable', 9)}",
+    "b9_trip_covariates", lambda s, d: rounded(workflows.covariate_table(s, d).select("rec_id", "trip_id", *workflows.FEATURES), *workflows.FEATURES, digits=3, nudge=1e-9),
+    f"SELECT rec_id, trip_id, {', '.join(f'round({c} + 1e-9, 3) AS {c}' for c in workflows.FEATURES[:5])}, {NEAR_SQL} FROM felt JOIN near USING (rec_id)", f"{USABLE_SQL}, {near_sql('usable', 9)}",
 )
 
 # Models.
@@ -488,7 +488,7 @@ def discriminant_sql(features: list[str], quadratic: bool) -> str:
         at = f"solve{i}"
     named = ", ".join(f"{f} AS f{i}" for i, f in enumerate(features))
     score = "ln(n * 1.0e0 / total) - " + " - ".join([f"ln(l{i}_{i})" for i in n]) + " - 0.5e0 * (" + " + ".join(f"z{i} * z{i}" for i in n) + ")"
-    return f"""known AS (SELECT rec_id, behaviour, {named} FROM (SELECT felt.*, d[1] AS dist_neighbour_1, d[2] AS dist_neighbour_2, d[3] AS dist_neighbour_3 FROM felt JOIN near USING (rec_id)) WHERE {" AND ".join(f"{f} IS NOT NULL" for f in features)}),
+    return f"""known AS (SELECT rec_id, behaviour, {named} FROM (SELECT felt.*, {", ".join(f"d[{i}] AS {c}" for i, c in enumerate(NEAR, 1))} FROM felt JOIN near USING (rec_id)) WHERE {" AND ".join(f"{f} IS NOT NULL" for f in features)}),
 class AS (SELECT behaviour AS label, count(*) AS n, {mean}, {own} FROM known GROUP BY 1),
 cov AS (SELECT label, n, sum(n) OVER () AS total, {", ".join(f"m{i}" for i in n)}, {pooled if not quadratic else ", ".join(f"c{i}_{j}" for i, j in pairs)} FROM class),
 {", ".join(steps)},
@@ -513,13 +513,16 @@ def _discriminant(spark: SparkSession, d: str, quadratic: bool) -> DataFrame:
 
 def _other(spark: SparkSession, d: str) -> DataFrame:
     f = staged(workflows.features(spark, d))
-    return ml.predict(ml.train_other(f, workflows.FEATURES, kind="bagged", folds=3, trees=TREES), f).select("rec_id", "behaviour", "predicted")
+    kinds = ("forest", "boosted", "bagged")
+    said = [ml.predict(ml.train_other(f, workflows.FEATURES, kind=k, folds=3, trees=TREES), f).select(F.lit(k).alias("model"), "rec_id", "behaviour", "predicted") for k in kinds]
+    return said[0].unionByName(said[1]).unionByName(said[2])
 
 
 add("m1_m2_forest_importance", _importance)
+add("m1_out_of_bag", lambda s, d: workflows.forest_out_of_bag(s, d, TREES))
 add("m3_tune_forest", lambda s, d: ml.tune_forest(workflows.features(s, d), workflows.FEATURES, trees=TREES, n=3))
 for _name, _q in (("m4_lda", False), ("m4_qda", True)):
-    add(_name, lambda s, d, q=_q: _discriminant(s, d, q), "SELECT rec_id, behaviour, predicted FROM best", f"{USABLE_SQL}, {near_sql('usable', 3)}, {discriminant_sql(workflows.FEATURES, _q)}")
+    add(_name, lambda s, d, q=_q: _discriminant(s, d, q), "SELECT rec_id, behaviour, predicted FROM best", f"{USABLE_SQL}, {near_sql('usable', 9)}, {discriminant_sql(workflows.FEATURES, _q)}")
 add("m6_cross_validate", lambda s, d: workflows.behaviour_folds(s, d, TREES))
 add("m10_other_models", _other)
 

@@ -32,10 +32,7 @@ def day_trips(spark: SparkSession, sf_dir: str, vmax: float = 25.0, hours: float
     return travelled.filter(F.coalesce(F.col("time_travelled"), F.lit(0.0)) >= hours)
 
 
-FEATURES = ["speed", "course", "heading_deg", "abs_heading_change", "acceleration", "dist_neighbour_1", "dist_neighbour_2", "dist_neighbour_3"]
-
-
-COVARIATES = [*FEATURES[:5], *[f"dist_neighbour_{i}" for i in range(1, 10)]]
+FEATURES = ["speed", "course", "heading_deg", "abs_heading_change", "acceleration", *[f"dist_neighbour_{i}" for i in range(1, 10)]]
 
 
 def covariate_table(spark: SparkSession, sf_dir: str, k: int = 9) -> DataFrame:
@@ -46,7 +43,15 @@ def covariate_table(spark: SparkSession, sf_dir: str, k: int = 9) -> DataFrame:
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Covariates of the pings of each vessel's days that have enough neighbours."""
-    return clean.complete_cases(covariate_table(spark, sf_dir, 3), FEATURES)
+    return clean.complete_cases(covariate_table(spark, sf_dir), FEATURES)
+
+
+def forest_out_of_bag(spark: SparkSession, sf_dir: str, trees: int = 500) -> DataFrame:
+    """``predicted, actual, n`` of a forest's out-of-bag votes, and ``error``, the share of all rows with votes that are wrong."""
+    rows = staged(features(spark, sf_dir))
+    conf = ml.confusion(ml.train_bagged_forest(rows, FEATURES, trees=trees).out_of_bag(rows).filter("predicted is not null"))
+    total = conf.agg((1 - F.sum(F.when(F.col("predicted") == F.col("actual"), F.col("n")).otherwise(0)) / F.sum("n")).alias("error"))  # a row
+    return conf.join(F.broadcast(total)).withColumn("error", F.round("error", 6))
 
 
 def behaviour_folds(spark: SparkSession, sf_dir: str, trees: int = 100) -> DataFrame:

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.scratch import staged
 
@@ -25,11 +29,127 @@ def _stages(features: list[str], label: str, scale: bool = False) -> list:
     return stages + ([StandardScaler(inputCol="raw", outputCol="features", withMean=True)] if scale else [])
 
 
-def train_forest(df: DataFrame, features: list[str], label: str = "behaviour", trees: int = 500, min_node: int = 1, mtry: int | None = None, seed: int = 1) -> PipelineModel:
-    forest = RandomForestClassifier(numTrees=trees, minInstancesPerNode=min_node, featureSubsetStrategy=str(mtry) if mtry else "auto", maxDepth=12, seed=seed)
+#: Trees grow until their nodes are pure or small; Spark allows no deeper ones.
+DEEPEST = 30
+
+
+def train_forest(df: DataFrame, features: list[str], label: str = "behaviour", trees: int = 500, min_node: int = 1, mtry: int | None = None, seed: int = 1, depth: int = DEEPEST) -> PipelineModel:
+    forest = RandomForestClassifier(numTrees=trees, minInstancesPerNode=min_node, featureSubsetStrategy=str(mtry) if mtry else "auto", maxDepth=depth, seed=seed)
     return Pipeline(stages=[*_stages(features, label), forest]).fit(df)
 
 
+def _drawn(key: str, seed: int, tree: Column) -> Column:
+    """How often a bootstrap sample as large as the table holds a row: Poisson with mean 1, by a hash of row and tree."""
+    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed), tree), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    out, below = F.lit(0), 0.0
+    for n in range(9):
+        below += math.exp(-1) / math.factorial(n)
+        out = out + (u >= below).cast("int")
+    return out.cast("byte")
+
+
+class BaggedForest:
+    """Trees each grown on a bootstrap sample of its own, by which out-of-bag votes can be told.
+
+    ``prepared`` makes labels and feature vectors, ``labels`` are the classes, ``trees`` Spark's models.
+    """
+
+    def __init__(self, prepared: PipelineModel, trees: list, key: str, seed: int):
+        self.prepared, self.labels, self.trees, self.key, self.seed = prepared, prepared.stages[0].labels, trees, key, seed
+
+    def arrays(self) -> list[tuple[np.ndarray, ...]]:
+        """Each tree's nodes: feature, threshold, children and class; a leaf is its own child."""
+        return [_nodes(t.trees[0].toDebugString) for t in self.trees]
+
+    def _voted(self, df: DataFrame, out_of_bag: bool) -> DataFrame:
+        n, classes, names, columns = len(self.trees), len(self.labels), self.labels, df.columns
+        arrays = df.sparkSession.sparkContext.broadcast(self.arrays())
+        rows = self.prepared.stages[-1].transform(df).withColumn("_x", vector_to_array("features"))
+        drawn = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda t: _drawn(self.key, self.seed, t)) if out_of_bag else F.lit(None).cast("array<tinyint>")
+        rows = rows.select(*df.columns, "_x", drawn.alias("_drawn"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = batch.column("_x").flatten().to_numpy(zero_copy_only=False)
+                x = x.reshape(batch.num_rows, len(x) // max(batch.num_rows, 1))
+                seen = batch.column("_drawn").flatten().to_numpy(zero_copy_only=False).reshape(-1, n) > 0 if out_of_bag else np.zeros((len(x), n), bool)
+                votes, every = np.zeros((len(x), classes), np.int64), np.arange(len(x))
+                for t, tree in enumerate(arrays.value):
+                    said = _walked(tree, x)
+                    votes[every, said] += ~seen[:, t]
+                count = votes.sum(axis=1)
+                said = pa.array([names[i] for i in votes.argmax(axis=1).tolist()], pa.string(), mask=count == 0)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), said, pa.array(count)], names=[*columns, "predicted", "n_votes"])
+
+        return rows.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("predicted", T.StringType()), T.StructField("n_votes", T.LongType())]))
+
+    def out_of_bag(self, df: DataFrame) -> DataFrame:
+        """``predicted`` by the majority of the trees that did not see a row, ``n_votes`` of them; null where all saw it. For the rows of the training table."""
+        return self._voted(df, True)
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """``predicted`` by the majority of all trees."""
+        return self._voted(df, False)
+
+
+def _nodes(text: str) -> tuple[np.ndarray, ...]:
+    """A tree's printed form as arrays; its lines are in the order of a walk, the left side first."""
+    feature, cut, left, right, said = [], [], [], [], []
+    waiting: list[tuple[int, bool]] = []  # nodes whose left or right child comes next
+    for line in text.splitlines()[1:]:
+        line = line.strip()
+        if line.startswith("Else"):
+            continue
+        here = len(feature)
+        if waiting:
+            parent, is_left = waiting.pop()
+            (left if is_left else right)[parent] = here
+        left.append(here)
+        right.append(here)
+        if line.startswith("If"):
+            words = line.split()
+            feature.append(int(words[2]))
+            cut.append(float(words[4].rstrip(")")))
+            said.append(0)
+            waiting += [(here, False), (here, True)]
+        else:
+            feature.append(0)
+            cut.append(0.0)
+            said.append(int(float(line.split()[-1])))
+    return np.array(feature), np.array(cut), np.array(left), np.array(right), np.array(said)
+
+
+def _walked(tree: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
+    """The class that a tree gives each row."""
+    feature, cut, left, right, said = tree
+    at = np.zeros(len(x), np.int64)
+    going = np.arange(len(x))
+    while len(going):
+        here = at[going]
+        to = np.where(x[going, feature[here]] <= cut[here], left[here], right[here])
+        going = going[to != here]
+        at[going] = to[to != here]
+    return said[at]
+
+
+def train_bagged_forest(df: DataFrame, features: list[str], label: str = "behaviour", key: str = "rec_id", trees: int = 500, min_node: int = 1, mtry: int | None = None, seed: int = 1, depth: int = DEEPEST, threads: int = 8) -> BaggedForest:
+    """A forest whose trees' samples are drawn by a hash of ``key`` and tree, so that it is known which trees did not see a row.
+
+    A tree's features are drawn anew at each node. Trees are fitted several at a time over the cached vectors.
+    """
+    prepared = Pipeline(stages=_stages(features, label)).fit(df)
+    data = prepared.transform(df).select(key, "label", "features").persist()
+    subset = str(mtry or max(1, math.isqrt(len(features))))
+
+    def grown(t: int):
+        rows = data.withColumn("weight", _drawn(key, seed, F.lit(t)).cast("double")).filter("weight > 0")
+        return RandomForestClassifier(numTrees=1, bootstrap=False, weightCol="weight", featureSubsetStrategy=subset, minInstancesPerNode=min_node, maxDepth=depth, seed=seed + t).fit(rows)
+
+    fitted = _at_once([(t,) for t in range(trees)], grown, threads)
+    data.unpersist()
+    return BaggedForest(prepared, fitted, key, seed)
+
+
 def predict(model: PipelineModel, df: DataFrame, out: str = "predicted") -> DataFrame:
     """The label's text as predicted by a model of ``train_forest`` or ``train_other``."""
     labels = model.stages[0].labels
@@ -134,7 +254,7 @@ def predict_discriminant(classes: list[dict], df: DataFrame, features: list[str]
 
     def score(c: dict) -> Column:
         d = [F.col(f) - float(m) for f, m in zip(features, c["mean"], strict=True)]
-        q = sum((float(c["inverse"][i, j]) * d[i] * d[j] for i in range(len(d)) for j in range(len(d))), F.lit(0.0))
+        q = sum((d[i] * sum((float(c["inverse"][i, j]) * (1 if i == j else 2) * d[j] for j in range(i, len(d))), F.lit(0.0)) for i in range(len(d))), F.lit(0.0))
         return math.log(c["prior"]) - 0.5 * c["logdet"] - 0.5 * q
 
     best = F.greatest(*[F.struct(score(c).alias("s"), F.lit(c["label"]).alias("label")) for c in classes]) if len(classes) > 1 else F.struct(score(classes[0]).alias("s"), F.lit(classes[0]["label"]).alias("label"))
@@ -158,22 +278,20 @@ def trip_folds(df: DataFrame, k: int = 5, key: str = "trip_id", seed: int = 1) -
     return df.join(folds, key)
 
 
-def cross_validate(df: DataFrame, features: list[str], label: str = "behaviour", key: str = "trip_id", k: int = 5, trees: int = 100, seed: int = 1) -> DataFrame:
-    """Every ping as predicted by models that saw no ping of its fold: ``model`` forest, lda or qda."""
+def cross_validate(df: DataFrame, features: list[str], label: str = "behaviour", key: str = "trip_id", k: int = 5, trees: int = 100, seed: int = 1, depth: int = DEEPEST, threads: int = 8) -> DataFrame:
+    """Every ping as predicted by models that saw no ping of its fold: ``model`` forest, lda or qda. Folds are fitted several at a time."""
     d = staged(trip_folds(df, k, key, seed))
-    out = None
-    for fold in range(1, k + 1):
+    keep = [key, "rec_id", "gear", label, "fold"] if "gear" in d.columns else [key, "rec_id", label, "fold"]
+
+    def fitted(name: str, fold: int) -> DataFrame:
         train, test = d.filter(F.col("fold") != fold), d.filter(F.col("fold") == fold)
-        keep = [key, "rec_id", "gear", label, "fold"] if "gear" in d.columns else [key, "rec_id", label, "fold"]
-        parts = {
-            "forest": predict(train_forest(train, features, label, trees, seed=seed), test),
-            "lda": predict_discriminant(train_lda(train, features, label), test, features),
-            "qda": predict_discriminant(train_qda(train, features, label), test, features),
-        }
-        for name, rows in parts.items():
-            rows = rows.select(*keep, "predicted", F.lit(name).alias("model"))
-            out = rows if out is None else out.unionByName(rows)
-    return out
+        if name == "forest":
+            rows = predict(train_forest(train, features, label, trees, seed=seed, depth=depth), test)
+        else:
+            rows = predict_discriminant(train_discriminant(train, features, label, name == "qda"), test, features)
+        return rows.select(*keep, "predicted", F.lit(name).alias("model"))
+
+    return reduce(DataFrame.unionByName, _at_once([(name, fold) for fold in range(1, k + 1) for name in ("forest", "lda", "qda")], fitted, threads))
 
 
 def confusion(df: DataFrame, label: str = "behaviour", by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -204,6 +322,8 @@ def split_train_test(df: DataFrame, share: float = 0.7, seed: int = 1) -> DataFr
 
 def train_other(df: DataFrame, features: list[str], label: str = "behaviour", kind: str = "forest", folds: int = 10, trees: int = 50, seed: int = 1, threads: int = 8) -> PipelineModel:
     """Centred and scaled features; forest, boosted or bagged trees, chosen by cross-validation over tree depth."""
+    if kind not in ("forest", "boosted", "bagged"):
+        raise ValueError(f"kind must be forest, boosted or bagged, not {kind!r}")
     prepared = Pipeline(stages=_stages(features, label, scale=True)).fit(df)
     data = prepared.transform(df).select("label", "features").persist()
     if kind == "boosted":
