@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import behaviour, clean, covariates, interpolate, joins, ml, quality, track, trips
+from ..operators import behaviour, blocks, clean, covariates, interpolate, joins, ml, quality, sketches, track, trips
 from ..sources import tables
-from ..sources.scratch import staged
+from ..sources.scratch import scratch, staged
 from . import workflows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -526,6 +526,38 @@ for _name, _q in (("m4_lda", False), ("m4_qda", True)):
 add("m6_cross_validate", lambda s, d: workflows.behaviour_folds(s, d, TREES))
 add("m10_other_models", _other)
 
+# The same by blocks of time, for vessels too long for one task; the stored layout; sketches that roll up.
+_flagged = lambda s, d: joins.add_harbours(clean.dedupe_time(tables.pings(s, d)), tables.harbours(s, d))
+for _name, _like, _run in (
+    ("w3_event_blocks", "w3_rb_event", lambda s, d: blocks.events(clean.dedupe_time(tables.pings(s, d)), "behaviour").select("rec_id", "event")),
+    ("w4_trips_blocks", "w4_rb_define_trips", lambda s, d: blocks.define_trips(_flagged(s, d), "SI_HARB").select("rec_id", "trip")),
+    ("t2_gap_blocks", "t2_trips_by_gap", lambda s, d: blocks.trips_by_gap(clean.dedupe_time(tables.pings(s, d))).select("rec_id", "vessel_trip")),
+    ("t3_segment_blocks", "t3_segments", lambda s, d: blocks.segments_by_distance(clean.dedupe_time(tables.pings(s, d)), 5000.0).select("rec_id", "segment")),
+    ("t5_cumulative_blocks", "t5_trips_cumulative", lambda s, d: blocks.trips_cumulative(_flagged(s, d)).select("rec_id", "trip")),
+):
+    QUERIES[_name], SQL[_name] = _run, SQL[_like]
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals on pings stored by vessel."""
+    path = scratch(spark, "track")
+    stored = tables.store_track(clean.dedupe_time(tables.pings(spark, d)), path.rsplit("/", 1)[-1].replace("-", "_"), path, 16)
+    return track.ping_interval(stored).select("rec_id", "gap_sec")
+
+
+QUERIES["s4_stored_track"] = _stored
+SQL["s4_stored_track"] = SQL["w1_ping_interval"]
+
+
+def _daily(spark: SparkSession, d: str) -> DataFrame:
+    """Speeds and vessels by gear, out of sketches by vessel and day."""
+    p = tables.pings(spark, d).withColumn("day", F.to_date("time_stamp"))
+    small = sketches.sketched(p, ["gear", "vessel_id", "day"], ["speed"], ["vessel_id"])
+    return sketches.read_off(sketches.rolled_up(small, ["gear"]), ["gear"])
+
+
+QUERIES["q4_q9_sketches"] = _daily
+
 # Whole workloads.
 FILLED_SQL = """filled AS (SELECT vessel_id, us, time_stamp, rec_id, "SI_HARB" FROM s UNION ALL
   SELECT vessel_id, us + CAST(round((us2 - us) * t) AS BIGINT), make_timestamp(us + CAST(round((us2 - us) * t) AS BIGINT)), NULL, 0 FROM ti)"""

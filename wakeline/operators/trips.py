@@ -178,8 +178,8 @@ def trip_intervals(df: DataFrame, min_dur: float = 0.5, max_dur: float = 72.0, l
     return d.sortWithinPartitions("vessel_id", "time_stamp", "rec_id").mapInArrow(run, f"vessel_id string, trip_id string, depart {kind}, return {kind}")
 
 
-def trips_cumulative(df: DataFrame, blocks: int = 200) -> DataFrame:
-    """``trip``: for pings at sea the number of pings in harbour before them in the whole table, by vessel and time; 1 in harbour.
+def harbour_offsets(df: DataFrame, blocks: int = 200) -> DataFrame:
+    """``vessel_id, _base``: the number of pings in harbour of all vessels before.
 
     Vessels' totals are summed up over blocks of vessels first, so no table-wide window is needed: a
     vessel's offset is its block's plus that within the block. A block is a range of vessels of about
@@ -190,8 +190,15 @@ def trips_cumulative(df: DataFrame, blocks: int = 200) -> DataFrame:
     parts = inside.groupBy("part").agg(F.sum("n").alias("n"))
     before = parts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row per block
     inner = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("vessel_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = inside.withColumn("inner", inner).join(before, "part").select("vessel_id", (F.col("inner") + F.col("base")).alias("_base"))
-    d = df.withColumn("_own", F.sum("SI_HARB").over(so_far())).join(offsets, "vessel_id")
+    return inside.withColumn("inner", inner).join(before, "part").select("vessel_id", (F.col("inner") + F.col("base")).alias("_base"))
+
+
+def trips_cumulative(df: DataFrame, blocks: int = 200) -> DataFrame:
+    """``trip``: for pings at sea the number of pings in harbour before them in the whole table, by vessel and time; 1 in harbour.
+
+    Vessels' totals are written while the plan is built.
+    """
+    d = df.withColumn("_own", F.sum("SI_HARB").over(so_far())).join(harbour_offsets(df, blocks), "vessel_id")
     return d.withColumn("trip", F.when(F.col("SI_HARB") == 1, F.lit(1)).otherwise(F.col("_base") + F.col("_own")).cast("long")).drop("_own", "_base")
 
 

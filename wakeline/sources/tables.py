@@ -31,6 +31,18 @@ def write_pings(df: DataFrame, path: str) -> None:
     df.withColumn("year", F.year("time_stamp")).repartition("vessel_id").sortWithinPartitions("vessel_id", "time_stamp", "rec_id").write.partitionBy("year").mode("overwrite").parquet(path)
 
 
+def store_track(df: DataFrame, name: str, path: str, buckets: int = 200) -> DataFrame:
+    """``df`` as a table of the session's catalog, kept at ``path``, bucketed by vessel with one file a bucket in track order.
+
+    Windows and aggregates by vessel read it without an exchange, whatever is asked of it later; two
+    tables of as many buckets are joined by vessel without one too. The number of buckets is that of the tasks that will read it.
+    """
+    spark = df.sparkSession
+    laid = df.repartition(buckets, "vessel_id").write.bucketBy(buckets, "vessel_id").sortBy("vessel_id", "time_stamp", "rec_id")
+    laid.mode("overwrite").option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
