@@ -226,3 +226,21 @@ def test_licenses(spark):
 def test_escapes_are_undone(spark, text):
     one = spark.createDataFrame([(text,)], T.StructType([T.StructField("t", T.StringType())])).select(chat.escape_text(F.col("t")).alias("e"), chat.unescape_role(chat.escape_role(F.col("t"))).alias("r"), chat.unescape_text(chat.escape_text(F.col("t"))).alias("u")).first()
     assert one.u == text and one.r == text and (text is None or "<|" not in one.e)
+
+
+def test_parts_of_licences(spark):
+    """Each template's words, one in twelve changed and among others, give its label; half of them give none."""
+    texts, want = [], []
+    for t in license_scan.TEMPLATES:
+        words = t.words.split()
+        if len(words) < 24:
+            continue
+        changed = ["other" if i % 12 == 7 and not w.isdigit() else w for i, w in enumerate(words)]
+        texts += [" ".join(["before", *changed, "after"]).upper(), " ".join(words[: len(words) // 2])]
+        want += [t.label, ""]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, label string, row int")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
+    assert len({x for x in want if x}) >= 8
+    for i, label in enumerate(want):
+        assert (label in got[i].labels.split(",") and got[i].score >= 0.8) if label else got[i].labels == "", texts[i]
+        assert all(0 < s.length <= len(texts[i].split()) + 2 for s in got[i].spans)

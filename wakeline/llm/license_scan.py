@@ -12,7 +12,8 @@ template, takes no more than its matches.
 
 Defined results
     null or wordless text: no words, no labels, score 0; texts are scanned whole; a null doc_id is
-    kept; repeated rows give repeated rows; an empty table gives no rows; other columns are ignored.
+    kept; repeated rows give repeated rows; spans that overlap, of one licence or of several, all count, and equal
+    labels once; an empty table gives no rows; other columns, also of clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -70,6 +71,48 @@ TEMPLATES = (
     Template("mpl-2", "subject to the terms of the mozilla public license version 2 0"),
     Template("unlicense", "this is free and unencumbered software released into the public domain"),
     Template("all-rights-reserved", "all rights reserved"),
+    # The parts that follow the openings above, each a template of its own, as texts often hold only some.
+    Template(
+        "mit",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software "
+        "or the use or other dealings in the software",
+    ),
+    Template(
+        "isc",
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable "
+        "for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action "
+        "arising out of or in connection with the use or performance of this software",
+    ),
+    Template(
+        "bsd",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    ),
+    Template(
+        "bsd-3",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
+    Template(
+        "bsd",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+        "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+        "loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+        "arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    Template(
+        "apache-2",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+    ),
+    Template(
+        "gpl",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose "
+        "see the gnu general public license for more details",
+    ),
+    Template(
+        "unlicense",
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
 )
 
 

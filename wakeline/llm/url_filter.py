@@ -10,7 +10,9 @@ or its ``<base href>``, dot segments removed.
 Defined results
     a null URL or one without ``://``: empty host and path, no node, so allow; null html: no links;
     rows repeat as often as in the input; a null page_id is kept; an empty table gives no rows; pages
-    without a host, however many, are spread over the tasks of the joins; texts are searched whole.
+    without a host, however many, are spread over the tasks of the joins; texts are searched whole; of
+    rules that are equally long the allowing one wins; other columns of pages, rules and redirects, also of
+    clashing names, are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Defined results
     null html: an empty payload; null url: no target URI; a null page_id is written as such and
     never referred to; page rows that repeat are records of their own, those with the largest
     page_id of equal payloads all responses; an empty table gives no records; line breaks and other
-    control characters in a URL are percent-encoded; payloads are whole. A foreign record without a
+    control characters in a URL are percent-encoded; payloads are whole; other columns of the pages, also of
+    clashing names, are ignored. A foreign record without a
     Content-Length ends where its gzip member does or, uncompressed, where the next record begins.
 """
 
