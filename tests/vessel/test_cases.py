@@ -210,6 +210,17 @@ def test_rings(spark):
     assert len(trips.close_ring(corners.filter("i < 4"), "k", "i").first().ring) == 5
 
 
+def test_points_in_line_with_a_side_but_off_its_end(spark):
+    """A ping at the very longitude of an upright side and just past its end is outside; on the end it is inside."""
+    x1, x2, y1, y2 = (12 + 0.2 - 0.08, 12 + 0.2 + 0.08, 58.2 - 0.08, 58.2 + 0.08)
+    square = [{"lon": a, "lat": b} for a, b in ((x1, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1))]
+    polys = frame(spark, [(1, square)], "harbour_id long, ring array<struct<lon:double,lat:double>>")
+    off = [(x, float(np.nextafter(y, y + d))) for x in (x1, x2) for y, d in ((y1, -1), (y2, 1))] + [(x, y + d) for x in (x1, x2) for y, d in ((y1, -0.01), (y2, 0.01))]
+    spots = off + [(x, y) for x in (x1, x2) for y in (y1, y2)]
+    df = pings(spark, [("V", m, x, y) for m, (x, y) in enumerate(spots)])
+    assert values(joins.add_harbours(df, polys), "SI_HARB") == [0] * len(off) + [1] * 4
+
+
 def test_folds(spark):
     df = spark.range(60).select(F.col("id").alias("rec_id"), F.concat(F.lit("t"), F.col("id") % 12).alias("trip_id"))
     got = ml.trip_folds(df).select("trip_id", "fold").distinct().collect()

@@ -126,7 +126,8 @@ def in_cell_ring(x: Column, y: Column, cx: Column, cy: Column, size: float, ring
     """Inside a ring, or on a side, by the ring's ``sides`` in the point's grid cell and whether the cell's middle is ``inside``.
 
     On the way from the point up or down to the middle's height, then across to the middle, every side
-    that is crossed changes from inside to outside or back.
+    that is crossed changes from inside to outside or back. The way starts just right of the point: a side's end
+    at its ``x`` counts as left of it on both legs, also where a point in line with an upright side is off its end.
     """
     mx, my = (cx + MIDDLE) * size, (cy + MIDDLE) * size
 
@@ -135,7 +136,7 @@ def in_cell_ring(x: Column, y: Column, cx: Column, cy: Column, size: float, ring
         up = y1 + (y2 - y1) * (x - x1) / F.nullif(x2 - x1, F.lit(0.0))
         across = x1 + (x2 - x1) * (my - y1) / F.nullif(y2 - y1, F.lit(0.0))
         first = ((x1 > x) != (x2 > x)) & ((up < y) != (up < my))
-        then = ((y1 > my) != (y2 > my)) & ((across < x) != (across < mx))
+        then = ((y1 > my) != (y2 > my)) & ((across <= x) != (across <= mx))
         return F.coalesce(first, F.lit(False)) != F.coalesce(then, F.lit(False))
 
     def touches(e: Column) -> Column:
