@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -84,6 +86,29 @@ def test_crowded_keys_with_unlike_rests(spark, crowded):
     assert got == plain(rows, how)
 
 
+def test_rests_are_cut_for_the_length_that_the_key_tells(spark):
+    """Rows that refining makes are at most three for an indexed line and five for a probe, and pairs within two edits still meet."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    head, how = "posted by the editor on ", LineDedup()
+    lines = [head + word(48) for _ in range(30)]
+    lines += [noisy(rng, line, 1 + i % 2) for i, line in enumerate(lines)]
+    whole = line_dedup.Strings(pa.array(lines))
+    met = {}
+    for kind in (False, True):
+        for seg, owner, *_ in line_dedup._keys(whole, np.arange(len(lines)), how, kind):
+            for s, o in zip(seg.tolist(), owner.tolist(), strict=True):
+                met.setdefault(s, set()).add((kind, o))
+    rows = [(s, kind, o, lines[o]) for s, who in met.items() for kind, o in who if len({k for k, _ in who}) == 2]
+    finer = line_dedup.rest_rows(spark.createDataFrame(rows, "seg long, probe boolean, line long, said string"), how).collect()
+    assert len(finer) <= sum(5 if kind else 3 for _, kind, *_ in rows)
+    under = {}
+    for r in finer:
+        under.setdefault(r.seg, (set(), set()))[r.probe].add(r.line)
+    pairs = {frozenset((a, b)) for index, probe in under.values() for a in index for b in probe if a != b}
+    assert all(frozenset((i, i + 30)) in pairs for i in range(30) if distance(lines[i], lines[i + 30]) <= how.edits)
+
+
 def test_a_large_group_of_near_copies(spark):
     rng = random.Random(7)
     base = "every reader of this page will find the same line below it, and no other one near"

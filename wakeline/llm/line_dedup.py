@@ -115,13 +115,19 @@ def _cuts(length: np.ndarray, edits: int, probe: bool) -> Iterator[tuple[np.ndar
                 yield (length >= shorter) & (size > 0) & (at >= 0) & (at + size <= length), at, size, i, length - shorter
 
 
-def _keys(lines: Lines | Strings, which: np.ndarray, how: LineDedup, probe: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each cut the segment keys of the lines ``which``, the places of those lines there, and where in them the cut is."""
+def _keys(lines: Lines | Strings, which: np.ndarray, how: LineDedup, probe: bool, shorter: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each cut the segment keys of the lines ``which``, the places of those lines there, where in them the cut is, and by how much the indexed line is shorter.
+
+    ``shorter``: by how much it is for each line, where that is known; other cuts can meet nothing.
+    """
     length, c0 = lines.chars[which], lines.c0[which]
     for ok, at, size, i, indexed in _cuts(length, how.edits, probe):
+        less = length - indexed
+        if shorter is not None:
+            ok = ok & (less == shorter)
         at, size, indexed, c = at[ok], size[ok], indexed[ok], c0[ok]
         key = mix(lines.rolling.of(lines.point[c + at], lines.point[c + at + size]) + mix(indexed.astype(np.uint64) * np.uint64(64) + np.uint64(i)))
-        yield key.view(np.int64), np.flatnonzero(ok), at, size
+        yield key.view(np.int64), np.flatnonzero(ok), at, size, less[ok]
 
 
 class Recent:
@@ -148,14 +154,18 @@ def probe_rows(texts: DataFrame, how: LineDedup) -> DataFrame:
             lines = Lines(part.column("text"), whole_key=False)
             which = np.flatnonzero(lines.chars >= how.least_chars)
             which = which[met.fresh(lines.k1[which])]
-            for seg, owner, _, _ in _keys(lines, which, how, True):
+            for seg, owner, *_ in _keys(lines, which, how, True):
                 yield pa.RecordBatch.from_arrays([pa.array(seg), pa.array(lines.k1[which[owner]])], names=["seg", "other"])
 
     return texts.mapInArrow(run, "seg long, other long")
 
 
 def rest_rows(crowd: DataFrame, how: LineDedup) -> DataFrame:
-    """``seg, probe, line`` of what is left of ``seg, probe, line, said`` beside the segment that makes the key."""
+    """``seg, probe, line`` of what is left of ``seg, probe, line, said`` beside the segment that makes the key.
+
+    A key tells how long the lines are that are indexed by it, so a probe is cut for rests of that length alone:
+    at most ``edits + 1`` rows for an indexed line and, at two edits, five for a probe.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "said"):
@@ -164,13 +174,13 @@ def rest_rows(crowd: DataFrame, how: LineDedup) -> DataFrame:
             whole = Strings(part.column("said"))
             for kind in (False, True):
                 which = np.flatnonzero(probe == kind)
-                for seg, owner, at, size in _keys(whole, which, how, kind):
+                for seg, owner, at, size, less in _keys(whole, which, how, kind):
                     hit = seg == asked[which[owner]]
                     rows = which[owner[hit]]
                     if not len(rows):
                         continue
                     rest = Strings(pa.array([said[r][:a] + "\n" + said[r][a + n :] for r, a, n in zip(rows.tolist(), at[hit].tolist(), size[hit].tolist(), strict=True)], pa.string()))
-                    for finer, of, _, _ in _keys(rest, np.arange(len(rows)), how, kind):
+                    for finer, of, *_ in _keys(rest, np.arange(len(rows)), how, kind, less[hit]):
                         of = rows[of]
                         key = mix(finer.view(np.uint64) + mix(asked[of].view(np.uint64))).view(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(of), kind)), pa.array(line[of])], names=["seg", "probe", "line"])
@@ -347,6 +357,14 @@ def later_lines(texts: DataFrame, firsts: DataFrame, how: LineDedup) -> DataFram
         rows = rows.join(done, ["k1", "k2"], "left").withColumn("open", F.col("done").isNull() & (F.col("k1") != F.col("e"))).drop("done")
         return staged(rows.join(rows.filter("open").select("seg").distinct(), "seg", "left_semi"), "open-keys", narrow=True)
 
+    def asked(crowd: DataFrame, rows: DataFrame) -> DataFrame:
+        """``seg, probe, line`` of what can tell that an open line is later: open lines, and those that stand before one of the other side."""
+        sides = crowd.join(rows.select("seg", F.col("k1").alias("line"), "open", order.alias("place")), ["seg", "line"])
+        last = lambda probe: F.max(F.when(F.col("open") & (F.col("probe") == probe), F.col("place")))
+        ends = sides.groupBy("seg").agg(last(False).alias("indexed"), last(True).alias("probed"))
+        before = F.when(F.col("probe"), F.col("place") < F.col("indexed")).otherwise(F.col("place") < F.col("probed"))
+        return sides.join(ends, "seg").filter(F.col("open") | before).select("seg", "probe", "line").distinct()
+
     def later(links: DataFrame) -> DataFrame:
         fa, fb = firsts.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("first").alias("fa")), firsts.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("first").alias("fb"))
         both = links.join(fa, ["a1", "a2"]).join(fb, ["b1", "b2"])
@@ -366,7 +384,7 @@ def later_lines(texts: DataFrame, firsts: DataFrame, how: LineDedup) -> DataFram
     if rows.isEmpty():
         return found
     # Finer keys for what is open under crowded ones.
-    finer = crowd.join(rows.select("seg").distinct(), "seg", "left_semi").join(said.select(F.col("k1").alias("line"), F.col("line").alias("said")), "line")
+    finer = asked(crowd, rows).join(said.select(F.col("k1").alias("line"), F.col("line").alias("said")), "line")
     finer = staged(rest_rows(finer, how), "finer-keys", narrow=True)
     pairs, crowd = _met(finer.filter("not probe").select("seg", "line"), finer.filter("probe").select("seg", F.col("line").alias("other")), how)
     rows = earliest(crowd)
