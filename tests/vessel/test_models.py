@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wakeline.operators import ml
+from wakeline.operators import deep_forest, ml
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +69,59 @@ def test_folds_are_predicted_by_models_that_did_not_see_them(spark, labelled):
 def test_other_models_are_named(labelled):
     with pytest.raises(ValueError):
         ml.train_other(labelled, ["a"], kind="svm")
+
+
+def plain_tree(bins, label, weight, classes, depth):
+    """Leaf shares and falls of impurity by feature of a tree that tries all features, node after node."""
+    shares, falls = np.zeros((len(bins), classes)), np.zeros(bins.shape[1])
+    square = lambda rows: (np.bincount(label[rows], weight[rows], classes) ** 2).sum() / max(weight[rows].sum(), 1)
+    waiting = [(np.arange(len(bins)), 0)]
+    while waiting:
+        rows, level = waiting.pop()
+        counts = np.bincount(label[rows], weight[rows], classes)
+        best = (0.0, None)
+        if counts.max() < counts.sum() and level < depth:
+            for f in range(bins.shape[1]):
+                for b in range(32):
+                    left = bins[rows, f] <= b
+                    if 0 < weight[rows[left]].sum() < counts.sum():
+                        fall = round(square(rows[left]) + square(rows[~left]) - square(rows), 9)
+                        best = max(best, (fall, (f, b)), key=lambda x: x[0]) if fall > best[0] else best
+        if best[1] is None:
+            shares[rows] = counts / counts.sum()
+            continue
+        f, b = best[1]
+        falls[f] += best[0]
+        waiting += [(rows[bins[rows, f] <= b], level + 1), (rows[bins[rows, f] > b], level + 1)]
+    return shares, falls
+
+
+@pytest.mark.parametrize("depth", [3, 30])
+def test_a_deep_tree_equals_a_plain_one(depth):
+    rng = np.random.default_rng(2)
+    bins = rng.integers(0, 32, (300, 4)).astype(np.uint8)
+    label, weight = (bins[:, 0] // 8 + rng.integers(0, 2, 300)) % 3, rng.poisson(1, 300).astype(float)
+    got = deep_forest._grown(bins, label, weight, 3, 4, 1, depth, np.random.default_rng(1), block=7)
+    want = plain_tree(bins, label, weight, 3, depth)
+    assert got[0] == pytest.approx(want[0]) and got[1] == pytest.approx(want[1])
+
+
+def test_deep_forests_leave_no_model_and_do_not_depend_on_how_rows_are_dealt(labelled):
+    """The large nodes' way (by all tasks) and the small ones' (in one) give one forest; a bagged forest's errors are like its."""
+    names = ["a", "b", "c"]
+    forest = lambda df, **more: deep_forest.DeepForest(df, names, trees=15, **more)
+    whole = forest(labelled)
+    parts = forest(labelled.repartition(7), small=60, mtry=3)
+    same = forest(labelled, small=10**6, mtry=3)
+    assert all(len(t.feature) == 1 for t in whole.top) and all(len(t.feature) > 3 for t in parts.top)
+    got, other = ({r.rec_id: (r.predicted, r.n_votes) for r in f.votes().collect()} for f in (parts, same))
+    assert got == other and len(got) > 395  # all features are tried at a node, so no draw tells the ways apart
+    assert dict(parts.importance().collect()) == pytest.approx(dict(same.importance().collect())) and sum(dict(same.importance().collect()).values()) == pytest.approx(1)
+    drawn = labelled.select("rec_id", *[ml._drawn("rec_id", 1, F.lit(t)).alias(f"t{t}") for t in range(15)]).collect()
+    assert {r.rec_id: sum(r[f"t{t}"] == 0 for t in range(15)) for r in drawn if any(r[f"t{t}"] == 0 for t in range(15))} == {i: n for i, (_, n) in got.items()}
+    rows = ml.out_of_bag_votes(labelled, names, trees=15).collect()
+    bagged = ml.train_bagged_forest(labelled, names, trees=15).out_of_bag(labelled).filter("n_votes > 0").collect()
+    wrong = lambda rows: np.mean([r.predicted != r.behaviour for r in rows if r.n_votes])
+    assert len(rows) == 400 and abs(wrong(rows) - wrong(bagged)) < 0.06
+    spark_s = dict(ml.feature_importance(ml.train_forest(labelled, names, trees=15), names, labelled).collect())
+    assert dict(ml.forest_importance(labelled, names, trees=15).collect()) == pytest.approx(spark_s, abs=0.1)

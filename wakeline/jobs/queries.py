@@ -503,7 +503,7 @@ TREES = 20
 
 def _importance(spark: SparkSession, d: str) -> DataFrame:
     f = staged(workflows.features(spark, d))
-    return ml.feature_importance(ml.train_forest(f, workflows.FEATURES, trees=TREES), workflows.FEATURES, f)
+    return ml.forest_importance(f, workflows.FEATURES, trees=TREES)
 
 
 def _discriminant(spark: SparkSession, d: str, quadratic: bool) -> DataFrame:

@@ -49,7 +49,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forest_out_of_bag(spark: SparkSession, sf_dir: str, trees: int = 500) -> DataFrame:
     """``predicted, actual, n`` of a forest's out-of-bag votes, and ``error``, the share of all rows with votes that are wrong."""
     rows = staged(features(spark, sf_dir))
-    conf = ml.confusion(ml.train_bagged_forest(rows, FEATURES, trees=trees).out_of_bag(rows).filter("predicted is not null"))
+    conf = staged(ml.confusion(ml.out_of_bag_votes(rows, FEATURES, trees=trees).filter("predicted is not null")), "confusion", narrow=True)
     total = conf.agg((1 - F.sum(F.when(F.col("predicted") == F.col("actual"), F.col("n")).otherwise(0)) / F.sum("n")).alias("error"))  # a row
     return conf.join(F.broadcast(total)).withColumn("error", F.round("error", 6))
 

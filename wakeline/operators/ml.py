@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.scratch import staged
+from .deep_forest import DEEPEST, DeepForest
+from .deep_forest import drawn as _drawn
 
 
 def _stages(features: list[str], label: str, scale: bool = False) -> list:
@@ -29,25 +31,11 @@ def _stages(features: list[str], label: str, scale: bool = False) -> list:
     return stages + ([StandardScaler(inputCol="raw", outputCol="features", withMean=True)] if scale else [])
 
 
-#: Trees grow until their nodes are pure or small; Spark allows no deeper ones.
-DEEPEST = 30
-
-
 def train_forest(df: DataFrame, features: list[str], label: str = "behaviour", trees: int = 500, min_node: int = 1, mtry: int | None = None, seed: int = 1, depth: int = DEEPEST) -> PipelineModel:
     forest = RandomForestClassifier(numTrees=trees, minInstancesPerNode=min_node, featureSubsetStrategy=str(mtry) if mtry else "auto", maxDepth=depth, seed=seed)
     return Pipeline(stages=[*_stages(features, label), forest]).fit(df)
 
 
-def _drawn(key: str, seed: int, tree: Column) -> Column:
-    """How often a bootstrap sample as large as the table holds a row: Poisson with mean 1, by a hash of row and tree."""
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed), tree), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    out, below = F.lit(0), 0.0
-    for n in range(9):
-        below += math.exp(-1) / math.factorial(n)
-        out = out + (u >= below).cast("int")
-    return out.cast("byte")
-
-
 class BaggedForest:
     """Trees each grown on a bootstrap sample of its own, by which out-of-bag votes can be told.
 
@@ -167,6 +155,17 @@ def feature_importance(model: PipelineModel, features: list[str], like: DataFram
     return like.sparkSession.createDataFrame(list(zip(features, values, strict=True)), "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def forest_importance(df: DataFrame, features: list[str], label: str = "behaviour", key: str = "rec_id", trees: int = 500, min_node: int = 1, seed: int = 1, depth: int = DEEPEST) -> DataFrame:
+    """``feature, importance`` of a forest that is grown by all tasks and not kept; the root of the number of features, rounded up, is tried at a node."""
+    return DeepForest(df, features, label, key, trees, min_node, math.ceil(math.sqrt(len(features))), seed, depth).importance()
+
+
+def out_of_bag_votes(df: DataFrame, features: list[str], label: str = "behaviour", key: str = "rec_id", trees: int = 500, min_node: int = 1, mtry: int | None = None, seed: int = 1, depth: int = DEEPEST) -> DataFrame:
+    """``df`` with ``predicted`` and ``n_votes`` as of ``train_bagged_forest(...).out_of_bag``, of a forest that is grown by all tasks and not kept. ``key`` is unique."""
+    votes = DeepForest(df, features, label, key, trees, min_node, mtry, seed, depth).votes()
+    return df.join(votes, key, "left").withColumn("n_votes", F.coalesce("n_votes", F.lit(0)))
+
+
 def _spread(low: float, high: float, n: int) -> list[int]:
     """Up to ``n`` whole numbers evenly from ``low`` to ``high``."""
     return sorted({max(1, round(v)) for v in np.linspace(low, max(low, high), n)})
@@ -279,19 +278,18 @@ def trip_folds(df: DataFrame, k: int = 5, key: str = "trip_id", seed: int = 1) -
 
 
 def cross_validate(df: DataFrame, features: list[str], label: str = "behaviour", key: str = "trip_id", k: int = 5, trees: int = 100, seed: int = 1, depth: int = DEEPEST, threads: int = 8) -> DataFrame:
-    """Every ping as predicted by models that saw no ping of its fold: ``model`` forest, lda or qda. Folds are fitted several at a time."""
+    """Every ping as predicted by models that saw no ping of its fold: ``model`` forest, lda or qda. Discriminants are fitted several at a time, the forests of all folds by all tasks. ``rec_id`` is unique."""
     d = staged(trip_folds(df, k, key, seed))
     keep = [key, "rec_id", "gear", label, "fold"] if "gear" in d.columns else [key, "rec_id", label, "fold"]
 
     def fitted(name: str, fold: int) -> DataFrame:
         train, test = d.filter(F.col("fold") != fold), d.filter(F.col("fold") == fold)
-        if name == "forest":
-            rows = predict(train_forest(train, features, label, trees, seed=seed, depth=depth), test)
-        else:
-            rows = predict_discriminant(train_discriminant(train, features, label, name == "qda"), test, features)
+        rows = predict_discriminant(train_discriminant(train, features, label, name == "qda"), test, features)
         return rows.select(*keep, "predicted", F.lit(name).alias("model"))
 
-    return reduce(DataFrame.unionByName, _at_once([(name, fold) for fold in range(1, k + 1) for name in ("forest", "lda", "qda")], fitted, threads))
+    forests = DeepForest(d, features, label, "rec_id", trees, 1, math.ceil(math.sqrt(len(features))), seed, depth, "fold", k)
+    said = d.join(forests.votes(soft=True), "rec_id", "left").select(*keep, "predicted", F.lit("forest").alias("model"))
+    return reduce(DataFrame.unionByName, _at_once([(name, fold) for fold in range(1, k + 1) for name in ("lda", "qda")], fitted, threads), said)
 
 
 def confusion(df: DataFrame, label: str = "behaviour", by: list[str] = []) -> DataFrame:  # noqa: B006
