@@ -162,3 +162,22 @@ def test_whole_tracks_of_one_state():
     step = np.full((30, 1), 50.0)
     states, chains = hidden_markov(step, None, np.ones((30, 1), bool), np.array([[20.0, 150, 300]]), np.array([[20.0, 20, 20]]))
     assert np.isfinite(chains.packed()).all() and len(set(states[:, 0])) == 1
+
+
+@pytest.mark.parametrize("turns", [None, (behaviour.TURN_MEAN, behaviour.KAPPA)])
+def test_chains_side_by_side_equal_each_by_itself(monkeypatch, turns):
+    """Tracks of several lengths in blocks of two chains; arrays run along the chains, not along the states."""
+    sizes = [40, 70, 55, 64, 41]
+    on = np.arange(max(sizes))[:, None] < np.array(sizes)[None, :]
+    step, angle = np.full(on.shape, np.nan), np.full(on.shape, np.nan)
+    for v, n in enumerate(sizes):
+        _, step[:n, v], angle[:n, v] = walked(n, 50 + v)
+    mean, sd = np.tile([25.0, 140, 290], (5, 1)), np.tile([10.0, 50, 80], (5, 1))
+    monkeypatch.setattr("wakeline.operators.chains.BLOCK", 2)
+    states, chains = hidden_markov(step, angle if turns else None, on, mean, sd, *(turns or (None, None)))
+    p, top = chains.emission(np.where(on, step, 1.0), angle if turns else None, np.arange(5))
+    assert p.shape == (70, 3, 5) and top.shape == (70, 5)
+    for v, n in enumerate(sizes):
+        alone, one = hidden_markov(step[:n, v : v + 1], angle[:n, v : v + 1] if turns else None, on[:n, v : v + 1], mean[:1], sd[:1], *(turns or (None, None)))
+        assert np.array_equal(alone[:, 0], states[:n, v])
+        assert chains.packed()[v] == pytest.approx(one.packed()[0], rel=1e-6, abs=1e-6)

@@ -26,6 +26,8 @@ from .track import step_turn
 
 #: Pings of a vessel up to which its hidden Markov model is fitted in one task.
 MOST = 200_000
+#: Pings of vessels whose models are fitted side by side: few vessels need many passes, so a pass over a few costs little if they come from many.
+TOGETHER = 200_000
 
 
 def classify_speed(df: DataFrame, lo: float = 1.0, hi: float = 5.0) -> DataFrame:
@@ -56,7 +58,7 @@ def padded(values: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _fitted(d: DataFrame, fit: Callable[[pa.Table, np.ndarray], pa.Table], schema: T.StructType, rows: int = 50_000) -> DataFrame:
-    """``fit(table, bounds)`` on all vessels' rows in track order. ``d`` is partitioned by vessel."""
+    """``fit(table, bounds)`` on all vessels' rows in track order, about ``rows`` at a time. ``d`` is partitioned by vessel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_vessels(batches, rows):
@@ -91,16 +93,16 @@ def normal_mixtures(x: np.ndarray, often: np.ndarray, mu, sigma) -> tuple[np.nda
     for _ in range(PASSES):
         if not len(live):
             break
-        value, count = x[:, live, None], often[:, live]
-        z = (value - mu[live]) / sigma[live]
-        log = np.log(weight[live]) - z * z / 2 - np.log(sigma[live] * math.sqrt(2 * math.pi))
-        top = log.max(axis=2)
-        share = np.exp(log - top[:, :, None])
-        total = share.sum(axis=2)
-        share *= (count / total)[:, :, None]
-        n = share.sum(axis=0) + 1e-12
-        weight[live], mu[live] = n / n.sum(axis=1, keepdims=True), (share * value).sum(axis=0) / n
-        sigma[live] = np.maximum(np.sqrt((share * (value - mu[live]) ** 2).sum(axis=0) / n), 1e-3)
+        value, count = x[:, None, live], often[:, live]
+        z = (value - mu[live].T) / sigma[live].T
+        log = np.log(weight[live]).T - z * z / 2 - np.log(sigma[live] * math.sqrt(2 * math.pi)).T
+        top = log.max(axis=1)
+        share = np.exp(log - top[:, None])
+        total = share.sum(axis=1)
+        share *= (count / total)[:, None]
+        n = share.sum(axis=0).T + 1e-12
+        weight[live], mu[live] = n / n.sum(axis=1, keepdims=True), (share * value).sum(axis=0).T / n
+        sigma[live] = np.maximum(np.sqrt((share * (value - mu[live].T) ** 2).sum(axis=0).T / n), 1e-3)
         fit = (count * (np.log(total) + top)).sum(axis=0)
         going = np.abs(fit - last[live]) >= STOP
         last[live] = fit
@@ -219,7 +221,7 @@ def _hmm(df: DataFrame, mu, sigma, turns, most: int, passes: int = PASSES) -> Da
             states[rows] = found
         return table.append_column("state", pa.array(states, mask=states == 0))
 
-    out = _fitted(d, fit, T.StructType([*d.schema.fields, T.StructField("state", T.LongType())]))
+    out = _fitted(d, fit, T.StructType([*d.schema.fields, T.StructField("state", T.LongType())]), TOGETHER)
     if long is not None:
         steps = _steps(known.join(long, "vessel_id", "left_semi").select(*df.columns))
         chunks, theta = _long_fits(steps, mu, sigma, turns, passes)
@@ -275,7 +277,7 @@ def hmm_params(df: DataFrame, mu=(20.0, 150.0, 300.0), sigma=(20.0, 20.0, 20.0),
 
     short = known if long is None else known.join(long, "vessel_id", "left_anti")
     wanted = ("vessel_id", "time_stamp", "rec_id", "step", "angle")
-    out = _fitted(_steps(short.repartition("vessel_id")).select(*wanted), fit, _PARAMS)
+    out = _fitted(_steps(short.repartition("vessel_id")).select(*wanted), fit, _PARAMS, TOGETHER)
     if long is not None:
         _, theta = _long_fits(_steps(known.join(long, "vessel_id", "left_semi")).select(*wanted), mu, sigma, turns, passes)
         out = out.unionByName(theta.mapInArrow(named, _PARAMS))
