@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wakeline.llm import packing
+from wakeline.llm import packing, text
 
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -117,3 +117,27 @@ def test_packed_pieces(spark):
         assert at <= 128
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(empty, PATH).count() == 0
+
+
+def test_a_worker_holds_one_tokenizer(spark, monkeypatch):
+    """A run's tokenizer goes before the next run's is made, and a worker that takes up another stage keeps none."""
+    held = []
+    made = packing.Tokens.__init__
+    monkeypatch.setattr(packing.Tokens, "__init__", lambda self, path: (held.append(sum(isinstance(x[1], packing.Tokens) for x in text.kept.values())), made(self, path))[1])
+    text.kept.clear()
+    one = packing.Tokens.of(PATH, "a")
+    assert packing.Tokens.of(PATH, "a") is one and packing.Tokens.of(PATH, "b") is not one
+    assert held == [0, 0] and len(text.kept) == 1
+
+    def left(batches):
+        for part in text.pieces(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([len(text.kept)])], names=["n"])
+
+    def tokenized(batches):
+        for part in text.pieces(batches):
+            packing.Tokens.of(PATH, "a")(part.column("text"), 0)
+            yield pa.RecordBatch.from_arrays([pa.array([len(text.kept)])], names=["n"])
+
+    docs = spark.range(4).selectExpr("'some words' AS text").repartition(4)
+    assert {r.n for r in docs.mapInArrow(tokenized, "n long").collect()} == {1}
+    assert {r.n for r in docs.mapInArrow(left, "n long").collect()} == {0}

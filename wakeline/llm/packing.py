@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import lean, staged
-from .text import Rolling, flat, pieces
+from .text import Rolling, flat, fresh, kept, pieces
 
 # --- tokens ------------------------------------------------------------------
 
@@ -99,8 +99,6 @@ class Tokens:
     Texts that hold the string of a special token are tokenized whole, as the tokenizer does it.
     """
 
-    _kept: tuple[tuple, Tokens] | None = None
-
     def __init__(self, path: str, slots: int = 1 << 19, room: int = 1 << 22):
         from tokenizers import Tokenizer
 
@@ -114,10 +112,12 @@ class Tokens:
 
     @classmethod
     def of(cls, path: str, run: str = "") -> Tokens:
-        """One for all tasks of a run that a worker does; nothing is remembered from run to run."""
-        if cls._kept is None or cls._kept[0] != (path, run):
-            cls._kept = ((path, run), cls(path))
-        return cls._kept[1]
+        """One for all tasks of a stage that a worker does; nothing is remembered from run to run, and a worker never holds two."""
+        fresh()
+        if kept.get(cls, (None,))[0] != (path, run):
+            kept.pop(cls, None)  # before there is another
+            kept[cls] = (path, run), cls(path)
+        return kept[cls][1]
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)

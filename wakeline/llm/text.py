@@ -6,11 +6,13 @@ not depend on the batch; one text is never cut.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 
 _BYTES = np.arange(256)
 #: Bytes of words in `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z.
@@ -74,8 +76,28 @@ def field(batch: pa.RecordBatch, column: str) -> pa.Array:
     return batch.column(name).field(inner) if inner else batch.column(name)
 
 
+#: What a worker keeps from task to task of a stage, as tokenizers.
+kept: dict[type, tuple] = {}
+_stage: int | None = None
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def fresh() -> None:
+    """As a task begins: what was kept for another stage goes, and freed memory goes back, as a worker lives on from stage to stage."""
+    global _stage
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if stage != _stage:
+        kept.clear()
+        _stage = stage
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], *columns: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of batches with at most ``most`` bytes in the given columns (``text``), or one row."""
+    fresh()
     for batch in batches:
         offsets = sum(flat(field(batch, c))[0] for c in columns or ("text",))
         at, n = 0, batch.num_rows

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .packing import Memo, Tokens
 from .shared import lean, staged
-from .text import Rolling, flat, pieces
+from .text import Rolling, flat, fresh, kept, pieces
 
 BLOCK = 1 << 20
 #: Bytes of texts that a task aligns at once; a longer text is one piece.
@@ -91,8 +91,6 @@ class PieceTokens:
     run of spaces, so texts are cut there. Otherwise texts are tokenized as they are.
     """
 
-    _kept: tuple[tuple, PieceTokens] | None = None
-
     def __init__(self, path: str, slots: int = 1 << 18, room: int = 1 << 21):
         import sentencepiece
 
@@ -105,9 +103,11 @@ class PieceTokens:
 
     @classmethod
     def of(cls, path: str, run: str = "") -> PieceTokens:
-        if cls._kept is None or cls._kept[0] != (path, run):
-            cls._kept = ((path, run), cls(path))
-        return cls._kept[1]
+        fresh()
+        if kept.get(cls, (None,))[0] != (path, run):
+            kept.pop(cls, None)  # before there is another
+            kept[cls] = (path, run), cls(path)
+        return kept[cls][1]
 
     def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.model.encode([c[1:] for c in chunks], num_threads=1)
