@@ -509,3 +509,20 @@ def test_discriminant_parts_classes(spark):
     df = frame(spark, rows, "behaviour string, u double, v double")
     for classes in (ml.train_lda(df, ["u", "v"]), ml.train_qda(df, ["u", "v"])):
         assert ml.predict_discriminant(classes, df, ["u", "v"]).filter("predicted = behaviour").count() > 390
+
+
+def test_discriminant_moments_with_nulls(spark):
+    """Moments equal Spark's, far from 0, where features are null and in a class of one row; the plan does not hold a term for each pair of features."""
+    names = [f"f{i}" for i in range(12)]
+    rng = np.random.default_rng(5)
+    rows = [("a" if i < 200 else "b" if i < 400 else "c", *(None if (i + j) % 17 == 0 and i < 400 else float(v) for j, v in enumerate(1e7 + rng.normal(size=12)))) for i in range(401)]
+    df = frame(spark, rows, "behaviour string, " + ", ".join(f"{n} double" for n in names)).repartition(7)
+    classes = ml.train_qda(df, names)
+    assert [(c["label"], c["n"]) for c in classes] == [("a", 200), ("b", 200), ("c", 1)]
+    for c in classes:
+        own = df.filter(F.col("behaviour") == c["label"])
+        assert np.allclose(c["mean"], own.agg(*[F.avg(n) for n in names]).first(), rtol=1e-14)
+        assert np.allclose(c["cov"], np.reshape([v or 0.0 for v in own.agg(*[F.covar_samp(a, b) for a in names for b in names]).first()], (12, 12)), atol=1e-7)
+    said = ml.predict_discriminant(classes[:2], df, names)
+    assert {r.predicted for r in said.filter("f0 is null").collect()} == {"b"}
+    assert said._jdf.queryExecution().executedPlan().toString().count("f11") < 30

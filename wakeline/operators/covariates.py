@@ -100,7 +100,7 @@ def knn_distances(df: DataFrame, k: int = 9, key: str = "trip_id", tile: int = 2
     its tile; the last of these bounds how far others can be, and only tiles of its trip that begin within that
     are searched too. So neither all pairs of a trip nor its rows meet in one task.
     """
-    planar = local_projection(df, key)
+    planar = staged(local_projection(df, key), "planar")  # read twice, and the projection is long
     here = planar.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col(key).isNotNull())
     spots = staged(here.groupBy(key, "x", "y").agg(F.count("*").alias("_m")), "positions", narrow=True)
     large = staged(spots.groupBy(key).count().filter(F.col("count") > 2 * tile).select(key), "large-trips", narrow=True)

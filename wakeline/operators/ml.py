@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.scratch import staged
 from .deep_forest import DEEPEST, DeepForest
@@ -219,20 +220,57 @@ def tune_forest(df: DataFrame, features: list[str], label: str = "behaviour", ke
     return guessed.join(seen, ["min_node", "mtry"], "left").orderBy("predicted_error", "min_node", "mtry")
 
 
+def _products(df: DataFrame, features: list[str], label: str, centre: np.ndarray) -> DataFrame:
+    """``label, n, sums``: a class's rows, and over its rows for each pair of features, as three matrices: how many know both, the first's sum where the second is known, and their products' sum.
+
+    Values are taken from ``centre``. A task adds up its rows by matrix products and hands on a row for each class.
+    """
+    k, kind = len(features), df.schema[label].dataType
+    schema = T.StructType([T.StructField("label", kind), T.StructField("n", T.LongType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
+
+    def table(found: dict) -> pa.Table:
+        sums = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * 3 * k * k), pa.array(np.concatenate([s.ravel() for _, s in found.values()] or [np.zeros(0)])))
+        return pa.table({"label": pa.array(list(found), to_arrow_type(kind)), "n": pa.array([n for n, _ in found.values()], pa.int64()), "sums": sums})
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict = {}
+        for batch in batches:
+            x = _matrix(batch.columns[1:]) - centre
+            known = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1).astype(float)
+            x = np.where(known > 0, x, 0.0)
+            codes = batch.column(0).dictionary_encode()
+            for i, name in enumerate(codes.dictionary.to_pylist()):
+                rows = codes.indices.to_numpy() == i
+                a, m = x[rows], known[rows]
+                n, sums = found.get(name, (0, 0.0))
+                found[name] = n + len(a), sums + np.stack([m.T @ m, a.T @ m, a.T @ a])
+        yield from table(found).to_batches()
+
+    def merged(group: pa.Table) -> pa.Table:
+        sums = np.sum(sorted(group["sums"].to_pylist()), axis=0)
+        return table({group["label"][0].as_py(): (sum(group["n"].to_pylist()), sums)})
+
+    rows = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("label"), *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)])
+    return rows.mapInArrow(added, schema).groupBy("label").applyInArrow(merged, schema)
+
+
+def _matrix(columns: list[pa.Array]) -> np.ndarray:
+    """A column for each feature; nan where it is null."""
+    return np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in columns], axis=1)
+
+
 def train_discriminant(df: DataFrame, features: list[str], label: str = "behaviour", quadratic: bool = False) -> list[dict]:
-    """Classes with priors, means and covariances (pooled unless ``quadratic``) from one aggregate pass; at most a few rows reach the driver."""
+    """Classes with priors, means and covariances (pooled unless ``quadratic``) from two passes, one for the middle of all rows and one for products; at most a few rows reach the driver."""
     k = len(features)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    rows = df.filter(F.col(label).isNotNull()).groupBy(label).agg(
-        F.count("*").alias("n"), *[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)], *[F.covar_samp(features[i], features[j]).alias(f"c{i}_{j}") for i, j in pairs]
-    ).orderBy(label).collect()
+    centre = np.array(df.agg(*[F.coalesce(F.avg(f), F.lit(0.0)) for f in features]).first(), float)
+    rows = _products(df, features, label, centre).orderBy("label").collect()
     total = sum(r["n"] for r in rows)
     classes = []
     for r in rows:
-        cov = np.zeros((k, k))
-        for i, j in pairs:
-            cov[i, j] = cov[j, i] = r[f"c{i}_{j}"] or 0.0
-        classes.append({"label": r[label], "n": r["n"], "prior": r["n"] / total, "mean": np.array([r[f"m{i}"] for i in range(k)]), "cov": cov})
+        both, first, products = np.array(r["sums"]).reshape(3, k, k)
+        mean = centre + np.diag(first) / np.maximum(np.diag(both), 1)
+        cov = np.where(both > 1, (products - first * first.T / np.maximum(both, 1)) / np.maximum(both - 1, 1), 0.0)
+        classes.append({"label": r["label"], "n": r["n"], "prior": r["n"] / total, "mean": mean, "cov": cov})
     pooled = sum((c["n"] - 1) * c["cov"] for c in classes) / max(total - len(classes), 1)
     for c in classes:
         cov = (c["cov"] if quadratic else pooled) + np.eye(k) * 1e-9
@@ -249,15 +287,20 @@ def train_qda(df: DataFrame, features: list[str], label: str = "behaviour") -> l
 
 
 def predict_discriminant(classes: list[dict], df: DataFrame, features: list[str], out: str = "predicted") -> DataFrame:
-    """The class of the highest score, as column arithmetic."""
-
-    def score(c: dict) -> Column:
-        d = [F.col(f) - float(m) for f, m in zip(features, c["mean"], strict=True)]
-        q = sum((d[i] * sum((float(c["inverse"][i, j]) * (1 if i == j else 2) * d[j] for j in range(i, len(d))), F.lit(0.0)) for i in range(len(d))), F.lit(0.0))
-        return math.log(c["prior"]) - 0.5 * c["logdet"] - 0.5 * q
-
-    best = F.greatest(*[F.struct(score(c).alias("s"), F.lit(c["label"]).alias("label")) for c in classes]) if len(classes) > 1 else F.struct(score(classes[0]).alias("s"), F.lit(classes[0]["label"]).alias("label"))
-    return df.withColumn(out, best["label"])
+    """The class of the highest score, by matrix products over a batch of rows. Ties, and rows that lack a feature, go to the last class."""
+    last = classes[::-1]
+    labels, kind = [c["label"] for c in last], df.sparkSession.createDataFrame([(classes[0]["label"],)], ["label"]).schema["label"].dataType
+
+    @F.arrow_udf(returnType=kind)
+    def best(*columns: pa.Array) -> pa.Array:
+        x = _matrix(columns)
+        scores = []
+        for c in last:
+            d = x - c["mean"]
+            scores.append(math.log(c["prior"]) - 0.5 * c["logdet"] - 0.5 * ((d @ c["inverse"]) * d).sum(axis=1))
+        return pa.array(labels, to_arrow_type(kind)).take(pa.array(np.argmax(scores, axis=0)))
+
+    return df.withColumn(out, best(*[F.col(f).cast("double") for f in features]))
 
 
 def trip_folds(df: DataFrame, k: int = 5, key: str = "trip_id", seed: int = 1) -> DataFrame:
