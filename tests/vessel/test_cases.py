@@ -526,3 +526,14 @@ def test_discriminant_moments_with_nulls(spark):
     said = ml.predict_discriminant(classes[:2], df, names)
     assert {r.predicted for r in said.filter("f0 is null").collect()} == {"b"}
     assert said._jdf.queryExecution().executedPlan().toString().count("f11") < 30
+
+
+def test_boosted_trees_are_fitted_once(spark, monkeypatch):
+    """With one depth there is nothing to choose, so folds would be fitted for nothing."""
+    rng = np.random.default_rng(6)
+    df = frame(spark, [(i, float(u), float(v), "a" if u + v > 0 else "b") for i, (u, v) in enumerate(rng.normal(size=(200, 2)))], "rec_id long, u double, v double, behaviour string")
+    fits, fit = [], ml.GBTClassifier._fit
+    monkeypatch.setattr(ml.GBTClassifier, "_fit", lambda self, data: fits.append(1) or fit(self, data))
+    model = ml.train_other(df, ["u", "v"], kind="boosted", folds=3)
+    assert len(fits) == 1
+    assert ml.predict(model, df).filter("predicted = behaviour").count() > 180

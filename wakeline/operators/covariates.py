@@ -135,4 +135,4 @@ def trip_covariates(df: DataFrame, k: int = 9) -> DataFrame:
     """Per trip: heading, straightness of course, distances to neighbours, acceleration. Pings without speed, course or behaviour go first."""
     d = complete_cases(null_bad_course(df), ["speed", "course", "behaviour", "trip_id"])
     d = calc_acceleration(calc_straightness(calc_heading(d, ("trip_id",)), "course", ("trip_id",)), keys=("trip_id",))
-    return knn_distances(d, k)
+    return knn_distances(staged(d, "covariates"), k)

@@ -362,20 +362,23 @@ def split_train_test(df: DataFrame, share: float = 0.7, seed: int = 1) -> DataFr
 
 
 def train_other(df: DataFrame, features: list[str], label: str = "behaviour", kind: str = "forest", folds: int = 10, trees: int = 50, seed: int = 1, threads: int = 8) -> PipelineModel:
-    """Centred and scaled features; forest, boosted or bagged trees, chosen by cross-validation over tree depth."""
+    """Centred and scaled features; forest, boosted or bagged trees, chosen by cross-validation over tree depth.
+
+    Boosted trees have one depth, so no folds are fitted: the model of all rows is what would be chosen.
+    """
     if kind not in ("forest", "boosted", "bagged"):
         raise ValueError(f"kind must be forest, boosted or bagged, not {kind!r}")
     prepared = Pipeline(stages=_stages(features, label, scale=True)).fit(df)
     data = prepared.transform(df).select("label", "features").persist()
     if kind == "boosted":
         one = GBTClassifier(maxIter=20, seed=seed)
-        model, grid = (one if len(prepared.stages[0].labels) == 2 else OneVsRest(classifier=one)), [{}]
+        best = (one if len(prepared.stages[0].labels) == 2 else OneVsRest(classifier=one)).fit(data)
     else:
         model = RandomForestClassifier(numTrees=trees, featureSubsetStrategy="all" if kind == "bagged" else "auto", seed=seed)
         grid = ParamGridBuilder().addGrid(model.maxDepth, [5, 10]).build()
-    chosen = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=folds, seed=seed, parallelism=threads).fit(data)
+        best = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=folds, seed=seed, parallelism=threads).fit(data).bestModel
     data.unpersist()
-    return PipelineModel([*prepared.stages, chosen.bestModel])
+    return PipelineModel([*prepared.stages, best])
 
 
 def compare_models(df: DataFrame, features: list[str], label: str = "behaviour", kinds: tuple[str, ...] = ("forest", "boosted", "bagged"), share: float = 0.7, folds: int = 10, trees: int = 50, seed: int = 1) -> DataFrame:
