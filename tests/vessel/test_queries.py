@@ -29,6 +29,40 @@ def test_query_agrees_with_sql(spark, name):
     assert got == sorted(tuple(text(v) for v in r) for r in cursor.fetchall())
 
 
+#: Vessel and nation: of two vessels one ping each lies in line with an upright side of a harbour just off its end; a third has a short gap whose start lacks a speed.
+VESSELS = {30566: 5, 390361: 22, 210644: 19}
+OFF_END = {30566: 190840, 390361: 171490}
+ON_SIDES = ["g1_interpolate"]
+
+
+@pytest.fixture(scope="module")
+def few_vessels(tmp_path_factory):
+    """Tables with a ping each half an hour and those named above; the times of events are ten times those of pings."""
+    folder = tmp_path_factory.mktemp("few")
+    sea = [(v, s) for v, s in OFF_END.items()] + [(v, s) for v in OFF_END for s in range(0, 259200, 1800)]
+    rows = [(17 * i + 1, v, s, 20.0, 50) for i, (v, s) in enumerate(sea)] + [(1403299, 210644, 8530, 27.09, 50), (1403412, 210644, 8870, 1.62, 72)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (event_id BIGINT, user_id BIGINT, s BIGINT, value DOUBLE, k BIGINT)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?, ?)", rows)
+    con.execute(f"COPY (SELECT event_id, TIMESTAMP '2024-01-01' + to_seconds(10 * s) AS ts, user_id, 'view' AS event_type, value, '{{\"k\": ' || k || '}}' AS props FROM t) TO '{folder}/events.parquet'")
+    con.execute("CREATE TABLE c (c_custkey BIGINT, c_nationkey INTEGER)")
+    con.executemany("INSERT INTO c VALUES (?, ?)", list(VESSELS.items()))
+    con.execute(f"COPY (SELECT *, 'BUILDING' AS c_mktsegment FROM c) TO '{folder}/customer.parquet'")
+    con.execute(f"COPY (SELECT * FROM '{SF}/nation.parquet') TO '{folder}/nation.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ON_SIDES)
+def test_query_agrees_with_sql_on_sides_and_short_ways(spark, few_vessels, name):
+    con = duckdb.connect()
+    for t in ("events", "customer", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{few_vessels}/{t}.parquet'")
+    cursor = con.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in cursor.description]
+    got = sorted(tuple(text(v) for v in r) for r in queries.queries()[name](spark, few_vessels).select(*columns).collect())
+    assert got == sorted(tuple(text(v) for v in r) for r in cursor.fetchall())
+
+
 def test_trip_covariates_keep_every_usable_ping(spark):
     p = queries.QUERIES["f3_dedupe_first"](spark, SF).select("rec_id")
     usable = queries.QUERIES["pings"](spark, SF).join(p, "rec_id").filter("speed IS NOT NULL AND course <= 360 AND behaviour IS NOT NULL")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Units and radii, each with the formula that uses it.
 KNOTS_PER_MS = 1.94384449
@@ -19,12 +21,29 @@ AXIS, FLATTENING = 6378137.0, 1 / 298.257223563
 UTM_SCALE, UTM_EASTING = 0.9996, 500000.0
 
 
+def _angle(lon: float | None, lat: float | None, lon1: float | None, lat1: float | None) -> float | None:
+    if lon is None or lat is None or lon1 is None or lat1 is None:
+        return None
+    a, b = math.radians(lat), math.radians(lat1)
+    try:
+        cosine = math.sin(a) * math.sin(b) + math.cos(a) * math.cos(b) * math.cos(math.radians(lon) - math.radians(lon1))
+    except ValueError:  # an infinite coordinate
+        cosine = math.nan
+    return math.acos(max(-1.0, min(1.0, cosine)))  # NaN counts as 1, as in SQL, where it is the greatest
+
+
+@F.arrow_udf(returnType=T.DoubleType())
+def _angles(lon: pa.Array, lat: pa.Array, lon1: pa.Array, lat1: pa.Array) -> pa.Array:
+    return pa.array(map(_angle, lon.to_pylist(), lat.to_pylist(), lon1.to_pylist(), lat1.to_pylist()), pa.float64())
+
+
 def arcdist(lon: Column, lat: Column, lon1: Column, lat1: Column, scale: str = "nmi") -> Column:
-    """Spherical law of cosines; nautical miles or km."""
-    a, b = F.radians(lat), F.radians(lat1)
-    cosine = F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(F.radians(lon) - F.radians(lon1))
-    km = ARC_RADIUS_KM * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
-    km = F.when(lon.isNotNull() & lat.isNotNull() & lon1.isNotNull() & lat1.isNotNull(), km)
+    """Spherical law of cosines; nautical miles or km.
+
+    Over short ways the law makes the last bit of a cosine large, and the JVM's sines and cosines differ in it now
+    and then from the C library's, by which databases compute. So angles are computed by the C library.
+    """
+    km = ARC_RADIUS_KM * _angles(*[F.lit(c).cast("double") for c in (lon, lat, lon1, lat1)])
     return km / ARC_KM_PER_NMI if scale == "nmi" else km
 
 

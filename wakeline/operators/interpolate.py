@@ -18,7 +18,7 @@ def union_fill(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def _hermite(t: Column, a: Column, b: Column, ta: Column, tb: Column) -> Column:
     t2, t3 = t * t, t * t * t
-    return (2 * t3 - 3 * t2 + 1) * a + (3 * t2 - 2 * t3) * b + (t3 - 2 * t2 + t) * ta + (t3 - t2) * tb
+    return (2 * t3 - 3 * t * t + 1) * a + (3 * t * t - 2 * t3) * b + (t3 - 2 * t2 + t) * ta + (t3 - t2) * tb
 
 
 def interpolate_ais(df: DataFrame, min_gap: float = 2.0, max_gap: float = 120.0, heading_adjustment: int = 0) -> DataFrame:
@@ -36,9 +36,11 @@ def interpolate_ais(df: DataFrame, min_gap: float = 2.0, max_gap: float = 120.0,
     gap = (micros("_time_stamp") - F.col("_t")) / F.lit(6e7)
     d = d.withColumn("_gap", gap)
     d = d.withColumn("_fill", F.coalesce((F.col("_gap") > min_gap) & (F.col("_gap") <= max_gap) & ~((F.col("SI_HARB") == 1) & (F.col("_SI_HARB") == 1)), F.lit(False)))
-    km = arcdist(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"), "km")
-    whole = km / F.col("_gap") * 60 / KM_PER_NMI
-    d = d.withColumn("speed", F.when(F.col("_fill"), F.coalesce("speed", whole)).otherwise(F.col("speed"))).withColumn("_speed", F.coalesce("_speed", whole))
+    # Only gaps with an end that lacks a speed need the segment's.
+    lon = F.when(F.col("_fill") & (F.col("speed").isNull() | F.col("_speed").isNull()), F.col("lon"))
+    km = arcdist(lon, F.col("lat"), F.col("_lon"), F.col("_lat"), "km")
+    d = d.withColumn("_whole", km / F.col("_gap") * 60 / KM_PER_NMI)
+    d = d.withColumns({"speed": F.coalesce("speed", "_whole"), "_speed": F.coalesce("_speed", "_whole")})
     own = [c for c in d.columns if not c.startswith("_")]
 
     # What holds for a whole gap is computed before its points are made.
