@@ -32,7 +32,7 @@ def test_query_agrees_with_sql(spark, name):
 #: Vessel and nation: of two vessels one ping each lies in line with an upright side of a harbour just off its end; a third has a short gap whose start lacks a speed.
 VESSELS = {30566: 5, 390361: 22, 210644: 19}
 OFF_END = {30566: 190840, 390361: 171490}
-ON_SIDES = ["g1_interpolate", "j2_add_harbours", "j5_remove_harbour", "j6_assign_trips", "t4_define_trips", "t4_split_trips", "t5_cumulative_blocks", "t5_trips_cumulative", "w4_rb_define_trips"]
+ON_SIDES = ["g1_interpolate", "harbour_trips", "j2_add_harbours", "j5_remove_harbour", "j6_assign_trips", "t4_define_trips", "t4_split_trips", "t5_cumulative_blocks", "t5_trips_cumulative", "w4_rb_define_trips"]
 
 
 @pytest.fixture(scope="module")
