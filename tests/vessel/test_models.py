@@ -125,3 +125,55 @@ def test_deep_forests_leave_no_model_and_do_not_depend_on_how_rows_are_dealt(lab
     assert len(rows) == 400 and abs(wrong(rows) - wrong(bagged)) < 0.06
     spark_s = dict(ml.feature_importance(ml.train_forest(labelled, names, trees=15), names, labelled).collect())
     assert dict(ml.forest_importance(labelled, names, trees=15).collect()) == pytest.approx(spark_s, abs=0.1)
+
+
+def test_rows_in_open_nodes_are_found_as_by_a_walk():
+    """Bit masks over pairs of features, 64 nodes at a time, against a walk down the tree."""
+    rng = np.random.default_rng(3)
+    top, waiting = deep_forest._Top(), [0]
+    top.add(0, None)
+    while len(waiting) < 150:
+        v = waiting.pop(int(rng.integers(len(waiting))))
+        top.feature[v], top.cut[v] = int(rng.integers(5)), int(rng.integers(31))
+        top.left[v], top.right[v] = (top.add(top.depth[v] + 1, None) for _ in range(2))
+        waiting += [top.left[v], top.right[v]]
+    bins = rng.integers(0, 32, (4000, 5)).astype(np.uint8)
+    rows = np.flatnonzero(rng.random(4000) < 0.7)
+    walked = deep_forest._at(top.arrays(), bins.ravel(), rows * 5)
+    asked = np.sort(rng.permutation(waiting)[:100]).tolist()
+    got, at = deep_forest._met(deep_forest._masks(deep_forest._boxes(top, asked, 5)), deep_forest._pairs(bins), rows)
+    want = {int(r): asked.index(v) for r, v in zip(rows, walked, strict=True) if v in asked}
+    assert len(want) > 1000 and dict(zip(got.tolist(), at.tolist(), strict=True)) == want and len(got) == len(want)
+    plain = np.zeros(4000, int)
+    for i, b in enumerate(bins):
+        while top.left[plain[i]] != plain[i]:
+            plain[i] = (top.left if b[top.feature[plain[i]]] <= top.cut[plain[i]] else top.right)[plain[i]]
+    assert (plain[rows] == walked).all()
+
+
+def test_a_forest_hands_on_a_row_for_a_node_and_a_block(labelled):
+    """Not one for each ping and tree: what 400 pings of 15 trees hand on is bounded by the trees' leaves and the table's pieces."""
+    forest = deep_forest.DeepForest(labelled, ["a", "b", "c"], trees=15, small=60, mtry=3)
+    handed, plain = [], forest._handed
+    forest._handed = lambda *how: handed.append(plain(*how)) or handed[-1]
+    assert len(forest.votes().collect()) > 395
+    rows = handed[0].selectExpr("length(often) n", "length(bins) bins", "length(place) place").collect()
+    leaves = sum(left == v for top in forest.top for v, left in enumerate(top.left))
+    assert len(rows) <= leaves * forest.data.select("block").distinct().count() < sum(r.n for r in rows)
+    assert all(r.bins == 3 * r.n and r.place <= 4 * r.n for r in rows)
+
+
+def test_discriminants_of_all_folds_come_from_two_readings(labelled, monkeypatch):
+    """Products by fold, added up without one, are those of a fit to the others."""
+    names, read = ["a", "b", "c"], []
+    plain = ml._moments
+    monkeypatch.setattr(ml, "_moments", lambda *how: read.append(1) or plain(*how))
+    folds = ml.trip_folds(labelled, 4)
+    assert ml.cross_validate(labelled, names, k=4, trees=1).count() == 1200 and len(read) == 1
+    centre, rows = plain(folds, names, "behaviour", F.col("fold"))
+    for f in range(1, 5):
+        got = ml._discriminant(centre, [r for r in rows if r["fold"] != f], True)
+        want = ml.train_qda(folds.filter(F.col("fold") != f), names)
+        assert [(c["label"], c["n"]) for c in got] == [(c["label"], c["n"]) for c in want]
+        for c, w in zip(got, want, strict=True):
+            assert c["mean"] == pytest.approx(w["mean"]) and c["inverse"] == pytest.approx(w["inverse"]) and c["prior"] == pytest.approx(w["prior"])

@@ -9,6 +9,7 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -220,38 +221,41 @@ def tune_forest(df: DataFrame, features: list[str], label: str = "behaviour", ke
     return guessed.join(seen, ["min_node", "mtry"], "left").orderBy("predicted_error", "min_node", "mtry")
 
 
-def _products(df: DataFrame, features: list[str], label: str, centre: np.ndarray) -> DataFrame:
-    """``label, n, sums``: a class's rows, and over its rows for each pair of features, as three matrices: how many know both, the first's sum where the second is known, and their products' sum.
+def _products(df: DataFrame, features: list[str], label: str, centre: np.ndarray, fold: Column) -> DataFrame:
+    """``label, fold, n, sums``: a class's rows of a fold, and over its rows for each pair of features, as three matrices: how many know both, the first's sum where the second is known, and their products' sum.
 
-    Values are taken from ``centre``. A task adds up its rows by matrix products and hands on a row for each class.
+    Values are taken from ``centre``. A task adds up its rows by matrix products and hands on a row for each class and fold.
     """
     k, kind = len(features), df.schema[label].dataType
-    schema = T.StructType([T.StructField("label", kind), T.StructField("n", T.LongType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField("label", kind), T.StructField("fold", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
 
     def table(found: dict) -> pa.Table:
         sums = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * 3 * k * k), pa.array(np.concatenate([s.ravel() for _, s in found.values()] or [np.zeros(0)])))
-        return pa.table({"label": pa.array(list(found), to_arrow_type(kind)), "n": pa.array([n for n, _ in found.values()], pa.int64()), "sums": sums})
+        names, folds = ([key[i] for key in found] for i in range(2))
+        return pa.table({"label": pa.array(names, to_arrow_type(kind)), "fold": pa.array(folds, pa.int32()), "n": pa.array([n for n, _ in found.values()], pa.int64()), "sums": sums})
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict = {}
         for batch in batches:
-            x = _matrix(batch.columns[1:]) - centre
-            known = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1).astype(float)
+            x = _matrix(batch.columns[2:]) - centre
+            known = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns[2:]], axis=1).astype(float)
             x = np.where(known > 0, x, 0.0)
-            codes = batch.column(0).dictionary_encode()
+            codes, fold = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
             for i, name in enumerate(codes.dictionary.to_pylist()):
-                rows = codes.indices.to_numpy() == i
-                a, m = x[rows], known[rows]
-                n, sums = found.get(name, (0, 0.0))
-                found[name] = n + len(a), sums + np.stack([m.T @ m, a.T @ m, a.T @ a])
+                for f in np.unique(fold).tolist():
+                    rows = (codes.indices.to_numpy() == i) & (fold == f)
+                    if rows.any():
+                        a, m = x[rows], known[rows]
+                        n, sums = found.get((name, f), (0, 0.0))
+                        found[name, f] = n + len(a), sums + np.stack([m.T @ m, a.T @ m, a.T @ a])
         yield from table(found).to_batches()
 
     def merged(group: pa.Table) -> pa.Table:
         sums = np.sum(sorted(group["sums"].to_pylist()), axis=0)
-        return table({group["label"][0].as_py(): (sum(group["n"].to_pylist()), sums)})
+        return table({(group["label"][0].as_py(), group["fold"][0].as_py()): (sum(group["n"].to_pylist()), sums)})
 
-    rows = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("label"), *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)])
-    return rows.mapInArrow(added, schema).groupBy("label").applyInArrow(merged, schema)
+    rows = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("label"), fold.cast("int").alias("fold"), *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)])
+    return rows.mapInArrow(added, schema).groupBy("label", "fold").applyInArrow(merged, schema)
 
 
 def _matrix(columns: list[pa.Array]) -> np.ndarray:
@@ -259,18 +263,24 @@ def _matrix(columns: list[pa.Array]) -> np.ndarray:
     return np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in columns], axis=1)
 
 
-def train_discriminant(df: DataFrame, features: list[str], label: str = "behaviour", quadratic: bool = False) -> list[dict]:
-    """Classes with priors, means and covariances (pooled unless ``quadratic``) from two passes, one for the middle of all rows and one for products; at most a few rows reach the driver."""
-    k = len(features)
+def _moments(df: DataFrame, features: list[str], label: str, fold: Column) -> tuple[np.ndarray, list]:
+    """The middle of all rows and the products by class and fold, from two passes; at most a few rows reach the driver."""
     centre = np.array(df.agg(*[F.coalesce(F.avg(f), F.lit(0.0)) for f in features]).first(), float)
-    rows = _products(df, features, label, centre).orderBy("label").collect()
+    return centre, _products(df, features, label, centre, fold).orderBy("label", "fold").collect()
+
+
+def _discriminant(centre: np.ndarray, rows: list, quadratic: bool) -> list[dict]:
+    """Classes with priors, means and covariances (pooled unless ``quadratic``) from the products of some folds."""
+    k = len(centre)
     total = sum(r["n"] for r in rows)
     classes = []
-    for r in rows:
-        both, first, products = np.array(r["sums"]).reshape(3, k, k)
+    for name in dict.fromkeys(r["label"] for r in rows):
+        mine = [r for r in rows if r["label"] == name]
+        n = sum(r["n"] for r in mine)
+        both, first, products = sum(np.array(r["sums"]) for r in mine).reshape(3, k, k)
         mean = centre + np.diag(first) / np.maximum(np.diag(both), 1)
         cov = np.where(both > 1, (products - first * first.T / np.maximum(both, 1)) / np.maximum(both - 1, 1), 0.0)
-        classes.append({"label": r["label"], "n": r["n"], "prior": r["n"] / total, "mean": mean, "cov": cov})
+        classes.append({"label": name, "n": n, "prior": n / total, "mean": mean, "cov": cov})
     pooled = sum((c["n"] - 1) * c["cov"] for c in classes) / max(total - len(classes), 1)
     for c in classes:
         cov = (c["cov"] if quadratic else pooled) + np.eye(k) * 1e-9
@@ -278,6 +288,11 @@ def train_discriminant(df: DataFrame, features: list[str], label: str = "behavio
     return classes
 
 
+def train_discriminant(df: DataFrame, features: list[str], label: str = "behaviour", quadratic: bool = False) -> list[dict]:
+    """Classes with priors, means and covariances (pooled unless ``quadratic``) from two passes, one for the middle of all rows and one for products; at most a few rows reach the driver."""
+    return _discriminant(*_moments(df, features, label, F.lit(0)), quadratic)
+
+
 def train_lda(df: DataFrame, features: list[str], label: str = "behaviour") -> list[dict]:
     return train_discriminant(df, features, label, False)
 
@@ -286,21 +301,36 @@ def train_qda(df: DataFrame, features: list[str], label: str = "behaviour") -> l
     return train_discriminant(df, features, label, True)
 
 
+def _best_class(classes: list[dict], x: np.ndarray) -> np.ndarray:
+    """Which class has the highest score, by matrix products; ties go to the first."""
+    scores = []
+    for c in classes:
+        d = x - c["mean"]
+        scores.append(math.log(c["prior"]) - 0.5 * c["logdet"] - 0.5 * ((d @ c["inverse"]) * d).sum(axis=1))
+    return np.argmax(scores, axis=0)
+
+
 def predict_discriminant(classes: list[dict], df: DataFrame, features: list[str], out: str = "predicted") -> DataFrame:
     """The class of the highest score, by matrix products over a batch of rows. Ties, and rows that lack a feature, go to the last class."""
-    last = classes[::-1]
-    labels, kind = [c["label"] for c in last], df.sparkSession.createDataFrame([(classes[0]["label"],)], ["label"]).schema["label"].dataType
+    kind = df.sparkSession.createDataFrame([(classes[0]["label"],)], ["label"]).schema["label"].dataType
+    return _predict_folds({0: classes}, df, features, kind, F.lit(0), out)
+
+
+def _predict_folds(models: dict[int, list[dict]], df: DataFrame, features: list[str], kind: T.DataType, fold: Column, out: str) -> DataFrame:
+    """``predict_discriminant`` by the model of each row's fold."""
+    models = {f: classes[::-1] for f, classes in models.items()}
 
     @F.arrow_udf(returnType=kind)
-    def best(*columns: pa.Array) -> pa.Array:
-        x = _matrix(columns)
-        scores = []
-        for c in last:
-            d = x - c["mean"]
-            scores.append(math.log(c["prior"]) - 0.5 * c["logdet"] - 0.5 * ((d @ c["inverse"]) * d).sum(axis=1))
-        return pa.array(labels, to_arrow_type(kind)).take(pa.array(np.argmax(scores, axis=0)))
+    def best(folds: pa.Array, *columns: pa.Array) -> pa.Array:
+        x, folds = _matrix(columns), folds.to_numpy()
+        said = pa.nulls(len(x), to_arrow_type(kind))
+        for f in np.unique(folds).tolist():
+            rows = folds == f
+            labels = pa.array([c["label"] for c in models[f]], to_arrow_type(kind))
+            said = pc.replace_with_mask(said, pa.array(rows), labels.take(pa.array(_best_class(models[f], x[rows]))))
+        return said
 
-    return df.withColumn(out, best(*[F.col(f).cast("double") for f in features]))
+    return df.withColumn(out, best(fold.cast("int"), *[F.col(f).cast("double") for f in features]))
 
 
 def trip_folds(df: DataFrame, k: int = 5, key: str = "trip_id", seed: int = 1) -> DataFrame:
@@ -321,18 +351,23 @@ def trip_folds(df: DataFrame, k: int = 5, key: str = "trip_id", seed: int = 1) -
 
 
 def cross_validate(df: DataFrame, features: list[str], label: str = "behaviour", key: str = "trip_id", k: int = 5, trees: int = 100, seed: int = 1, depth: int = DEEPEST, threads: int = 8) -> DataFrame:
-    """Every ping as predicted by models that saw no ping of its fold: ``model`` forest, lda or qda. Discriminants are fitted several at a time, the forests of all folds by all tasks. ``rec_id`` is unique."""
+    """Every ping as predicted by models that saw no ping of its fold: ``model`` forest, lda or qda. ``rec_id`` is unique.
+
+    The forests of all folds are grown together. The discriminants of all folds come of products by fold, added up
+    without the fold that is told, so rows are read as often as for one fold. ``threads`` is not needed any more.
+    """
     d = staged(trip_folds(df, k, key, seed))
     keep = [key, "rec_id", "gear", label, "fold"] if "gear" in d.columns else [key, "rec_id", label, "fold"]
-
-    def fitted(name: str, fold: int) -> DataFrame:
-        train, test = d.filter(F.col("fold") != fold), d.filter(F.col("fold") == fold)
-        rows = predict_discriminant(train_discriminant(train, features, label, name == "qda"), test, features)
-        return rows.select(*keep, "predicted", F.lit(name).alias("model"))
-
+    centre, rows = _moments(d, features, label, F.col("fold"))
+    folds = [r[0] for r in d.select("fold").distinct().collect()]
+    said = d
+    for name in ("lda", "qda"):
+        models = {f: _discriminant(centre, [r for r in rows if r["fold"] != f], name == "qda") for f in folds}
+        said = _predict_folds(models, said, features, d.schema[label].dataType, F.col("fold"), name)
     forests = DeepForest(d, features, label, "rec_id", trees, 1, math.ceil(math.sqrt(len(features))), seed, depth, "fold", k)
-    said = d.join(forests.votes(soft=True), "rec_id", "left").select(*keep, "predicted", F.lit("forest").alias("model"))
-    return reduce(DataFrame.unionByName, _at_once([(name, fold) for fold in range(1, k + 1) for name in ("lda", "qda")], fitted, threads), said)
+    said = said.select(*keep, "lda", "qda").join(forests.votes(soft=True).withColumnRenamed("predicted", "forest"), "rec_id", "left")
+    each = F.explode(F.array(*[F.struct(F.col(m).alias("predicted"), F.lit(m).alias("model")) for m in ("forest", "lda", "qda")]))
+    return said.select(*keep, each.alias("_said")).select(*keep, "_said.predicted", "_said.model")
 
 
 def confusion(df: DataFrame, label: str = "behaviour", by: list[str] = []) -> DataFrame:  # noqa: B006
